@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, media, mixing, token_files, url_filter
+from . import ann, chat, language, media, mixing, packing, token_files, toxicity, url_filter
 from .common import table
 
 CONTROL_CHAT = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = mixing.mix(docs)
@@ -30,6 +34,17 @@ def op5_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
     return token_files.read_documents(manifest)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    scored = toxicity.score(docs, labels, threshold=0.3)
+    return scored.select("doc_id", (toxicity.fold() == 2).alias("held_out"), "score", "predicted")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return language.identify(docs).select("doc_id", "lang", "language", "posterior", "kept")
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     described = media.describe(media.store_texts(table(spark, sf_dir, "documents")))
     digest = F.xxhash64(F.to_json("keyframe_ranges")).alias("keyframes_hash")
@@ -45,12 +60,20 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_chats(rows.unionByName(control)))
 
 
+def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op2_mixing": op2_mixing,
     "op3_url_filter": op3_url_filter,
     "op5_token_files": op5_token_files,
+    "op6_toxicity": op6_toxicity,
     "op7_media": op7_media,
+    "op8_language_id": op8_language_id,
     "op9_chat": op9_chat,
+    "op10_permutation_index": op10_permutation_index,
 }
 
 ORACLE = {
