@@ -14,6 +14,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from .common import partitions, shared_path
 SEQUENCE = 1024
 BATCH_ROWS = 64
 #: Entries of the cache from a blank-free piece of text to its ids, per Python worker; it is emptied beyond.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_000_000
 #: Characters of text that are encoded together.
 GROUP_CHARS = 1 << 20
 INDEX_ROWS = 65_536
@@ -38,10 +39,17 @@ _encoders: dict[tuple[str, int], PieceEncoder] = {}
 class PieceEncoder:
     """Encodes texts piece by piece, a piece being a run of anything but ASCII white space.
 
-    This holds for tokenizers that drop white space and never look across it, as the word BPE does: its normalizer acts on
-    single characters or runs without white space, and its pre-tokenizer's matches hold no white space.
+    This holds for tokenizers that lower case, drop white space and never look across it, as the word BPE does: its normalizer acts
+    on single characters or runs without white space, and its pre-tokenizer's matches hold no white space. Two things make pieces repeat
+    more: ASCII letters are lower-cased first, and a full stop or comma behind an ASCII letter or digit becomes a piece of its own, as
+    the pre-tokenizer parts them too. Both are left out for texts with characters from U+0300 on, where combining marks begin, or
+    with ``<|``, which may begin a special token.
     """
 
+    ODD = bytes(range(0xCC, 0x100))
+    #: Between texts that are prepared together; no byte of UTF-8.
+    BREAK = b"\xff"
+
     def __init__(self, path: str, end_id: int):
         import os
 
@@ -49,21 +57,48 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        vocabulary = self.tokenizer.get_vocab()
+        self.dtype = np.dtype("<u2") if max(vocabulary.values()) < 1 << 16 else np.dtype("<u4")
         self.end = np.array([end_id], dtype=self.dtype).tobytes()
         self.known: dict[bytes, bytes] = {}
+        #: Whether an id ends a word; empty if the vocabulary doesn't tell.
+        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closes[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+        self.parted = np.zeros(256, dtype=bool)
+        self.parted[[*range(48, 58), *range(97, 123)]] = True
+
+    def pieces(self, texts: list[str]) -> list[list[bytes]]:
+        raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+        odd = [b"<|" in r or len(r.translate(None, self.ODD)) != len(r) for r in raws]
+        plain = np.frombuffer(self.BREAK.join(r.lower() for r, o in zip(raws, odd, strict=True) if not o), dtype=np.uint8)
+        stops = np.flatnonzero(((plain[1:] == 46) | (plain[1:] == 44)) & self.parted[plain[:-1]]) + 1
+        split = iter(np.insert(plain, stops, 32).tobytes().split(self.BREAK))
+        return [r.split() if o else next(split).split() for r, o in zip(raws, odd, strict=True)]
+
+    def learn(self, new: list[bytes]) -> None:
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        # Pieces of letters alone are a word each; many are encoded as one text and parted where words end.
+        words = [p for p in new if p.isalpha() or p.decode("utf-8", "replace").isalpha()]
+        if words:
+            ids = np.array(encode([b" ".join(words).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(words) and ends[-1] == len(ids):
+                raw, w = ids.tobytes(), self.dtype.itemsize
+                cuts = (ends * w).tolist()
+                self.known.update(zip(words, (raw[a:b] for a, b in zip([0, *cuts], cuts)), strict=True))
+        rest = [p for p in new if p not in self.known]
+        for piece, got in zip(rest, encode([p.decode("utf-8", "replace") for p in rest], add_special_tokens=False), strict=True):
+            self.known[piece] = np.array(got.ids, dtype=self.dtype).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, its end id last, as little-endian bytes of self.dtype."""
-        pieces = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+        pieces = self.pieces(texts)
         if len(self.known) > CACHE_ENTRIES:
             self.known.clear()
-        known = self.known
-        new = list({p for own in pieces for p in own if p not in known})
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for piece, got in zip(new, encode([p.decode("utf-8", "replace") for p in new], add_special_tokens=False), strict=True):
-            known[piece] = np.array(got.ids, dtype=self.dtype).tobytes()
-        get = known.__getitem__
+        new = set(chain.from_iterable(pieces)).difference(self.known)
+        if new:
+            self.learn(list(new))
+        get = self.known.__getitem__
         return [b"".join(map(get, own)) + self.end for own in pieces]
 
 
