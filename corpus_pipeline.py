@@ -1,8 +1,62 @@
-"""The corpus pipeline: language ID, toxicity, near duplicates, mixing, packing."""
+"""The corpus pipeline: five operators in a row, each over all that the one before kept.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's docs. All but the last
+return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from waymark.llm import jaccard, language, mixing, packing, toxicity
+from waymark.llm.common import materialise, table
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is known; those that language ID rejects (unknown, or no text) go."""
+    return language.identify(docs).filter("kept").select(*docs.columns)
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold; the others go."""
+    return toxicity.score(docs, table(spark, sf_dir, "labels")).filter("predicted = 0").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of linked or equal texts: that whose doc_id names the class. Rows that repeat its doc_id leave the first by content."""
+    classes = jaccard.join(docs)
+    names = classes.filter(F.col("node") == F.col("class_id")).select(F.col("node").alias("_name")).distinct()
+    own = docs.withColumn("_node", jaccard.node_of("doc_id", "text"))
+    first = Window.partitionBy("_node").orderBy(*docs.columns)
+    kept = own.join(names.hint("shuffle_hash"), F.col("_node") == F.col("_name"), "left_semi")
+    return kept.withColumn("_row", F.row_number().over(first)).filter("_row = 1").select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The curriculum: a row for each copy of a document that the mix takes, in the order of training."""
+    return mixing.curriculum(docs).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The bin of every document."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("toxicity", toxic),
+    ("n-gram Jaccard join", near_duplicates),
+    ("mixing sources to target weights", mix),
+    ("best-fit packing", pack),
+]
+
+#: Language ID and toxicity are learned models, which SQL can't express; the tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name.split()[0].lower())
+    return STAGES[-1][1](spark, docs, sf_dir)

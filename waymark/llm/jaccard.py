@@ -20,7 +20,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, partitions
@@ -327,6 +327,15 @@ def signing(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array(in_blocks(batch.to_pylist(), signatures), type=pa.binary())
 
 
+def text_key(text: str = "text") -> Column:
+    return F.md5(F.lower(F.coalesce(text, F.lit(""))).cast("binary"))
+
+
+def node_of(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """The name that a document has as a node of its own."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(text_key(text)))
+
+
 def join(docs: DataFrame, threshold: str = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """(doc_id, node, class_id, n_links, n_copies), a row for each row of docs.
 
@@ -337,7 +346,7 @@ def join(docs: DataFrame, threshold: str = THRESHOLD, tolerance: float = TOLERAN
     """
     exact = Fraction(threshold)
     signature = F.arrow_udf(signing, "binary")
-    key = F.md5(F.lower(F.coalesce("text", F.lit(""))).cast("binary"))
+    key = text_key()
     signed = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), signature("text").alias("signature")), "signatures")
     texts = materialise(
         signed.filter(F.col("signature").isNotNull())
@@ -363,7 +372,7 @@ def join(docs: DataFrame, threshold: str = THRESHOLD, tolerance: float = TOLERAN
     sizes = candidates.groupBy("component").agg(F.count("*").alias("n"))
     wanted = candidates.join(sizes, "component").join(texts.select("node", "key"), "node")
     # A text is read from one of its documents: that with the node's name, or (null ids) any.
-    whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(key)).alias("node"), key.alias("key"), "text")
+    whole = docs.select(node_of().alias("node"), key.alias("key"), "text")
     held = whole.join(wanted.hint("shuffle_hash"), ["node", "key"]).dropDuplicates(["node", "key"])
     verified = materialise(dealt(held, "component", "n", VERIFY_BLOCK, ["text"]).mapInArrow(verifying(exact), "node long, links long, star long"), "links")
     classes = connected(verified.select(F.col("star").alias("a"), F.col("node").alias("b")), "classes")
