@@ -47,3 +47,11 @@ def materialise(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def hash_sample(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """About ``rows`` of df's rows (all, if it has no more), the same ones at every run: those whose hash of keys is in the lowest share. Costs a count."""
+    n = df.count()
+    if n <= rows:
+        return df
+    return df.filter(F.xxhash64(*keys) < F.lit(int(-(2**63) + rows / n * 2**64)))

@@ -13,11 +13,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows of labelled text that the likelihoods are learned from, those with the smallest hashes of their keys.
-TRAIN_ROWS = 4_000
+from .common import hash_sample, materialise
+
+#: Rows of labelled text, about, that the likelihoods are learned from, chosen by a hash of their keys.
+TRAIN_ROWS = 2_000
 #: Buckets of hashed trigrams, added counts, and rows of a language in the sample for it to be known.
 BUCKETS = 1 << 16
 ALPHA = 0.02
@@ -60,9 +62,10 @@ class TrigramModel:
             table[:, i] = np.log((counts + ALPHA) / (counts.sum() + ALPHA * BUCKETS))
         p = np.log(single / single.sum())
         # The mean over a bucket's trigrams of their product of single frequencies, by the same hash.
-        cube = (p[:, None, None] + p[None, :, None] + p[None, None, :]).reshape(-1)
-        grid = np.indices((256, 256, 256)).reshape(3, -1).astype(np.uint32)
-        mass = np.bincount(hashed(grid[0], grid[1], grid[2]), weights=np.exp(cube), minlength=BUCKETS)
+        b, c = (x.reshape(-1) for x in np.indices((256, 256), dtype=np.uint32))
+        mass = np.zeros(BUCKETS)
+        for a in range(256):
+            mass += np.bincount(hashed(np.full(1, a, dtype=np.uint32), b, c), weights=np.exp(p[a] + p[b] + p[c]), minlength=BUCKETS)
         table[:, -1] = np.log(mass + 1e-12)
         return cls((*langs, UNKNOWN), table)
 
@@ -101,9 +104,9 @@ def trigrams(raw: np.ndarray) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, text: str, declared: str, key: str) -> list[tuple[str, str]]:
-    """A bounded sample: TRAIN_ROWS rows that declare a language, the same ones at every run."""
-    known = docs.filter(F.col(declared).isNotNull() & (F.length(text) > 0)).select(F.col(declared).alias("lang"), F.col(text).alias("text"), F.xxhash64(key, F.length(text)).alias("h"))
-    return [(r["lang"], r["text"]) for r in known.orderBy("h", "lang").limit(TRAIN_ROWS).collect()]
+    """A bounded sample: about TRAIN_ROWS rows that declare a language, the same ones at every run."""
+    known = hash_sample(docs.filter(F.col(declared).isNotNull()), [key, declared], TRAIN_ROWS)
+    return [(r[0], r[1]) for r in known.filter(F.length(text) > 0).select(declared, text).collect()]
 
 
 def likelihoods(model: TrigramModel):
@@ -179,7 +182,6 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
     part as a host of its own. Without any labelled row every language is ``und``. Texts are read twice (for the host priors, then for
     the result) and never shuffled; ties go to the first language by name.
     """
-    spark: SparkSession = docs.sparkSession
     docs = docs.drop("language", "posterior", "kept")
     rows = training_rows(docs, text, declared, key) if declared else []
     model = TrigramModel.fit(rows)
@@ -191,7 +193,7 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
     best = lambda a: F.element_at(names, F.array_position(a, F.array_max(a)).cast("int"))
     alone = docs.select(host_of.alias("host"), score(text).alias("ll")).select("host", best(F.col("ll")).alias("says"))
     # Counted once, so that the size decides between broadcast and shuffle; a row a host.
-    priors = spark_table(host_priors(alone, model.langs))
+    priors = materialise(host_priors(alone, model.langs), "priors")
     small = priors.count() <= BROADCAST_HOSTS
     out = docs.withColumns({"_ll": score(text), "_host": host_of}).join(
         F.broadcast(priors) if small else priors, F.col("_host").eqNullSafe(F.col("prior_host")), "left"
@@ -211,8 +213,3 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
         .drop("_ll", "_host", "_total", "prior_host", "priors")
     )
 
-
-def spark_table(df: DataFrame) -> DataFrame:
-    from .common import materialise
-
-    return materialise(df, "priors")
