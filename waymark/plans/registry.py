@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from .oracles import ORACLE
+from .queries import QUERIES
+
 FLAGSHIP = "pair_accuracy_by_group"
+
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
