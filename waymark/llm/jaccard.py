@@ -3,7 +3,7 @@
 1. Documents of one text (letter case aside) share a node; a node's name is the smallest doc_id among them.
 2. Every text gets SLOTS MinHash values of its five-word shingles. Texts that agree in all ROWS_PER_BAND values of a band share a bucket; buckets with the
    same members count once. A pair at the threshold misses all bands with probability (1 - 0.8^4)^32 < 1e-7.
-3. Within buckets, pairs compare their MinHash values STEP at a time. With a uniform prior the similarity after m of n matches is Beta(m + 1, n - m + 1); a pair
+3. Within buckets, pairs that met in no earlier band compare their MinHash values STEP at a time. With a uniform prior the similarity after m of n matches is Beta(m + 1, n - m + 1); a pair
    goes as soon as the posterior probability of reaching the threshold falls below TOLERANCE. What is left joins texts to candidate groups.
 4. Within candidate groups, all pairs are verified exactly on their shingle sets. The links are counted for each text and the linked texts'
    components are the classes.
@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from fractions import Fraction
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -155,6 +156,15 @@ def survivors(values: np.ndarray, i: np.ndarray, j: np.ndarray, table: list[tupl
     return alive
 
 
+def first_met(earlier: np.ndarray, pairs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that share no bucket of an earlier band, where they were compared already. earlier: each text's values of those bands, a number a band."""
+    i, j = pairs
+    for b in range(earlier.shape[1]):
+        new = earlier[i, b] != earlier[j, b]
+        i, j = i[new], j[new]
+    return i, j
+
+
 def stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """For each of n items the smallest item that it is linked with through the pairs."""
     label = np.arange(n)
@@ -239,7 +249,8 @@ def pruning(threshold: float, tolerance: float):
             order = np.argsort(nodes, kind="stable")
             nodes, side = nodes[order], rows.column("side").to_numpy()[order]
             values = np.frombuffer(b"".join(rows.column("signature").to_pylist()), dtype="<u2").reshape(-1, SLOTS)[order]
-            kept = [(i[s], j[s]) for i, j in blocked_pairs(side, within) if len(s := survivors(values, i, j, table))]
+            earlier = np.ascontiguousarray(values[:, : ROWS_PER_BAND * int(rows.column("band")[0].as_py())]).view("<u8")
+            kept = [(i[s], j[s]) for i, j in map(partial(first_met, earlier), blocked_pairs(side, within)) if len(s := survivors(values, i, j, table))]
             if kept:
                 star = stars(len(nodes), *(np.concatenate(x) for x in zip(*kept, strict=True)))
                 far = np.flatnonzero(star != np.arange(len(nodes)))
@@ -356,18 +367,20 @@ def join(docs: DataFrame, threshold: str = THRESHOLD, tolerance: float = TOLERAN
     )
     # Buckets: only names and counts are shuffled here; signatures join those that have company.
     width = 2 * ROWS_PER_BAND
-    names = F.transform(F.sequence(F.lit(0), F.lit(SLOTS // ROWS_PER_BAND - 1)), lambda b: F.xxhash64(b, F.substring("signature", b * width + 1, F.lit(width))))
-    bands = texts.select("node", F.explode(names).alias("bucket"))
+    every_band = F.sequence(F.lit(0), F.lit(SLOTS // ROWS_PER_BAND - 1))
+    names = F.transform(every_band, lambda b: F.struct(b.alias("band"), F.xxhash64(b, F.substring("signature", b * width + 1, F.lit(width))).alias("bucket")))
+    bands = texts.select("node", F.inline(names))
+    # Of buckets with the same members the one of the first band stays: there, no pair that it has first is passed over.
     buckets = (
         bands.groupBy("bucket")
-        .agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members"), F.min("node").alias("first"))
+        .agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members"), F.min("node").alias("first"), F.min("band").alias("band"))
         .filter(F.col("n") > 1)
         .groupBy("n", "members", "first")
-        .agg(F.min("bucket").alias("bucket"))
-        .select("bucket", "n")
+        .agg(F.min(F.struct("band", "bucket")).alias("own"))
+        .select("own.band", "own.bucket", "n")
     )
-    members = bands.join(buckets, "bucket").join(texts.select("node", "signature"), "node")
-    pairs = dealt(members, "bucket", "n", PRUNE_BLOCK, ["signature"]).mapInArrow(pruning(float(exact), tolerance), "a long, b long")
+    members = bands.select("node", "bucket").join(buckets, "bucket").join(texts.select("node", "signature"), "node")
+    pairs = dealt(members, "bucket", "n", PRUNE_BLOCK, ["band", "signature"]).mapInArrow(pruning(float(exact), tolerance), "a long, b long")
     candidates = connected(pairs, "candidates")
     sizes = candidates.groupBy("component").agg(F.count("*").alias("n"))
     wanted = candidates.join(sizes, "component").join(texts.select("node", "key"), "node")
