@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import hash_sample, materialise
+
 #: Fixed word lists of the grammar, by class.
 NEGATION = "not never no nobody nicht nie kein keine ne pas jamais aucun nunca jamás ningún".split()
 REPORTED = "said says told wrote writes claimed quoted sagte schrieb behauptete zitierte dit écrit affirme dijo escribió afirmó".split()
@@ -35,12 +37,14 @@ NEGATION_REACH = 3
 CLAUSE_END = ".,;:!?\n()"
 WORD = re.compile(r"[^\W\d_]+")
 
-#: Labelled rows for learning, those with the smallest hashes of their ids.
+#: Labelled rows for learning, about, chosen by a hash of their ids.
 TRAIN_ROWS = 24_000
 #: Prefix lengths that may be stems, besides whole words; stems kept at most, and how many chance stems are tolerated.
 STEM_LENGTHS = (4, 5, 6, 7)
 MOST_STEMS = 2_000
 CHANCE_STEMS = 0.5
+#: Share of a stem's documents that are toxic, at least.
+LEAST_PURITY = 0.75
 THRESHOLD = 0.3
 RIDGE = 1e-3
 FEATURES = 20
@@ -169,18 +173,25 @@ def fold(doc_id: str = "doc_id"):
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of at most TRAIN_ROWS labelled documents outside the held-out fold. Their ids and labels (16 bytes a row) are broadcast: the bound is TRAIN_ROWS rows."""
+    """(text, toxic) of about TRAIN_ROWS labelled documents outside the held-out fold. Only their ids and labels (16 bytes a row) are broadcast."""
     own = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 2))
-    chosen = own.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
+    chosen = hash_sample(own.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), ["doc_id"], TRAIN_ROWS)
     return docs.select("doc_id", "text").filter(F.length("text") > 0).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
 
-def stem_counts(rows: DataFrame) -> DataFrame:
-    """(stem, toxic, n): documents that have the stem."""
+def distinct_words(rows: DataFrame) -> DataFrame:
+    """(words, toxic): the word sets of rows, one of those that agree in four MinHash values, lest copies of a document count as many witnesses."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0)))
+    least = lambda seed: F.array_min(F.transform("words", lambda w: F.xxhash64(w, F.lit(seed))))
+    keyed = rows.select(words.alias("words"), "toxic").withColumn("copies", F.xxhash64(*map(least, range(4)), "toxic"))
+    return keyed.groupBy("copies").agg(F.min_by(F.struct("words", "toxic"), F.xxhash64("words")).alias("own")).select("own.words", "own.toxic")
+
+
+def stem_counts(words: DataFrame) -> DataFrame:
+    """(stem, toxic, n): documents that have the stem."""
     cut = lambda k: F.transform(F.filter("words", lambda w: F.length(w) >= k), lambda w: F.substring(w, 1, k))
     stems = F.array_distinct(F.concat(F.transform("words", lambda w: F.concat(w, F.lit(" "))), *map(cut, STEM_LENGTHS)))
-    return rows.select(words.alias("words"), "toxic").select(F.explode(stems).alias("stem"), "toxic").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n"))
+    return words.select(F.explode(stems).alias("stem"), "toxic").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n"))
 
 
 def surprise(toxic: float, n: float, share: float) -> float:
@@ -194,13 +205,14 @@ def surprise(toxic: float, n: float, share: float) -> float:
 
 def learn_lexicon(rows: DataFrame) -> Lexicon:
     """Stems beyond chance; of stems that begin alike, the shortest that loses nothing. Counts cover all rows given."""
-    total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
+    words = materialise(distinct_words(rows), "words")
+    total = words.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     if not total["t"] or total["t"] == total["n"]:
         return Lexicon({})
     share = total["t"] / total["n"]
     odds = F.log((F.col("toxic") + 0.5) / (F.col("n") - F.col("toxic") + 0.5)) - math.log(share / (1 - share))
-    counts = stem_counts(rows).filter((F.col("n") >= 3) & (F.col("toxic") >= 3))
-    top = counts.filter(F.col("toxic") > F.col("n") * (1 + share) / 2).withColumn("odds", odds).orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "stem").limit(MOST_STEMS)
+    counts = stem_counts(words).filter((F.col("n") >= 3) & (F.col("toxic") >= 3))
+    top = counts.filter(F.col("toxic") >= F.col("n") * LEAST_PURITY).withColumn("odds", odds).orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "stem").limit(MOST_STEMS)
     found = [(r["stem"], r["toxic"], r["n"], r["odds"]) for r in top.collect()]
     # As many stems could have come about by chance as have three documents; their number is about that of documents.
     limit = math.log(CHANCE_STEMS / (1 + 50 * total["n"]))
