@@ -24,6 +24,8 @@ TRAIN_ROWS = 2_000
 BUCKETS = 1 << 16
 ALPHA = 0.02
 LEAST_ROWS = 5
+#: A text weighs as much as this many of its trigrams at most, so that a very long one doesn't make a language.
+TEXT_WEIGHT = 4096
 #: Trigrams overlap, so their log likelihoods count for a third.
 TEMPER = 1 / 3
 #: How far the declared language and the address suffix are believed.
@@ -57,8 +59,9 @@ class TrigramModel:
             counts = np.zeros(BUCKETS)
             for text in by_lang[lang]:
                 raw = np.frombuffer(text, dtype=np.uint8)
-                single += np.bincount(raw, minlength=256)
-                counts += np.bincount(trigrams(raw), minlength=BUCKETS)
+                share = min(1.0, TEXT_WEIGHT / len(raw))  # of the whole text
+                single += share * np.bincount(raw, minlength=256)
+                counts += share * np.bincount(trigrams(raw), minlength=BUCKETS)
             table[:, i] = np.log((counts + ALPHA) / (counts.sum() + ALPHA * BUCKETS))
         p = np.log(single / single.sum())
         # The mean over a bucket's trigrams of their product of single frequencies, by the same hash.
@@ -138,7 +141,7 @@ def likelihoods(model: TrigramModel):
 
 
 def host_priors(scored: DataFrame, langs: tuple[str, ...]) -> DataFrame:
-    """(host, priors): for every host, log priors of langs. scored: host and says (the language of the text alone, or null).
+    """(_prior_host, _priors): for every host, log priors of langs. scored: host and says (the language of the text alone, or null).
 
     A host's share is (its count + KAPPA * the parent's share) / (all its counts + KAPPA), likewise for the parent (the address's last
     label, none without a dot) over everything, and for everything over the uniform distribution.
@@ -158,7 +161,7 @@ def host_priors(scored: DataFrame, langs: tuple[str, ...]) -> DataFrame:
 
     shares = level("n", level("p", level("t", [F.lit(1.0 / len(known))] * len(known))))
     logs = [F.log(F.lit(1 - UNKNOWN_PRIOR) * q) for q in shares]
-    return joined.select(F.col("host").alias("prior_host"), F.array(*logs, F.lit(math.log(UNKNOWN_PRIOR))).alias("priors"))
+    return joined.select(F.col("host").alias("_prior_host"), F.array(*logs, F.lit(math.log(UNKNOWN_PRIOR))).alias("_priors"))
 
 
 def evidence(col: Column, langs: tuple[str, ...], true: float) -> list[Column]:
@@ -196,13 +199,13 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
     priors = materialise(host_priors(alone, model.langs), "priors")
     small = priors.count() <= BROADCAST_HOSTS
     out = docs.withColumns({"_ll": score(text), "_host": host_of}).join(
-        F.broadcast(priors) if small else priors, F.col("_host").eqNullSafe(F.col("prior_host")), "left"
+        F.broadcast(priors) if small else priors, F.col("_host").eqNullSafe(F.col("_prior_host")), "left"
     )
     told = evidence(F.col(declared), model.langs, DECLARED_TRUE) if declared else [F.lit(0.0)] * len(model.langs)
     addressed = evidence(suffix_language(F.col(suffix), model.langs), model.langs, SUFFIX_TRUE) if suffix else [F.lit(0.0)] * len(model.langs)
     flat = math.log(1 / len(model.langs))
     total = F.array(*[
-        F.coalesce(F.col("_ll")[i], F.lit(0.0)) + F.coalesce(F.col("priors")[i], F.lit(flat)) + told[i] + addressed[i]
+        F.coalesce(F.col("_ll")[i], F.lit(0.0)) + F.coalesce(F.col("_priors")[i], F.lit(flat)) + told[i] + addressed[i]
         for i in range(len(model.langs))
     ])
     shifted = F.aggregate("_total", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.array_max("_total")))
@@ -210,6 +213,6 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
         out.withColumn("_total", total)
         .withColumns({"language": best(F.col("_total")), "posterior": F.lit(1.0) / shifted})
         .withColumn("kept", F.col("_ll").isNotNull() & (F.col("language") != UNKNOWN) & (F.col("posterior") >= LEAST_POSTERIOR))
-        .drop("_ll", "_host", "_total", "prior_host", "priors")
+        .drop("_ll", "_host", "_total", "_prior_host", "_priors")
     )
 

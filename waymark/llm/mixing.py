@@ -56,14 +56,14 @@ def position_at(demand: Column, tilt: Column) -> Column:
 def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, tilts: dict[int, float] | None = None) -> DataFrame:
     """Adds size, source_size, target, taken, epochs and position (of the first copy) to every document of docs.
 
-    Needs doc_id, source and either text or size. The run ends at the source's target: the document there is taken in part, those
+    Needs doc_id, source and text (or size, where there is no text). The run ends at the source's target: the document there is taken in part, those
     after it not at all (taken 0, position null). A text that is null or blank has size 0 and is never taken. Sources
-    may be null; repeated rows take adjacent places. Columns of these names that docs already has, other than size, are replaced;
+    may be null; repeated rows take adjacent places. Columns of these names, and of the intermediate ones, are replaced;
     all other columns stay.
     """
-    made = ["order_key", "bucket", "source_size", "target", "taken", "epochs", "position", "stream_start", "weight"]
+    made = ["order_key", "bucket", "in_bucket", "o_source", "o_bucket", "bucket_start", "source_size", "target", "taken", "epochs", "position", "stream_start", "weight"]
     docs = docs.drop(*made)
-    if "size" not in docs.columns:
+    if "text" in docs.columns:
         docs = docs.withColumn("size", word_count("text"))
     keyed = docs.withColumn("order_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).withColumn(
         "bucket", F.substring("order_key", 1, BUCKET_DIGITS)
@@ -126,4 +126,4 @@ def curriculum(docs: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     copies = mixed.filter(F.col("epochs") > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
     start = (F.col("stream_start") + F.col("epoch") * F.col("source_size")).cast("double")
     copies = copies.withColumn("position", position_at(start / F.col("target"), tilt_of(F.col("weight"))))
-    return copies.select(*docs.columns, "epoch", "position").orderBy("position", "doc_id", "epoch")
+    return copies.select(*[c for c in docs.columns if c in copies.columns and c not in ("epoch", "position")], "epoch", "position").orderBy("position", "doc_id", "epoch")

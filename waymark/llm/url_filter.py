@@ -171,12 +171,12 @@ def judge(pages: DataFrame, url: str = "url", rules=RULES, globs=BLOCKED_GLOBS)
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "glob")]
     return (
         pages.select(*kept, F.translate(at(1), UPPER, LOWER).alias("host"), at(2).alias("path"))
-        .withColumn("found", found(F.concat(F.lit("."), "host", "path")))
-        .withColumns({"rule_no": F.col("found.rule_no"), "glob_no": F.col("found.glob_no")})
-        .withColumns({"rule": pick([h + p for _, h, p in rules], "rule_no"), "glob": pick(list(globs), "glob_no")})
+        .withColumn("_found", found(F.concat(F.lit("."), "host", "path")))
+        .withColumns({"_rule_no": F.col("_found.rule_no"), "_glob_no": F.col("_found.glob_no")})
+        .withColumns({"rule": pick([h + p for _, h, p in rules], "_rule_no"), "glob": pick(list(globs), "_glob_no")})
         .withColumn(
             "verdict",
-            F.coalesce(pick([v for v, _, _ in rules], "rule_no"), F.when(F.col("glob_no") >= 0, "block").otherwise("allow")),
+            F.coalesce(pick([v for v, _, _ in rules], "_rule_no"), F.when(F.col("_glob_no") >= 0, "block").otherwise("allow")),
         )
-        .drop("found", "rule_no", "glob_no")
+        .drop("_found", "_rule_no", "_glob_no")
     )
