@@ -295,3 +295,11 @@ ORACLE["resume_pending"] = view(SQL_CANDIDATES, "SELECT episode_id, step_index F
 ORACLE["latest_rows"] = view(SQL_EVENTS, "SELECT event_id, user_id, event_type, secs FROM ev QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 ORACLE["forbidden_columns"] = "SELECT event_id, event_type FROM events WHERE event_type NOT IN ('click', 'view', 'signup', 'purchase') OR event_type IS NULL"
 ORACLE["prompt_messages"] = "SELECT conv_id, md5(string_agg(role || ': ' || text, chr(10) ORDER BY turn, role, text)) AS prompt_md5, count(*) AS turns FROM conversations GROUP BY 1"
+
+ORACLE["stream_dedupe"] = "SELECT DISTINCT user_id, event_type FROM events"
+ORACLE["stream_memory"] = "SELECT user_id, count(*) AS seen, count(DISTINCT event_type || '/' || props) AS places FROM events GROUP BY 1"
+ORACLE["stream_stops"] = view(SQL_TRAJECTORY, """SELECT episode_id AS user_id, CASE WHEN s <= 50 THEN 'stagnation' ELSE 'budget' END AS reason, least(s, 50) AS steps
+FROM (SELECT episode_id, coalesce(min(step + 1) FILTER (e1 = event_type AND e2 = event_type AND e3 = event_type), 1000000) AS s, count(*) AS n FROM (
+  SELECT *, lag(event_type, 1) OVER o AS e1, lag(event_type, 2) OVER o AS e2, lag(event_type, 3) OVER o AS e3 FROM tr WINDOW o AS (PARTITION BY episode_id ORDER BY step)) GROUP BY 1)
+WHERE s <= 50 OR n >= 50""")
+ORACLE["event_windows"] = "SELECT strftime(ts, '%Y-%m-%d') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"

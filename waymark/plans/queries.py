@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numeric as N
 from ..functions import text as T
 from ..operators import history, integrity, pairs, progress, ranking, reports, sampling, training
+from ..streaming import traces
 from . import views
 
 QUERIES: dict = {}
@@ -479,3 +480,27 @@ def prompt_messages(spark, sf_dir):
     """Each conversation as one prompt, turns in order."""
     c = views.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
     return c.select("conv_id", F.md5(F.array_join(F.transform("m", lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").cast("binary")).alias("prompt_md5"), F.size("m").cast("long").alias("turns"))
+
+
+# --- streams -------------------------------------------------------------------------------------------------------
+
+
+@query
+def stream_dedupe(spark, sf_dir):
+    return traces.drain(traces.distinct_observations(traces.events(spark, sf_dir), ["user_id", "event_type"]), "dedupe")
+
+
+@query
+def stream_memory(spark, sf_dir):
+    return traces.final_memory(traces.drain(traces.memory(traces.events(spark, sf_dir)), "memory"))
+
+
+@query
+def stream_stops(spark, sf_dir):
+    return traces.drain(traces.episode_stops(traces.events(spark, sf_dir), 4, 50), "stops")
+
+
+@query
+def event_windows(spark, sf_dir):
+    rows = views.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return traces.windows(rows).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
