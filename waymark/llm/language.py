@@ -31,7 +31,7 @@ TEMPER = 1 / 3
 #: How far the declared language and the address suffix are believed.
 DECLARED_TRUE, SUFFIX_TRUE = 0.9, 0.6
 #: The language of texts that no model explains, its prior, and the weight of the level above in host priors.
-UNKNOWN, UNKNOWN_PRIOR, KAPPA = "und", 1e-3, 20.0
+UNKNOWN, UNKNOWN_PRIOR, KAPPA = "und", 1e-6, 20.0
 #: A document stays if its language is known with this posterior.
 LEAST_POSTERIOR = 0.5
 #: Hosts up to which their priors are broadcast (some tens of bytes each); beyond, a shuffled join.
@@ -48,7 +48,7 @@ class TrigramModel:
 
     @classmethod
     def fit(cls, rows: list[tuple[str, str]]) -> TrigramModel:
-        """rows: (language, text). UNKNOWN gets the product of single-byte frequencies over all languages, flattened."""
+        """rows: (language, text). UNKNOWN gets the mean of the product of single-byte frequencies over all languages and the uniform distribution."""
         by_lang: dict[str, list[bytes]] = {}
         for lang, text in rows:
             by_lang.setdefault(lang, []).append(prepared(text))
@@ -69,7 +69,7 @@ class TrigramModel:
         mass = np.zeros(BUCKETS)
         for a in range(256):
             mass += np.bincount(hashed(np.full(1, a, dtype=np.uint32), b, c), weights=np.exp(p[a] + p[b] + p[c]), minlength=BUCKETS)
-        table[:, -1] = np.log(mass + 1e-12)
+        table[:, -1] = np.log((mass + 1 / BUCKETS) / 2)
         return cls((*langs, UNKNOWN), table)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
@@ -92,9 +92,14 @@ class TrigramModel:
         return out * TEMPER
 
 
+#: Digits, punctuation and white space say nothing of a language; all are blanks.
+LETTERS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
+
+
 def prepared(text: str | None) -> bytes:
-    """Lower case, between blanks."""
-    return f" {text.lower()} ".encode("utf-8", "surrogatepass") if text else b""
+    """Lower case, words between single blanks; nothing for a text without letters."""
+    words = text.lower().encode("utf-8", "surrogatepass").translate(LETTERS).split() if text else []
+    return b" ".join([b"", *words, b""]) if words else b""
 
 
 def hashed(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -113,7 +118,7 @@ def training_rows(docs: DataFrame, text: str, declared: str, key: str) -> list[t
 
 
 def likelihoods(model: TrigramModel):
-    """A UDF from texts to arrays of tempered log likelihoods; null and empty texts get null."""
+    """A UDF from texts to arrays of tempered log likelihoods; null texts and those without letters get null."""
 
     @F.arrow_udf("array<double>")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -181,7 +186,7 @@ def suffix_language(suffix: Column, langs: tuple[str, ...]) -> Column:
 def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang", host: str | None = "source", suffix: str | None = None, key: str = "doc_id") -> DataFrame:
     """Adds language, posterior (of that language) and kept to every row of docs; columns of these names are replaced.
 
-    Empty and null texts bring no text evidence and are never kept; their language is what the other evidence says. A null host takes
+    Null texts and those without letters bring no text evidence and are never kept; their language is what the other evidence says. A null host takes
     part as a host of its own. Without any labelled row every language is ``und``. Texts are read twice (for the host priors, then for
     the result) and never shuffled; ties go to the first language by name.
     """
