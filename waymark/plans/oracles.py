@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions.text import ACTION_STOPWORDS, TOKEN_STOPWORDS
 from ..operators.progress import FACTORS, coefficients
+from ..workflow.cases import SPLITS
 from .views import SQL_CANDIDATES, SQL_EVENTS, SQL_RUNS, SQL_STRATA, SQL_TRAJECTORY, SQL_VECTORS
 
 ORACLE: dict[str, str] = {}
@@ -303,3 +304,15 @@ FROM (SELECT episode_id, coalesce(min(step + 1) FILTER (e1 = event_type AND e2 =
   SELECT *, lag(event_type, 1) OVER o AS e1, lag(event_type, 2) OVER o AS e2, lag(event_type, 3) OVER o AS e3 FROM tr WINDOW o AS (PARTITION BY episode_id ORDER BY step)) GROUP BY 1)
 WHERE s <= 50 OR n >= 50""")
 ORACLE["event_windows"] = "SELECT strftime(ts, '%Y-%m-%d') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
+
+SPEC_ROWS = ", ".join(
+    f"('{split}', '{s[0]}', {s[1]}, '{s[2]}', {str(s[3]).lower()}, '{s[4]}', '{s[5] if len(s) > 5 else 'none'}', {repeats}, {offset + k * repeats})" for split, specs, repeats, offset in SPLITS for k, s in enumerate(specs)
+)
+CASES = f"""cs AS (SELECT 'MWF11-' || replace(upper(split), '_', '-') || '-' || printf('%05d', base + v + 1) AS episode_id,
+  scope || '|n' || n || '|' || pattern || '|' || CASE WHEN store THEN 'store' ELSE 'station' END || '|' || priority || '|' || recovery AS signature,
+  split, scope, n AS n_samples, pattern, store, priority, recovery, CAST(v AS INT) AS variant, CAST(base + v + 1 AS BIGINT) AS serial
+  FROM (SELECT *, unnest(range(0, repeats)) AS v FROM (VALUES {SPEC_ROWS}) t(split, scope, n, pattern, store, priority, recovery, repeats, base)))"""
+ORACLE["workflow_cases"] = f"WITH {CASES} SELECT * FROM cs"
+ORACLE["workflow_audit"] = f"""WITH {CASES}, sp AS (SELECT DISTINCT split, signature FROM cs), sh AS (SELECT signature, count(*) AS n FROM sp GROUP BY 1)
+SELECT split, c.cases, s.signatures, s.shared FROM (SELECT split, count(*) AS cases FROM cs GROUP BY 1) c
+JOIN (SELECT split, count(*) AS signatures, count(*) FILTER (n > 1) AS shared FROM sp JOIN sh USING (signature) GROUP BY 1) s USING (split)"""

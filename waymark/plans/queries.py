@@ -9,6 +9,7 @@ from ..functions import numeric as N
 from ..functions import text as T
 from ..operators import history, integrity, pairs, progress, ranking, reports, sampling, training
 from ..streaming import traces
+from ..workflow import cases
 from . import views
 
 QUERIES: dict = {}
@@ -504,3 +505,41 @@ def stream_stops(spark, sf_dir):
 def event_windows(spark, sf_dir):
     rows = views.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return traces.windows(rows).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
+
+
+# --- workflow ------------------------------------------------------------------------------------------------------
+
+
+@query
+def workflow_cases(spark, sf_dir):
+    return cases.cases(spark)
+
+
+@query
+def workflow_plan(spark, sf_dir):
+    return cases.plans(cases.cases(spark))
+
+
+@query
+def workflow_feedback(spark, sf_dir):
+    return cases.feedback(cases.cases(spark))
+
+
+@query
+def workflow_compact_feedback(spark, sf_dir):
+    return sampling.compact_feedback(cases.feedback(cases.cases(spark)))
+
+
+@query
+def workflow_pairs(spark, sf_dir):
+    return cases.pairs(cases.cases(spark))
+
+
+@query
+def workflow_eval(spark, sf_dir):
+    return cases.summarize(cases.closed_loop(cases.cases(spark)))
+
+
+@query
+def workflow_audit(spark, sf_dir):
+    return cases.audit(cases.cases(spark))

@@ -7,18 +7,15 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as P
 
-SOURCE_STATES = P.StructType.fromDDL("episode_id string, task_family string, instruction string, step_index bigint, previous_actions array<string>, observation string, admissible_actions array<string>")
-CANDIDATES = P.StructType.fromDDL("episode_id string, split string, step_index bigint, action string, success boolean, terminal boolean, cycle_detected boolean, trace_return double, previous_actions array<string>, observation string, instruction string")
-PAIRS = P.StructType.fromDDL("source string, episode_id string, step_index bigint, positive_action string, negative_action string, positive_return double, negative_return double, weight double, features map<string,double>")
-RANKER = P.StructType.fromDDL("schema_version string, feature_names array<string>, weights array<double>, max_abs_score double")
-EPISODES = P.StructType.fromDDL(
-    "episode_id string, domain string, split string, task_family string, instruction string, steps array<struct<step_index:bigint,observation:string,action:string,environment_executable:boolean,goal_progress:boolean>>, success boolean, termination_reason string"
-)
+SOURCE_STATES = "episode_id string, task_family string, instruction string, step_index bigint, previous_actions array<string>, observation string, admissible_actions array<string>"
+CANDIDATES = "episode_id string, split string, step_index bigint, action string, success boolean, terminal boolean, cycle_detected boolean, trace_return double, previous_actions array<string>, observation string, instruction string"
+PAIRS = "source string, episode_id string, step_index bigint, positive_action string, negative_action string, positive_return double, negative_return double, weight double, features map<string,double>"
+RANKER = "schema_version string, feature_names array<string>, weights array<double>, max_abs_score double"
+EPISODES = "episode_id string, domain string, split string, task_family string, instruction string, steps array<struct<step_index:bigint,observation:string,action:string,environment_executable:boolean,goal_progress:boolean>>, success boolean, termination_reason string"
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: P.StructType, strict: bool = True) -> DataFrame:
+def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
     """Declared schema, blank lines skipped, .gz read as it is. strict: a malformed line fails the read instead of becoming nulls."""
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
 
@@ -29,7 +26,7 @@ def write_jsonl(rows: DataFrame, path: str, mode: str = "errorifexists", by: lis
     (writer.partitionBy(*by) if by else writer).json(path)
 
 
-def read_document(spark: SparkSession, path: str, schema: P.StructType | None = None) -> DataFrame:
+def read_document(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """One JSON document, over several lines."""
     reader = spark.read.option("multiLine", True)
     return (reader.schema(schema) if schema else reader).json(path)

@@ -7,12 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as P
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import shared_path
 
-EVENTS = P.StructType.fromDDL("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 #: Steps without a change of state after which an episode stops, and steps it may have at most.
 STAGNANT, BUDGET = 6, 50
 
