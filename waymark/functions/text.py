@@ -222,7 +222,7 @@ def contract_records(text: str | Column) -> Column:
 def clean_output(text: str | Column) -> Column:
     """A model's next action: without reasoning block, first line, prefix and quotes off."""
     bare = F.trim(F.regexp_replace(F.coalesce(col(text), F.lit("")), r"(?is)<think>.*?</think>", ""))
-    lines = F.filter(F.transform(F.split(bare, r"\r\n|[\n\r]"), F.trim), lambda s: s != "")
+    lines = F.filter(F.transform(F.split(bare, r"\r\n|[\n\r]"), lambda s: F.trim(s)), lambda s: s != "")
     first = F.coalesce(F.try_element_at(lines, F.lit(1)), F.lit(""))
     stripped = F.trim(F.regexp_replace(first, "^(?:" + "|".join(OUTPUT_PREFIXES) + ")", ""))
     quoted = stripped.rlike(r"""^(?:".*"|'.*')$""") & (F.length(stripped) > 1)
