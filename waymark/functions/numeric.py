@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -115,13 +117,22 @@ def has_cycle(actions: str | Column, max_len: int = 6, repeats: int = 3) -> Colu
     """Whether the actions end with ``repeats`` copies of a run of at most max_len actions."""
     if repeats < 2:
         raise ValueError("repeats must be at least 2")
-    a = col(actions)
-    out = F.lit(False)
-    for n in range(1, max_len + 1):
-        end = tail(a, n * repeats)
-        first = F.slice(end, 1, n)
-        same = F.lit(True)
-        for k in range(1, repeats):
-            same = same & (F.slice(end, k * n + 1, n) == first)
-        out = out | ((F.size(a) >= n * repeats) & same)
-    return out
+    def ends_so(a: Column) -> Column:
+        size = F.size(a)
+
+        def copies(n: Column) -> Column:
+            last = F.slice(a, size - n + 1, n)
+            same = F.lit(True)
+            for k in range(2, repeats + 1):
+                same = same & (F.slice(a, size - n * k + 1, n) == last)
+            return same
+
+        longest = F.least(F.lit(max_len), F.floor(size / repeats).cast("int"))
+        return F.when(longest > 0, F.exists(F.sequence(F.lit(1), F.greatest(longest, F.lit(1))), copies)).otherwise(F.lit(False))
+
+    return bind(col(actions), ends_so)
+
+
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once, however often f uses it."""
+    return F.transform(F.array(value), f)[0]

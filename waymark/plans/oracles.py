@@ -316,3 +316,18 @@ ORACLE["workflow_cases"] = f"WITH {CASES} SELECT * FROM cs"
 ORACLE["workflow_audit"] = f"""WITH {CASES}, sp AS (SELECT DISTINCT split, signature FROM cs), sh AS (SELECT signature, count(*) AS n FROM sp GROUP BY 1)
 SELECT split, c.cases, s.signatures, s.shared FROM (SELECT split, count(*) AS cases FROM cs GROUP BY 1) c
 JOIN (SELECT split, count(*) AS signatures, count(*) FILTER (n > 1) AS shared FROM sp JOIN sh USING (signature) GROUP BY 1) s USING (split)"""
+
+PHASE = r"""CASE WHEN g_light THEN CASE WHEN lamp_used AND examined_goal THEN 'complete' WHEN lamp_used THEN 'examine' ELSE 'illuminate' END
+  WHEN placed_distinct >= g_count THEN 'complete' WHEN hold THEN CASE WHEN g_treat <> '' AND NOT treatment_done THEN 'treat' ELSE 'deliver' END ELSE 'acquire' END"""
+ORACLE["router_context"] = view(SQL_TRAJECTORY, "SELECT episode_id, step, " + ", ".join([
+    "least(g_count, 6) / 6.0::DOUBLE AS required_count_scaled", "CAST(g_count > 1 AS DOUBLE) AS repeated_goal", "CAST(g_count > 1 AND pl > 0 AND pl < g_count AS DOUBLE) AS partial_repeated_goal",
+    "CAST(pl AS DOUBLE) / g_count AS placed_fraction", "CAST(g_count - pl AS DOUBLE) / g_count AS remaining_fraction", "least(step, 30) / 30.0::DOUBLE AS history_fraction", "CAST(hold AS DOUBLE) AS holding_goal_object",
+    "CAST(g_treat <> '' AS DOUBLE) AS treatment_required", "CAST(hold AND g_treat <> '' AND treatment_done AS DOUBLE) AS held_treatment_complete", "CAST(g_light AS DOUBLE) AS needs_light", "CAST(lamp_used AS DOUBLE) AS lamp_used",
+    *[f"CAST(ph = '{p}' AS DOUBLE) AS phase_{p}" for p in ("acquire", "treat", "deliver", "illuminate", "examine", "complete")],
+    "CAST(coalesce(a1 = a2, false) AS DOUBLE) AS immediate_repeat", "CAST(coalesce(a1 = a3 AND a2 = a4, false) AS DOUBLE) AS period_two_cycle",
+]) + " FROM ro", *HISTORY,
+    r"""hl AS (SELECT *, least(g_count, placed_distinct) AS pl, coalesce(regexp_replace(held_object, '\s+\d+$', '') = g_obj, false) AND g_obj <> '' AS hold,
+  lag(action, 1) OVER o AS a1, lag(action, 2) OVER o AS a2, lag(action, 3) OVER o AS a3, lag(action, 4) OVER o AS a4 FROM an WINDOW o AS (PARTITION BY episode_id ORDER BY step))""",
+    f"ro AS (SELECT *, {PHASE} AS ph FROM hl)")
+ORACLE["tool_prior"] = view(SQL_TRAJECTORY, r"""SELECT place, round(CAST(n AS DOUBLE) / max(n) OVER (), 9) AS score
+FROM (SELECT regexp_replace(current_location, '\s+\d+$', '') AS place, count(*) AS n FROM an WHERE action LIKE 'use desklamp%' AND current_location IS NOT NULL GROUP BY 1)""", *HISTORY)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as T
-from ..operators import history, integrity, pairs, progress, ranking, reports, sampling, training
+from ..operators import features, history, integrity, pairs, progress, ranking, reports, sampling, training
 from ..streaming import traces
 from ..workflow import cases
 from . import views
@@ -543,3 +543,63 @@ def workflow_eval(spark, sf_dir):
 @query
 def workflow_audit(spark, sf_dir):
     return cases.audit(cases.cases(spark))
+
+
+# --- features ------------------------------------------------------------------------------------------------------
+
+
+@query
+def effect_features_long(spark, sf_dir):
+    t = features.transition(features.entity_state(views.trajectory(spark, sf_dir)))
+    return t.select("episode_id", "step", F.explode(features.effect_features(t)).alias("feature", "value"))
+
+
+@query
+def lexical_features_long(spark, sf_dir):
+    t = features.transition(features.entity_state(views.trajectory(spark, sf_dir)))
+    return t.select("episode_id", "step", F.explode(features.lexical_features()).alias("feature", "value")).withColumn("value", F.round("value", 9))
+
+
+@query
+def semantic_features_long(spark, sf_dir):
+    t = features.transition(features.entity_state(views.trajectory(spark, sf_dir)))
+    return t.select("episode_id", "step", F.explode(features.semantic_features()).alias("feature", "value"))
+
+
+@query
+def feature_vocabulary(spark, sf_dir):
+    long = features.featurise(views.trajectory(spark, sf_dir)).select(F.explode("features").alias("feature", "value"))
+    return long.groupBy("feature", T.feature_group("feature").alias("feature_group")).agg(F.count("*").alias("n"))
+
+
+@query
+def hashed_features(spark, sf_dir):
+    return features.hashed(features.featurise(views.trajectory(spark, sf_dir)), ["episode_id", "step"], 1024).groupBy("bucket").agg(F.round(F.sum("value"), 6).alias("value"))
+
+
+@query
+def router_context(spark, sf_dir):
+    return features.router_context(history.with_examined(_annotated(spark, sf_dir)))
+
+
+@query
+def tool_prior(spark, sf_dir):
+    return features.tool_prior(_annotated(spark, sf_dir)).withColumn("score", F.round("score", 9))
+
+
+@query
+def action_similarity(spark, sf_dir):
+    """Every action against the one before it in its episode."""
+    w = Window.partitionBy("episode_id").orderBy("step")
+    t = views.trajectory(spark, sf_dir).withColumn("was", F.lag("action").over(w)).filter(F.col("was").isNotNull())
+    return t.select("episode_id", "step", F.round(features.similarity()("was", "action"), 9).alias("similarity"))
+
+
+@query
+def observable_candidates(spark, sf_dir):
+    """The episode's action vocabulary at every step, without those that would go round in a cycle."""
+    w = Window.partitionBy("episode_id").orderBy("step")
+    t = views.trajectory(spark, sf_dir)
+    vocabulary = t.groupBy("episode_id").agg(F.array_sort(F.collect_set("action")).alias("c"))
+    recent = t.select("episode_id", "step", F.collect_list("action").over(w.rowsBetween(-24, -1)).alias("h"))
+    return recent.join(vocabulary, "episode_id").select("episode_id", "step", F.size("c").cast("long").alias("n"), F.size(features.observable_filter("c", "h")).cast("long").alias("kept"))
