@@ -211,8 +211,7 @@ def tool_prior(annotated: DataFrame, tool: str = "use desklamp") -> DataFrame:
     """(place, score): where the tool is used, by counts divided by the largest."""
     used = annotated.filter(F.col("norm").startswith(tool) & F.col("current_location").isNotNull())
     counts = used.groupBy(T.entity_base("current_location").alias("place")).agg(F.count("*").alias("n"))
-    top = counts.agg(F.max("n").alias("top"))  # one row
-    return counts.crossJoin(F.broadcast(top)).select("place", (F.col("n") / F.col("top")).alias("score"))
+    return counts.select("place", (F.col("n") / F.max("n").over(Window.partitionBy())).alias("score"))  # a row a place
 
 
 def router_context(rows: DataFrame, max_steps: int = 30) -> DataFrame:
@@ -338,19 +337,32 @@ def similarity() -> Column:
     return score
 
 
+#: Names whose buckets a Python worker remembers; it forgets them all beyond.
+REMEMBERED = 200_000
+_buckets: dict[tuple[str, int], int] = {}
+
+
+def bucket_of(name: str, dimension: int) -> int:
+    """The first eight bytes of BLAKE2b, little-endian, modulo the dimension."""
+    if (name, dimension) not in _buckets:
+        if len(_buckets) >= REMEMBERED:
+            _buckets.clear()
+        _buckets[name, dimension] = int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "little") % dimension
+    return _buckets[name, dimension]
+
+
 def bucket(dimension: int) -> Column:
-    """A UDF from feature names to buckets: the first eight bytes of BLAKE2b, little-endian, modulo the dimension."""
+    """A UDF from feature names to buckets."""
 
     @F.arrow_udf("long")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for names in batches:
-            yield pa.array([None if n is None else int.from_bytes(hashlib.blake2b(n.encode(), digest_size=8).digest(), "little") % dimension for n in names.to_pylist()], type=pa.int64())
+            yield pa.array([None if n is None else bucket_of(n, dimension) for n in names.to_pylist()], type=pa.int64())
 
     return of
 
 
 def hashed(rows: DataFrame, keys: list[str], dimension: int = 4096) -> DataFrame:
-    """(keys, bucket, value): features summed by bucket. Names are hashed once each, not once a row."""
-    long = rows.select(*keys, F.explode("features").alias("feature", "value"))
-    names = long.select("feature").distinct().withColumn("bucket", bucket(dimension)("feature"))
-    return long.join(names, "feature").groupBy(*keys, "bucket").agg(F.sum("value").alias("value"))
+    """(keys, bucket, value): features summed by bucket."""
+    long = rows.select(*keys, F.explode("features").alias("feature", "value")).withColumn("bucket", bucket(dimension)("feature"))
+    return long.groupBy(*keys, "bucket").agg(F.sum("value").alias("value"))

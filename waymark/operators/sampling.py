@@ -15,23 +15,32 @@ def _text_hash(key: Column) -> Column:
     return F.sha2(key.cast("binary"), 256)
 
 
-def budget(states: DataFrame, percent: int, seed: int = SEED, family: str = "family", key: str = "key") -> DataFrame:
-    """States of each family with the lowest hashes: percent of them, half to even, one at least. Smaller budgets nest in larger ones.
+def hash_ranks(states: DataFrame, seed: int = SEED, family: str = "family", key: str = "key") -> DataFrame:
+    """Adds rank (from 1, by hash) and total of each state's family.
 
     A family may hold most of all states, so ranks come from two levels: hash buckets are counted first, then rows are ranked within their bucket.
     """
-    if percent not in (25, 50, 75, 100):
-        raise ValueError("percent must be 25, 50, 75 or 100")
     hashed = states.withColumn("h", _text_hash(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))).withColumn("b", F.substring("h", 1, 2))
     counts = hashed.groupBy(family, "b").agg(F.count("*").alias("n"))
     sofar = Window.partitionBy(family).orderBy("b")
     counts = counts.withColumns({"before": F.sum("n").over(sofar) - F.col("n"), "total": F.sum("n").over(Window.partitionBy(family))})
-    take = F.greatest(F.lit(1), F.bround(F.col("total") * percent / 100)).cast("long")
-    counts = counts.select(F.col(family).alias("c_family"), F.col("b").alias("c_b"), "before", take.alias("take")).filter(F.col("before") < F.col("take"))
+    counts = counts.select(F.col(family).alias("c_family"), F.col("b").alias("c_b"), "before", "total")
     within = Window.partitionBy(family, "b").orderBy("h", key)
-    joined = hashed.join(counts, F.col(family).eqNullSafe(F.col("c_family")) & (F.col("b") == F.col("c_b")))
-    ranked = joined.withColumn("r", F.row_number().over(within)).filter(F.col("r") + F.col("before") <= F.col("take"))
-    return ranked.drop("h", "b", "c_family", "c_b", "before", "take", "r")
+    ranked = hashed.withColumn("r", F.row_number().over(within)).join(counts, F.col(family).eqNullSafe(F.col("c_family")) & (F.col("b") == F.col("c_b")))
+    return ranked.withColumn("rank", F.col("r") + F.col("before")).drop("h", "b", "c_family", "c_b", "before", "r")
+
+
+def within_budget(percent: int) -> Column:
+    """Whether a ranked state is among percent of its family: half to even, one at least. Smaller budgets nest in larger ones."""
+    if percent not in (25, 50, 75, 100):
+        raise ValueError("percent must be 25, 50, 75 or 100")
+    return F.col("rank") <= F.greatest(F.lit(1), F.bround(F.col("total") * percent / 100))
+
+
+def budget(states: DataFrame, percent: int, seed: int = SEED, family: str = "family", key: str = "key") -> DataFrame:
+    """States of each family with the lowest hashes: percent of them."""
+    chosen = within_budget(percent)
+    return hash_ranks(states, seed, family, key).filter(chosen).drop("rank", "total")
 
 
 def balanced_take(rows: DataFrame, group: str, key: str, n: int) -> DataFrame:

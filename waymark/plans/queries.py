@@ -216,10 +216,8 @@ def factor_groups(spark, sf_dir):
 @query
 def factor_ablation(spark, sf_dir):
     """Scores with all groups, and without entity binding and cycle avoidance."""
-    b = progress.basis(_annotated(spark, sf_dir))
-    full = progress.score(b).select("episode_id", "step", F.round("score", 6).alias("score"))
-    cut = progress.score(b, disabled=("entity_binding", "cycle_avoidance")).select("episode_id", "step", F.round("score", 6).alias("without"))
-    return full.join(cut, ["episode_id", "step"])
+    full, cut = progress.score_of(), progress.score_of(disabled=("entity_binding", "cycle_avoidance"))
+    return progress.basis(_annotated(spark, sf_dir)).select("episode_id", "step", F.round(full, 6).alias("score"), F.round(cut, 6).alias("without"))
 
 
 # --- sampling ------------------------------------------------------------------------------------------------------
@@ -239,10 +237,10 @@ budget_states_25, budget_states_50, budget_states_75 = map(_budget, (25, 50, 75)
 @query
 def budget_nesting(spark, sf_dir):
     """Sizes by family of the three budgets, and how many states of a smaller one the next lacks (none)."""
-    s = views.strata(spark, sf_dir).select("family", "key")
-    own = [sampling.budget(s, p).withColumn(f"b{p}", F.lit(1)) for p in (25, 50, 75)]
-    joined = own[2].join(own[1], ["family", "key"], "full_outer").join(own[0], ["family", "key"], "full_outer")
-    return joined.groupBy("family").agg(*[F.count(f"b{p}").alias(f"n{p}") for p in (25, 50, 75)], F.count_if(F.col("b25").isNotNull() & F.col("b50").isNull()).alias("lost25"), F.count_if(F.col("b50").isNotNull() & F.col("b75").isNull()).alias("lost50"))
+    ranked = sampling.hash_ranks(views.strata(spark, sf_dir).select("family", "key"))
+    inside = {p: sampling.within_budget(p) for p in (25, 50, 75)}
+    lost = lambda small, large: F.count_if(inside[small] & ~inside[large]).alias(f"lost{small}")
+    return ranked.groupBy("family").agg(*[F.count_if(c).alias(f"n{p}") for p, c in inside.items()], lost(25, 50), lost(50, 75))
 
 
 @query

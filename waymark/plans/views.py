@@ -43,10 +43,11 @@ def trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("event_type") == "purchase", F.concat(F.lit("move mug "), k(9), F.lit(" to desk "), k(3)))
         .otherwise("use desklamp 1")
     )
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    goals = F.element_at(F.array(*map(F.lit, GOALS)), (F.pmod(F.col("user_id"), F.lit(len(GOALS))) + 1).cast("int"))
-    return events(spark, sf_dir).select(
-        F.col("user_id").alias("episode_id"), (F.row_number().over(order) - 1).cast("long").alias("step"), "event_id", "event_type", "value", "k",
+    # Renamed before the window, so that later windows by episode find its partitioning.
+    order = Window.partitionBy("episode_id").orderBy("ts", "event_id")
+    goals = F.element_at(F.array(*map(F.lit, GOALS)), (F.pmod(F.col("episode_id"), F.lit(len(GOALS))) + 1).cast("int"))
+    return events(spark, sf_dir).withColumnRenamed("user_id", "episode_id").select(
+        "episode_id", (F.row_number().over(order) - 1).cast("long").alias("step"), "event_id", "event_type", "value", "k",
         action.alias("action"), goals.alias("instruction"),
         F.concat(F.lit("You arrive at shelf "), k(7), F.lit(". You see mug "), k(9), F.lit(".")).alias("observation"),
     )
