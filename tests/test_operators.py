@@ -181,3 +181,35 @@ def test_workflow_contracts(spark):
 def test_workflow_background_expires():
     s = lab.new_state({}, background=0)
     assert lab.background_valid(s | {"minute": 120}) and not lab.background_valid(s | {"minute": 121})
+
+
+def test_workflow_roles():
+    from waymark.workflow import roles as R
+
+    s = lab.new_state({"V1": lab.sample((1, 3), "ATR", 1)})
+    goal = {"store": False, "order": ["V1"]}
+    after = lab.attempt(s, ("move_agv_to_shelf", ""))[1]
+    own = R.roles(s, goal, ("move_agv_to_shelf", ""), after, [])
+    # Loading becomes legal and is progress; the move itself changes nothing of the sample.
+    assert own == {"goal_completion": 0, "lifecycle_progress": 0, "readiness_progress": pytest.approx(1 / 3), "entity_priority_binding": 0, "prerequisite_violation": 0, "cycle_execution_cost": 0.2}
+    assert R.score(own, progress.scales()) == pytest.approx(1.25 / 3 - 0.2)
+    assert R.roles(s, goal, ("move_agv_to_shelf", ""), after, [("move_agv_to_shelf", "")])["cycle_execution_cost"] == 1.2
+    loaded = lab.attempt(after, ("load_raw_from_shelf", "V1"))[1]
+    own = R.roles(after, goal, ("load_raw_from_shelf", "V1"), loaded, [])
+    assert own["lifecycle_progress"] == 0.5 and own["entity_priority_binding"] == 1
+    idle = lab.attempt(s, ("select_protocol", "REFLECT"))[1]
+    assert R.roles(s, goal, ("select_protocol", "REFLECT"), idle, [], neutral_is_risk=True)["prerequisite_violation"] == 1
+    f = R.features(after, goal, ("load_raw_from_shelf", "V1"), loaded, own)
+    assert f["candidate:binds_active"] == f["candidate:is_next_unsatisfied"] == f["delta:samples.<sample>.place"] == f["skill:load_raw_from_shelf"] == 1 and 0 not in f.values()
+    with pytest.raises(ValueError):
+        R.score({}, progress.scales())
+
+
+def test_closed_loop_with_and_without_actor():
+    from types import SimpleNamespace
+
+    row = SimpleNamespace(episode_id="e", split="s", scope="full_cycle", n_samples=1, pattern="front", store=True, priority="single", recovery="none", variant=0, serial=1)
+    (done,) = cases.run_closed(row)
+    assert done[3] and done[6] == "goal"
+    (alone,) = cases.run_closed(row, actor=0.0)
+    assert alone[4] <= 50

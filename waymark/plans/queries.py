@@ -538,6 +538,13 @@ def workflow_eval(spark, sf_dir):
     return cases.summarize(cases.closed_loop(cases.cases(spark)))
 
 
+@query
+def workflow_candidate_features(spark, sf_dir):
+    """How often each candidate feature occurs, and its mean."""
+    long = cases.candidate_features(cases.cases(spark))
+    return long.groupBy("feature").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
 @query
 def workflow_audit(spark, sf_dir):
     return cases.audit(cases.cases(spark))

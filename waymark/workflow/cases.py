@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.progress import scales
 from . import lab
+from . import roles as R
 
 # Scope, samples, sites, whether samples are stored, which comes first, recovery.
 TRAIN = (
@@ -141,42 +143,56 @@ def pairs(rows: DataFrame) -> DataFrame:
     return best_against_worse(legal)
 
 
-def roles(s: lab.State, goal: dict, after: lab.State) -> dict[str, float]:
-    """Structural evidence for a transition: goal progress, stage order, prerequisites, what it enables, idleness and repetition of setup."""
-    score = lambda x: sum(len(set(v["measured"]) & set(v["sites"])) + 2 * v["saved"] + 2 * v["verified"] + {"RAW": 0, "PREPARED": 2, "CHARACTERIZED": 4}[v["stage"]] for v in x["samples"].values())
-    legal = lambda x: sum(not lab.attempt(x, a)[0] for a in lab.actions(x))
-    done = lambda x: sum(lab.satisfied(x, goal, i) for i in goal["order"])
-    return {
-        "predicate_progress": float(score(after) - score(s)), "goal_progress": float(done(after) - done(s)), "enabled": (legal(after) - legal(s)) / 10,
-        "idle": -float(lab.unchanged(s, after)), "undone": -float(score(after) < score(s)), "complete": float(lab.complete(after, goal)),
-    }
+def scored(s: lab.State, goal: dict, history: list[lab.Action]) -> list[tuple[lab.Action, lab.State, dict[str, float], float]]:
+    """(action, successor, roles, structural score) of every legal action."""
+    options, scale = R.legal(s), scales()
+    found = [(a, after, R.roles(s, goal, a, after, history, set(options))) for a, after in options.items()]
+    return [(a, after, own, R.score(own, scale)) for a, after, own in found]
 
 
-def run_closed(row, budget: int = 50, stagnant: int = 6, weight: float = 1.0) -> Iterator[tuple]:
-    """Runs a case with the structural score plus the planner's one-step preference as actor; stops at the goal, the budget, a cycle or stagnation."""
+def featured(row, every: int = 6) -> Iterator[tuple]:
+    """Features of every legal candidate at up to ``every`` evenly spaced states of the plan, in long form."""
     state, goal = start(row)
-    steps, idle, cost, seen, reason = 0, 0, 0.0, set(), "budget"
-    while steps < budget:
+    _, done, states = lab.plan(state, goal)
+    for at in list(dict.fromkeys(round(k * (len(done) - 1) / (every - 1)) for k in range(every))) if done else []:
+        for action, after, own, value in scored(states[at], goal, done[:at]):
+            for name, x in {**R.features(states[at], goal, action, after, own), "structural": value}.items():
+                yield row.episode_id, at, f"{action[0]}({action[1]})", name, float(x)
+
+
+FEATURES = "episode_id string, step_index long, action string, feature string, value double"
+
+
+def candidate_features(rows: DataFrame) -> DataFrame:
+    return per_case(featured, FEATURES)(rows)
+
+
+def run_closed(row, budget: int = 50, stagnant: int = 6, actor: float = 1.0) -> Iterator[tuple]:
+    """Runs a case by fused scores: a stand-in actor that prefers the planner's action, plus the structural score scaled within the state.
+
+    Stops at the goal, the budget, without legal actions, or after ``stagnant`` actions in a row that change nothing but the clock. Ties go to the largest action text.
+    """
+    state, goal = start(row)
+    history: list[lab.Action] = []
+    idle, cost, reason = 0, 0.0, "budget"
+    while len(history) < budget:
         if lab.complete(state, goal):
             reason = "goal"
             break
-        wish = lab.next_action(state, goal)
-        options = [(a, r[1]) for a in lab.actions(state) if not (r := lab.attempt(state, a))[0]]
-        scored = [(float(a == wish) * 2 + weight * sum(roles(state, goal, after).values()), f"{a[0]}({a[1]})", a, after) for a, after in options]
-        if not scored:
-            reason = "stuck"
+        options = scored(state, goal, history)
+        if not options or idle >= stagnant:
+            reason = "stagnation" if options else "stuck"
             break
-        _, _, chosen, after = max(scored, key=lambda x: x[:2])
+        wish, top = lab.next_action(state, goal), max(abs(x[3]) for x in options)
+        fused = lambda x: actor * (x[0] == wish) + (R.STRUCTURAL_WEIGHT * x[3] / top if top >= 1e-8 else 0.0)  # noqa: B023, E731
+        chosen, after, _, _ = max(options, key=lambda x: (fused(x), x[0]))
         idle = idle + 1 if lab.unchanged(state, after) else 0
         cost += lab.SKILLS[chosen[0]].cost
-        steps += 1
-        key = repr({k: v for k, v in after.items() if k != "minute"})
-        if key in seen and idle >= stagnant:
-            reason = "stagnation"
-            break
-        seen.add(key)
+        history.append(chosen)
         state = after
-    yield row.episode_id, row.split, row.scope, reason == "goal", steps, cost, reason
+    if lab.complete(state, goal):
+        reason = "goal"
+    yield row.episode_id, row.split, row.scope, reason == "goal", len(history), cost, reason
 
 
 RESULT = "episode_id string, split string, scope string, success boolean, steps long, cost double, reason string"
