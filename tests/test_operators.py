@@ -213,3 +213,13 @@ def test_closed_loop_with_and_without_actor():
     assert done[3] and done[6] == "goal"
     (alone,) = cases.run_closed(row, actor=0.0)
     assert alone[4] <= 50
+
+
+def test_legacy_descriptors():
+    d = progress.descriptors
+    assert d("goal_token_exact")["evidence_strength"] == 3 and d("entity_match")["binding_strength"] == 3 and d("visible_target_take")["binding_strength"] == 2
+    assert d("delivery_navigation_ready")["ready_navigation"] == 1 and d("treatment_navigation_unheld")["unready_navigation"] == 1 and d("treatment_navigation_held")["ready_navigation"] == 1
+    assert d("light_repeat")["workflow_depth"] == 2 and d("light_repeat")["regression_severity"] == 2 and d("premature_delivery")["regression_severity"] == 3
+    assert d("multi_object_delivery")["multiplicity"] == 2 and d("multi_object_acquisition")["multiplicity"] == 1 and d("light_examine_ready")["terminal_effect"] == 1
+    own = progress.legacy_coefficients({"bias": 1.0, "evidence_strength": 0.5})
+    assert own["goal_token_exact"] == 2.5 and own["recent_repeat"] == -1.0 and progress.legacy_coefficients({})["entity_match"] == 0.05

@@ -59,3 +59,28 @@ def linear_score(features: DataFrame, key: list[str], weight: str, bound: float
 def routed(score_a: Column, score_b: Column, condition: Column) -> Column:
     """Rule router between two value models."""
     return F.when(condition, score_a).otherwise(score_b)
+
+
+def mixture(scores: list[Column], logits: list[Column], temperature: float = 1.0, top_k: int | None = None) -> Column:
+    """A learned router: scores weighted by the softmax of logits; with top_k only the largest weights count, renormalised, ties to the first."""
+    top = F.greatest(*logits) if len(logits) > 1 else logits[0]
+    shares = [F.exp((x - top) / F.lit(temperature)) for x in logits]
+    if top_k is not None:
+        ahead = [sum((((y > x) | (y == x) & F.lit(j < i)).cast("int") for j, y in enumerate(logits) if j != i), F.lit(0)) for i, x in enumerate(logits)]
+        shares = [F.when(a < max(1, top_k), s).otherwise(0.0) for a, s in zip(ahead, shares, strict=True)]
+    total = sum(shares[1:], shares[0])
+    return sum((s / total * x for s, x in zip(shares[1:], scores[1:], strict=True)), shares[0] / total * scores[0])
+
+
+def ensemble(scores: dict[str, Column], weights: dict[str, float]) -> Column:
+    """Weighted sum of value models; models of weight 0 aren't planned at all."""
+    used = [F.lit(w) * scores[name] for name, w in weights.items() if w != 0]
+    return sum(used[1:], used[0]) if used else F.lit(0.0)
+
+
+def by_phase(phase: Column, scores: dict[str, Column], weights: dict[str, dict[str, float]], default: dict[str, float]) -> Column:
+    """An ensemble whose weights depend on the phase label."""
+    out = ensemble(scores, default)
+    for label, own in weights.items():
+        out = F.when(phase == label, ensemble(scores, own)).otherwise(out)
+    return out

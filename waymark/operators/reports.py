@@ -111,3 +111,31 @@ def step_summary(rows: DataFrame, value: str) -> DataFrame:
         F.min(value).alias("minimum"), F.percentile(value, F.lit(0.5)).alias("median"),
         F.expr(f"-percentile_disc(0.5) WITHIN GROUP (ORDER BY -`{value}`)").alias("upper_median"), F.round(F.avg(value), 3).alias("mean"), F.max(value).alias("maximum"), n.alias("rows")
     )
+
+
+def exact_match(results: DataFrame, fields: list[str]) -> DataFrame:
+    """(field, value, total, correct, mean_latency): overall (field and value null) and by each field, in one pass over (exact_match, latency_sec, fields)."""
+    keys = [F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value"))]
+    keys += [F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields]
+    long = results.select("exact_match", "latency_sec", F.explode(F.array(*keys)).alias("k"))
+    return long.groupBy("k.field", "k.value").agg(F.count("*").alias("total"), F.count_if("exact_match").alias("correct"), F.avg(F.coalesce("latency_sec", F.lit(0.0))).alias("mean_latency"))
+
+
+def collection(branches: DataFrame) -> DataFrame:
+    """One row: branches, states, successes, failures, cycles."""
+    return branches.agg(
+        F.count("*").alias("branch_count"), F.count_distinct("episode_id", "step_index").alias("state_count"), F.count_if("success").alias("success_count"),
+        F.count_if(~F.coalesce("success", F.lit(False))).alias("failure_count"), F.count_if("cycle_detected").alias("cycle_count"),
+    )
+
+
+def coverage(rows: DataFrame, split: str, key: str, base: str) -> DataFrame:
+    """(split, keys, unseen, covered): how many keys a split has, how many of them the base split lacks, and whether it lacks none.
+
+    Keys are counted once each before splits meet, so no set is collected.
+    """
+    each = rows.select(F.col(split).alias("split"), F.col(key).alias("k")).distinct()
+    known = each.filter(F.col("split") == base).select("k", F.lit(1).alias("known"))
+    joined = each.join(known, each["k"].eqNullSafe(known["k"]), "left").select("split", "known")
+    found = joined.groupBy("split").agg(F.count("*").alias("keys"), F.count_if(F.col("known").isNull()).alias("unseen"))
+    return found.withColumn("covered", F.col("unseen") == 0)

@@ -331,3 +331,14 @@ ORACLE["router_context"] = view(SQL_TRAJECTORY, "SELECT episode_id, step, " + ",
     f"ro AS (SELECT *, {PHASE} AS ph FROM hl)")
 ORACLE["tool_prior"] = view(SQL_TRAJECTORY, r"""SELECT place, round(CAST(n AS DOUBLE) / max(n) OVER (), 9) AS score
 FROM (SELECT regexp_replace(current_location, '\s+\d+$', '') AS place, count(*) AS n FROM an WHERE action LIKE 'use desklamp%' AND current_location IS NOT NULL GROUP BY 1)""", *HISTORY)
+
+ORACLE["exact_match"] = """WITH r AS (SELECT quality = 1 AS ok, n_chars / 1000.0::DOUBLE AS s, lang, source FROM labels JOIN documents USING (doc_id))
+SELECT CASE WHEN grouping(lang) = 0 THEN 'lang' WHEN grouping(source) = 0 THEN 'source' END AS field, coalesce(lang, source) AS value, count(*) AS total, count(*) FILTER (ok) AS correct, round(avg(s), 6) AS mean_latency
+FROM r GROUP BY GROUPING SETS ((), (lang), (source))"""
+ORACLE["collection_report"] = view(SQL_CANDIDATES, """SELECT count(*) AS branch_count, count(DISTINCT (episode_id, step_index)) AS state_count, count(*) FILTER (success) AS success_count,
+  count(*) FILTER (NOT success) AS failure_count, count(*) FILTER (k % 5 = 0) AS cycle_count FROM ca""")
+ORACLE["vocabulary_coverage"] = """WITH e AS (SELECT DISTINCT l_returnflag AS split, l_partkey AS k FROM lineitem)
+SELECT split, count(*) AS keys, count(*) FILTER (k NOT IN (SELECT k FROM e WHERE split = 'A')) AS unseen, count(*) FILTER (k NOT IN (SELECT k FROM e WHERE split = 'A')) = 0 AS covered FROM e GROUP BY 1"""
+ORACLE["routed_scores"] = view(SQL_CANDIDATES, """SELECT event_id, round((exp(b - greatest(a, b)) * a + exp(a - greatest(a, b)) * b) / (exp(b - greatest(a, b)) + exp(a - greatest(a, b))), 6) AS soft,
+  round(CASE WHEN a > b THEN b ELSE a END, 6) AS hard, round(0.25::DOUBLE * a + 0.75::DOUBLE * b, 6) AS both
+FROM (SELECT event_id, trace_return / 100 AS a, CAST(k AS DOUBLE) / 100 AS b FROM ca)""")

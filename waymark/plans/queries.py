@@ -608,3 +608,35 @@ def observable_candidates(spark, sf_dir):
     vocabulary = t.groupBy("episode_id").agg(F.array_sort(F.collect_set("action")).alias("c"))
     recent = t.select("episode_id", "step", F.collect_list("action").over(w.rowsBetween(-24, -1)).alias("h"))
     return recent.join(vocabulary, "episode_id").select("episode_id", "step", F.size("c").cast("long").alias("n"), F.size(features.observable_filter("c", "h")).cast("long").alias("kept"))
+
+
+# --- further reports -----------------------------------------------------------------------------------------------
+
+
+@query
+def exact_match(spark, sf_dir):
+    """Labels as matches, by source and language of their documents."""
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    rows = views.table(spark, sf_dir, "labels").join(docs, "doc_id").select((F.col("quality") == 1).alias("exact_match"), (F.col("n_chars") / 1000).alias("latency_sec"), "lang", "source")
+    return reports.exact_match(rows, ["lang", "source"]).withColumn("mean_latency", F.round("mean_latency", 6))
+
+
+@query
+def collection_report(spark, sf_dir):
+    return reports.collection(views.candidates(spark, sf_dir).withColumn("cycle_detected", F.col("k") % 5 == 0))
+
+
+@query
+def vocabulary_coverage(spark, sf_dir):
+    """Parts by return flag of their lines, against those of flag A."""
+    return reports.coverage(views.table(spark, sf_dir, "lineitem"), "l_returnflag", "l_partkey", "A")
+
+
+@query
+def routed_scores(spark, sf_dir):
+    """Two value models under a softmax router and a top-1 router, and an ensemble."""
+    c = views.candidates(spark, sf_dir).withColumns({"a": F.col("trace_return") / 100, "b": F.col("k").cast("double") / 100})
+    soft = ranking.mixture([F.col("a"), F.col("b")], [F.col("b"), F.col("a")])
+    hard = ranking.mixture([F.col("a"), F.col("b")], [F.col("b"), F.col("a")], top_k=1)
+    both = ranking.ensemble({"a": F.col("a"), "b": F.col("b")}, {"a": 0.25, "b": 0.75})
+    return c.select("event_id", *[F.round(x, 6).alias(n) for n, x in (("soft", soft), ("hard", hard), ("both", both))])
