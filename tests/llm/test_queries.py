@@ -1,0 +1,119 @@
+"""The registered queries against brute force (or SQL) over the smallest driver tables."""
+
+import hashlib
+import os
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+import __spark_entry__
+from waymark.llm import queries as Q
+
+DATA = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="driver tables absent")
+
+
+@pytest.fixture(scope="module")
+def rows():
+    con = duckdb.connect()
+    return lambda table: con.execute(f"SELECT * FROM read_parquet('{DATA}/{table}.parquet')").fetchall()
+
+
+def run(spark, name):
+    return __spark_entry__.queries()[name](spark, DATA)
+
+
+def test_all_are_registered():
+    names = [n for n in __spark_entry__.queries() if re.match(r"op\d+_", n)]
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in __spark_entry__.queries()
+
+
+@pytest.mark.parametrize("name", sorted(Q.ORACLE))
+def test_equals_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{DATA}/{table}.parquet')")
+    df = run(spark, name)
+    found = con.execute(Q.ORACLE[name])
+    names = [d[0] for d in found.description]
+    assert sorted(names) == sorted(df.columns)
+    plain = lambda r, cols: tuple(f"{v:.9g}" if isinstance(v, float) else str(v) for v in (r[c] for c in cols))
+    cols = sorted(names)
+    assert sorted(plain(r, cols) for r in df.collect()) == sorted(plain(dict(zip(names, r, strict=True)), cols) for r in found.fetchall())
+
+
+def test_op5(spark, rows):
+    t, start, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0, {}
+    for doc, text, *_ in sorted(rows("documents")):
+        ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
+        want[doc] = (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in run(spark, "op5_token_files").collect()} == want
+
+
+def test_op6(spark, rows):
+    got = {r["doc_id"]: r for r in run(spark, "op6_toxicity").collect()}
+    assert set(got) == {r[0] for r in rows("documents")}
+    for doc, r in got.items():
+        assert r["held_out"] == (zlib.crc32(str(doc).encode()) % 4 == 2) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3)
+
+
+def test_op7(spark, rows):
+    got = {r["doc_id"]: r for r in run(spark, "op7_media").collect()}
+    for doc, text, *_ in rows("documents"):
+        raw = (text or "").encode()
+        payload = raw + bytes(-len(raw) % 64) if raw else bytes(64)
+        r = got[doc]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert r["media_bytes"] > r["payload_bytes"] and r["codec"] == "raw "
+
+
+def test_op8_keeps_documents(spark, rows):
+    got = run(spark, "op8_language_id").collect()
+    assert len(got) == len(rows("documents")) and sum(r["kept"] for r in got) >= 0.98 * len(got)
+    pages = run(spark, "language_of_pages").collect()
+    assert sum(r["language"] == r["markup"] for r in pages) >= 0.95 * len(pages)
+
+
+def test_op9(spark, rows):
+    turns = {}
+    for conv, turn, role, text in [*rows("conversations"), *Q.CONTROL_CHAT]:
+        turns.setdefault(conv, []).append((turn, role, text or ""))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    got = {r["conv_id"]: r for r in run(spark, "op9_chat").collect()}
+    assert set(got) == set(turns)
+    for conv, own in turns.items():
+        own.sort()
+        loss = "".join(t for _, role, t in own if role == "assistant")
+        r = got[conv]
+        assert (r["n_turns"], r["loss_chars"], r["loss_sha256"]) == (len(own), len(loss), sha(loss))
+        assert r["turns_sha256"] == sha("".join(f"{role}\n{t}\n" for _, role, t in own)) and not r["rewrites"]
+
+
+def test_op10(spark, rows):
+    own = sorted((r[0], r[1]) for r in rows("embeddings"))
+    ids, v = np.array([i for i, _ in own]), np.array([x for _, x in own], dtype=float)
+    got = {}
+    for r in run(spark, "op10_permutation_index").collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    assert set(got) == {i for i in ids if i % 50 == 0}
+    hits = 0
+    for q, found in got.items():
+        x = v[ids == q][0]
+        cosine = (v * x).sum(1) / np.sqrt((v * v).sum(1) * (x * x).sum())
+        best = [j for j in np.lexsort((ids, -cosine)) if ids[j] != q][:5]
+        hits += len({int(ids[j]) for j in best} & {i for i, _ in found.values()})
+        assert all(s == pytest.approx(cosine[ids == i][0], abs=1e-12) for i, s in found.values())
+    assert hits / (5 * len(got)) >= 0.9
+
+
+def test_op1_op4_and_pipeline_hold_every_document(spark, rows):
+    docs = {r[0] for r in rows("documents")}
+    for name in ("op1_best_fit_packing", "op4_jaccard_join"):
+        assert {r["doc_id"] for r in run(spark, name).collect()} == docs
+    assert {r["doc_id"] for r in run(spark, "pipeline").collect()} <= docs
