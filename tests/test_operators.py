@@ -223,3 +223,12 @@ def test_legacy_descriptors():
     assert d("multi_object_delivery")["multiplicity"] == 2 and d("multi_object_acquisition")["multiplicity"] == 1 and d("light_examine_ready")["terminal_effect"] == 1
     own = progress.legacy_coefficients({"bias": 1.0, "evidence_strength": 0.5})
     assert own["goal_token_exact"] == 2.5 and own["recent_repeat"] == -1.0 and progress.legacy_coefficients({})["entity_match"] == 0.05
+
+
+def test_checkpoints_and_namespaces(spark):
+    rows = spark.createDataFrame([(40, 20, 17.0), (56, 21, 18.83), (64, 21, 16.75)], "step int, success int, average_steps double")
+    assert training.best_checkpoint(rows).first()["step"] == 64
+    every = spark.createDataFrame([(1, {"a": 1.0}), (2, {"b": 2.0}), (3, {"lex:c": 1.0})], "pair_id int, features map<string,double>")
+    got = {r["pair_id"]: r["features"] for r in training.frozen_namespace(every.filter("pair_id > 1"), every).collect()}
+    assert got == {2: {"b": 2.0, "a": 0.0, "lex:c": 0.0}, 3: {"lex:c": 1.0}}
+    assert [r["feature"] for r in training.vocabulary(every, exclude=("lex:",)).collect()] == ["a", "b"]

@@ -8,6 +8,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import numeric as N
 
 SCHEMA = "model string, feature string, weight double"
 
@@ -62,3 +65,27 @@ def bootstrap_exact(deltas: Iterator[tuple[int, int]], samples: int = 20_000, se
         success.append(sum(a for a, _ in chosen) / len(chosen))
         steps.append(sum(b for _, b in chosen) / len(chosen))
     return success, steps
+
+
+def vocabulary(pairs: DataFrame, prefix: str | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """(feature): the distinct names of all rows, sorted."""
+    kept = N.keep_prefix("features", prefix, exclude)
+    return pairs.select(F.explode(F.map_keys(kept)).alias("feature")).distinct().orderBy("feature")
+
+
+def frozen_namespace(chosen: DataFrame, everything: DataFrame, key: str = "pair_id") -> DataFrame:
+    """chosen, with its first row (by key) padded by zeros for every feature name of ``everything``.
+
+    Learning then sees the same names at every budget, and decays the padded ones. Only names are gathered, in the one row that needs them.
+    """
+    names = everything.select(F.explode(F.map_keys("features")).alias("n")).distinct().agg(F.array_sort(F.collect_list("n")).alias("_names"))
+    first = chosen.agg(F.min(key).alias("_first"))
+    rows = chosen.crossJoin(F.broadcast(names.crossJoin(first)))  # one row
+    missing = F.filter("_names", lambda n: ~F.map_contains_key("features", n))
+    padded = F.map_concat("features", F.map_from_arrays(missing, F.transform(missing, lambda _: F.lit(0.0))))
+    return rows.withColumn("features", F.when(F.col(key) == F.col("_first"), padded).otherwise(F.col("features"))).drop("_names", "_first")
+
+
+def best_checkpoint(rows: DataFrame) -> DataFrame:
+    """(step): most successes, then fewest average steps, then the earliest. rows: step, success, average_steps."""
+    return rows.agg(F.max_by("step", F.struct("success", -F.col("average_steps"), -F.col("step"))).alias("step"))
