@@ -7,6 +7,7 @@ what their texts alone say, each level smoothed by the one above: host, the addr
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,7 +37,7 @@ UNKNOWN, UNKNOWN_PRIOR, KAPPA = "und", 1e-6, 20.0
 LEAST_POSTERIOR = 0.5
 #: Hosts up to which their priors are broadcast (some tens of bytes each); beyond, a shuffled join.
 BROADCAST_HOSTS = 20_000
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -46,6 +47,11 @@ class TrigramModel:
     langs: tuple[str, ...]
     table: np.ndarray
 
+    @functools.cached_property
+    def rows(self) -> np.ndarray:
+        """[langs, buckets]: a language's probabilities together, so that they stay in the cache."""
+        return np.ascontiguousarray(self.table.T)
+
     @classmethod
     def fit(cls, rows: list[tuple[str, str]]) -> TrigramModel:
         """rows: (language, text). UNKNOWN gets the mean of the product of single-byte frequencies over all languages and the uniform distribution."""
@@ -76,19 +82,16 @@ class TrigramModel:
         """[n, langs] tempered log likelihood of each prepared text."""
         lengths = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
         out = np.zeros((len(texts), len(self.langs)))
-        raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        if len(raw) < 3:
+        some = np.flatnonzero(lengths)  # prepared texts have three bytes at least
+        if not len(some):
             return out
-        ends = np.cumsum(lengths)
-        grams = trigrams(raw)
-        keep = np.ones(len(grams), dtype=bool)  # none across two texts
-        for back in (1, 2):
-            cut = ends[:-1] - back
-            keep[cut[(cut >= 0) & (cut < len(keep))]] = False
-        owner = np.repeat(np.arange(len(texts)), lengths)[: len(grams)][keep]
-        grams = grams[keep]
-        for i in range(len(self.langs)):
-            out[:, i] = np.bincount(owner, weights=self.table[:, i][grams], minlength=len(texts))
+        grams = trigrams(np.frombuffer(b"".join(texts), dtype=np.uint8))
+        ends = np.cumsum(lengths[some])
+        across = np.concatenate([ends[:-1] - 1, ends[:-1] - 2])
+        for i, own in enumerate(self.rows):
+            logs = own[grams]
+            logs[across] = 0
+            out[some, i] = np.add.reduceat(logs, ends - lengths[some], dtype=np.float64)
         return out * TEMPER
 
 
