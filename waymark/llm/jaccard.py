@@ -34,7 +34,7 @@ TOLERANCE = 1e-7
 #: Texts of a block when MinHash values, or whole shingle sets, are compared.
 PRUNE_BLOCK, VERIFY_BLOCK = 512, 192
 PAIRS_AT_ONCE = 1 << 16
-BYTES_AT_ONCE = 1 << 21
+BYTES_AT_ONCE = 1 << 18
 COLUMNS_AT_ONCE = 2048
 SEED = 20_240_229
 
