@@ -217,13 +217,20 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     # As many stems could have come about by chance as have three documents; their number is about that of documents.
     limit = math.log(CHANCE_STEMS / (1 + 50 * total["n"]))
     found = [x for x in found if surprise(x[1], x[2], share) <= limit]
-    kept: dict[str, tuple[float, int]] = {}
-    for stem, toxic, _, weight in sorted(found, key=lambda x: (len(x[0].rstrip()), x[0])):
+    kept: dict[str, tuple[float, int, int]] = {}
+    for stem, toxic, n, weight in sorted(found, key=lambda x: (len(x[0].rstrip()), x[0])):
         bare = stem.rstrip()
         above = next((kept[bare[:k]] for k in range(4, len(bare) + 1) if bare[:k] in kept), None)
         if above is None or weight > above[0] + 0.7:
-            kept[stem] = weight, toxic
-    return Lexicon({k: v[0] for k, v in kept.items()})
+            kept[stem] = weight, toxic, n
+
+    def own_ground(stem: str) -> bool:
+        """Whether a stem marks toxic documents beyond those of the longer stem that takes most of them."""
+        _, toxic, n = kept[stem]
+        longer = max((v[1:] for k, v in kept.items() if k != stem and k.rstrip().startswith(stem.rstrip())), default=(0, 0))
+        return toxic - longer[0] >= LEAST_PURITY * (n - longer[1]) and n > longer[1]
+
+    return Lexicon({k: v[0] for k, v in kept.items() if own_ground(k) or k.endswith(" ")})
 
 
 def featurise(rows: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
