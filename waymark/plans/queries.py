@@ -501,7 +501,7 @@ def stream_stops(spark, sf_dir):
 
 @query
 def event_windows(spark, sf_dir):
-    rows = views.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = views.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     return traces.windows(rows).withColumn("start", F.date_format("start", "yyyy-MM-dd"))
 
 

@@ -22,10 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events with the number in props and seconds since 1970."""
-    e = table(spark, sf_dir, "events")
-    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1_000_000)
-    return e.select("event_id", "user_id", "event_type", "value", "ts", F.regexp_extract("props", r'"k": *(-?\d+)', 1).try_cast("long").alias("k"), F.floor(seconds).cast("long").alias("secs"))
+    """events with the number in props and seconds since 1970 on the table's own clock, whatever the session's time zone."""
+    e = table(spark, sf_dir, "events").withColumn("since", F.expr("CAST(ts AS TIMESTAMP_NTZ) - TIMESTAMP_NTZ'1970-01-01 00:00:00'"))
+    seconds = F.expr("extract(DAY FROM since) * 86400L + extract(HOUR FROM since) * 3600 + extract(MINUTE FROM since) * 60 + floor(extract(SECOND FROM since))")
+    return e.select("event_id", "user_id", "event_type", "value", "ts", F.regexp_extract("props", r'"k": *(-?\d+)', 1).try_cast("long").alias("k"), seconds.cast("long").alias("secs"))
 
 
 def trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
