@@ -42,7 +42,27 @@ def materialise(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
     """Write df once to the shared folder and read it back: a cut in the lineage that outlives any executor."""
     path = shared_path(df.sparkSession, label)
     df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a table that materialise() wrote and that nothing will read any more."""
+    context = table.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(table.written_to)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows that an Arrow batch of whole texts may have; Spark's default of 10,000 holds too much where texts are long.
+TEXT_BATCH = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows an Arrow batch, so that memory off the heap and in Python workers follows a thousand texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= TEXT_BATCH:
+        spark.conf.set(name, TEXT_BATCH)
 
 
 def partitions(spark: SparkSession) -> int:

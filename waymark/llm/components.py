@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def connected(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -18,16 +18,16 @@ def connected(edges: DataFrame, label: str = "components") -> DataFrame:
     both = materialise(
         edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter(F.col("a") != F.col("b")).distinct(), f"{label}-edges"
     )
-    labels = materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node"), label)
+    written = materialise(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node"), label)
     while True:
-        near = (
-            both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("near"))
-        )
+        labels = written.select("node", "component")
+        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("near"))
         lower = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("component").alias("was"), F.least("component", "near").alias("now"))
         jump = labels.select(F.col("node").alias("j_node"), F.col("component").alias("j_component"))
-        found = materialise(
-            lower.join(jump, F.col("now") == F.col("j_node")).select("node", F.least("now", "j_component").alias("component"), (F.least("now", "j_component") < F.col("was")).alias("moved")), label
-        )
-        labels = found.select("node", "component")
+        lowest = F.least("now", "j_component")
+        found = materialise(lower.join(jump, F.col("now") == F.col("j_node")).select("node", lowest.alias("component"), (lowest < F.col("was")).alias("moved")), label)
+        discard(written)
+        written = found
         if found.filter("moved").isEmpty():
-            return labels
+            discard(both)
+            return found.select("node", "component")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, materialise
+from .common import hash_sample, materialise, small_batches
 
 #: Rows of labelled text, about, that the likelihoods are learned from, chosen by a hash of their keys.
 TRAIN_ROWS = 2_000
@@ -193,6 +193,7 @@ def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang",
     part as a host of its own. Without any labelled row every language is ``und``. Texts are read twice (for the host priors, then for
     the result) and never shuffled; ties go to the first language by name.
     """
+    small_batches(docs.sparkSession)
     docs = docs.drop("language", "posterior", "kept")
     rows = training_rows(docs, text, declared, key) if declared else []
     model = TrigramModel.fit(rows)

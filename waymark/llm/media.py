@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, small_batches
 
 #: Bytes of a sample (an access unit of so many 8-bit values), samples of a chunk, values a second.
 UNIT = 64
@@ -240,6 +240,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
     Null texts count as empty; equal texts give equal containers; repeated rows stay. Rows don't move between partitions.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return materialise(docs.select("doc_id", "text").mapInArrow(writing, f"doc_id {kind}, n_bytes long, media binary"), "media")
 

@@ -23,7 +23,7 @@ import pyarrow.ipc as ipc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_path
+from .common import partitions, shared_path, small_batches
 
 SEQUENCE = 1024
 BATCH_ROWS = 64
@@ -244,6 +244,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str |
     partition, so the driver may hold it.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = folder or shared_path(spark, "tokens")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
     ordered = rows.repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")

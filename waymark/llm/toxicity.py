@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, materialise
+from .common import hash_sample, materialise, small_batches
 
 #: Fixed word lists of the grammar, by class.
 NEGATION = "not never no nobody nicht nie kein keine ne pas jamais aucun nunca jamás ningún".split()
@@ -285,6 +285,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     Null and empty texts get the score of a text without events. Labels, language, source and id are no inputs of a score. Documents
     are read once for learning and once for scoring, and never shuffled.
     """
+    small_batches(docs.sparkSession)
     model = fit(docs, labels)
     scored = docs.drop("score", "predicted").withColumn("score", scores_udf(model)("text"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
