@@ -55,8 +55,10 @@ def brute(texts):
     return [find(i) for i in range(len(texts))], [len(x) for x in links]
 
 
-def test_join_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("chars", [1 << 23, 4_000])
+def test_join_equals_brute_force(spark, monkeypatch, chars):
     texts = corpus()
+    monkeypatch.setattr(jaccard, "VERIFY_CHARS", chars)
     monkeypatch.setattr(jaccard, "PRUNE_BLOCK", 16)
     monkeypatch.setattr(jaccard, "VERIFY_BLOCK", 8)
     df = spark.createDataFrame([(i, t, "en", "s", 1, 2) for i, t in enumerate(texts)], DOCS + ", node long").repartition(6)

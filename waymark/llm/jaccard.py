@@ -24,15 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions
+from .common import materialise, partitions, small_batches
 from .components import connected
 
 SHINGLE_WORDS = 5
 THRESHOLD = "0.8"
 SLOTS, ROWS_PER_BAND, STEP = 128, 4, 16
 TOLERANCE = 1e-7
-#: Texts of a block when MinHash values, or whole shingle sets, are compared.
-PRUNE_BLOCK, VERIFY_BLOCK = 512, 192
+#: Texts of a block when MinHash values, or whole shingle sets, are compared; characters that a block of whole texts has on average at most.
+PRUNE_BLOCK, VERIFY_BLOCK, VERIFY_CHARS = 512, 192, 1 << 23
 PAIRS_AT_ONCE = 1 << 16
 BYTES_AT_ONCE = 1 << 18
 COLUMNS_AT_ONCE = 2048
@@ -196,13 +196,13 @@ def blocked_pairs(side: np.ndarray, within: bool) -> Iterator[tuple[np.ndarray,
             yield i.reshape(-1), j.reshape(-1)
 
 
-def dealt(rows: DataFrame, key: str, size: str, block: int, columns: list[str]) -> DataFrame:
+def dealt(rows: DataFrame, key: str, share: Column, columns: list[str]) -> DataFrame:
     """Cuts groups into blocks and deals out pairs of blocks: (key, lo, hi, side, *columns), sorted by group within partitions.
 
-    A group of n rows makes ceil(n / block) blocks; each row goes once to every pair of blocks with its own.
+    share: how many blocks a row's group fills; they are rounded up, and each row goes once to every pair of blocks with its own.
     """
     spark = rows.sparkSession
-    blocks = F.ceil(F.col(size) / block).cast("int")
+    blocks = F.greatest(F.ceil(share), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(17)), blocks).cast("int")
     return (
         rows.select(F.col(key).alias("key"), own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"), "node", *columns)
@@ -355,14 +355,15 @@ def join(docs: DataFrame, threshold: str = THRESHOLD, tolerance: float = TOLERAN
     with nothing, not even its like: it is a class of its own row's doc_id. Rows that repeat a doc_id with other texts share a node.
     A null doc_id is replaced by a hash of its text as node.
     """
+    small_batches(docs.sparkSession)
     exact = Fraction(threshold)
     signature = F.arrow_udf(signing, "binary")
     key = text_key()
-    signed = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), signature("text").alias("signature")), "signatures")
+    signed = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), signature("text").alias("signature"), F.length("text").cast("long").alias("chars")), "signatures")
     texts = materialise(
         signed.filter(F.col("signature").isNotNull())
         .groupBy("key")
-        .agg(F.coalesce(F.min("doc_id"), F.xxhash64("key")).alias("node"), F.count("*").alias("n_copies"), F.any_value("signature").alias("signature")),
+        .agg(F.coalesce(F.min("doc_id"), F.xxhash64("key")).alias("node"), F.count("*").alias("n_copies"), F.any_value("signature").alias("signature"), F.max("chars").alias("chars")),
         "texts",
     )
     # Buckets: only names and counts are shuffled here; signatures join those that have company.
@@ -380,14 +381,15 @@ def join(docs: DataFrame, threshold: str = THRESHOLD, tolerance: float = TOLERAN
         .select("own.band", "own.bucket", "n")
     )
     members = bands.select("node", "bucket").join(buckets, "bucket").join(texts.select("node", "signature"), "node")
-    pairs = dealt(members, "bucket", "n", PRUNE_BLOCK, ["band", "signature"]).mapInArrow(pruning(float(exact), tolerance), "a long, b long")
+    pairs = dealt(members, "bucket", F.col("n") / PRUNE_BLOCK, ["band", "signature"]).mapInArrow(pruning(float(exact), tolerance), "a long, b long")
     candidates = connected(pairs, "candidates")
-    sizes = candidates.groupBy("component").agg(F.count("*").alias("n"))
-    wanted = candidates.join(sizes, "component").join(texts.select("node", "key"), "node")
+    keyed = candidates.join(texts.select("node", "key", "chars"), "node")
+    sizes = keyed.groupBy("component").agg(F.greatest(F.count("*") / VERIFY_BLOCK, F.sum("chars") / VERIFY_CHARS).alias("share"))
+    wanted = keyed.drop("chars").join(sizes, "component")
     # A text is read from one of its documents: that with the node's name, or (null ids) any.
     whole = docs.select(node_of().alias("node"), key.alias("key"), "text")
     held = whole.join(wanted.hint("shuffle_hash"), ["node", "key"]).dropDuplicates(["node", "key"])
-    verified = materialise(dealt(held, "component", "n", VERIFY_BLOCK, ["text"]).mapInArrow(verifying(exact), "node long, links long, star long"), "links")
+    verified = materialise(dealt(held, "component", F.col("share"), ["text"]).mapInArrow(verifying(exact), "node long, links long, star long"), "links")
     classes = connected(verified.select(F.col("star").alias("a"), F.col("node").alias("b")), "classes")
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     named = (
