@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 
-BOOTSTRAP = 200
+#: Resamples of a bootstrap, as many as the reference draws.
+BOOTSTRAP = 20_000
 
 
 def completion(runs: DataFrame) -> DataFrame:
@@ -50,12 +53,15 @@ def bootstrap(pairs: DataFrame, samples: int = BOOTSTRAP) -> DataFrame:
     Resample s gives an episode the weight of a Poisson(1) draw, taken from the first eight hex digits of md5("s:episode"): a row-local
     decision, so resampling needs no index join and the partial sums of all resamples combine before the shuffle.
     """
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("s").cast("string"), "episode_id").cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    # Cumulative probabilities of a Poisson variable with mean 1.
+    draw = F.md5(F.concat_ws(":", F.col("s").cast("string"), "episode_id").cast("binary"))
+    # Cumulative probabilities of a Poisson variable with mean 1, as hex digits, which sort as their numbers do.
     weight = F.lit(6)
     for k, p in reversed(list(enumerate((0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)))):
-        weight = F.when(draw < p, k).otherwise(weight)
-    drawn = pairs.select("episode_id", "success_delta", "step_delta", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("s")).withColumn("w", weight.cast("long"))
+        weight = F.when(draw < f"{math.ceil(p * 2**32):08x}", k).otherwise(weight)
+    # Few bytes make much work, so they go to all cores.
+    parts = pairs.sparkSession.sparkContext.defaultParallelism
+    dealt = pairs.select("episode_id", "success_delta", "step_delta").repartition(parts, "episode_id")
+    drawn = dealt.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("w", weight.cast("long"))
     means = drawn.groupBy("s").agg(
         (F.sum(F.col("w") * F.col("success_delta")) / F.sum("w")).alias("success"), (F.sum(F.col("w") * F.col("step_delta")) / F.sum("w")).alias("steps")
     )

@@ -270,6 +270,7 @@ FROM (SELECT s, CAST(sum(w * sd) AS DOUBLE) / CAST(sum(w) AS DOUBLE) AS a, CAST(
     *PAIRED, """dr AS (SELECT s, sd, td, CASE WHEN u < 0.36787944::DOUBLE THEN 0 WHEN u < 0.73575888::DOUBLE THEN 1 WHEN u < 0.91969860::DOUBLE THEN 2 WHEN u < 0.98101184::DOUBLE THEN 3
   WHEN u < 0.99634015::DOUBLE THEN 4 WHEN u < 0.99940582::DOUBLE THEN 5 ELSE 6 END AS w
   FROM (SELECT s, sd, td, CAST(CAST('0x' || substr(md5(s || ':' || episode_id), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0::DOUBLE AS u FROM pd, range(0, 200) t(s)))""")
+ORACLE["bootstrap_ci_full"] = ORACLE["bootstrap_ci"].replace("range(0, 200)", "range(0, 20000)")
 ORACLE["margin_quintiles"] = view(SQL_VECTORS, """SELECT CAST(ceil(5.0::DOUBLE * r / n) AS BIGINT) AS bin, count(*) AS pairs, round(avg(m), 6) AS mean_value, round(min(m), 6) AS min_value,
   round(max(m), 6) AS max_value, round(100.0::DOUBLE * avg(CAST(ok AS DOUBLE)), 6) AS accuracy_pct
 FROM (SELECT *, row_number() OVER (ORDER BY m, vec_id) AS r, count(*) OVER () AS n FROM (SELECT vec_id, round(abs(margin), 9) AS m, round(margin, 9) > 0 AS ok FROM sv)) GROUP BY 1""", SCORED)
