@@ -1,3 +1,4 @@
+import datetime
 import random
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 from waymark.operators import history, integrity, pairs, progress, ranking, reports, sampling, training
 from waymark.sources import files
+from waymark.streaming import traces
 from waymark.workflow import cases, lab
 
 
@@ -215,6 +217,14 @@ def test_closed_loop_with_and_without_actor():
     assert alone[4] <= 50
 
 
+def test_closed_loop_stops_by_cycle():
+    from types import SimpleNamespace
+
+    row = SimpleNamespace(episode_id="e", split="train", scope="ir_only", n_samples=1, pattern="back", store=False, priority="single", recovery="none", variant=0, serial=61)
+    (alone,) = cases.run_closed(row, actor=0.0)
+    assert not alone[3] and alone[4:] == (14, 22.0, "cycle")
+
+
 def test_bootstrap_draws_as_many_resamples_as_the_reference(spark):
     rows = [(f"e{i}", (i % 7 == 0) - (i % 11 == 0), i % 5 - 1) for i in range(60)]
     got = reports.bootstrap(spark.createDataFrame(rows, "episode_id string, success_delta long, step_delta long")).first()
@@ -241,3 +251,16 @@ def test_checkpoints_and_namespaces(spark):
     got = {r["pair_id"]: r["features"] for r in training.frozen_namespace(every.filter("pair_id > 1"), every).collect()}
     assert got == {2: {"b": 2.0, "a": 0.0, "lex:c": 0.0}, 3: {"lex:c": 1.0}}
     assert [r["feature"] for r in training.vocabulary(every, exclude=("lex:",)).collect()] == ["a", "b"]
+
+
+def test_stream_stops_at_goal_and_cycle(spark, tmp_path):
+    kinds = {1: "ab" * 20, 2: "aabg" + "a" * 9, 3: "abc" * 3 + "d" + "abc" * 2, 4: "abcabcabcab" + "g", 5: "a" * 7, 6: "abcdefgh" + "hgfedcba"}
+    rows = [(100 * u + i, datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=i), u, k, 0.0, "") for u, own in kinds.items() for i, k in enumerate(own)]
+    early = [r for r in rows if r[1].minute < 6]  # the second batch goes on with the state of the first
+    for part in (early, [r for r in rows if r not in early]):
+        spark.createDataFrame(part, traces.EVENTS).coalesce(1).write.mode("append").parquet(str(tmp_path / "rows"))
+    stream = spark.readStream.schema(traces.EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "rows"))
+    stops = lambda **more: {r["user_id"]: (r["reason"], r["steps"]) for r in traces.drain(traces.episode_stops(stream, **more), "stops").collect()}
+    assert stops(goal="g") == {1: ("cycle", 10), 2: ("goal", 4), 4: ("cycle", 11), 5: ("stagnation", 6), 6: ("goal", 7)}
+    assert stops() == {1: ("cycle", 10), 2: ("stagnation", 10), 4: ("cycle", 11), 5: ("stagnation", 6)}
+    assert stops(budget=10) == {1: ("budget", 10), 2: ("stagnation", 10), 3: ("budget", 10), 4: ("budget", 10), 5: ("stagnation", 6), 6: ("budget", 10)}

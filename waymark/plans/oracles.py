@@ -304,6 +304,12 @@ ORACLE["stream_stops"] = view(SQL_TRAJECTORY, """SELECT episode_id AS user_id, C
 FROM (SELECT episode_id, coalesce(min(step + 1) FILTER (e1 = event_type AND e2 = event_type AND e3 = event_type), 1000000) AS s, count(*) AS n FROM (
   SELECT *, lag(event_type, 1) OVER o AS e1, lag(event_type, 2) OVER o AS e2, lag(event_type, 3) OVER o AS e3 FROM tr WINDOW o AS (PARTITION BY episode_id ORDER BY step)) GROUP BY 1)
 WHERE s <= 50 OR n >= 50""")
+ORACLE["stream_stops_full"] = view(SQL_TRAJECTORY, """SELECT episode_id AS user_id, CASE t WHEN g THEN 'goal' WHEN s THEN 'stagnation' WHEN 50 THEN 'budget' ELSE 'cycle' END AS reason, t AS steps
+FROM (SELECT *, least(g, s, c, 50) AS t FROM (SELECT episode_id, coalesce(min(step + 1) FILTER (event_type = 'purchase'), 1000000) AS g,
+  coalesce(min(step + 1) FILTER (len(list_distinct(l)) = 1 AND len(l) = 4), 1000000) AS s, coalesce(min(step + 1) FILTER (len(k) = 8 AND again > 1), 1000000) AS c, count(*) AS n
+  FROM (SELECT *, row_number() OVER (PARTITION BY episode_id, k ORDER BY step) AS again FROM (SELECT episode_id, step, event_type,
+    list(event_type) OVER (PARTITION BY episode_id ORDER BY step ROWS 3 PRECEDING) AS l, list(event_type) OVER (PARTITION BY episode_id ORDER BY step ROWS 7 PRECEDING) AS k FROM tr))
+  GROUP BY 1)) WHERE t <= n""")
 ORACLE["event_windows"] = "SELECT strftime(ts, '%Y-%m-%d') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
 
 SPEC_ROWS = ", ".join(

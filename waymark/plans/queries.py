@@ -506,7 +506,13 @@ def stream_memory(spark, sf_dir):
 
 @query
 def stream_stops(spark, sf_dir):
-    return traces.drain(traces.episode_stops(traces.events(spark, sf_dir), 4, 50), "stops")
+    """Stagnation and budget only, as its SQL has it; stream_stops_full stops at goal and cycle too."""
+    return traces.drain(traces.episode_stops(traces.events(spark, sf_dir), 4, 50, cycle=False), "stops")
+
+
+@query
+def stream_stops_full(spark, sf_dir):
+    return traces.drain(traces.episode_stops(traces.events(spark, sf_dir), 4, 50, goal="purchase"), "stops")
 
 
 @query

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +15,8 @@ from ..session import shared_path
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 #: Steps without a change of state after which an episode stops, and steps it may have at most.
 STAGNANT, BUDGET = 6, 50
+#: Actions that make a decision key together with the state.
+RECENT = 8
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,29 +63,42 @@ def final_memory(rows: DataFrame) -> DataFrame:
     return rows.groupBy("user_id").agg(F.max("seen").alias("seen"), F.max("places").alias("places"))
 
 
-def episode_stops(stream: DataFrame, stagnant: int = STAGNANT, budget: int = BUDGET) -> DataFrame:
-    """(user_id, reason, steps) once an episode ends: the same event type ``stagnant`` times in a row, or ``budget`` events.
+def episode_stops(stream: DataFrame, stagnant: int = STAGNANT, budget: int = BUDGET, goal: str | None = None, cycle: bool = True) -> DataFrame:
+    """(user_id, reason, steps) once an episode ends: at an event of type ``goal``, after the same event type ``stagnant`` times in a row, after
+    ``budget`` events, or (unless ``cycle`` is off) by cycle: the state and the last eight actions were there before. Of several reasons the first of
+    these counts.
 
-    A user's events of a batch are taken in the order of time and id; after its end a user's events are ignored.
+    An event's type is the action and the state it leads to, so the last ``RECENT`` types are the decision key; the keys seen, fewer than ``budget``,
+    are kept until the end. A user's events of a batch are taken in the order of time and id; after its end a user's events are ignored.
     """
     out = "user_id long, reason string, steps long"
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        steps, run, last, over = state.get if state.exists else (0, 0, "", False)
+        steps, run, last, over, recent, seen = state.get if state.exists else (0, 0, "", False, [], [])
+        recent, seen = list(recent), set(seen)
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         reason = None
         for kind in rows["event_type"] if not over else ():
             steps, run = steps + 1, run + 1 if kind == last else 1
             last = kind
-            reason = "stagnation" if run >= stagnant else "budget" if steps >= budget else None
+            recent = [*recent, kind][-RECENT:]
+            decision = json.dumps(recent)
+            if goal is not None and kind == goal:
+                reason = "goal"
+            elif run >= stagnant or steps >= budget:
+                reason = "stagnation" if run >= stagnant else "budget"
+            elif cycle and decision in seen:
+                reason = "cycle"
             if reason:
-                over = True
+                over, recent, seen = True, [], set()
                 break
-        state.update((steps, run, last, over))
+            seen.add(decision)
+        state.update((steps, run, last, over, recent, sorted(seen)))
         if reason:
             yield pd.DataFrame({"user_id": [key[0]], "reason": [reason], "steps": [steps]})
 
-    return stream.groupBy("user_id").applyInPandasWithState(update, out, "steps long, run long, last string, over boolean", "append", GroupStateTimeout.NoTimeout)
+    kept = "steps long, run long, last string, over boolean, recent array<string>, seen array<string>"
+    return stream.groupBy("user_id").applyInPandasWithState(update, out, kept, "append", GroupStateTimeout.NoTimeout)
 
 
 def windows(rows: DataFrame, width: str = "1 day") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -170,18 +171,28 @@ def candidate_features(rows: DataFrame) -> DataFrame:
 def run_closed(row, budget: int = 50, stagnant: int = 6, actor: float = 1.0) -> Iterator[tuple]:
     """Runs a case by fused scores: a stand-in actor that prefers the planner's action, plus the structural score scaled within the state.
 
-    Stops at the goal, the budget, without legal actions, or after ``stagnant`` actions in a row that change nothing but the clock. Ties go to the largest action text.
+    Stops at the goal, the budget, without legal actions, after ``stagnant`` actions in a row that change nothing but the clock, or where the state
+    (but for the clock) and the last eight actions were there before. Ties go to the largest action text.
     """
     state, goal = start(row)
     history: list[lab.Action] = []
+    seen: set[str] = set()
     idle, cost, reason = 0, 0.0, "budget"
     while len(history) < budget:
         if lab.complete(state, goal):
             reason = "goal"
             break
+        if idle >= stagnant:
+            reason = "stagnation"
+            break
+        decision = json.dumps([{k: v for k, v in state.items() if k != "minute"}, history[-8:]], sort_keys=True)
+        if decision in seen:
+            reason = "cycle"
+            break
+        seen.add(decision)
         options = scored(state, goal, history)
-        if not options or idle >= stagnant:
-            reason = "stagnation" if options else "stuck"
+        if not options:
+            reason = "stuck"
             break
         wish, top = lab.next_action(state, goal), max(abs(x[3]) for x in options)
         fused = lambda x: actor * (x[0] == wish) + (R.STRUCTURAL_WEIGHT * x[3] / top if top >= 1e-8 else 0.0)  # noqa: B023, E731
