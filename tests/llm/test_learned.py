@@ -40,6 +40,24 @@ def test_language_edge_cases(spark, docs):
     assert language.identify(docs.limit(0)).collect() == []
 
 
+def test_rare_language_is_known_at_every_size(spark):
+    rng = random.Random(5)
+    rows = [(i, text(rng, "en" if i % 2 else "fr", 8), "en" if i % 2 else "fr") for i in range(10_000)]
+    rows += [(20_000 + i, " ".join(rng.choice(["ordu", "eta", "hau", "zen", "gure", "izan"]) for _ in range(30)), "eu") for i in range(language.LEAST_ROWS)]
+    rows += [(None, "0123", "en")] * 20 + [(None, "\u4e00" * 3, "zh")] * (language.LEAST_ROWS - 1)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = language.training_rows(df, "text", "lang", "doc_id")
+    assert 1500 < len(sample) < 2500 and {lang for lang, _ in sample} == {"en", "fr", "eu"}
+    assert language.TrigramModel.fit([*sample, ("en", "0123")]).langs == ("en", "eu", "fr", "und")
+    got = language.identify(df, host=None).filter("doc_id >= 20000").collect()
+    assert len(got) == language.LEAST_ROWS and all(r["language"] == "eu" and r["kept"] for r in got)
+
+
+def test_rows_a_language():
+    assert language.rows_a_language([5, 300, 1000]) == 1000  # fewer than TRAIN_ROWS: all of them
+    assert language.rows_a_language([5, 5000, 5000]) == 997 and language.rows_a_language([9000] * 200) == language.LANGUAGE_ROWS
+
+
 def test_host_priors_are_smoothed_by_level(spark):
     rows = [("a.x.fr", "fr")] * 50 + [("b.x.fr", "de")] + [("plain", "de")] * 10 + [(None, None)]
     got = {r["_prior_host"]: np.exp(r["_priors"]) for r in language.host_priors(spark.createDataFrame(rows, "host string, says string"), ("de", "fr", "und")).collect()}

@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, materialise, small_batches
+from .common import materialise, small_batches
 
-#: Rows of labelled text, about, that the likelihoods are learned from, chosen by a hash of their keys.
-TRAIN_ROWS = 2_000
+#: Rows of labelled text, about, that the likelihoods are learned from, chosen by a hash, and rows that each language may have of them at least.
+TRAIN_ROWS, LANGUAGE_ROWS = 2_000, 50
 #: Buckets of hashed trigrams, added counts, and rows of a language in the sample for it to be known.
 BUCKETS = 1 << 16
 ALPHA = 0.02
@@ -57,7 +57,8 @@ class TrigramModel:
         """rows: (language, text). UNKNOWN gets the mean of the product of single-byte frequencies over all languages and the uniform distribution."""
         by_lang: dict[str, list[bytes]] = {}
         for lang, text in rows:
-            by_lang.setdefault(lang, []).append(prepared(text))
+            if words := prepared(text):
+                by_lang.setdefault(lang, []).append(words)
         langs = sorted(k for k, v in by_lang.items() if len(v) >= LEAST_ROWS and k != UNKNOWN)
         table = np.zeros((BUCKETS, len(langs) + 1), dtype=np.float32)
         single = np.ones(256)
@@ -114,10 +115,30 @@ def trigrams(raw: np.ndarray) -> np.ndarray:
     return hashed(wide[:-2], wide[1:-1], wide[2:])
 
 
+def rows_a_language(counts: list[int]) -> int:
+    """The most rows that a language may have for all to have TRAIN_ROWS together, languages with fewer rows being whole; LANGUAGE_ROWS at least."""
+    left = TRAIN_ROWS
+    for i, n in enumerate(sorted(counts)):
+        if n * (len(counts) - i) > left:
+            return max(LANGUAGE_ROWS, left // (len(counts) - i))
+        left -= n
+    return max(LANGUAGE_ROWS, *counts, 0)
+
+
 def training_rows(docs: DataFrame, text: str, declared: str, key: str) -> list[tuple[str, str]]:
-    """A bounded sample: about TRAIN_ROWS rows that declare a language, the same ones at every run."""
-    known = hash_sample(docs.filter(F.col(declared).isNotNull()), [key, declared], TRAIN_ROWS)
-    return [(r[0], r[1]) for r in known.filter(F.length(text) > 0).select(declared, text).collect()]
+    """A sample of each language that LEAST_ROWS rows with letters declare, the same rows at every run: all rows of a language up to
+    rows_a_language, about so many beyond. So a language is known or not whatever the table's size, and copies crowd out none but their own."""
+    lang = F.col(declared)
+    labelled = docs.filter(lang.isNotNull() & (lang != UNKNOWN) & F.col(text).rlike(r"[A-Za-z]|[^\x00-\x7F]"))
+    counted = labelled.groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_ROWS).collect()
+    if not counted:
+        return []
+    most = rows_a_language([r["n"] for r in counted])
+    ends = [(r["lang"], int(-(2**63) + most / r["n"] * 2**64) if r["n"] > most else 2**63 - 1) for r in counted]
+    end = F.element_at(F.create_map(*[F.lit(x) for pair in ends for x in pair]), lang)
+    # The text is in the hash, so that rows without a key or with one key aren't all in or all out.
+    known = labelled.filter(lang.isin(*[name for name, _ in ends])).filter(F.xxhash64(key, declared, text) <= end)
+    return [(r[0], r[1]) for r in known.select(declared, text).collect()]
 
 
 def likelihoods(model: TrigramModel):
