@@ -28,9 +28,11 @@ def build_session(app: str = "waymark", master: str | None = None, **conf: str)
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that driver and executors share: spark.checkpoint.dir, or a temporary folder where it is unset (local tests)."""
+    """A fresh path in the folder that driver and executors share: spark.checkpoint.dir. Only a local master (tests) may leave it unset and gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="waymark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/waymark-{label}-{uuid.uuid4().hex}"
