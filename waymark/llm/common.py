@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,9 +25,11 @@ def word_count(text: str | Column) -> Column:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary folder where it is unset (local tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local master (tests) may leave it unset and gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="waymark-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -33,9 +37,14 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+#: Paths below the shared folder that this process made and has not deleted.
+_made: list[str] = []
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/waymark-{label}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_root(spark).rstrip('/')}/waymark-{label}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def materialise(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
@@ -47,11 +56,31 @@ def materialise(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
     return table
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    name = context._jvm.org.apache.hadoop.fs.Path(path)
+    name.getFileSystem(context._jsc.hadoopConfiguration()).delete(name, True)
+    if path in _made:
+        _made.remove(path)
+
+
 def discard(table: DataFrame) -> None:
     """Deletes a table that materialise() wrote and that nothing will read any more."""
-    context = table.sparkSession.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(table.written_to)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    delete(table.sparkSession, table.written_to)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end all that operators wrote to the shared folder within, but for the paths in the list that it yields.
+
+    An operator's result still reads its intermediate tables, so a result that shall outlive the block is materialised in it and its path kept.
+    """
+    before, kept = set(_made), []
+    try:
+        yield kept
+    finally:
+        for path in [p for p in _made if p not in before and p not in kept]:
+            delete(spark, path)
 
 
 #: Rows that an Arrow batch of whole texts may have; Spark's default of 10,000 holds too much where texts are long.
