@@ -83,6 +83,26 @@ def test_rewriting_templates_are_found():
     assert not C.render(forgets, [("assistant", "a"), ("assistant", "b")])[2]
 
 
+@pytest.mark.parametrize("n", [7, 64, 65, 66, 300])
+def test_rewrites_at_an_intermediate_prefix_are_found_at_every_length(n):
+    def marks(turns):  # ends with a mark at every seventh turn, and forgets it again
+        return "".join(f"<{r}>{t}" for r, t in turns) + "!" * (len(turns) % 7 == 0)
+
+    assert C.render(marks, [("user", "x")] * n)[2] == (n > 7)
+    once = lambda turns: "".join(t for _, t in turns) + "!" * (len(turns) == 65)
+    assert C.render(once, [("user", "x")] * n)[2] == (n > 65)
+
+
+def test_false_declaration_falls_back_to_prefixes():
+    @C.append_only
+    def numbered(turns):  # a window's turns have other numbers, so its tails don't join to the whole
+        return "".join(f"{i}:{t};" for i, (_, t) in enumerate(turns))
+
+    turns = [("user", f"t{i}") for i in range(100)]
+    text, spans, rewrites = C.render(numbered, turns)
+    assert not rewrites and [text[a:b] for a, b in spans] == [t for _, t in turns]
+
+
 def test_chat_table(spark):
     rows = [(1, 1, "assistant", "A"), (1, 0, "user", None), (1, None, "system", "s"), (2, 0, None, "x"), (2, 0, None, "x"), (None, 0, "assistant", "n"), (-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
     df = spark.createDataFrame([(*r, 9) for r in rows], "conv_id long, turn long, role string, text string, formatted long")

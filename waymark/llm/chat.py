@@ -4,6 +4,9 @@ A template is any function from a list of (role, text) turns to a string. The op
 successive prefixes and compares consecutive outputs. Where the longer output extends the shorter, the new tail is the turn's span; where it
 does not, the template rewrites history and the conversation is marked so. Rendering the last turn with a probe text shows
 where in its tail the text itself lies.
+
+Rendering every prefix costs the square of a conversation's length. A template may declare, by ``append_only``, that a turn's rendering never depends on later
+turns; only then are prefixes of long conversations cut to their last turns, and the joined tails must equal the whole rendering.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ Template = Callable[[list[Turn]], str]
 OPEN, CLOSE = "### ", " </turn>\n"
 #: A private character that stands for a turn's text when its place is searched.
 PROBE = "\ue000"
-#: Turns a conversation may have for every prefix to be rendered whole. Longer ones are rendered over windows, checked against the whole rendering.
+#: Turns up to which prefixes are rendered whole for append-only templates too; for all other templates every prefix always is.
 WHOLE_PREFIXES = 64
 ROWS = 1024
 
@@ -38,6 +41,13 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.S)
 
 
+def append_only(template: Template) -> Template:
+    """Declares that the template's output for more turns begins with that for fewer, whatever the turns."""
+    template.append_only = True
+    return template
+
+
+@append_only
 def marked(turns: list[Turn]) -> str:
     """The production template: ``### role: text </turn>`` and a line end for each turn, control strings escaped."""
     return "".join(f"{OPEN}{escape(role).replace(':', chr(92) + ':')}: {escape(text)}{CLOSE}" for role, text in turns)
@@ -74,10 +84,11 @@ def place(template: Template, before: list[Turn], turn: Turn, start: int, cur: s
 def render(template: Template, turns: list[Turn], window: int = 2) -> tuple[str, list[tuple[int, int]], bool]:
     """(whole rendering, span of each turn's text in it, whether the template rewrites history).
 
-    Long conversations are rendered over the last ``window`` turns and the new one. The tails joined must equal the whole rendering,
-    which proves the spans; otherwise every prefix is rendered whole after all.
+    Every prefix is rendered whole and compared with the one before, whatever the length. Only templates declared ``append_only`` render long
+    conversations over the last ``window`` turns and the new one; there the tails joined must equal the whole rendering, which proves
+    the spans, or every prefix is rendered whole after all.
     """
-    if len(turns) > WHOLE_PREFIXES:
+    if len(turns) > WHOLE_PREFIXES and getattr(template, "append_only", False):
         parts, spans, at = [], [], 0
         for i, turn in enumerate(turns):
             before = turns[max(0, i - window) : i]
