@@ -1,9 +1,9 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-Five transducers read the words of a clause by class: insults and threats emit an event, negation and reported speech set a state that marks
-events, and the target transducer notes whether the clause addresses someone. Their composition is one automaton, built as
-a table of product states. A clause yields events of 16 kinds (insult or threat; negated; reported; targeted), weighted by
-the lexicon; a logistic model over a document's sums scores it.
+Five transducers read the words of a clause by class. Those of insult and threat emit an event, whose arc has the word's weight in the lexicon;
+those of negation, reported speech and target emit the marks of their states. Their composition is one automaton over product states, whose
+output at a word joins what the five emit. The machine walks a clause once, from its real start to its real end, and sums the weights of events by
+output; the mark of the target is read at the clause's end, as a target may follow the insult. A logistic model over a document's sums scores it.
 
 Insult stems and their weights, and the model's weights, are learned from labelled rows: stems that mark toxic documents far
 beyond chance. Words of negation, reported speech, targets and threats are fixed.
@@ -15,14 +15,15 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, materialise, small_batches
+from .common import hash_sample, materialise, partitions, small_batches
 
 #: Fixed word lists of the grammar, by class.
 NEGATION = "not never no nobody nicht nie kein keine ne pas jamais aucun nunca jamás ningún".split()
@@ -34,14 +35,15 @@ OTHER, INSULT, THREATS, NEGATES, REPORTS, TARGETS = range(6)
 #: Words after a negation that it covers.
 NEGATION_REACH = 3
 #: A clause ends here.
-CLAUSE_END = ".,;:!?\n()"
+CLAUSE_END = re.compile(r"[.,;:!?\n()]")
 WORD = re.compile(r"[^\W\d_]+")
+#: What the composed machine may emit at a word, as bits: an event; it is a threat, negated, reported; and the mark that a target was named.
+EVENT, IS_THREAT, NEGATED, REPORTED_SPEECH, TARGETED = 16, 8, 4, 2, 1
 
 #: Labelled rows for learning, about, chosen by a hash of their ids.
 TRAIN_ROWS = 24_000
-#: Prefix lengths that may be stems, besides whole words; stems kept at most, and how many chance stems are tolerated.
+#: Prefix lengths that may be stems, besides whole words, and how many chance stems are tolerated.
 STEM_LENGTHS = (4, 5, 6, 7)
-MOST_STEMS = 2_000
 CHANCE_STEMS = 0.5
 #: Share of a stem's documents that are toxic, at least.
 LEAST_PURITY = 0.75
@@ -52,39 +54,46 @@ FEATURES = 20
 
 @dataclass(frozen=True)
 class Transducer:
-    """delta[state, class] is the next state; the state before an event's word marks it."""
+    """delta[state, class] is the next state, emits[state, class] the output bits of that arc. Every transducer reads every word."""
 
     delta: np.ndarray
-    marks: np.ndarray  # [state] 0 or 1
+    emits: np.ndarray
 
     @classmethod
-    def negation(cls) -> Transducer:
-        n = NEGATION_REACH
-        delta = np.array([[max(0, s - 1)] * 6 for s in range(n + 1)])
-        delta[:, NEGATES] = n
-        return cls(delta, np.arange(n + 1) > 0)
+    def event(cls, kind: int, bits: int) -> Transducer:
+        """One state; the arc of a word of class ``kind`` emits the event."""
+        emits = np.zeros((1, 6), dtype=int)
+        emits[0, kind] = bits
+        return cls(np.zeros((1, 6), dtype=int), emits)
 
     @classmethod
-    def latch(cls, on: int) -> Transducer:
-        """Stays set for the rest of the clause once a word of class ``on`` came."""
+    def countdown(cls, on: int, reach: int, bit: int) -> Transducer:
+        """A word of class ``on`` marks the ``reach`` words behind it."""
+        states = np.arange(reach + 1)
+        delta = np.repeat(np.maximum(states - 1, 0)[:, None], 6, axis=1)
+        delta[:, on] = reach
+        return cls(delta, np.repeat(np.where(states > 0, bit, 0)[:, None], 6, axis=1))
+
+    @classmethod
+    def latch(cls, on: int, bit: int) -> Transducer:
+        """Marks all words of the clause behind one of class ``on``."""
         delta = np.array([[0] * 6, [1] * 6])
         delta[:, on] = 1
-        return cls(delta, np.array([False, True]))
+        return cls(delta, np.array([[0] * 6, [bit] * 6]))
 
     def compose(self, other: Transducer) -> Transducer:
-        """The product: states (mine, other's); marks are joined as bits by the caller, so marks hold the state's number here."""
+        """The synchronous product: state s * (other's states) + t, outputs joined."""
         m = len(other.delta)
-        delta = np.array([self.delta[s // m] * m + other.delta[s % m] for s in range(len(self.delta) * m)])
-        return Transducer(delta, np.array([int(self.marks[s // m]) << width(other) | int(other.marks[s % m]) for s in range(len(delta))]))
-
-
-def width(t: Transducer) -> int:
-    return max(1, int(np.max(t.marks.astype(int))).bit_length())
+        s, t = np.divmod(np.arange(len(self.delta) * m), m)
+        return Transducer(self.delta[s] * m + other.delta[t], self.emits[s] | other.emits[t])
 
 
 def grammar() -> Transducer:
-    """Negation, reported speech and target as one automaton; marks bits: 4 negated, 2 reported, 1 targeted so far."""
-    return Transducer.negation().compose(Transducer.latch(REPORTS).compose(Transducer.latch(TARGETS)))
+    """Insult, threat, negation, reported speech and target as one automaton; its start is state 0."""
+    return reduce(Transducer.compose, [
+        Transducer.event(INSULT, EVENT), Transducer.event(THREATS, EVENT | IS_THREAT), Transducer.countdown(NEGATES, NEGATION_REACH, NEGATED),
+        Transducer.latch(REPORTS, REPORTED_SPEECH), Transducer.latch(TARGETS, TARGETED),
+    ])
 
 
 @dataclass
@@ -108,51 +117,58 @@ class Lexicon:
 CLASSES = {w: c for words, c in ((NEGATION, NEGATES), (REPORTED, REPORTS), (TARGET, TARGETS)) for w in words}
 
 
+def letter(c: str) -> bool:
+    """Whether a character is one of WORD's."""
+    return c.isalnum() and not c.isdecimal()
+
+
 class ClauseScorer:
     """Features of whole texts. Only clauses with an insult or a threat are read word by word; others emit nothing."""
 
     def __init__(self, lexicon: Lexicon):
         self.find, machine = lexicon.automaton(), grammar()
-        self.delta, self.marks = machine.delta.tolist(), machine.marks.astype(int).tolist()
+        self.delta, self.emits = machine.delta.tolist(), machine.emits.tolist()
 
-    def __call__(self, text: str | None) -> list[float]:
-        """[0:16] log(1 + weight) by kind (8 threat, 4 negated, 2 reported, 1 targeted), then 16: log clauses, 17: largest weight, 18: distinct stems, 19: events per word."""
-        out = [0.0] * FEATURES
-        if not text:
-            return out
-        low = text.lower()
-        hits: dict[int, tuple[int, float]] = {}
-        stems = set()
+    def hits(self, low: str) -> dict[int, tuple[int, float, str]]:
+        """(class, weight, stem) by the place of the word that it begins, the heaviest stem of a word, of equal ones the shortest."""
+        found: dict[int, tuple[int, float, str]] = {}
         for last, (kind, length, weight, whole) in self.find.iter(low):
             begin = last - length + 1
-            if begin and low[begin - 1].isalpha() or whole and last + 1 < len(low) and low[last + 1].isalpha():
+            if begin and letter(low[begin - 1]) or whole and last + 1 < len(low) and letter(low[last + 1]):
                 continue
-            if begin not in hits or weight > hits[begin][1]:
-                hits[begin] = kind, weight
-                stems.add(low[begin : last + 1])
+            if begin not in found or weight > found[begin][1]:
+                found[begin] = kind, weight, low[begin : last + 1]
+        return found
+
+    def __call__(self, text: str | None) -> list[float]:
+        """[0:16] log(1 + weight) by kind (8 threat, 4 negated, 2 reported, 1 targeted), then 16: log clauses, 17: largest weight, 18: distinct stems, 19: events per word."""
+        out = [0.0] * FEATURES
+        low = text.lower() if text else ""
+        hits = self.hits(low) if low else None
         if not hits:
             return out
-        done, clauses, events = -1, 0, 0
+        ends = CLAUSE_END.sub("\n", low)  # of the same length, so that one search finds any end
+        done, clauses = -1, 0
         for at in sorted(hits):
             if at < done:
                 continue
-            a = max(map(lambda c: low.rfind(c, max(0, done), at), CLAUSE_END)) + 1
-            ends = [e for c in CLAUSE_END if (e := low.find(c, at, at + 400)) >= 0]
-            b = min(ends) if ends else min(len(low), at + 400)
-            a, done, clauses = max(a, at - 400, 0), b, clauses + 1
-            state, pending = 0, []
-            for m in WORD.finditer(low, a, b):
-                kind, weight = hits.get(m.start(), (OTHER, 0.0))
-                if kind != OTHER:
-                    pending.append((kind, weight, self.marks[state]))
-                state = self.delta[state][kind if kind != OTHER else CLASSES.get(m[0], OTHER)]
-            targeted = self.marks[state] & 1
-            for kind, weight, marks in pending:
-                out[8 * (kind == THREATS) + (marks & 6) + targeted] += weight
-                out[17] = max(out[17], weight)
-                events += 1
+            begin, end = ends.rfind("\n", max(0, done), at) + 1, ends.find("\n", at)
+            # Without an end between the last clause and this hit the search gives 0; that clause's end is the least beginning.
+            begin, done, clauses = max(begin, done, 0), end if end >= 0 else len(low), clauses + 1
+            state, sums = 0, [0.0] * 16
+            for m in WORD.finditer(low, begin, done):
+                kind, weight, _ = hits.get(m.start()) or (CLASSES.get(m[0], OTHER), 0.0, "")
+                emitted = self.emits[state][kind]
+                if emitted & EVENT:
+                    sums[emitted & ~(EVENT | TARGETED)] += weight
+                state = self.delta[state][kind]
+            targeted = self.emits[state][OTHER] & TARGETED
+            for kind, total in enumerate(sums):
+                if total:
+                    out[kind | targeted] += total
         out[:16] = [math.log1p(x) for x in out[:16]]
-        out[16], out[18], out[19] = math.log1p(clauses), math.log1p(len(stems)), events / (1 + len(low) / 6)
+        out[16], out[17], out[18] = math.log1p(clauses), max(h[1] for h in hits.values()), math.log1p(len({h[2] for h in hits.values()}))
+        out[19] = len(hits) / (1 + len(low) / 6)
         return out
 
 
@@ -173,10 +189,13 @@ def fold(doc_id: str = "doc_id"):
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of about TRAIN_ROWS labelled documents outside the held-out fold. Only their ids and labels (16 bytes a row) are broadcast."""
+    """(text, toxic) of about TRAIN_ROWS labelled documents outside the held-out fold, written once: a row for each id (the text of the smallest hash, should
+    an id repeat). Only their ids and labels (16 bytes a row) are broadcast, and only their texts are shuffled."""
     own = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 2))
     chosen = hash_sample(own.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")), ["doc_id"], TRAIN_ROWS)
-    return docs.select("doc_id", "text").filter(F.length("text") > 0).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    found = docs.select("doc_id", "text").filter(F.length("text") > 0).join(F.broadcast(chosen), "doc_id")
+    single = found.groupBy("doc_id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "toxic")
+    return materialise(single.repartition(partitions(docs.sparkSession)), "labelled")
 
 
 def distinct_words(rows: DataFrame) -> DataFrame:
@@ -194,43 +213,50 @@ def stem_counts(words: DataFrame) -> DataFrame:
     return words.select(F.explode(stems).alias("stem"), "toxic").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.count("*").alias("n"))
 
 
-def surprise(toxic: float, n: float, share: float) -> float:
-    """Bound on the log probability that chance marks so many of n documents (Chernoff)."""
+def beyond_chance(toxic: Column, n: Column, share: float, limit: float) -> Column:
+    """Whether the bound (Chernoff) on the log probability that chance marks so many of n documents is at most ``limit``."""
     q = toxic / n
-    if q <= share:
-        return 0.0
-    rest = (1 - q) * math.log((1 - q) / (1 - share)) if q < 1 else 0.0
-    return -n * (q * math.log(q / share) + rest)
+    rest = F.when(q < 1, (1 - q) * F.log((1 - q) / F.lit(1 - share))).otherwise(0.0)
+    return (q > share) & (-n * (q * F.log(q / F.lit(share)) + rest) <= limit)
+
+
+def pruned(found: dict[str, tuple[float, int, int]]) -> dict[str, float]:
+    """Weights of the stems that stay. found: stem (with a blank behind it, a whole word) to (weight, toxic documents, documents).
+
+    Of stems that begin alike the shortest stays, and a longer one only if it weighs clearly more. A beginning goes if, without the documents of the longest
+    among its own longer stems, it no longer marks toxic ones.
+    """
+    kept: dict[str, tuple[float, int, int]] = {}
+    for stem in sorted(found, key=lambda x: (len(x.rstrip()), x)):
+        bare = stem.rstrip()
+        above = next((kept[bare[:k]] for k in range(min(STEM_LENGTHS), len(bare) + 1) if bare[:k] in kept), None)
+        if above is None or found[stem][0] > above[0] + 0.7:
+            kept[stem] = found[stem]
+    names = sorted(kept)
+    out = {}
+    for i, stem in enumerate(names):
+        _, toxic, n = kept[stem]
+        bare, longer, j = stem.rstrip(), (0, 0), i + 1
+        while j < len(names) and names[j].startswith(bare):
+            longer, j = max(longer, kept[names[j]][1:]), j + 1
+        if stem != bare or toxic - longer[0] >= LEAST_PURITY * (n - longer[1]) and n > longer[1]:
+            out[stem] = kept[stem][0]
+    return out
 
 
 def learn_lexicon(rows: DataFrame) -> Lexicon:
-    """Stems beyond chance; of stems that begin alike, the shortest that loses nothing. Counts cover all rows given."""
-    words = materialise(distinct_words(rows), "words")
+    """All stems beyond chance. Counts cover all rows given; what reaches the driver is the surviving stems of that bounded sample."""
+    words = materialise(distinct_words(rows).repartition(partitions(rows.sparkSession)), "words")
     total = words.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
     if not total["t"] or total["t"] == total["n"]:
         return Lexicon({})
     share = total["t"] / total["n"]
     odds = F.log((F.col("toxic") + 0.5) / (F.col("n") - F.col("toxic") + 0.5)) - math.log(share / (1 - share))
-    counts = stem_counts(words).filter((F.col("n") >= 3) & (F.col("toxic") >= 3))
-    top = counts.filter(F.col("toxic") >= F.col("n") * LEAST_PURITY).withColumn("odds", odds).orderBy(F.desc(F.col("odds") * F.sqrt("toxic")), "stem").limit(MOST_STEMS)
-    found = [(r["stem"], r["toxic"], r["n"], r["odds"]) for r in top.collect()]
+    counts = stem_counts(words).filter((F.col("toxic") >= 3) & (F.col("toxic") >= F.col("n") * LEAST_PURITY))
     # As many stems could have come about by chance as have three documents; their number is about that of documents.
     limit = math.log(CHANCE_STEMS / (1 + 50 * total["n"]))
-    found = [x for x in found if surprise(x[1], x[2], share) <= limit]
-    kept: dict[str, tuple[float, int, int]] = {}
-    for stem, toxic, n, weight in sorted(found, key=lambda x: (len(x[0].rstrip()), x[0])):
-        bare = stem.rstrip()
-        above = next((kept[bare[:k]] for k in range(4, len(bare) + 1) if bare[:k] in kept), None)
-        if above is None or weight > above[0] + 0.7:
-            kept[stem] = weight, toxic, n
-
-    def own_ground(stem: str) -> bool:
-        """Whether a stem marks toxic documents beyond those of the longer stem that takes most of them."""
-        _, toxic, n = kept[stem]
-        longer = max((v[1:] for k, v in kept.items() if k != stem and k.rstrip().startswith(stem.rstrip())), default=(0, 0))
-        return toxic - longer[0] >= LEAST_PURITY * (n - longer[1]) and n > longer[1]
-
-    return Lexicon({k: v[0] for k, v in kept.items() if own_ground(k) or k.endswith(" ")})
+    sure = counts.filter(beyond_chance(F.col("toxic"), F.col("n"), share, limit)).select("stem", odds.alias("odds"), "toxic", "n")
+    return Lexicon(pruned({r["stem"]: (r["odds"], r["toxic"], r["n"]) for r in sure.collect()}))
 
 
 def featurise(rows: DataFrame, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray]:
@@ -282,8 +308,8 @@ def scores_udf(model: Model):
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Adds score and predicted to every row of docs, learning from labels. Columns of these names are replaced.
 
-    Null and empty texts get the score of a text without events. Labels, language, source and id are no inputs of a score. Documents
-    are read once for learning and once for scoring, and never shuffled.
+    Null and empty texts get the score of a text without events; equal texts get equal scores. Labels, language, source and id are no inputs of a score. An id
+    with several labels is toxic if one says so; labels of null are none. Documents are read once for learning and once for scoring, and never shuffled.
     """
     small_batches(docs.sparkSession)
     model = fit(docs, labels)
