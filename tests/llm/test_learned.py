@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from brute import brute_features, brute_posteriors
 from pyspark.sql import functions as F
 
 from waymark.llm import ann, language, toxicity
@@ -40,6 +41,21 @@ def test_language_edge_cases(spark, docs):
     assert language.identify(docs.limit(0)).collect() == []
 
 
+def test_posterior_is_bayes(spark):
+    """The whole posterior by plain arithmetic, with copies, ties, hosts with and without a suffix."""
+    rng = random.Random(9)
+    rows = [(i, text(rng, "en" if i % 3 else "fr", 1 + i % 9), rng.choice(["en", "fr", None, "zz"]), rng.choice(["a.fr", "b.fr", "c.en", "plain", None]), rng.choice(["fr", "EN", "xx", None])) for i in range(300)]
+    rows += [rows[0]] * 5 + [(900, "", "fr", "a.fr", None), (901, None, None, "new.fr", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, part string")
+    model = language.TrigramModel.fit(language.training_rows(df, "text", "lang", "doc_id"))
+    assert model.langs == ("en", "fr", "zz", "und")  # whatever five rows declare is a language
+    order = lambda r: tuple("-" if v is None else v for v in r)
+    got = sorted((order(r[:5]), *r[5:]) for r in language.identify(df, path="part").collect())
+    want = sorted((order(r), *p) for r, p in zip(rows, brute_posteriors(model, rows), strict=True))
+    for a, b in zip(got, want, strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2]) and a[3] == b[3]
+
+
 def test_rare_language_is_known_at_every_size(spark):
     rng = random.Random(5)
     rows = [(i, text(rng, "en" if i % 2 else "fr", 8), "en" if i % 2 else "fr") for i in range(10_000)]
@@ -78,6 +94,37 @@ def test_grammar_marks_events():
     assert at("skill and videoidiot") == [] and scorer(None) == scorer("") == [0.0] * toxicity.FEATURES
 
 
+def test_scorer_equals_rules_on_random_texts():
+    rng = random.Random(11)
+    lexicon = {"idio": 2.0, "idiotic": 3.5, "moron ": 1.5, "kill": 1.0, "schwach": 2.5}
+    scorer = toxicity.ClauseScorer(toxicity.Lexicon(lexicon))
+    words = ["idiot", "Idiotic", "moron", "morons", "killer", "destroy", "beat", "schwachkopf", "not", "never", "said", "quoted", "you", "sie", "the", "a", "x1y", "42", "is", "no", "\u00e9crit", "videoidiot"]
+    for _ in range(400):
+        t = "".join(rng.choice(words) + rng.choice([" "] * 8 + [". ", ", ", "\n", "  ", "-", "(", "!"]) for _ in range(rng.randint(0, 40)))
+        assert scorer(t) == pytest.approx(brute_features(lexicon, t), abs=1e-12), t
+
+
+def test_whole_clauses_are_read_whatever_their_length():
+    scorer = toxicity.ClauseScorer(toxicity.Lexicon({"idiot": 1.0}))
+    at = lambda t: [i for i, x in enumerate(scorer(t)[:16]) if x]
+    for n in (20, 100, 2_000):
+        filler = "word " * n
+        assert at(f"he said {filler}you idiot") == [3] and at(f"idiot {filler}you") == [1]
+        assert at(f"{filler}. idiot {filler}") == [0]
+    many = "idiot " + "word " * 200
+    assert scorer(many * 50)[:16] == pytest.approx(brute_features({"idiot": 1.0}, many * 50)[:16])
+
+
+def test_lexicon_has_no_limit_on_stems(spark):
+    rng = random.Random(12)
+    letters = "abcdefghijklmnop"
+    code = lambda i: "".join(letters[(i >> (4 * k)) & 15] for k in range(4))
+    bad = [f"{code(i)}zz" for i in range(3_000)]
+    rows = [(" ".join(rng.choice(bad) for _ in range(300)), 1) for _ in range(120)] + [(" ".join(f"q{code(rng.randrange(500))}" for _ in range(30)), 0) for _ in range(600)]
+    got = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int")).stems
+    assert len(got) > 2_000 and all(s.strip() in w for s in got for w in [next(b for b in bad if b.startswith(s.strip()))])
+
+
 def test_toxicity_learns_and_holds_out(spark):
     rng = random.Random(2)
     rows, labels = [], []
@@ -95,6 +142,8 @@ def test_toxicity_learns_and_holds_out(spark):
     assert len(held) > 500 and sum(p == b for p, b in held) / len(held) > 0.99
     assert got[9000]["predicted"] == got[9001]["predicted"] == 0 and got[9002]["predicted"] == got[None]["predicted"] == 1
     assert all(0 <= r["score"] <= 1 for r in got.values())
+    twice = toxicity.labelled(df.unionByName(df), lab)  # a row for each labelled id, however often it repeats
+    assert twice.count() == toxicity.labelled(df, lab).count() <= 3000
     none = toxicity.score(df, lab.limit(0)).collect()
     assert len(none) == df.count() and all(0 <= r["score"] <= 1 for r in none)
     assert toxicity.score(df.limit(0), lab).collect() == []

@@ -9,9 +9,11 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from brute import brute_features, brute_lexicon, brute_posteriors
 from tokenizers import Tokenizer
 
 import __spark_entry__
+from waymark.llm import language, toxicity
 from waymark.llm import queries as Q
 
 DATA = "/root/testdata/sf0.001"
@@ -57,10 +59,18 @@ def test_op5(spark, rows):
 
 
 def test_op6(spark, rows):
+    docs, labels = rows("documents"), {r[0]: r[2] for r in rows("labels") if r[2] is not None}
+    fold = lambda i: zlib.crc32(str(i).encode()) % 4
+    sample = [(t, labels[i]) for i, t, *_ in docs if t and i in labels and fold(i) != 2]
+    tables = (spark.read.parquet(f"{DATA}/{x}.parquet") for x in ("documents", "labels"))
+    model = toxicity.fit(*tables)
+    assert model.lexicon.stems == pytest.approx(brute_lexicon(sample))
     got = {r["doc_id"]: r for r in run(spark, "op6_toxicity").collect()}
-    assert set(got) == {r[0] for r in rows("documents")}
-    for doc, r in got.items():
-        assert r["held_out"] == (zlib.crc32(str(doc).encode()) % 4 == 2) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3)
+    assert set(got) == {r[0] for r in docs}
+    for doc, t, *_ in docs:
+        want = float(model.score(np.array([brute_features(model.lexicon.stems, t)]))[0])
+        assert got[doc]["score"] == pytest.approx(want, abs=1e-9)
+        assert got[doc]["held_out"] == (fold(doc) == 2) and got[doc]["predicted"] == (got[doc]["score"] >= 0.3)
 
 
 def test_op7(spark, rows):
@@ -73,9 +83,19 @@ def test_op7(spark, rows):
         assert r["media_bytes"] > r["payload_bytes"] and r["codec"] == "raw "
 
 
-def test_op8_keeps_documents(spark, rows):
-    got = run(spark, "op8_language_id").collect()
-    assert len(got) == len(rows("documents")) and sum(r["kept"] for r in got) >= 0.98 * len(got)
+def test_op8(spark, rows):
+    got = {r["doc_id"]: r for r in run(spark, "op8_language_id").collect()}
+    docs = [(i, t, lang, source, None) for i, t, lang, source, *_ in rows("documents")]
+    df = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = language.TrigramModel.fit(language.training_rows(df, "text", "lang", "doc_id"))
+    assert len(got) == len(docs)
+    for doc, (best, posterior, kept) in zip(docs, brute_posteriors(model, docs), strict=True):
+        r = got[doc[0]]
+        assert (r["language"], r["kept"]) == (best, kept) and r["posterior"] == pytest.approx(posterior)
+    assert sum(r["kept"] for r in got.values()) >= 0.98 * len(got)
+
+
+def test_language_of_pages(spark):
     pages = run(spark, "language_of_pages").collect()
     assert sum(r["language"] == r["markup"] for r in pages) >= 0.95 * len(pages)
 

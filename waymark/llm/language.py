@@ -1,7 +1,7 @@
 """Language ID by Bayesian evidence fusion.
 
 Four pieces of evidence meet in one posterior: byte-trigram likelihoods of the whole text, the language that the markup (or the
-metadata) declares, the address suffix, and a prior for the host. Host priors come from a grouped aggregation over all documents of
+metadata) declares, the address suffix (the host's last label), and a prior for the host. Host priors come from a grouped aggregation over all documents of
 what their texts alone say, each level smoothed by the one above: host, the address's last label, everything, uniform.
 """
 
@@ -35,8 +35,8 @@ DECLARED_TRUE, SUFFIX_TRUE = 0.9, 0.6
 UNKNOWN, UNKNOWN_PRIOR, KAPPA = "und", 1e-6, 20.0
 #: A document stays if its language is known with this posterior.
 LEAST_POSTERIOR = 0.5
-#: Hosts up to which their priors are broadcast (some tens of bytes each); beyond, a shuffled join.
-BROADCAST_HOSTS = 20_000
+#: Hosts up to which their priors are broadcast (about a hundred bytes each); beyond, a shuffled join, whose hot hosts adaptive execution splits.
+BROADCAST_HOSTS = 200_000
 BLOCK_BYTES = 1 << 18
 
 
@@ -169,6 +169,12 @@ def likelihoods(model: TrigramModel):
     return score
 
 
+def last_label(host: str | Column) -> Column:
+    """The address suffix: what follows the host's last dot; null without a dot."""
+    name = F.col(host) if isinstance(host, str) else host
+    return F.when(F.contains(name, F.lit(".")), F.substring_index(name, ".", -1))
+
+
 def host_priors(scored: DataFrame, langs: tuple[str, ...]) -> DataFrame:
     """(_prior_host, _priors): for every host, log priors of langs. scored: host and says (the language of the text alone, or null).
 
@@ -176,7 +182,7 @@ def host_priors(scored: DataFrame, langs: tuple[str, ...]) -> DataFrame:
     label, none without a dot) over everything, and for everything over the uniform distribution.
     """
     known = langs[:-1]
-    parent = F.when(F.col("host").contains("."), F.substring_index("host", ".", -1))
+    parent = last_label("host")
     counts = [F.count_if(F.col("says") == lang).cast("double").alias(f"n{i}") for i, lang in enumerate(known)]
     hosts = scored.groupBy("host").agg(*counts).withColumn("parent", parent)
     sums = [F.sum(f"n{i}").alias(f"n{i}") for i in range(len(known))]
@@ -201,48 +207,46 @@ def evidence(col: Column, langs: tuple[str, ...], true: float) -> list[Column]:
     return [*(F.when(~told, 0.0).otherwise(F.when(col == lang, math.log(true)).otherwise(wrong)) for lang in known), F.when(told, math.log(1 / len(known))).otherwise(0.0)]
 
 
-def suffix_language(suffix: Column, langs: tuple[str, ...]) -> Column:
-    """The language that an address suffix such as ``fr`` or ``.de`` names, if it is a known one."""
-    bare = F.lower(F.regexp_replace(suffix, r"^\.", ""))
+def named_language(name: Column, langs: tuple[str, ...]) -> Column:
+    """The known language that an address part such as ``fr`` or ``.DE`` names, or null."""
+    bare = F.lower(F.regexp_replace(name, r"^\.", ""))
     return F.when(bare.isin(*langs[:-1]), bare)
 
 
-def identify(docs: DataFrame, text: str = "text", declared: str | None = "lang", host: str | None = "source", suffix: str | None = None, key: str = "doc_id") -> DataFrame:
-    """Adds language, posterior (of that language) and kept to every row of docs; columns of these names are replaced.
+def identify(
+    docs: DataFrame, text: str = "text", declared: str | None = "lang", host: str | None = "source", path: str | None = None, key: str = "doc_id", keep: list[str] | None = None
+) -> DataFrame:
+    """Adds language, posterior (of that language) and kept to the columns ``keep`` (all, by default) of every row of docs; columns of these names are replaced.
 
-    Null texts and those without letters bring no text evidence and are never kept; their language is what the other evidence says. A null host takes
-    part as a host of its own. Without any labelled row every language is ``und``. Texts are read twice (for the host priors, then for
-    the result) and never shuffled; ties go to the first language by name.
+    Evidence: the whole text, the declared language, the host's address suffix and, if named, another address part ``path``, and the host's prior. Null texts and
+    those without letters bring no text evidence and are never kept; their language is what the other evidence says. A null host takes part as a host of
+    its own, without a suffix. Repeated rows are rows of their own; so a host's prior counts each copy. Without any labelled row every language is ``und``. Ties go to the first
+    language by name. Texts are scored once: the wanted columns and the scores are written to the shared folder, and the priors and the result read that.
     """
     small_batches(docs.sparkSession)
-    docs = docs.drop("language", "posterior", "kept")
+    made = ["language", "posterior", "kept"]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
     rows = training_rows(docs, text, declared, key) if declared else []
     model = TrigramModel.fit(rows)
     if len(model.langs) == 1:
-        return docs.withColumns({"language": F.lit(UNKNOWN), "posterior": F.lit(1.0), "kept": F.lit(False)})
-    score = likelihoods(model)
-    names = F.array(*map(F.lit, model.langs))
-    host_of = F.col(host).cast("string") if host else F.lit(None).cast("string")
+        return docs.select(*keep).withColumns({"language": F.lit(UNKNOWN), "posterior": F.lit(1.0), "kept": F.lit(False)})
+    langs = model.langs
+    names = F.array(*map(F.lit, langs))
     best = lambda a: F.element_at(names, F.array_position(a, F.array_max(a)).cast("int"))
-    alone = docs.select(host_of.alias("host"), score(text).alias("ll")).select("host", best(F.col("ll")).alias("says"))
+    host_of = F.col(host).cast("string") if host else F.lit(None).cast("string")
+    told = evidence(F.col(declared), langs, DECLARED_TRUE) if declared else [F.lit(0.0)] * len(langs)
+    parts = [evidence(named_language(x, langs), langs, SUFFIX_TRUE) for x in (last_label(host_of), *([F.col(path)] if path else []))]
+    beside = F.array(*[sum(own, F.lit(0.0)) for own in zip(told, *parts, strict=True)])
+    # Internal columns lie in structs of their own, so that no column of docs can clash with them.
+    scored = materialise(docs.select(F.struct(*keep).alias("_row"), host_of.alias("_host"), likelihoods(model)(text).alias("_ll"), beside.alias("_beside")), "scored")
+    alone = scored.select(F.col("_host").alias("host"), best(F.col("_ll")).alias("says"))
     # Counted once, so that the size decides between broadcast and shuffle; a row a host.
-    priors = materialise(host_priors(alone, model.langs), "priors")
+    priors = materialise(host_priors(alone, langs), "priors")
     small = priors.count() <= BROADCAST_HOSTS
-    out = docs.withColumns({"_ll": score(text), "_host": host_of}).join(
-        F.broadcast(priors) if small else priors, F.col("_host").eqNullSafe(F.col("_prior_host")), "left"
-    )
-    told = evidence(F.col(declared), model.langs, DECLARED_TRUE) if declared else [F.lit(0.0)] * len(model.langs)
-    addressed = evidence(suffix_language(F.col(suffix), model.langs), model.langs, SUFFIX_TRUE) if suffix else [F.lit(0.0)] * len(model.langs)
-    flat = math.log(1 / len(model.langs))
-    total = F.array(*[
-        F.coalesce(F.col("_ll")[i], F.lit(0.0)) + F.coalesce(F.col("_priors")[i], F.lit(flat)) + told[i] + addressed[i]
-        for i in range(len(model.langs))
-    ])
+    out = scored.join(F.broadcast(priors) if small else priors, F.col("_host").eqNullSafe(F.col("_prior_host")), "left")
+    flat = math.log(1 / len(langs))
+    total = F.array(*[F.coalesce(F.col("_ll")[i], F.lit(0.0)) + F.coalesce(F.col("_priors")[i], F.lit(flat)) + F.col("_beside")[i] for i in range(len(langs))])
     shifted = F.aggregate("_total", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.array_max("_total")))
-    return (
-        out.withColumn("_total", total)
-        .withColumns({"language": best(F.col("_total")), "posterior": F.lit(1.0) / shifted})
-        .withColumn("kept", F.col("_ll").isNotNull() & (F.col("language") != UNKNOWN) & (F.col("posterior") >= LEAST_POSTERIOR))
-        .drop("_ll", "_host", "_total", "_prior_host", "_priors")
-    )
-
+    known = F.col("_ll").isNotNull() & (F.col("_language") != UNKNOWN) & (F.col("_posterior") >= LEAST_POSTERIOR)
+    found = out.withColumn("_total", total).withColumns({"_language": best(F.col("_total")), "_posterior": F.lit(1.0) / shifted})
+    return found.select(*[F.col("_row")[c].alias(c) for c in keep], F.col("_language").alias("language"), F.col("_posterior").alias("posterior"), known.alias("kept"))

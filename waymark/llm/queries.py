@@ -46,19 +46,18 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return language.identify(docs).select("doc_id", "lang", "language", "posterior", "kept")
+    return language.identify(docs, keep=["doc_id", "lang"]).select("doc_id", "lang", "language", "posterior", "kept")
 
 
 def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language ID over web pages: the markup's language, the first part of the address's path, and priors of hosts."""
+    """Language ID over web pages: the markup's language, the host's suffix and the first part of the address's path, and priors of hosts."""
     at = lambda k: F.coalesce(F.regexp_extract("url", url_filter.URL_PARTS, k), F.lit(""))
     pages = table(spark, sf_dir, "pages").select(
         "page_id", F.regexp_replace("html", r"(?is)<(script|style)\b[^>]*>.*?</\1>|<[^>]+>", " ").alias("text"),
         F.nullif(F.lower(F.regexp_extract("html", r"(?i)<html[^>]*\blang=[\"']?([a-z]{2})", 1)), F.lit("")).alias("markup"),
-        F.lower(at(1)).alias("host"), F.nullif(F.regexp_extract(at(2), r"^/([a-z]{2})/", 1), F.lit("")).alias("suffix"),
+        F.lower(at(1)).alias("host"), F.nullif(F.regexp_extract(at(2), r"^/([a-z]{2})/", 1), F.lit("")).alias("path"),
     )
-    found = language.identify(pages, declared="markup", host="host", suffix="suffix", key="page_id")
-    return found.select("page_id", "host", "markup", "suffix", "language", "posterior", "kept")
+    return language.identify(pages, declared="markup", host="host", path="path", key="page_id", keep=["page_id", "host", "markup", "path"])
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
