@@ -1,6 +1,7 @@
+import hashlib
 import itertools
 import random
-import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -29,8 +30,20 @@ def corpus(seed=1):
     return texts
 
 
+def words_of(text):
+    out, run = [], ""
+    for c in (text or "").lower() + " ":
+        alone = unicodedata.name(c, "").startswith(("CJK", "HIRAGANA", "KATAKANA", "THAI"))
+        if alone or unicodedata.category(c)[0] in "PSZC":
+            out += [run] * bool(run) + [c] * alone
+            run = ""
+        else:
+            run += c
+    return out
+
+
 def shingle_set(text):
-    w = re.findall(r"[a-z0-9]+|[^\x00-\x7f]+", (text or "").lower())
+    w = words_of(text)
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
@@ -70,12 +83,35 @@ def test_join_equals_brute_force(spark, monkeypatch, chars):
     assert got[0]["n_copies"] == 26 == got[-1]["n_copies"]
 
 
+def test_repeated_and_null_ids_lose_no_link_and_make_none(spark):
+    rng = random.Random(7)
+    han = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(120))
+    dashed = [f"w{rng.randrange(999)}" for _ in range(60)]
+    texts = corpus(2)[:130] + [han, han[:60] + "\u4e00" + han[61:], " ".join(dashed), "\u2014".join(dashed), "\u2014 \u00ab" + " \u2026 ".join(dashed), "\u2014", "\u4e8c", "", None, "\u0e01\u0e02 \u3042!"]
+    ids = [rng.choice([None, 5, 5, 6, i, i]) for i in range(len(texts))]
+    rows = [*zip(ids, texts, strict=True), (5, texts[0]), (None, texts[85]), (None, texts[85]), (6, texts[85]), (7, ""), (7, None), (7, texts[3])]
+    got = jaccard.join(spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, node string").repartition(5)).collect()
+    classes, links = brute([t for _, t in rows])
+    # A row by its id, its text's class (blank texts: its id) and links; the classes themselves are compared as partitions.
+    low = [(t or "").lower() for _, t in rows]
+    label = lambda i: ("blank", rows[i][0]) if not shingle_set(rows[i][1]) else classes[i]
+    key_of = {hashlib.md5(t.encode()).hexdigest(): t for t in low}
+    want = sorted((str(rows[i][0]), low[i], links[i]) for i in range(len(rows)))
+    assert sorted((str(r["doc_id"]), key_of[r["key"]], r["n_links"]) for r in got) == want
+    label_of = {(str(rows[i][0]), low[i]): label(i) for i in range(len(rows))}
+    pairs = {(r["class_id"], str(label_of[str(r["doc_id"]), key_of[r["key"]]])) for r in got if shingle_set(key_of[r["key"]])}
+    assert len({c for c, _ in pairs}) == len(pairs) == len({x for _, x in pairs})
+    leads = [(str(r["doc_id"]), key_of[r["key"]]) for r in got if r["lead"]]
+    assert {str(label_of[x]) for x in leads} == {str(label(i)) for i in range(len(rows))}
+    assert len({label_of[x] for x in set(leads)}) == len({x for x in set(leads) if shingle_set(x[1])}) + len({x[0] for x in leads if not shingle_set(x[1])})
+
+
 def test_odd_rows(spark):
     t = "one two three four five six seven"
     rows = [(None, t), (None, t + " eight"), (3, t), (3, "other text of more than five words"), (4, "Other text of more than five words"), (5, None), (5, None)]
     got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == len(rows) and all(r["class_id"] is not None for r in got)
-    assert {r["class_id"] for r in got if r["doc_id"] in (3, 4)} == {3}
+    assert len({r["class_id"] for r in got if r["doc_id"] in (3, 4)}) == 2  # two texts of one id are two classes
     assert jaccard.join(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
@@ -103,6 +139,13 @@ def test_shingles_equal_texts_alone_or_together():
         assert len(set(p.tolist())) == len(shingle_set(t.decode()))
 
 
+def test_words_of_any_script():
+    for t in ("caf\u00e9\u2014au lait \u00abx\u00bb", "\u65e5\u672c\u8a9e\u306e\u6587 and words", "\u0e44\u0e17\u0e22 a", "\u043c\u0438\u0440, \u2026\u043c\u0438\u0440\u2019\u0441"):
+        raw = jaccard.plain(t)
+        blank = jaccard.BLANK[np.frombuffer(raw, np.uint8)]
+        assert "".join(" " if x else chr(c) for c, x in zip(raw, blank, strict=True)).split() == [w.encode().decode("latin-1") for w in words_of(t)]
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]

@@ -1,6 +1,6 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
-1. Documents of one text (letter case aside) share a node; a node's name is the smallest doc_id among them.
+1. Documents of one text (letter case aside) share a node, numbered when the table of texts is written; the ids of documents play no part before the end.
 2. Every text gets SLOTS MinHash values of its five-word shingles. Texts that agree in all ROWS_PER_BAND values of a band share a bucket; buckets with the
    same members count once. A pair at the threshold misses all bands with probability (1 - 0.8^4)^32 < 1e-7.
 3. Within buckets, pairs that met in no earlier band compare their MinHash values STEP at a time. With a uniform prior the similarity after m of n matches is Beta(m + 1, n - m + 1); a pair
@@ -9,12 +9,15 @@
    components are the classes.
 
 Buckets and groups of any size are cut into blocks by a hash; a task holds two blocks. Pairs live inside a task only, what leaves it is a
-count and a star edge for each text.
+count and a star edge for each text. A group of n texts in blocks of b sends each text to n / b tasks.
+
+Words are runs of letters, digits and marks, lower case. Characters of scripts that put no blanks between words are words of their own.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterator
 from fractions import Fraction
 from functools import partial
@@ -32,7 +35,9 @@ THRESHOLD = "0.8"
 SLOTS, ROWS_PER_BAND, STEP = 128, 4, 16
 TOLERANCE = 1e-7
 #: Texts of a block when MinHash values, or whole shingle sets, are compared; characters that a block of whole texts has on average at most.
-PRUNE_BLOCK, VERIFY_BLOCK, VERIFY_CHARS = 512, 192, 1 << 23
+PRUNE_BLOCK, VERIFY_BLOCK, VERIFY_CHARS = 512, 384, 1 << 22
+#: Candidate texts up to which their names (about a hundred bytes each) are broadcast to the documents; beyond, a shuffled join brings the texts.
+BROADCAST_TEXTS = 250_000
 PAIRS_AT_ONCE = 1 << 16
 BYTES_AT_ONCE = 1 << 18
 COLUMNS_AT_ONCE = 2048
@@ -45,8 +50,11 @@ ADDENDS = _rng.integers(0, 1 << 63, SLOTS, dtype=np.uint64)
 PLACES = _rng.integers(1, 1 << 63, SHINGLE_WORDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-#: Words are runs of ASCII letters and digits and of all characters beyond ASCII; other bytes part them.
+#: ASCII bytes but letters and digits part words; so do, once ``plain`` has blanked them, punctuation and symbols beyond ASCII.
 BLANK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+#: Blocks of punctuation and symbols, and of scripts without blanks between words (Thai, Lao, Burmese, Khmer, kana, Han).
+SYMBOLS = re.compile("[\u00a0-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7\u2000-\u2bff\u2e00-\u2e7f\u3000-\u3004\u3008-\u3020\u3030\ufe10-\ufe6f\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65\ufffd]+")
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -116,13 +124,21 @@ def signatures(texts: list[bytes]) -> list[bytes | None]:
     return [next(found).tobytes() if c else None for c in counts]
 
 
+def plain(text: str | None) -> bytes:
+    """Lower case, with words beyond ASCII between blanks."""
+    low = (text or "").lower()
+    if not low.isascii():
+        low = UNSPACED.sub(r" \g<0> ", SYMBOLS.sub(" ", low))
+    return low.encode("utf-8", "surrogatepass")
+
+
 def in_blocks(texts: list[str | None], work: Callable[[list[bytes]], list]) -> list:
     """work over runs of about BYTES_AT_ONCE, so that memory follows that and the longest text."""
     out: list = []
     held: list[bytes] = []
     size = 0
     for t in texts:
-        held.append((t or "").lower().encode("utf-8", "surrogatepass"))
+        held.append(plain(t))
         size += len(held[-1])
         if size >= BYTES_AT_ONCE:
             out += work(held)
@@ -342,31 +358,35 @@ def text_key(text: str = "text") -> Column:
     return F.md5(F.lower(F.coalesce(text, F.lit(""))).cast("binary"))
 
 
-def node_of(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """The name that a document has as a node of its own."""
-    return F.coalesce(F.col(doc_id).cast("long"), F.xxhash64(text_key(text)))
+def name_of(doc_id: str | Column = "doc_id", key: str | Column | None = None) -> Column:
+    """What a document is called: its id, or a hash of its text where it has none."""
+    own = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.coalesce(own.cast("long"), F.xxhash64(text_key() if key is None else key))
 
 
 def join(docs: DataFrame, threshold: str = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """(doc_id, node, class_id, n_links, n_copies), a row for each row of docs.
+    """(doc_id, key, class_id, n_links, n_copies, lead), a row for each row of docs.
 
-    node is the smallest doc_id of the same text; class_id the smallest node among all texts that links join, n_links the number of different
-    texts linked with this one (Jaccard of five-word shingle sets >= threshold), n_copies the rows with this text. A text without words (null too) is linked
-    with nothing, not even its like: it is a class of its own row's doc_id. Rows that repeat a doc_id with other texts share a node.
-    A null doc_id is replaced by a hash of its text as node.
+    key is the text's; class_id the smallest name (doc_id, or a hash of the text where that is null) among all documents whose texts links join, n_links the number of
+    different texts linked with this one (Jaccard of five-word shingle sets >= threshold), n_copies the rows with this text. lead marks the rows of the class's
+    first text under its smallest name. A text without words (null too) is linked with nothing, not even its like: it is a class of its own row's name, and its lead.
+    Rows that repeat a doc_id with other texts are documents of their own; where two classes have one smallest name, all but that of the smallest key are
+    called by a hash of their first text instead. So neither a null nor a repeated doc_id makes or hides a link. No rows give no rows; other columns are not read.
     """
     small_batches(docs.sparkSession)
     exact = Fraction(threshold)
     signature = F.arrow_udf(signing, "binary")
     key = text_key()
     signed = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), signature("text").alias("signature"), F.length("text").cast("long").alias("chars")), "signatures")
+    # Numbers are given once, at the writing; they differ between runs, but nothing of the result depends on them.
     texts = materialise(
         signed.filter(F.col("signature").isNotNull())
         .groupBy("key")
-        .agg(F.coalesce(F.min("doc_id"), F.xxhash64("key")).alias("node"), F.count("*").alias("n_copies"), F.any_value("signature").alias("signature"), F.max("chars").alias("chars")),
+        .agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), F.any_value("signature").alias("signature"), F.max("chars").alias("chars"))
+        .select(F.monotonically_increasing_id().alias("node"), "key", name_of("doc_id", F.col("key")).alias("name"), "n_copies", "signature", "chars"),
         "texts",
     )
-    # Buckets: only names and counts are shuffled here; signatures join those that have company.
+    # Buckets: only numbers and counts are shuffled here; signatures join those that have company.
     width = 2 * ROWS_PER_BAND
     every_band = F.sequence(F.lit(0), F.lit(SLOTS // ROWS_PER_BAND - 1))
     names = F.transform(every_band, lambda b: F.struct(b.alias("band"), F.xxhash64(b, F.substring("signature", b * width + 1, F.lit(width))).alias("bucket")))
@@ -383,24 +403,30 @@ def join(docs: DataFrame, threshold: str = THRESHOLD, tolerance: float = TOLERAN
     members = bands.select("node", "bucket").join(buckets, "bucket").join(texts.select("node", "signature"), "node")
     pairs = dealt(members, "bucket", F.col("n") / PRUNE_BLOCK, ["band", "signature"]).mapInArrow(pruning(float(exact), tolerance), "a long, b long")
     candidates = connected(pairs, "candidates")
-    keyed = candidates.join(texts.select("node", "key", "chars"), "node")
+    keyed = candidates.join(texts.select("node", "name", "key", "chars"), "node")
     sizes = keyed.groupBy("component").agg(F.greatest(F.count("*") / VERIFY_BLOCK, F.sum("chars") / VERIFY_CHARS).alias("share"))
-    wanted = keyed.drop("chars").join(sizes, "component")
-    # A text is read from one of its documents: that with the node's name, or (null ids) any.
-    whole = docs.select(node_of().alias("node"), key.alias("key"), "text")
-    held = whole.join(wanted.hint("shuffle_hash"), ["node", "key"]).dropDuplicates(["node", "key"])
+    wanted = materialise(keyed.drop("chars").join(sizes, "component"), "wanted")
+    # A text is read from one of its documents, that with the text's name; rows that repeat it (null ids) are dropped after the join.
+    whole = docs.select(name_of("doc_id", key).alias("name"), key.alias("key"), "text")
+    few = wanted.count() <= BROADCAST_TEXTS
+    held = whole.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), ["name", "key"]).dropDuplicates(["name", "key"])
     verified = materialise(dealt(held, "component", F.col("share"), ["text"]).mapInArrow(verifying(exact), "node long, links long, star long"), "links")
-    classes = connected(verified.select(F.col("star").alias("a"), F.col("node").alias("b")), "classes")
+    groups = connected(verified.select(F.col("star").alias("a"), F.col("node").alias("b")), "classes")
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
-    named = (
-        texts.select("key", "node", "n_copies")
-        .join(classes, "node", "left")
-        .join(links, "node", "left")
-        .select("key", "node", "n_copies", F.coalesce("component", "node").alias("class_id"), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"))
+    joined = texts.select("node", "key", "name", "n_copies").join(groups, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = F.min(F.struct("name", "key")).alias("lead")
+    classes = joined.groupBy("component").agg(first)
+    owners = classes.groupBy("lead.name").agg(F.min("lead.key").alias("owner"))  # of classes with one smallest name, that which keeps it
+    called = classes.join(owners, F.col("lead.name") == F.col("name")).select(
+        "component", F.col("lead.key").alias("lead_key"), F.col("name").alias("lead_name"), F.when(F.col("lead.key") == F.col("owner"), F.col("name")).otherwise(F.xxhash64("lead.key")).alias("class_id")
     )
-    own = F.coalesce("doc_id", F.xxhash64("key"))
+    named = joined.join(called, "component").select("key", "n_copies", "class_id", F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), "lead_key", "lead_name")
+    own = name_of("doc_id", F.col("key"))
     return (
-        signed.select("doc_id", F.when(F.col("signature").isNotNull(), F.col("key")).alias("key"))
-        .join(named, "key", "left")
-        .select("doc_id", F.coalesce("node", own).alias("node"), F.coalesce("class_id", own).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"))
-    )
+        signed.select("doc_id", "key", F.when(F.col("signature").isNotNull(), F.col("key")).alias("t_key"))
+        .join(named.withColumnRenamed("key", "n_key"), F.col("t_key") == F.col("n_key"), "left")
+        .select(
+            "doc_id", "key", F.coalesce("class_id", own).alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"),
+            (F.col("n_key").isNull() | (F.col("key") == F.col("lead_key")) & (own == F.col("lead_name"))).alias("lead"),
+        )
+    )
