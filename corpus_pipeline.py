@@ -6,7 +6,7 @@ return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import jaccard, language, mixing, packing, toxicity
@@ -24,13 +24,11 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of linked or equal texts: that whose doc_id names the class. Rows that repeat its doc_id leave the first by content."""
-    classes = jaccard.join(docs)
-    names = classes.filter(F.col("node") == F.col("class_id")).select(F.col("node").alias("_name")).distinct()
-    own = docs.withColumn("_node", jaccard.node_of("doc_id", "text"))
-    first = Window.partitionBy("_node").orderBy(*docs.columns)
-    kept = own.join(names.hint("shuffle_hash"), F.col("_node") == F.col("_name"), "left_semi")
-    return kept.withColumn("_row", F.row_number().over(first)).filter("_row = 1").select(*docs.columns)
+    """One document of each class of linked or equal texts: the class's first text under its smallest doc_id; of rows that repeat both, the smallest."""
+    leads = jaccard.join(docs).filter("lead").select(jaccard.name_of("doc_id", F.col("key")).alias("_name"), F.col("key").alias("_key")).distinct()
+    own = docs.select(F.struct(*docs.columns).alias("_row"), jaccard.name_of().alias("_name"), jaccard.text_key().alias("_key"))
+    kept = own.join(leads.hint("shuffle_hash"), ["_name", "_key"], "left_semi")
+    return kept.groupBy("_name", "_key").agg(F.min("_row").alias("_row")).select("_row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
