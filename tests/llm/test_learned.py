@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -159,24 +160,55 @@ def brute(ids, v, every, k):
     return out
 
 
+def recall(got, want):
+    return sum(len({i for i, _ in w} & {i for i, _ in got[q].values()}) for q, w in want.items()) / sum(map(len, want.values()))
+
+
+def by_query(rows):
+    got = {}
+    for r in rows:
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    return got
+
+
 def test_ann_recall_and_exact_scores(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(3000, 16)).astype(np.float32).astype(float)
     v[100:160] = v[100]  # ties
-    rows = [(int(i), x.tolist()) for i, x in enumerate(v)]
-    df = spark.createDataFrame(rows + [(5000, None), (5050, [0.0] * 16), (5100, [1.0, None] * 8), (5150, [float("nan")] * 16), (5200, [1.0]), (None, [1.0] * 16), (7, v[7].tolist())], "vec_id long, embedding array<double>").repartition(3)
+    rows = [(int(i), x.tolist(), "clash") for i, x in enumerate(v)]
+    odd = [(5000, None), (5050, [0.0] * 16), (5100, [1.0, None] * 8), (5150, [float("nan")] * 16), (None, [1.0] * 16)]
+    df = spark.createDataFrame(rows + [(*r, "x") for r in odd], "vec_id long, embedding array<double>, near string").withColumns({"row": F.lit(1), "dim": F.lit(2), "block": F.lit("b")}).repartition(3)
     want = brute(np.arange(3000), v, 50, 5)
-    got = {}
-    for r in ann.search(df, least=256).collect():
-        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
-    assert set(got) == set(want)
-    hits = sum(len({i for i, _ in w} & {i for i, _ in got[q].values()}) for q, w in want.items())
-    assert hits / (5 * len(want)) >= 0.9
-    assert [got[100][k][0] for k in range(1, 6)] == [101, 102, 103, 104, 105]
-    for own in got.values():
-        assert sorted(own) == [1, 2, 3, 4, 5]
-    exact = {q: [own[k] for k in sorted(own)] for q, own in got.items()}
-    assert sum(exact[q][0][1] == pytest.approx(want[q][0][1], abs=1e-12) for q in want) / len(want) > 0.9
+    for settings in ({}, {"block": 256, "visit": 200, "pivots": 256, "least": 0}):  # one block; many blocks, of which a query visits some
+        got = by_query(ann.search(df, **settings).collect())
+        assert set(got) == set(want) and recall(got, want) >= 0.9
+        assert [got[100][k][0] for k in range(1, 6)] == [101, 102, 103, 104, 105]
+        exact = lambda q, i: float((v[q] * v[i]).sum() / np.sqrt((v[q] * v[q]).sum() * (v[i] * v[i]).sum()))
+        for q, own in got.items():
+            assert sorted(own) == [1, 2, 3, 4, 5]
+            assert all(s == pytest.approx(exact(q, i), abs=1e-12) for i, s in own.values())
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/check_s"), reason="driver tables absent")
+def test_ann_recall_on_a_block_of_real_vectors():
+    """A block of 8,192 of the driver's vectors, an eighth reranked at most, nothing reranked for smallness, and only the visited cells counted."""
+    import duckdb
+
+    got = duckdb.sql("SELECT embedding FROM read_parquet('/root/testdata/check_s/embeddings.parquet/*.parquet') ORDER BY vec_id LIMIT 8192").fetchall()
+    v = np.array([x for x, in got], dtype=float)
+    pivots = v[np.random.default_rng(0).choice(len(v), ann.PIVOTS, replace=False)]
+    named = ann.orders(v, pivots, max(ann.PREFIX, ann.VISIT))
+    index = ann.Index(v, named[:, : ann.PREFIX], ann.PIVOTS)
+    hits = visited = 0
+    asked = range(0, len(v), 50)
+    for q in asked:
+        c = (v * v[q]).sum(1) / (ann.norms(v) * ann.norms(v[q : q + 1]))
+        best = [j for j in np.argsort(-c) if j != q][:5]
+        rows, cosines = index.nearest(ann.scaled(v[q : q + 1])[0], named[q][: ann.WALK], 5, ann.RERANK, 0)
+        found = {int(rows[j]) for j in np.argsort(-cosines) if rows[j] != q}
+        hits += len(found & set(best))
+        visited += len({j for j in best if j in found and named[j][0] in named[q][: ann.VISIT]})
+    assert ann.RERANK <= 0.12 and hits / (5 * len(asked)) >= 0.92 and visited / (5 * len(asked)) >= 0.9
 
 
 def test_ann_small_and_empty(spark):
@@ -186,12 +218,24 @@ def test_ann_small_and_empty(spark):
     assert ann.search(df.limit(0)).collect() == []
 
 
+def test_ann_repeated_ids_and_lengths(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.1]), (7, [1.0, 0.0]), (50, [1.0, 2.0, 3.0]), (8, [3.0, 2.0, 1.0]), (100, [4.0])]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 3)) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(0, 1, 0, 0.995), (0, 1, 7, 1.0), (0, 2, 0, 0.995), (0, 2, 7, 0.995), (50, 1, 8, 0.714)]
+
+
+def test_hot_cells_are_cut_and_small_ones_share_blocks():
+    counts = {0: 3, 1: 2, 2: 25, 3: 9, 5: 1, 6: 10}
+    assert ann.cells_to_blocks(counts, 10) == {0: (0, 1), 1: (0, 1), 2: (1, 3), 3: (4, 1), 5: (4, 1), 6: (5, 1)}
+    assert ann.cells_to_blocks({}, 10) == {}
+
+
 def test_footrule_is_what_the_index_ranks_by():
     rng = np.random.default_rng(4)
     v, pivots, prefix = rng.normal(size=(60, 8)), rng.normal(size=(20, 8)), 6
-    index, order = ann.Index(v, pivots, prefix), ann.orders(v, pivots, prefix)
+    order = ann.orders(v, pivots, prefix)
     rank = np.full((60, 20), prefix)
     np.put_along_axis(rank, order, np.arange(prefix)[None, :], 1)
     footrule = np.abs(rank - rank[0]).sum(1)
-    rows, _ = index.nearest(v[0], order[0], 0.3, 1)
-    assert max(footrule[rows]) <= min(np.delete(footrule, rows))
+    rows = ann.Index(v, order, 20).candidates(order[0], 18)
+    assert len(rows) == 18 and max(footrule[rows]) <= min(np.delete(footrule, rows))

@@ -1,12 +1,13 @@
 """Approximate nearest neighbours by a permutation index.
 
 A vector is represented by the order of its PREFIX nearest pivots. Each pivot has an inverted file of the vectors that name it, with the rank they give
-it. A query walks the files of its own pivots; the common ones give the footrule distance between the two orders (pivots that are
-missing count as rank PREFIX): 2 * sum(PREFIX - max of both ranks) is what a common pivot takes off its largest value. The share
-RERANK of the vectors with the smallest distances is reranked by cosine in double precision.
+it. A query walks the files of its WALK nearest pivots; a pivot that both name takes PREFIX less the larger rank off the footrule distance (pivots that
+are missing count as rank PREFIX), so vectors are ranked by the sum of that. The share RERANK of a block with the smallest distances is reranked by cosine:
+first in single precision, then those that may be among the nearest in double precision on the original vectors.
 
-The index lies in blocks of vectors by a hash of their ids; a task holds one block of vectors and one block of queries, and yields
-the block's nearest for each query. Measured recall at 5 against brute force is in the README.
+A vector is posted in the cell of its nearest pivot. Cells fill blocks of about BLOCK vectors: small ones share a block, and a large one (a hot vector) is cut
+by a hash. A query goes only to the blocks that hold a cell of its VISIT nearest pivots. A task holds one block, whose queries pass through it in
+batches. Measured recall at 5 against brute force is in the README.
 """
 
 from __future__ import annotations
@@ -19,28 +20,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Pivots are those vectors with the smallest hashes of their ids: a bounded sample, PIVOTS rows on the driver and in each task.
-PIVOTS = 256
-PREFIX = 48
-#: Vectors of a block, queries of a block, share of a block that is reranked, and how many at least.
-BLOCK, QUERY_BLOCK = 8192, 4096
-RERANK, LEAST_RERANK = 0.35, 1024
+from .common import materialise, partitions, small_batches
+
+#: Pivots are different vectors with the smallest hashes: a bounded sample, PIVOTS rows of a length on the driver and in each task.
+PIVOTS = 768
+#: Pivots that a vector's order has, pivots whose files a query walks, and pivots whose cells it visits.
+PREFIX, WALK, VISIT = 64, 40, 528
+#: Vectors of a block, share of a block that is reranked, and how many at least.
+BLOCK = 4096
+RERANK, LEAST_RERANK = 0.12, 128
 EVERY = 50
 
 
 def valid(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """(vec_id, v): vectors that take part, as doubles; one for each id (the smallest, should an id repeat).
-
-    Out are null ids, null and empty and zero vectors, null or non-finite components, and vectors whose length is not the most common one.
-    """
+    """(vec_id, dim, v): rows that take part, with their vectors as doubles. Out are null ids, null, empty and zero vectors, and null or non-finite components."""
     v = F.col(vector).cast("array<double>")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    own = rows.select(F.col(key).cast("long").alias("vec_id"), v.alias("v")).filter(
-        F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~bad & F.exists("v", lambda x: x != 0)
-    )
-    common = own.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1)
-    dims = [r["n"] for r in common.collect()]
-    return own.filter(F.size("v") == (dims[0] if dims else 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
+    own = rows.select(F.col(key).cast("long").alias("vec_id"), v.alias("v"))
+    some = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~bad & F.exists("v", lambda x: x != 0)
+    return own.filter(some).select("vec_id", F.size("v").alias("dim"), "v")
 
 
 def scaled(v: np.ndarray) -> np.ndarray:
@@ -54,98 +52,192 @@ def norms(v: np.ndarray) -> np.ndarray:
 
 def orders(v: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     """[n, prefix] the nearest pivots by cosine, nearest first, ties to the smaller number."""
+    v, pivots = scaled(v), scaled(pivots)
     near = (v / norms(v)[:, None]) @ (pivots / norms(pivots)[:, None]).T
     return np.argsort(-near, axis=1, kind="stable")[:, :prefix]
 
 
+def matrix(lists: pa.Array, dim: int) -> np.ndarray:
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
+
 class Index:
-    """Inverted files of a block: for each pivot the rows that name it and the ranks they give it."""
-
-    def __init__(self, v: np.ndarray, pivots: np.ndarray, prefix: int):
-        self.n, self.prefix = len(v), min(prefix, len(pivots))
-        self.v, self.norms = v, norms(v)
-        named = orders(v, pivots, self.prefix)
-        rows, ranks = np.divmod(np.argsort(named.reshape(-1), kind="stable"), self.prefix)
-        ends = np.cumsum(np.bincount(named.reshape(-1), minlength=len(pivots)))
-        self.files = [(rows[a:b], ranks[a:b].astype(np.int32)) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-
-    def nearest(self, q: np.ndarray, order: np.ndarray, rerank: float, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, cosines) of the reranked candidates. Rows lie by id, so equal distances go to the smaller id."""
-        common = np.zeros(self.n, dtype=np.int32)
-        for rank, pivot in enumerate(order):
-            rows, ranks = self.files[pivot]
-            common[rows] += self.prefix - np.maximum(ranks, rank)
-        c = min(self.n, max(least, math.ceil(rerank * self.n)))
-        if c < self.n:
-            keyed = common.astype(np.int64) * self.n + np.arange(self.n - 1, -1, -1)
-            rows = np.argpartition(-keyed, c - 1)[:c]
+    """Inverted files of a block: for each pivot the rows that name it and the ranks they give it. Rows lie by id."""
+
+    def __init__(self, v: np.ndarray, named: np.ndarray, pivots: int):
+        self.n, self.prefix = named.shape
+        self.v = scaled(v)
+        self.norms = norms(self.v)
+        self.single = (self.v / self.norms[:, None]).astype(np.float32)
+        self.rows, self.ranks = np.divmod(np.argsort(named.reshape(-1), kind="stable"), self.prefix)
+        self.ends = np.concatenate([[0], np.cumsum(np.bincount(named.reshape(-1), minlength=pivots))])
+
+    def candidates(self, order: np.ndarray, count: int) -> np.ndarray:
+        """The ``count`` rows with the smallest footrule distances to the order, of equal ones those of the smaller ids."""
+        if count >= self.n:
+            return np.arange(self.n)
+        spans = [slice(self.ends[p], self.ends[p + 1]) for p in order[: self.prefix]]
+        rows = np.concatenate([self.rows[s] for s in spans])
+        own = np.repeat(np.arange(len(spans)), [s.stop - s.start for s in spans])
+        common = np.bincount(rows, weights=self.prefix - np.maximum(np.concatenate([self.ranks[s] for s in spans]), own), minlength=self.n)
+        return np.argpartition(np.arange(self.n) - common * self.n, count - 1)[:count]
+
+    def nearest(self, q: np.ndarray, order: np.ndarray, k: int, rerank: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, cosines) of all candidates that may be among the k + 1 nearest; q is scaled."""
+        rows = self.candidates(order, min(self.n, max(least, k + 1, math.ceil(rerank * self.n))))
+        length = math.sqrt(float((q * q).sum()))
+        if len(rows) > k + 1:
+            near = self.single[rows] @ (q / length).astype(np.float32)
+            last = np.partition(near, len(rows) - k - 1)[len(rows) - k - 1]
+            rows = rows[near >= last - len(q) * 2.0**-21]  # more than single precision can be wrong
+        return rows, (self.v[rows] * q).sum(axis=1) / (self.norms[rows] * length)
+
+
+def posting(pivots: dict[int, np.ndarray], prefix: int, visit: int, every: int):
+    """For mapInArrow over (vec_id, dim, v): adds the order of the nearest pivots (of queries, as many as they visit); empty for lengths without pivots."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, dims = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            found: list = [[]] * len(ids)
+            for dim in np.unique(dims).tolist():
+                if dim in pivots:
+                    own = np.flatnonzero(dims == dim)
+                    named = orders(matrix(batch.column(2).take(pa.array(own)), dim), pivots[dim], max(prefix, visit)).astype(np.int16)
+                    for i, x in zip(own, named, strict=True):
+                        found[i] = x if ids[i] % every == 0 else x[:prefix]
+            yield pa.record_batch([*batch.columns, pa.array(found, type=pa.list_(pa.int16()))], names=["vec_id", "dim", "v", "near"])
+
+    return run
+
+
+def cells_to_blocks(counts: dict[int, int], block: int) -> dict[int, tuple[int, int]]:
+    """Cell to (first block, how many it fills). Cells go in order; one larger than a block has blocks of its own."""
+    out, at, held = {}, -1, block
+    for cell in sorted(counts):
+        n = counts[cell]
+        if n > block:
+            splits = -(-n // block)
+            out[cell], at, held = (at + 1, splits), at + splits, block
+        elif held + n > block:
+            out[cell], at, held = (at + 1, 1), at + 1, n
         else:
-            rows = np.arange(self.n)
-        return rows, (self.v[rows] * q).sum(axis=1) / (self.norms[rows] * math.sqrt(float((q * q).sum())))
-
-
-def searching(pivots: np.ndarray, k: int, prefix: int, rerank: float, least: int):
-    """For mapInArrow over (qb, db, is_query, vec_id, v), sorted by the first four with vectors before queries."""
-    dim = pivots.shape[1]
-
-    def search(ids: np.ndarray, v: np.ndarray, is_query: np.ndarray) -> pa.RecordBatch:
-        out: list[tuple] = []
-        own, asked = np.flatnonzero(~is_query), np.flatnonzero(is_query)
-        if len(own) and len(asked):
-            v = scaled(v)
-            index, own_ids = Index(v[own], scaled(pivots), prefix), ids[own]
-            for i, order in zip(asked, orders(v[asked], scaled(pivots), index.prefix), strict=True):
-                rows, cosines = index.nearest(v[i], order, rerank, least)
-                other = own_ids[rows] != ids[i]
-                rows, cosines = rows[other], cosines[other]
-                for j in np.lexsort((own_ids[rows], -cosines))[:k]:
-                    out.append((int(ids[i]), int(own_ids[rows[j]]), float(cosines[j])))
-        columns = list(zip(*out, strict=True)) or [()] * 3
-        return pa.record_batch([pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "vec_id", "score"])
+            out[cell], held = (at, 1), held + n
+    return out
+
+
+def visiting(blocks: dict[int, dict[int, tuple[int, int]]], counts: dict[int, dict[int, int]], visit: int, enough: int):
+    """A UDF from (dim, near) to the blocks that hold a cell of the first ``visit`` pivots; all blocks, should these have fewer than ``enough`` vectors."""
+
+    @F.arrow_udf("array<int>")
+    def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for dims, near in batches:
+            out = []
+            for dim, order in zip(dims.to_pylist(), near.to_pylist(), strict=True):
+                own = blocks.get(dim)
+                cells = [c for c in order[:visit] if c in own] if own else []
+                if own and sum(counts[dim][c] for c in cells) < enough:
+                    cells = list(own)
+                out.append(sorted({b for c in cells for b in range(own[c][0], sum(own[c]))}) if own else [0])
+            yield pa.array(out, type=pa.list_(pa.int32()))
+
+    return of
+
+
+def searching(n_pivots: dict[int, int], k: int, pivots: int, prefix: int, walk: int, rerank: float, least: int):
+    """For mapInArrow over (dim, block, is_query, vec_id, row, v, near), sorted by the first five: a block's vectors come before its queries."""
+
+    def index_of(dim: int, ids: np.ndarray, v: np.ndarray, near: list[pa.Array]) -> tuple[Index, np.ndarray | None]:
+        if dim in n_pivots:
+            return Index(v, np.concatenate([matrix(x, len(x[0])) for x in near])[:, :prefix], n_pivots[dim]), None
+        # A length that fills no block has its pivots among its own vectors.
+        own = v[np.argsort(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), kind="stable")[:pivots]]
+        return Index(v, orders(v, own, min(prefix, len(own))), len(own)), own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        key = None
+        key, stored, index = None, [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            qb, db = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            flags = batch.column(2).to_numpy(zero_copy_only=False)
-            ids, v = batch.column(3).to_numpy(), batch.column(4).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            cuts = np.flatnonzero((qb[1:] != qb[:-1]) | (db[1:] != db[:-1])) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(qb)], strict=True):
-                now = int(qb[a]), int(db[a])
-                if key is not None and now != key:
-                    yield search(*(np.concatenate(x) for x in zip(*held, strict=True)))
-                    held = []
-                key = now
-                held.append((ids[a:b], v[a:b], flags[a:b]))
-        if held:
-            yield search(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            k3 = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in k3], axis=0)) + 1
+            for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                dim, block, asked = int(k3[0][a]), int(k3[1][a]), bool(k3[2][a])
+                part = batch.slice(a, b - a)
+                ids, rows, v, near = part.column(3).to_numpy(), part.column(4).to_numpy(), matrix(part.column(5), dim), part.column(6)
+                if (dim, block) != key:
+                    key, stored, index = (dim, block), [], None
+                if not asked:
+                    stored.append((ids, rows, v, near))
+                    continue
+                if not stored:
+                    continue
+                if index is None:
+                    own_ids, own_rows, own_v = (np.concatenate([s[i] for s in stored]) for i in range(3))
+                    index, local = index_of(dim, own_ids, own_v, [s[3] for s in stored])
+                v = scaled(v)
+                walked = orders(v, local, walk) if local is not None else matrix(near, len(near[0]))[:, :walk]
+                out: list[tuple] = []
+                for i in range(len(ids)):
+                    found, cosines = index.nearest(v[i], walked[i], k, rerank, least)
+                    other = own_rows[found] != rows[i]
+                    found, cosines = found[other], cosines[other]
+                    for j in np.lexsort((own_ids[found], -cosines))[:k]:
+                        out.append((int(rows[i]), int(ids[i]), int(own_rows[found[j]]), int(own_ids[found[j]]), float(cosines[j])))
+                columns = list(zip(*out, strict=True)) or [()] * 5
+                names = ["query_row", "query_id", "row", "vec_id", "score"]
+                yield pa.record_batch([pa.array(c, type=pa.float64() if n == "score" else pa.int64()) for c, n in zip(columns, names, strict=True)], names=names)
 
     return run
 
 
-def search(rows: DataFrame, k: int = 5, every: int = EVERY, key: str = "vec_id", vector: str = "embedding", pivots: int = PIVOTS, prefix: int = PREFIX, rerank: float = RERANK, least: int = LEAST_RERANK) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of every vector whose id is divisible by ``every``, among all others.
-
-    Nearest first by cosine in double precision, ties to the smaller id. Fewer than k others give all of them; no valid vector gives no rows.
+def chosen_pivots(v: DataFrame, sizes: dict[int, int], pivots: int) -> dict[int, np.ndarray]:
+    """Of each length in ``sizes``, the ``pivots`` different vectors with the smallest hashes (all, if there are fewer)."""
+    if not sizes:
+        return {}
+    share = lambda n: int(-(2**63) + min(1.0, 4 * pivots / n) * (2**64 - 1))
+    end = F.element_at(F.create_map(*[F.lit(x) for dim, n in sizes.items() for x in (dim, share(n))]), F.col("dim"))
+    low = v.filter(F.col("dim").isin(*sizes)).withColumn("hash", F.xxhash64("v")).filter(F.col("hash") <= end)
+    single = low.groupBy("dim", "hash").agg(F.min("v").alias("v"))
+    first = single.withColumn("n", F.row_number().over(Window.partitionBy("dim").orderBy("hash"))).filter(F.col("n") <= pivots)
+    found: dict[int, list] = {}
+    for r in first.orderBy("dim", "n").collect():
+        found.setdefault(r["dim"], []).append(r["v"])
+    return {dim: np.array(x, dtype=float) for dim, x in found.items()}
+
+
+def search(
+    rows: DataFrame, k: int = 5, every: int = EVERY, key: str = "vec_id", vector: str = "embedding", pivots: int = PIVOTS, prefix: int = PREFIX, walk: int = WALK, visit: int = VISIT,
+    rerank: float = RERANK, least: int = LEAST_RERANK, block: int = BLOCK,
+) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found of every row whose id is divisible by ``every``, among all other rows.
+
+    Nearest first by cosine in double precision, ties to the smaller id. Rows that repeat an id are rows of their own: each is a candidate for the others, and a query
+    of its own. Vectors are compared with those of their own length. Rows with a null id, or whose vector is null, empty, zero or holds a null or
+    non-finite component take no part. Fewer than k others give all of them; no valid vector gives no rows. Other columns are not read.
     """
     spark = rows.sparkSession
+    small_batches(spark)
     v = valid(rows, key, vector)
-    n = v.count()
-    kind = "query_id long, vec_id long, score double"
-    chosen = [r["v"] for r in v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(pivots).collect()]
-    if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    large = {r["dim"]: r["n"] for r in v.groupBy("dim").agg(F.count("*").alias("n")).filter(F.col("n") > block).collect()}
+    points = chosen_pivots(v, large, pivots)
+    posted = v.mapInArrow(posting(points, prefix, visit, every), "vec_id long, dim int, v array<double>, near array<short>")
+    posted = materialise(posted.withColumn("row", F.monotonically_increasing_id()), "posted")
     asked = F.col("vec_id") % every == 0
-    blocks = max(1, math.ceil(n / BLOCK))
-    query_blocks = max(1, math.ceil(n / every / QUERY_BLOCK))
-    block = lambda seed, m: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(m)).cast("int")
-    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    stored = v.select(each(query_blocks).alias("qb"), block(1, blocks).alias("db"), F.lit(False).alias("is_query"), "vec_id", "v")
-    queries = v.filter(asked).select(block(2, query_blocks).alias("qb"), each(blocks).alias("db"), F.lit(True).alias("is_query"), "vec_id", "v")
-    tasks = stored.unionByName(queries).repartition(min(blocks * query_blocks, 4096), "qb", "db").sortWithinPartitions("qb", "db", "is_query", "vec_id")
-    found = tasks.mapInArrow(searching(np.array(chosen, dtype=float), k, prefix, rerank, least), kind)
-    ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    cell = F.when(F.size("near") > 0, F.col("near")[0].cast("int"))
+    counts: dict[int, dict[int, int]] = {dim: {} for dim in points}
+    for r in posted.filter(cell.isNotNull()).groupBy("dim", cell.alias("cell")).agg(F.count("*").alias("n")).collect():  # a row a pivot
+        counts[r["dim"]][r["cell"]] = r["n"]
+    blocks = {dim: cells_to_blocks(own, block) for dim, own in counts.items()}
+    table = spark.createDataFrame([(d, c, *x) for d, own in blocks.items() for c, x in own.items()], "dim int, cell int, first int, splits int")
+    own_block = F.coalesce(F.col("first") + F.pmod(F.xxhash64("row"), F.col("splits")).cast("int"), F.lit(0))
+    stored = posted.withColumn("cell", cell).join(F.broadcast(table), ["dim", "cell"], "left")  # a row a pivot
+    stored = stored.select("dim", own_block.alias("block"), F.lit(False).alias("is_query"), "vec_id", "row", "v", F.slice("near", 1, prefix).alias("near"))
+    queries = posted.filter(asked).withColumn("block", F.explode(visiting(blocks, counts, visit, k + 1)("dim", "near")))
+    queries = queries.select("dim", "block", F.lit(True).alias("is_query"), "vec_id", "row", "v", F.slice("near", 1, prefix).alias("near"))
+    n_blocks = sum(max(map(sum, own.values()), default=0) for own in blocks.values())
+    tasks = stored.unionByName(queries).repartition(max(partitions(spark), min(2 * n_blocks, 8192)), "dim", "block").sortWithinPartitions("dim", "block", "is_query", "vec_id", "row")
+    run = searching({dim: len(x) for dim, x in points.items()}, k, pivots, prefix, walk, rerank, least)
+    found = tasks.mapInArrow(run, "query_row long, query_id long, row long, vec_id long, score double")
+    ranked = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     return found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
