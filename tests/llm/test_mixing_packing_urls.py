@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from waymark.llm import mixing, packing, url_filter
 
@@ -51,6 +52,26 @@ def test_mix_takes_the_targets(spark):
     assert places == sorted(places) and len(places) == sum(r["epochs"] for r in got)
 
 
+def test_columns_of_any_name_stay(spark):
+    names = ["bucket", "order_key", "weight", "epoch", "target", "position", "size", "taken", "stream_start", "o_source"]
+    rows = [(i, f"word {'x ' * (i % 9)}", "s" if i % 3 else None, *[f"{n}{i}" for n in names]) for i in range(60)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", "source", *names])
+    got = mixing.curriculum(df, numbered=False)
+    assert got.columns == df.columns and {tuple(r) for r in got.collect()} <= set(rows)
+    assert mixing.curriculum(df).columns == [c for c in df.columns if c not in ("epoch", "position")] + ["epoch", "position"]
+    mixed = mixing.mix(df).collect()
+    assert all((r["bucket"], r["order_key"], r["weight"], r["epoch"]) == tuple(f"{n}{r['doc_id']}" for n in ("bucket", "order_key", "weight", "epoch")) for r in mixed)
+
+
+def test_null_and_repeated_ids_fill_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 1)  # more digits change no place
+    rows = [(None if i % 2 else 7, f"a b {i}", "s") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    many = sorted((r["text"], r["taken"], r["position"]) for r in mixing.mix(df).collect())
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 1 << 16)
+    assert sorted((r["text"], r["taken"], r["position"]) for r in mixing.mix(df).collect()) == many
+
+
 def test_mix_of_nothing(spark):
     empty = spark.createDataFrame([], DOCS)
     assert mixing.mix(empty).collect() == [] and mixing.curriculum(empty).collect() == []
@@ -59,8 +80,6 @@ def test_mix_of_nothing(spark):
 
 
 def test_schedule_is_inverted(spark):
-    from pyspark.sql import functions as F
-
     for tilt in (-0.5, 0.0, 0.5):
         for t in (0.0, 0.1, 0.5, 1.0):
             demand = (1 - tilt) * t + tilt * t * t
@@ -118,6 +137,26 @@ def test_pack_table(spark):
     assert packing.pack(df.limit(0)).collect() == []
 
 
+def test_identical_rows_are_dealt_over_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "COPIES", 1 << 13)
+    same = spark.range(200_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("one and the same text").alias("text"), F.lit("hot").alias("source"))
+    mixed = same.unionByName(spark.range(1000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b").alias("text"), F.lit(None).cast("string").alias("source")))
+    got = packing.pack(mixed)
+    per = got.groupBy((F.col("bin") / (1 << packing.BIN_BITS)).cast("long").alias("shard")).count().collect()
+    assert sum(r["count"] for r in per) == 201_000 and max(r["count"] for r in per) < 2 * packing.SHARD_ROWS
+    assert got.groupBy("bin").agg(F.count_if(F.col("doc_id") == 1).alias("n")).filter("n > 1").isEmpty()
+
+
+def test_pack_by_given_shards(spark):
+    df = spark.createDataFrame([(i, "w " * (i % 50 + 1), f"s{i % 7}") for i in range(300)], "doc_id long, text string, source string")
+    got = packing.pack(df, capacity=60, shard=F.floor(F.col("doc_id") / 100)).collect()
+    assert len(got) == 300 and all(r["bin"] >> packing.BIN_BITS == r["doc_id"] // 100 for r in got)
+    for k in range(3):
+        own = sorted((r for r in got if r["doc_id"] // 100 == k), key=lambda r: r["doc_id"])
+        sizes = sorted(((r["size"], r["doc_id"]) for r in own), reverse=True)
+        assert sum(s for s, _ in sizes) == sum({r["bin"]: 60 - r["bin_free"] for r in own}.values())
+
+
 def glob_fits(glob, text):
     import re
 

@@ -5,17 +5,22 @@ schedule over training time t in [0, 1]: density 1 - tilt + 2 * tilt * t, whose
 in a stream in a fixed pseudo-random order, the stream repeating for each epoch. The schedule's integral tells how many of a source's
 words are demanded up to t; inverting it at a document's place in the stream gives the training position of the
 document. Sorting by position by range gives the curriculum.
+
+The order is that of an MD5 of id and text, so neither a null nor a repeated id gathers rows. Places come from prefix sums on two levels: over the buckets
+of a source (beginnings of the MD5), then within a bucket. Only rows that repeat both id and text lie in one bucket; a window streams over them.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import word_count
 
-#: Hex digits of a document's order key that make its bucket; 16 ** 3 buckets a source keep a hot source spread.
-BUCKET_DIGITS = 3
+#: Rows that a bucket may have on average, even if one source has all rows, and the least hex digits of the order key that make a bucket.
+BUCKET_ROWS, LEAST_DIGITS = 1 << 16, 3
 WEIGHT_CYCLE = 3
 MAX_EPOCHS = 3
 #: Tilt of the schedule by weight: light sources fade out over training, heavy sources ramp up.
@@ -53,63 +58,62 @@ def position_at(demand: Column, tilt: Column) -> Column:
     return F.lit(2.0) * demand / (b + F.sqrt(b * b + F.lit(4.0) * tilt * demand))
 
 
-def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, tilts: dict[int, float] | None = None) -> DataFrame:
-    """Adds size, source_size, target, taken, epochs and position (of the first copy) to every document of docs.
+RESULT = ("size", "source_size", "target", "taken", "epochs", "position")
 
-    Needs doc_id, source and text (or size, where there is no text). The run ends at the source's target: the document there is taken in part, those
-    after it not at all (taken 0, position null). A text that is null or blank has size 0 and is never taken. Sources
-    may be null; repeated rows take adjacent places. Columns of these names, and of the intermediate ones, are replaced;
-    all other columns stay.
-    """
-    made = ["order_key", "bucket", "in_bucket", "o_source", "o_bucket", "bucket_start", "source_size", "target", "taken", "epochs", "position", "stream_start", "weight"]
-    docs = docs.drop(*made)
-    if "text" in docs.columns:
-        docs = docs.withColumn("size", word_count("text"))
-    keyed = docs.withColumn("order_key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).withColumn(
-        "bucket", F.substring("order_key", 1, BUCKET_DIGITS)
-    )
+
+def placed(docs: DataFrame, max_epochs: int) -> DataFrame:
+    """docs with its places in the streams, in columns that begin with ``_mix_`` (size, total, weight, target, start, taken, epochs)."""
+    text = F.col("text") if "text" in docs.columns else None
+    keyed = docs.withColumn("_mix_size", F.col("size").cast("long") if text is None else word_count(text))
+    inner = F.md5(text.cast("binary")) if text is not None else F.lit(None).cast("string")
+    own = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(inner, F.lit("")))
+    digits = max(LEAST_DIGITS, math.ceil(math.log(max(1, docs.count() / BUCKET_ROWS), 16)))
+    keyed = keyed.withColumn("_mix_key", F.md5(own.cast("binary"))).withColumn("_mix_bucket", F.substring("_mix_key", 1, digits))
     # Sums of (source, bucket) first: a hot source costs a row a bucket, never a task of its own.
-    buckets = keyed.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    buckets = keyed.groupBy("source", F.col("_mix_bucket").alias("bucket")).agg(F.sum("_mix_size").alias("bucket_size"))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")))
     so_far = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = (
-        buckets.withColumn("bucket_start", F.sum("bucket_size").over(so_far) - F.col("bucket_size"))
+        buckets.withColumn("before", F.sum("bucket_size").over(so_far) - F.col("bucket_size"))
         .alias("b")
         .join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source")))
         .select(
-            F.col("b.source").alias("o_source"), F.col("b.bucket").alias("o_bucket"),
-            "bucket_start", "source_size", "weight", "target",
+            F.col("b.source").alias("_mix_source"), F.col("b.bucket").alias("_mix_of"), F.col("before").alias("_mix_before"),
+            F.col("source_size").alias("_mix_total"), F.col("weight").alias("_mix_weight"), F.col("target").alias("_mix_target"),
         )
     )
-    within = (
-        Window.partitionBy("source", "bucket").orderBy("order_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy("source", "_mix_bucket").orderBy("_mix_key", "doc_id", "_mix_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = keyed.withColumn("_mix_within", F.sum("_mix_size").over(within) - F.col("_mix_size")).join(
+        offsets, F.col("source").eqNullSafe(F.col("_mix_source")) & (F.col("_mix_bucket") == F.col("_mix_of"))
     )
-    placed = (
-        keyed.withColumn("in_bucket", F.sum("size").over(within) - F.col("size"))
-        .join(offsets, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("bucket") == F.col("o_bucket")))
-        .withColumn("stream_start", F.col("bucket_start") + F.col("in_bucket"))
-    )
-    whole = F.floor("target").cast("long")
-    share = [
-        F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), whole - F.col("stream_start") - F.lit(e) * F.col("source_size")))
-        for e in range(max_epochs)
-    ]
-    taken = share[0]
-    for part in share[1:]:
-        taken = taken + part
-    epochs = sum(((part > 0).cast("int") for part in share[1:]), (share[0] > 0).cast("int"))
-    tilt = tilt_of(F.col("weight"), tilts)
+    start, whole, zero = F.col("_mix_before") + F.col("_mix_within"), F.floor("_mix_target").cast("long"), F.lit(0).cast("long")
+    parts = [F.greatest(zero, F.least(F.col("_mix_size"), whole - F.col("_mix_start") - F.lit(e) * F.col("_mix_total"))) for e in range(max_epochs)]
     return (
-        placed.withColumn("taken", taken)
-        .withColumn("epochs", epochs)
-        .withColumn(
-            "position",
-            F.when(F.col("taken") > 0, position_at(F.col("stream_start").cast("double") / F.col("target"), tilt)),
-        )
-        .drop("order_key", "bucket", "in_bucket", "o_source", "o_bucket", "bucket_start")
+        found.withColumn("_mix_start", start)
+        .withColumns({"_mix_taken": sum(parts[1:], parts[0]), "_mix_epochs": sum(((x > 0).cast("int") for x in parts[1:]), (parts[0] > 0).cast("int"))})
+        .drop("_mix_key", "_mix_bucket", "_mix_source", "_mix_of", "_mix_before", "_mix_within")
     )
 
 
+def position(epoch: Column | int, tilts: dict[int, float] | None = None) -> Column:
+    """Training time of a copy of a placed row."""
+    start = F.col("_mix_start") + F.lit(epoch) * F.col("_mix_total") if isinstance(epoch, int) else F.col("_mix_start") + epoch * F.col("_mix_total")
+    return position_at(start.cast("double") / F.col("_mix_target"), tilt_of(F.col("_mix_weight"), tilts))
+
+
+def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, tilts: dict[int, float] | None = None) -> DataFrame:
+    """Adds size, source_size, target, taken, epochs and position (of the first copy) to every row of docs.
+
+    Needs doc_id, source and text (or size, where there is no text). The run ends at the source's target: the document there is taken in part, those
+    after it not at all (taken 0, position null). A text that is null or blank has size 0 and is never taken. Sources and ids
+    may be null; repeated rows take adjacent places. Columns of the added names are replaced; all others stay. No rows give no rows.
+    """
+    rows = placed(docs, max_epochs)
+    at = F.when(F.col("_mix_taken") > 0, position(0, tilts))
+    made = [F.col(f"_mix_{x}").alias(name) for x, name in zip(("size", "total", "target", "taken", "epochs"), RESULT[:-1], strict=True)]
+    return rows.select(*[c for c in docs.columns if c not in RESULT], *made, at.alias("position"))
+
+
 def tilt_of(weight: Column, tilts: dict[int, float] | None = None) -> Column:
     tilt = F.lit(0.0)
     for w, s in sorted((tilts or TILTS).items()):
@@ -117,13 +121,14 @@ def tilt_of(weight: Column, tilts: dict[int, float] | None = None) -> Column:
     return tilt
 
 
-def curriculum(docs: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """The mixed training order itself: a row for each copy that is taken, range-sorted by ``position``.
+def curriculum(docs: DataFrame, max_epochs: int = MAX_EPOCHS, numbered: bool = True) -> DataFrame:
+    """The mixed training order itself: a row for each copy that is taken, range-sorted by position, then doc_id and epoch.
 
-    Has the columns of docs, plus epoch (from 0) and position. Documents that the mix leaves out have no row.
+    Has the columns of docs, whatever their names, and if ``numbered`` also epoch (from 0) and position, which replace columns of these names. Documents that the mix leaves
+    out have no row; the last copy of a source, of which the mix takes a part, is whole here.
     """
-    mixed = mix(docs, max_epochs)
-    copies = mixed.filter(F.col("epochs") > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)))
-    start = (F.col("stream_start") + F.col("epoch") * F.col("source_size")).cast("double")
-    copies = copies.withColumn("position", position_at(start / F.col("target"), tilt_of(F.col("weight"))))
-    return copies.select(*[c for c in docs.columns if c in copies.columns and c not in ("epoch", "position")], "epoch", "position").orderBy("position", "doc_id", "epoch")
+    copies = placed(docs, max_epochs).filter(F.col("_mix_epochs") > 0).withColumn("_mix_epoch", F.explode(F.sequence(F.lit(0), F.col("_mix_epochs") - 1)))
+    copies = copies.withColumn("_mix_position", position(F.col("_mix_epoch"))).orderBy("_mix_position", "doc_id", "_mix_epoch")
+    if not numbered:
+        return copies.select(*docs.columns)
+    return copies.select(*[c for c in docs.columns if c not in ("epoch", "position")], F.col("_mix_epoch").alias("epoch"), F.col("_mix_position").alias("position"))
