@@ -4,8 +4,9 @@ Documents go by decreasing size. Bins lie by residual; a bin carries bitmaps of
 holds. For a document the search starts at the bins whose residual equals its size and goes on to the successor residuals until a compatible bin is found: the tightest
 one. Without any, a new bin opens. Every document is placed.
 
-A document larger than a bin fills whole bins of its own; its rest is packed. Packing runs in shards of about SHARD_ROWS documents
-by a hash of the document, so no source or group of copies gathers in a task; a copy in another shard can't meet its twin in a bin.
+A document larger than a bin fills whole bins of its own; its rest is packed. Packing runs in shards of about SHARD_ROWS documents, by a hash of
+the document or by any bounded ranges that the caller names; rows that repeat a document are counted first and dealt out one by one. So no source, document or group of copies
+gathers in a task; a copy in another shard can't meet its twin in a bin.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ CAPACITY = 2048
 #: Documents of one source that a bin may hold (bit planes of the source bitmap), and documents of a shard.
 MAX_PER_SOURCE = 8
 SHARD_ROWS = 4096
+#: Copies of a row that one task makes of its count, and bits of a bin's number within its shard.
+COPIES, BIN_BITS = 1 << 16, 20
 
 
 @dataclass
@@ -108,7 +111,7 @@ def packing(capacity: int, max_per_source: int):
         where, offset, free = pack_shard(column("tail")[:n], column("source_key")[:n], column("cluster")[:n], capacity, max_per_source)
         shard, none = int(t.column("shard")[0].as_py()), pa.nulls(t.num_rows - n, pa.int64())
         out = t.drop_columns(["shard", "cluster", "source_key"])
-        for name, values in (("bin", (shard << 32) + where), ("bin_offset", offset), ("bin_free", free)):
+        for name, values in (("bin", (shard << BIN_BITS) + where), ("bin_offset", offset), ("bin_free", free)):
             out = out.append_column(name, pa.chunked_array([pa.array(values, type=pa.int64()), none]))
         return out.combine_chunks().to_batches()[0]
 
@@ -137,25 +140,33 @@ def fingerprint(text: str = "text") -> Column:
     return F.xxhash64(F.lower(F.coalesce(text, F.lit(""))))
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, max_per_source: int = MAX_PER_SOURCE, cluster: Column | None = None, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """(doc_id, source, size, full_bins, tail, bin, bin_offset, bin_free), a row for each document.
+def pack(docs: DataFrame, capacity: int = CAPACITY, max_per_source: int = MAX_PER_SOURCE, cluster: Column | None = None, shard_rows: int = SHARD_ROWS, shard: Column | None = None) -> DataFrame:
+    """(doc_id, source, size, full_bins, tail, bin, bin_offset, bin_free), a row for each row of docs.
 
     size counts words. A document fills full_bins = size div capacity bins alone; its tail of size mod capacity words lies in ``bin`` from bin_offset;
-    bin_free is what the bin has left. A tail of 0 needs no bin (bin null). cluster: any long column of duplicate
-    clusters; by default equal texts. Sources may be null (a source of their own); repeated rows are copies. Only ids and
-    sizes are shuffled.
+    bin_free is what the bin has left. A tail of 0 (null, empty and blank texts too) needs no bin (bin null). cluster: any long column of duplicate
+    clusters; by default equal texts. shard: any column of numbers from 0 that deals rows to shards of bounded size; by default a hash of the document and the
+    number of its copy. Ids and sources may be null (a null source is a source of its own); ties go by cluster and id, repeated rows are copies in bins of their own. No rows
+    give no rows. Only ids and sizes are shuffled.
     """
     spark = docs.sparkSession
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count("text").alias("size"),
-        F.coalesce(cluster if cluster is not None else fingerprint(), F.lit(0).cast("long")).alias("cluster"),
+        F.coalesce(cluster if cluster is not None else fingerprint(), F.lit(0).cast("long")).alias("cluster"), *([] if shard is None else [shard.cast("long").alias("shard")]),
     )
     shards = max(1, -(-docs.count() // shard_rows))
+    if shard is None:
+        own = ["doc_id", "source", "size", "cluster"]
+        counted = rows.groupBy(*own).agg(F.count("*").alias("n"))
+        # Copies are numbered in pieces, so that making them of their count is the work of many tasks.
+        pieces = counted.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES)))).repartition(partitions(spark), *own, "piece")
+        first = F.col("piece") * COPIES
+        numbered = pieces.withColumn("copy", F.explode(F.sequence(first, F.least(first + COPIES, F.col("n")) - 1)))
+        rows = numbered.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "copy"), F.lit(shards)).cast("long"))
     sized = rows.select(
-        F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)).cast("long").alias("shard"),
-        (F.col("size") % capacity).alias("tail"), "cluster", F.xxhash64(F.coalesce("source", F.lit("\0"))).alias("source_key"), "doc_id", "source", "size",
+        "shard", (F.col("size") % capacity).alias("tail"), "cluster", F.xxhash64(F.coalesce("source", F.lit("\0"))).alias("source_key"), "doc_id", "source", "size",
         F.floor(F.col("size") / capacity).cast("long").alias("full_bins"),
     )
-    ordered = sized.repartition(max(1, min(shards, 20 * partitions(spark))), "shard").sortWithinPartitions("shard", F.desc("tail"), "cluster", "doc_id")
+    ordered = sized.repartition(max(1, min(shards, 20 * partitions(spark))), "shard").sortWithinPartitions("shard", F.desc("tail"), "cluster", "doc_id", "source_key")
     kinds = "tail long, doc_id long, source string, size long, full_bins long, bin long, bin_offset long, bin_free long"
     return ordered.mapInArrow(packing(capacity, max_per_source), kinds).select("doc_id", "source", "size", "full_bins", "tail", "bin", "bin_offset", "bin_free")
