@@ -6,21 +6,27 @@ return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import jaccard, language, mixing, packing, toxicity
-from waymark.llm.common import materialise, table
+from waymark.llm.common import delete, materialise, scratch, table
+
+
+def wrapped(docs: DataFrame, *columns: str) -> DataFrame:
+    """The named columns, and all columns in one struct ``_row``, which no column that an operator adds can clash with."""
+    return docs.select(F.struct(*docs.columns).alias("_row"), *columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; those that language ID rejects (unknown, or no text) go."""
-    return language.identify(docs).filter("kept").select(*docs.columns)
+    return language.identify(wrapped(docs, "doc_id", "text", "lang", "source"), keep=["_row"]).filter("kept").select("_row.*")
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold; the others go."""
-    return toxicity.score(docs, table(spark, sf_dir, "labels")).filter("predicted = 0").select(*docs.columns)
+    return toxicity.score(wrapped(docs, "doc_id", "text"), table(spark, sf_dir, "labels")).filter("predicted = 0").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,13 +38,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The curriculum: a row for each copy of a document that the mix takes, in the order of training."""
-    return mixing.curriculum(docs).select(*docs.columns)
+    """The curriculum: a row for each copy of a document that the mix takes, in the order of training. Written, its files lie in that order."""
+    return mixing.curriculum(docs, numbered=False)
+
+
+def reading_order(docs: DataFrame) -> Column | None:
+    """Shards of at most SHARD_ROWS rows that follow each other in docs' files, numbered along them; None if docs doesn't come straight from files."""
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index")
+    except AnalysisException:
+        return None
+    number = F.coalesce(F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("long"), F.lit(0).cast("long"))
+    return number * (1 << 20) + F.floor(F.col("_metadata.row_index") / packing.SHARD_ROWS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The bin of every document."""
-    return packing.pack(docs)
+    """The bin of every document. Documents near each other in training share bins, which are numbered along the training order."""
+    return packing.pack(docs, shard=reading_order(docs))
 
 
 STAGES = [
@@ -54,7 +70,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.split()[0].lower())
+        with scratch(spark) as kept:
+            docs = materialise(stage(spark, docs, sf_dir), name.split()[0].lower())
+            kept.append(docs.written_to)
+        if last:
+            delete(spark, last)
+        last = docs.written_to
     return STAGES[-1][1](spark, docs, sf_dir)
