@@ -209,6 +209,46 @@ def test_pipeline_stages(spark, sf_dir):
     assert sorted(seen[4]) == sorted(seen[3])
 
 
+def test_bins_follow_the_training_order(spark, sf_dir):
+    from waymark.llm import mixing, packing
+    from waymark.llm.common import materialise
+
+    docs = spark.read.parquet(f"{sf_dir[0]}/documents.parquet")
+    order = [r["doc_id"] for r in mixing.curriculum(docs).collect()]
+    mixed = materialise(corpus_pipeline.mix(spark, docs, sf_dir[0]), "test")
+    assert corpus_pipeline.reading_order(spark.createDataFrame([(1, "x")], "doc_id long, text string")) is None and mixed.count() == len(order)
+    shard = mixed.select("doc_id", corpus_pipeline.reading_order(mixed).alias("shard")).collect()
+    size = {s: sum(r["shard"] == s for r in shard) for s in {r["shard"] for r in shard}}
+    at, want = 0, []
+    for s in sorted(size):
+        want += [(s, i) for i in order[at : at + size[s]]]
+        at += size[s]
+    assert sorted(want) == sorted((r["shard"], r["doc_id"]) for r in shard)
+    packed = corpus_pipeline.pack(spark, mixed, sf_dir[0]).filter("bin is not null").collect()
+    assert {r["bin"] >> packing.BIN_BITS for r in packed} <= set(size)
+
+
+def test_intermediate_tables_are_deleted(spark, sf_dir):
+    from waymark.llm import common
+
+    before = set(common._made)
+    corpus_pipeline.run(spark, sf_dir[0]).collect()
+    assert len(set(common._made) - before) == 1  # what the last stage reads
+
+
+def test_stages_keep_columns_of_any_name(spark, sf_dir):
+    from waymark.llm.common import materialise
+
+    names = ["bucket", "order_key", "weight", "epoch", "target", "node", "key", "class_id", "score", "language", "host", "_row", "size"]
+    docs = materialise(spark.read.parquet(f"{sf_dir[0]}/documents.parquet").limit(200).selectExpr("*", *[f"concat('{n}', doc_id) AS `{n}`" for n in names]), "test")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = materialise(stage(spark, docs, sf_dir[0]), "test")
+        assert out.columns == docs.columns and not out.isEmpty()
+        assert out.filter(" OR ".join(f"`{n}` != concat('{n}', doc_id)" for n in names)).isEmpty()
+        docs = out
+    assert corpus_pipeline.pack(spark, docs, sf_dir[0]).count() == docs.count()
+
+
 def test_run_is_the_stages_in_a_row(spark, sf_dir):
     first, again = (sorted(map(tuple, corpus_pipeline.run(spark, sf_dir[0]).collect())) for _ in range(2))
     assert first == again and first
