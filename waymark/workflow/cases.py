@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -41,45 +42,64 @@ def cases(spark: SparkSession) -> DataFrame:
     return every.select(label.alias("episode_id"), signature.alias("signature"), *[c.split()[0] for c in CASE.split(", ")])
 
 
+@dataclass(frozen=True)
+class Setup:
+    """How a scope or a recovery begins: which samples are ahead, their stage and place, minutes modulo, the vehicle's dock by variant, and what they have measured."""
+
+    who: str = "none"
+    stage: str = "RAW"
+    place: str = "SHELF_RAW"
+    clock: int | None = None
+    docks: tuple[str, ...] = ("STANDBY",)
+    measured: str = "none"
+
+
+SETUPS = {
+    "full_cycle": Setup(clock=20),
+    "ir_only": Setup("all", "PREPARED", "TRANSFER", 40, ("IR", "STANDBY", "STANDBY")),
+    "prep_to_ir": Setup("lead", "PREPARED", "PREP", 30, ("STANDBY", "PREP")),
+    "raw_on_agv": Setup("first", "RAW", "AGV", docks=("SHELF",)),
+    "prep_ready": Setup("first", "PREPARED", "PREP"),
+    "prepared_on_agv": Setup("first", "PREPARED", "AGV", docks=("PREP",)),
+    "running_measurement": Setup("first", "PREPARED", "ROBOT", docks=("IR",), measured="one"),
+    "characterized_at_slot": Setup("first", "CHARACTERIZED", "TRANSFER", measured="all"),
+}
+
+
 def start(row) -> tuple[lab.State, dict]:
-    """The initial state and the goal of a case row."""
+    """The initial state and the goal of a case row. Which part of the laboratory holds a sample follows from its place."""
     ids = [f"V{row.serial:05d}{x}" for x in "AB"[: row.n_samples]]
     parts = [row.pattern] if row.n_samples == 1 else row.pattern.split("_", 1)
     own = {i: lab.sample(SITES[p], PROTOCOLS[(row.serial + k) % 3], k + 1) for k, (i, p) in enumerate(zip(ids, parts, strict=True))}
     goal = {"store": bool(row.store), "order": ids[::-1] if row.priority == "B_first" else ids}
-    first, v = ids[0], int(row.variant)
-    match row.scope, row.recovery:
-        case "ir_only", _:
-            for i, slot in zip(ids, "AB", strict=False):
-                own[i] |= {"stage": "PREPARED", "place": f"TRANSFER_{slot}"}
-            state = lab.new_state(own, v % 40, slots=dict(zip("AB", ids, strict=False)), agv={"place": "STANDBY" if v % 3 else "IR"})
-        case "prep_to_ir", _:
-            lead = goal["order"][0]
-            own[lead] |= {"stage": "PREPARED", "place": "PREP"}
-            state = lab.new_state(own, v % 30, prep={"sample": lead, "status": "READY"}, agv={"place": "PREP" if v % 2 else "STANDBY"})
-        case "full_cycle", _:
-            state = lab.new_state(own, v % 20)
-        case _, "raw_on_agv":
-            own[first] |= {"place": "AGV"}
-            return lab.new_state(own, v, agv={"place": "SHELF", "load": first}), goal
-        case _, "prep_ready":
-            own[first] |= {"stage": "PREPARED", "place": "PREP"}
-            return lab.new_state(own, v, prep={"sample": first, "status": "READY"}), goal
-        case _, "prepared_on_agv":
-            own[first] |= {"stage": "PREPARED", "place": "AGV"}
-            return lab.new_state(own, v, agv={"place": "PREP", "load": first}), goal
-        case _, "running_measurement":
-            own[first] |= {"stage": "PREPARED", "place": "ROBOT", "measured": [1]}
-            robot = {"zone": "MEASUREMENT_STAGE", "held": first, "slot": "A", "side": lab.FRONT}
-            running = {"protocol": own[first]["protocol"], "configured": first, "run": "RUNNING", "site": 2, "result": first}
-            return lab.new_state(own, v, robot=robot, background=v, instrument=running, agv={"place": "IR"}), goal
-        case _:
-            own[first] |= {"stage": "CHARACTERIZED", "place": "TRANSFER_A", "measured": list(own[first]["sites"]), "saved": True, "verified": True}
-            return lab.new_state(own, v, slots={"A": first}), goal
-    if v % 2 == 1:
-        state["background"] = state["minute"]
-    if v % 3 == 2:
-        state["instrument"]["protocol"] = own[first]["protocol"]
+    recovery, v = row.recovery != "none", int(row.variant)
+    setup = SETUPS[row.recovery if recovery else row.scope]
+    minute = v if setup.clock is None else v % setup.clock
+    agv, lab_parts = {"place": setup.docks[v % len(setup.docks)]}, {}
+    for slot, i in zip("AB", {"none": [], "all": ids, "lead": goal["order"][:1], "first": ids[:1]}[setup.who], strict=False):
+        x = own[i]
+        x |= {"stage": setup.stage, "place": f"TRANSFER_{slot}" if setup.place == "TRANSFER" else setup.place}
+        if setup.measured == "one":
+            x["measured"] = [1]
+        elif setup.measured == "all":
+            x |= {"measured": list(x["sites"]), "saved": True, "verified": True}
+        match setup.place:
+            case "AGV":
+                agv["load"] = i
+            case "PREP":
+                lab_parts["prep"] = {"sample": i, "status": "READY"}
+            case "TRANSFER":
+                lab_parts.setdefault("slots", {})[slot] = i
+            case "ROBOT":  # in the middle of its second measurement
+                lab_parts["robot"] = {"zone": "MEASUREMENT_STAGE", "held": i, "slot": "A", "side": lab.FRONT}
+                lab_parts["instrument"] = {"protocol": x["protocol"], "configured": i, "run": "RUNNING", "site": 2, "result": i}
+                lab_parts["background"] = minute
+    state = lab.new_state(own, minute, agv=agv, **lab_parts)
+    if not recovery:  # some variants find the instrument partly set up
+        if v % 2 == 1:
+            state["background"] = minute
+        if v % 3 == 2:
+            state["instrument"]["protocol"] = own[ids[0]]["protocol"]
     return state, goal
 
 
