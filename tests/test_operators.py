@@ -17,8 +17,8 @@ def steps(spark, rows):
 
 
 def factors(spark, actions, instruction, observation=""):
-    rows = progress.basis(history.annotate(steps(spark, [("e", actions, instruction, observation)])))
-    return rows.orderBy(F.desc("step")).select("factors").first()[0], progress.score(rows).orderBy(F.desc("step")).first()["score"]
+    rows = history.annotate(steps(spark, [("e", actions, instruction, observation)]))
+    return progress.basis(rows).orderBy(F.desc("step")).select("factors").first()[0], progress.score(rows).orderBy(F.desc("step")).first()["score"]
 
 
 @pytest.mark.parametrize("verb,tool", [("heat", "microwave"), ("clean", "sinkbasin"), ("cool", "fridge")])

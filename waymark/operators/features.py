@@ -1,8 +1,7 @@
 """Sparse features of an action in its state: entity effects, search, lexical overlap, semantic factors, router context.
 
-The entity state is what window functions over earlier steps say: sets of visited, taken, treated, examined, opened and used things, where each
-thing was last put, what is held. A set has at most as many elements as an episode has names, so no prefix is kept as a list of
-actions. Features are maps without zeros.
+The entity state is what running counts over an episode's steps say; no prefix is kept, neither as actions nor as names.
+Features are maps without zeros.
 """
 
 from __future__ import annotations
@@ -33,81 +32,65 @@ def number(condition: Column) -> Column:
 
 
 def entity_state(steps: DataFrame) -> DataFrame:
-    """Adds the parsed action ``p``, the goal ``goal`` (strict dialect) and the entity state before the action, all null-free.
+    """Adds the parsed action ``p``, the goal ``goal`` (strict dialect) and the entity state around the action, all null-free.
 
-    visited, taken, examined, opened, tools: arrays; treated: array of (object, verb); placed: array of (object, target), each object's last
-    target; held, place: text, empty if none; visits: how often the action's target was gone to; recent: the last four actions; seen: visible entities.
+    held, place: text before the action, empty if none; visits: how often the action's target was gone to; been, been_word: whether anything of its base name (by either rule) was; repeats: how
+    often the action was done; recent: the last four actions; seen: visible entities; after: a struct of the goal flags and of the numbers of different things
+    visited, placed, treated, examined and opened, with the action's own effect.
+
+    An action touches one thing (its ``item``). Things are counted at their first time, and a thing put down counts where it lies by the change against its last
+    place, so running sums over the episode say all: memory is linear in the episode, whatever its vocabulary.
     """
     order = Window.partitionBy("episode_id").orderBy("step")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = steps.withColumns({"p": T.parse_action("action", entities=True), "norm": T.normalize("action"), "goal": T.parse_goal("instruction", "strict"), "seen": T.visible_entities("observation")})
-    schema = lambda s: F.col("p.schema") == s
-    part = lambda s, f: F.nullif(F.when(schema(s), F.col(f"p.{f}")), F.lit(""))
+    p, goal = F.col("p"), F.col("goal")
+    part = lambda s, f: F.nullif(F.when(p["schema"] == s, p[f]), F.lit(""))
     rows = rows.withColumns({"t_obj": part("take_from", "object"), "m_obj": part("move_to", "object"), "g_to": part("go_to", "target")})
     rows = rows.withColumn("seg", F.count("t_obj").over(upto))
     since = Window.partitionBy("episode_id", "seg").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("picked", F.first("t_obj").over(since)).withColumn("h_after", F.when(~F.coalesce(F.bool_or(F.col("m_obj") == F.col("picked")).over(since), F.lit(False)), F.col("picked")))
-    rows = rows.withColumn("held", F.coalesce(F.lag("h_after").over(order), F.lit("")))
-    lamp = schema("use") & T.entity_base("p.object").contains("lamp") & (F.col("held") != "") & (T.entity_base("held") == F.col("goal.object"))
-    known = lambda c: F.coalesce(F.collect_set(c).over(before), F.array().cast("array<string>"))
-    moves = F.collect_list(F.when(F.col("m_obj").isNotNull() & (F.col("p.target") != ""), F.struct(F.col("m_obj").alias("object"), F.col("p.target").alias("target")))).over(before)
-    place_rows = Window.partitionBy("episode_id", "g_to").orderBy("step")
-    rows = rows.withColumns({
-        "visited": known("g_to"), "taken": known("t_obj"),
-        "examined": F.array_union(known(part("examine", "object")), known(F.when(lamp, F.col("held")))),
-        "opened": known(part("open", "object")), "tools": F.array_union(known(part("use", "object")), known(part("use_with", "tool"))),
-        "treated": F.collect_set(F.when(schema("treatment") & (F.col("p.object") != ""), F.struct(F.col("p.object").alias("object"), F.col("p.verb").alias("verb")))).over(before),
-        "moves": F.reverse(moves),
+    rows = rows.withColumns({"held": F.coalesce(F.lag("h_after").over(order), F.lit("")), "h_after": F.coalesce("h_after", F.lit(""))})
+    of_goal = lambda x: F.coalesce(T.entity_base(x) == goal["object"], F.lit(False))
+    by_lamp = (p["schema"] == "use") & T.entity_base("p.object").contains("lamp") & (F.col("held") != "") & of_goal("held")
+    put_to = F.when(F.col("m_obj").isNotNull(), F.nullif(p["target"], F.lit("")))
+    things = {
+        "visited": F.col("g_to"), "placed": F.when(put_to.isNotNull(), F.col("m_obj")), "treated": part("treatment", "object"),
+        "examined": F.coalesce(part("examine", "object"), F.when(by_lamp, F.col("held"))), "opened": part("open", "object"),
+    }
+    item = F.coalesce(*[F.when(x.isNotNull(), F.concat(F.lit(f"{k}:"), x)) for k, x in things.items()])
+    at_goal = put_to.isNotNull() & of_goal("m_obj") & (goal["destination"] != "") & T.entity_base(put_to).contains(goal["destination"])
+    rows = rows.withColumns({"item": item, "at_goal": F.coalesce(at_goal, F.lit(False)).cast("int"), "g_base": T.entity_base("g_to"), "g_word": T.drop_last_word("g_to")})
+    same = Window.partitionBy("episode_id", "item").orderBy("step")
+    rows = rows.withColumns({"new": F.col("item").isNotNull() & (F.row_number().over(same) == 1), "moved_there": F.col("at_goal") - F.coalesce(F.lag("at_goal").over(same), F.lit(0))})
+    ever = lambda c: F.coalesce(F.bool_or(c).over(upto), F.lit(False))
+    tool = F.coalesce(part("use", "object"), part("use_with", "tool"))
+    flags = {
+        "target_acquired": ever(of_goal("t_obj")),
+        "target_treated": ever(of_goal(part("treatment", "object")) & ((goal["treatment"] == "") | (p["verb"] == goal["treatment"]))),
+        "target_placed": F.sum(F.when(F.col("item").startswith("placed:"), F.col("moved_there")).otherwise(0)).over(upto) >= goal["count"],
+        "target_inspected": ever(of_goal(things["examined"])) & (~goal["needs_light"] | ever(tool.contains("lamp"))),
+        "destination_reached": ever((goal["destination"] != "") & (F.col("g_to") == goal["destination"])),
+        "holding_target": (F.col("h_after") != "") & of_goal("h_after"),
+    }
+    known = [F.count(F.when(F.col("new") & F.col("item").startswith(f"{k}:"), 1)).over(upto).cast("int").alias(f"n_{k}") for k in things]
+    went = F.col("g_to").isNotNull()
+    times = lambda c: F.row_number().over(Window.partitionBy("episode_id", c).orderBy("step")) - 1
+    return rows.withColumns({
+        "after": F.struct(*[v.alias(k) for k, v in flags.items()], *known, F.col("h_after").alias("held")),
         "place": F.coalesce(F.last("g_to", ignorenulls=True).over(before), T.arrival_location("observation"), F.lit("")),
-        "visits": F.when(F.col("g_to").isNotNull(), F.row_number().over(place_rows) - 1).otherwise(0),
+        "visits": F.when(went, times("item")).otherwise(0), "been": went & (times("g_base") > 0), "been_word": went & (times("g_word") > 0), "repeats": times("norm"),
         "recent": F.collect_list("norm").over(order.rowsBetween(-4, -1)), "n_before": F.row_number().over(order) - 1,
-        "repeats": F.row_number().over(Window.partitionBy("episode_id", "norm").orderBy("step")) - 1, "uses_lamp": lamp,
-    })
-    names = F.transform("moves", lambda m: m["object"])
-    placed = F.transform(F.array_distinct(names), lambda o: F.struct(o.alias("object"), F.element_at("moves", F.array_position(names, o).cast("int"))["target"].alias("target")))
-    return rows.withColumn("placed", placed).drop("seg", "picked", "h_after", "moves")
-
-
-def goal_flags(visited, taken, treated, placed, examined, tools, held) -> dict[str, Column]:
-    """The six goal flags of an entity state."""
-    goal = F.col("goal")
-    is_goal = lambda x: T.entity_base(x) == goal["object"]
-    at_goal = F.filter(placed, lambda x: is_goal(x["object"]) & (goal["destination"] != "") & T.entity_base(x["target"]).contains(goal["destination"]))
-    return {
-        "target_acquired": F.exists(taken, is_goal),
-        "target_treated": F.exists(treated, lambda x: is_goal(x["object"]) & ((goal["treatment"] == "") | (x["verb"] == goal["treatment"]))),
-        "target_placed": F.size(at_goal) >= goal["count"],
-        "target_inspected": F.exists(examined, is_goal) & (~goal["needs_light"] | F.exists(tools, lambda x: x.contains("lamp"))),
-        "destination_reached": (goal["destination"] != "") & F.array_contains(visited, goal["destination"]),
-        "holding_target": (held != "") & is_goal(held),
-    }
+    }).drop("t_obj", "m_obj", "g_to", "g_base", "g_word", "seg", "picked", "h_after", "item", "at_goal", "new", "moved_there")
 
 
 def transition(state: DataFrame) -> DataFrame:
-    """Adds ``before`` and ``after``: structs of the goal flags and set sizes around the action."""
-    p = F.col("p")
-    is_ = lambda s, f="object": (p["schema"] == s) & (p[f] != "")
-    add = lambda a, cond, x: F.when(cond, F.array_union(F.col(a), F.array(x))).otherwise(F.col(a))
-    moved = is_("move_to") & (p["target"] != "")
-    placed = F.when(moved, F.concat(F.filter("placed", lambda x: x["object"] != p["object"]), F.array(F.struct(p["object"].alias("object"), p["target"].alias("target"))))).otherwise(F.col("placed"))
-    nxt = {
-        "visited": add("visited", is_("go_to", "target"), p["target"]), "taken": add("taken", is_("take_from"), p["object"]),
-        "treated": add("treated", is_("treatment"), F.struct(p["object"].alias("object"), p["verb"].alias("verb"))), "placed": placed,
-        "examined": F.when(F.col("uses_lamp"), F.array_union("examined", F.array("held"))).otherwise(add("examined", is_("examine"), p["object"])),
-        "tools": F.when(is_("use"), F.array_union("tools", F.array(p["object"]))).otherwise(add("tools", is_("use_with", "tool"), p["tool"])),
-        "held": F.when(is_("take_from"), p["object"]).when((p["schema"] == "move_to") & (F.col("held") == p["object"]), "").otherwise(F.col("held")),
-        "opened": add("opened", is_("open"), p["object"]),
-    }
-    now = {k: F.col(k) for k in nxt}
-    bare = lambda a: F.array_distinct(F.transform(a, lambda x: x["object"]))
-
-    def packed(s: dict[str, Column]) -> Column:
-        flags = goal_flags(*[s[k] for k in ("visited", "taken", "treated", "placed", "examined", "tools", "held")])
-        sizes = {"n_visited": s["visited"], "n_placed": s["placed"], "n_treated": bare(s["treated"]), "n_examined": s["examined"], "n_opened": s["opened"]}
-        return F.struct(*[v.alias(k) for k, v in flags.items()], *[F.size(v).alias(k) for k, v in sizes.items()], s["held"].alias("held"))
-
-    return state.withColumns({"before": packed(now), "after": packed(nxt)})
+    """Adds ``before``: the goal flags and numbers as the action before left them; at the start no flag holds and nothing is known."""
+    order = Window.partitionBy("episode_id").orderBy("step")
+    fields = state.schema["after"].dataType.fields
+    start = F.struct(*[F.lit({"boolean": False, "int": 0, "string": ""}[f.dataType.simpleString()]).alias(f.name) for f in fields])
+    return state.withColumn("before", F.coalesce(F.lag("after").over(order), start))
 
 
 def effect_features(t: DataFrame) -> Column:
@@ -115,8 +98,7 @@ def effect_features(t: DataFrame) -> Column:
     p, goal, b, a = F.col("p"), F.col("goal"), F.col("before"), F.col("after")
     obj, target = T.entity_base(p["object"]), T.entity_base(F.when(p["target"] != "", p["target"]).otherwise(p["source"]))
     seen = lambda x: (x != "") & F.exists("seen", lambda s: T.entity_base(s) == x)
-    been = F.exists("visited", lambda v: T.entity_base(v) == target)
-    go = p["schema"] == "go_to"
+    go, been = p["schema"] == "go_to", F.col("been")
     grown = [(f"delta:{k}", a[f"n_{k}"] - b[f"n_{k}"]) for k in ("placed", "treated", "examined", "opened")]
     return present([
         ("bias", F.lit(1.0)), (F.concat(F.lit("schema:"), p["schema"]), F.lit(1.0)), (F.concat(F.lit("verb:"), p["verb"]), F.lit(1.0)),
@@ -142,8 +124,7 @@ def state_features() -> Column:
 
 def search_features(affinity: Column | None = None) -> Column:
     """For goings only: affinity of the place (0 without a prior), novelty and capped revisits."""
-    base = T.entity_base("p.target")
-    visits = F.when(F.exists("visited", lambda v: T.entity_base(v) == base), F.greatest(F.col("visits"), F.lit(1))).otherwise(0)
+    visits = F.when(F.col("been"), F.greatest(F.col("visits"), F.lit(1))).otherwise(0)
     aff = F.lit(0.0) if affinity is None else affinity
     again = N.capped_ratio(visits, 6)
     own = present([("search:affinity", aff), ("search:novel", number(visits == 0)), ("search:revisit_count", again), ("search:affinity_novel", aff * number(visits == 0)), ("search:affinity_revisit", aff * again)])
@@ -159,8 +140,7 @@ def lexical_features() -> Column:
     common = lambda a, b: F.size(F.array_intersect(a, b))
     obj, target = T.drop_last_word(p["object"]), T.drop_last_word(F.when(p["target"] != "", p["target"]).otherwise(p["source"]))
     shown = F.transform("seen", lambda s: T.drop_last_word(s))
-    go = p["schema"] == "go_to"
-    been = F.array_contains("visited", p["target"])
+    go, been = p["schema"] == "go_to", F.col("visits") > 0
     return present([
         ("lex:raw_instruction_overlap", common(raw_act, T.raw_tokens("instruction", True))), ("lex:raw_goal_overlap", common(raw_act, T.raw_tokens(goal_part, True))),
         ("lex:raw_observation_overlap", common(raw_act, T.raw_tokens("observation", True))), ("lex:raw_recent_overlap", common(raw_act, T.raw_tokens(joined))),
@@ -179,8 +159,7 @@ def semantic_features() -> Column:
     p, goal, b, a = F.col("p"), F.col("goal"), F.col("before"), F.col("after")
     obj, target = T.drop_last_word(p["object"]), T.drop_last_word(F.when(p["target"] != "", p["target"]).otherwise(p["source"]))
     seen = lambda x: (x != "") & F.exists("seen", lambda s: T.drop_last_word(s) == x)
-    been = F.exists("visited", lambda v: T.drop_last_word(v) == target)
-    go = p["schema"] == "go_to"
+    go, been = p["schema"] == "go_to", F.col("been_word")
     bind = lambda name, x: (F.concat(F.lit(f"sem:bind:{name}="), x, F.lit("|location="), target), number(go & (target != "") & (x != "")))
     effects = [("visited", number(a["n_visited"] != b["n_visited"])), ("held", number(a["held"] != b["held"])), *[(k, a[f"n_{k}"] - b[f"n_{k}"]) for k in ("placed", "treated", "examined", "opened")]]
     change = lambda f: a[f].cast("double") - b[f].cast("double")

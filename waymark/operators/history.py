@@ -48,6 +48,10 @@ def annotate(steps: DataFrame) -> DataFrame:
     placed = F.col("move_object").isNotNull() & (goal_object != "") & (goal_place != "") & (T.entity_base("move_object") == goal_object) & F.contains("move_target", goal_place)
     treated = (F.col("goal.treatment") == "") | (goal_object == "") | F.coalesce(F.bool_or(F.col("norm").startswith(F.concat_ws(" ", "goal.treatment", "goal.object"))).over(before), F.lit(False))
     place = Window.partitionBy("episode_id", "target_location").orderBy("step")
+    # Distinct things put down are counted by their first time, so no window gathers names.
+    rows = rows.withColumn("put_id", F.when(placed, T.normalize("move_object")))
+    first_put = F.row_number().over(Window.partitionBy("episode_id", "put_id").orderBy("step")) == 1
+    rows = rows.withColumn("put_first", F.col("put_id").isNotNull() & first_put)
     lag = lambda c, n=1: F.lag(c, n).over(order)
     recent = F.lit(False)
     for n in range(1, RECENT + 1):
@@ -64,14 +68,14 @@ def annotate(steps: DataFrame) -> DataFrame:
         "lamp_used": F.coalesce(F.bool_or(lamp).over(before), F.lit(False)),
         "lamp_location": F.min("lamp_here").over(before)["location_after"],
         "treatment_done": treated,
-        "placed_count": F.count(F.when(placed, 1)).over(before),
-        "placed_distinct": F.size(F.collect_set(F.when(placed, T.normalize("move_object"))).over(before)).cast("long"),
+        "placed_count": F.count("put_id").over(before),
+        "placed_distinct": F.count(F.when(F.col("put_first"), 1)).over(before),
         "visits": F.when(F.col("target_location").isNotNull(), F.row_number().over(place) - 1).otherwise(0).cast("long"),
         "recent_repeat": recent,
         "inverse_transition": F.coalesce(inverse, F.lit(False)),
         "unique_ratio": F.when(F.size(last_six) > 0, F.size(F.array_distinct(last_six)) / F.size(last_six)).otherwise(F.lit(1.0)),
         "cycle": N.has_cycle(tail, CYCLE_LENGTH, CYCLE_REPEATS),
-    }).drop("segment", "picked", "held_after", "location_after", "lamp_here")
+    }).drop("segment", "picked", "held_after", "location_after", "lamp_here", "put_id", "put_first")
 
 
 def stagnation_runs(steps: DataFrame, state: str) -> DataFrame:

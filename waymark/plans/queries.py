@@ -204,12 +204,12 @@ def factor_coefficients(spark, sf_dir):
 
 @query
 def factor_basis(spark, sf_dir):
-    return progress.factor_rows(progress.basis(_annotated(spark, sf_dir))).select("episode_id", "step", "factor", "value", F.round("contribution", 6).alias("contribution"))
+    return progress.factor_rows(_annotated(spark, sf_dir)).select("episode_id", "step", "factor", "value", F.round("contribution", 6).alias("contribution"))
 
 
 @query
 def factor_groups(spark, sf_dir):
-    rows = progress.factor_rows(progress.basis(_annotated(spark, sf_dir)))
+    rows = progress.factor_rows(_annotated(spark, sf_dir))
     return rows.groupBy("factor_group").agg(F.count("*").alias("n"), F.round(F.sum("contribution"), 4).alias("total"))
 
 
@@ -217,7 +217,7 @@ def factor_groups(spark, sf_dir):
 def factor_ablation(spark, sf_dir):
     """Scores with all groups, and without entity binding and cycle avoidance."""
     full, cut = progress.score_of(), progress.score_of(disabled=("entity_binding", "cycle_avoidance"))
-    return progress.basis(_annotated(spark, sf_dir)).select("episode_id", "step", F.round(full, 6).alias("score"), F.round(cut, 6).alias("without"))
+    return progress.prepared(_annotated(spark, sf_dir)).select("episode_id", "step", F.round(full, 6).alias("score"), F.round(cut, 6).alias("without"))
 
 
 # --- sampling ------------------------------------------------------------------------------------------------------
