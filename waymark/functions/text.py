@@ -258,3 +258,18 @@ def feature_group(name: str | Column) -> Column:
         .when(starts("lex:"), "Lexical context")
         .otherwise("Other")
     )
+
+
+# Names of features in reports that their own names don't give.
+DISPLAY_NAMES = {
+    "delta:holding_target": "holding target", "schema:close": "close action", "delta:target_acquired": "target acquired", "delta:opened": "opened state", "schema:open": "open action",
+    "delta:target_treated": "target treated", "schema:use": "use action", "lex:observation_jaccard": "observation overlap", "candidate:matches_goal": "goal match", "delta:treated": "treatment effect",
+}
+
+
+def display_name(name: str | Column) -> Column:
+    """A feature's name in reports: a fixed one, for bindings thing and place, else with blanks for colons."""
+    n = col(name)
+    fixed = F.create_map(*[F.lit(x) for pair in DISPLAY_NAMES.items() for x in pair])
+    bound = F.regexp_replace(F.regexp_replace(n, r"^sem:bind:|goal_object=|treatment=", ""), r"\|location=", " @ ")
+    return F.coalesce(F.try_element_at(fixed, n), F.when(n.startswith("sem:bind:"), bound).otherwise(F.replace(n, F.lit(":"), F.lit(" "))))

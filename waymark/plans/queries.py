@@ -587,6 +587,30 @@ def semantic_features_long(spark, sf_dir):
     return t.select("episode_id", "step", F.explode(features.semantic_features()).alias("feature", "value"))
 
 
+@query
+def state_features_long(spark, sf_dir):
+    t = features.transition(features.entity_state(views.trajectory(spark, sf_dir)))
+    return t.select("episode_id", "step", F.explode(features.state_features()).alias("feature", "value")).withColumn("value", F.round("value", 9))
+
+
+@query
+def search_features_long(spark, sf_dir):
+    t = features.transition(features.entity_state(views.trajectory(spark, sf_dir)))
+    return t.select("episode_id", "step", F.explode(features.search_features()).alias("feature", "value")).withColumn("value", F.round("value", 9))
+
+
+@query
+def goal_flags(spark, sf_dir):
+    t = features.transition(features.entity_state(views.trajectory(spark, sf_dir)))
+    return t.select("episode_id", "step", *[F.col(f"before.{f}").alias(f) for f in features.FLAGS])
+
+
+@query
+def feature_display(spark, sf_dir):
+    names = features.featurise(views.trajectory(spark, sf_dir)).select(F.explode(F.map_keys("features")).alias("feature")).distinct()
+    return names.select("feature", T.display_name("feature").alias("display"))
+
+
 @query
 def feature_vocabulary(spark, sf_dir):
     long = features.featurise(views.trajectory(spark, sf_dir)).select(F.explode("features").alias("feature", "value"))

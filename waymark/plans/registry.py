@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from .oracles import ORACLE
+from . import feature_oracles, oracles
 from .queries import QUERIES
 
 FLAGSHIP = "pair_accuracy_by_group"
+ORACLE = oracles.ORACLE | feature_oracles.ORACLE
 
 __all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
