@@ -56,6 +56,11 @@ def materialise(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
     return table
 
 
+def made() -> list[str]:
+    """Paths below the shared folder that this process made and has not deleted."""
+    return list(_made)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     context = spark.sparkContext
     name = context._jvm.org.apache.hadoop.fs.Path(path)
