@@ -6,12 +6,40 @@ return the columns of documents.
 
 from __future__ import annotations
 
+import functools
+import threading
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import jaccard, language, mixing, packing, toxicity
-from waymark.llm.common import delete, materialise, scratch, table
+from waymark.llm.common import delete, made, materialise, scratch, table
+
+
+#: Intermediate tables of the stage that ran last, by application and thread.
+_left: dict[tuple[str, int], list[str]] = {}
+
+
+def stage(f: Callable) -> Callable:
+    """A stage that first deletes what the stage before left in the shared folder: its result is written and read again by now. What docs still reads stays."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, threading.get_ident())
+        left = [p for p in _left.pop(key, []) if p in made()]
+        if left:
+            read = docs.inputFiles()
+            for path in left:
+                if not any(path.split("/")[-1] in file for file in read):
+                    delete(spark, path)
+        before = set(made())
+        out = f(spark, docs, sf_dir)
+        _left[key] = [p for p in made() if p not in before]
+        return out
+
+    return run
 
 
 def wrapped(docs: DataFrame, *columns: str) -> DataFrame:
@@ -19,16 +47,19 @@ def wrapped(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.struct(*docs.columns).alias("_row"), *columns)
 
 
+@stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known; those that language ID rejects (unknown, or no text) go."""
     return language.identify(wrapped(docs, "doc_id", "text", "lang", "source"), keep=["_row"]).filter("kept").select("_row.*")
 
 
+@stage
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold; the others go."""
     return toxicity.score(wrapped(docs, "doc_id", "text"), table(spark, sf_dir, "labels")).filter("predicted = 0").select("_row.*")
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of linked or equal texts: the class's first text under its smallest doc_id; of rows that repeat both, the smallest."""
     leads = jaccard.join(docs).filter("lead").select(jaccard.name_of("doc_id", F.col("key")).alias("_name"), F.col("key").alias("_key")).distinct()
@@ -37,6 +68,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.groupBy("_name", "_key").agg(F.min("_row").alias("_row")).select("_row.*")
 
 
+@stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The curriculum: a row for each copy of a document that the mix takes, in the order of training. Written, its files lie in that order."""
     return mixing.curriculum(docs, numbered=False)
@@ -52,6 +84,7 @@ def reading_order(docs: DataFrame) -> Column | None:
     return number * (1 << 20) + F.floor(F.col("_metadata.row_index") / packing.SHARD_ROWS)
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The bin of every document. Documents near each other in training share bins, which are numbered along the training order."""
     return packing.pack(docs, shard=reading_order(docs))
