@@ -228,6 +228,20 @@ def test_bins_follow_the_training_order(spark, sf_dir):
     assert {r["bin"] >> packing.BIN_BITS for r in packed} <= set(size)
 
 
+def test_a_stage_deletes_what_the_one_before_left(spark, sf_dir):
+    from waymark.llm.common import made, materialise
+
+    docs = spark.read.parquet(f"{sf_dir[0]}/documents.parquet")
+    lazy = corpus_pipeline.language_id(spark, docs, sf_dir[0])
+    own = set(made())
+    n = corpus_pipeline.toxic(spark, lazy, sf_dir[0]).count()  # not written between: its tables stay
+    assert own <= set(made()) and n == lazy.join(spark.read.parquet(f"{sf_dir[0]}/labels.parquet"), "doc_id", "left").filter("toxic is null or toxic = 0").count()
+    first = materialise(corpus_pipeline.language_id(spark, docs, sf_dir[0]), "test")
+    left = corpus_pipeline._left[next(iter(corpus_pipeline._left))]
+    assert left and set(left) <= set(made())
+    assert corpus_pipeline.toxic(spark, first, sf_dir[0]).count() == n and not set(left) & set(made())
+
+
 def test_intermediate_tables_are_deleted(spark, sf_dir):
     from waymark.llm import common
 
