@@ -160,10 +160,10 @@ def test_files(spark, tmp_path):
     assert inventory["size"] == (tmp_path / "x.jsonl").stat().st_size and len(inventory["sha256"]) == 64
     assert files.lint(spark, f"{d}/bad.jsonl", "no.e").first()["found"] == "nope"
     assert files.write_csv(spark.range(3), f"{d}/csv") and not files.write_csv(spark.range(0), f"{d}/none")
-    files.identity_guard(f"{d}/id.json", {"a": 1})
-    files.identity_guard(f"{d}/id.json", {"a": 1})
+    files.identity_guard(spark, f"{d}/id.json", {"a": 1})
+    files.identity_guard(spark, f"{d}/id.json", {"a": 1})
     with pytest.raises(ValueError):
-        files.identity_guard(f"{d}/id.json", {"a": 2})
+        files.identity_guard(spark, f"{d}/id.json", {"a": 2})
 
 
 def test_workflow_contracts(spark):

@@ -273,3 +273,40 @@ def display_name(name: str | Column) -> Column:
     fixed = F.create_map(*[F.lit(x) for pair in DISPLAY_NAMES.items() for x in pair])
     bound = F.regexp_replace(F.regexp_replace(n, r"^sem:bind:|goal_object=|treatment=", ""), r"\|location=", " @ ")
     return F.coalesce(F.try_element_at(fixed, n), F.when(n.startswith("sem:bind:"), bound).otherwise(F.replace(n, F.lit(":"), F.lit(" "))))
+
+
+def normal_path(path: str | Column) -> Column:
+    """Without empty parts, dots, and parts that a following ``..`` takes back."""
+    root = F.when(col(path).startswith("/"), "/").otherwise("")
+    step = lambda out, x: F.when((x == "..") & (F.size(out) > 0) & (F.try_element_at(out, F.lit(-1)) != ".."), F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.array_append(out, x))
+    parts = F.filter(F.split(col(path), "/"), lambda x: ~x.isin("", "."))
+    return F.concat(root, F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+
+
+def resolve_link(base: str | Column, link: str | Column) -> Column:
+    """A link in a configuration file, relative to the file's folder; absolute paths and addresses stay."""
+    fixed = col(link).startswith("/") | F.contains(col(link), F.lit("://"))
+    return F.when(fixed, col(link)).otherwise(normal_path(F.concat(F.regexp_extract(col(base), r"^(.*/)?[^/]*$", 1), col(link))))
+
+
+def portable_path(path: str | Column, root: str) -> Column:
+    """Relative to the root for what lies below it, so that a record outlives a move of the root."""
+    norm, top = normal_path(path), root.rstrip("/") + "/"
+    return F.when(norm.startswith(top), F.substring(norm, F.lit(len(top) + 1), F.length(norm))).otherwise(col(path))
+
+
+def invalid_release_path(path: str | Column) -> Column:
+    """Whether a path may not stand in a release's list: empty, absolute, not in normal form, or with a backslash or colon."""
+    p = col(path)
+    return (p == "") | p.startswith("/") | p.rlike(r"[\\\\:]|(^|/)\.\.?(/|$)|//|/$")
+
+
+def json_value(value: str | Column) -> Column:
+    """Compact JSON of a string, number or array."""
+    text = F.to_json(F.array(col(value)))
+    return F.substring(text, F.lit(2), F.length(text) - 2)
+
+
+def canonical_key(*values: str | Column) -> Column:
+    """A compact JSON list of the values, as a key."""
+    return F.concat(F.lit("["), F.concat_ws(",", *map(json_value, values)), F.lit("]"))

@@ -181,6 +181,18 @@ def featurise(steps: DataFrame) -> DataFrame:
     return t.select("episode_id", "step", F.map_concat(effect_features(t), search_features(), lexical_features(), semantic_features()).alias("features"))
 
 
+def pair_difference(positive: str | Column, negative: str | Column) -> Column:
+    """Positive less negative by name. Differences within ZERO of 0 go where the negative side has the name; what only the positive side has stays."""
+    both = F.map_zip_with(T.col(positive), T.col(negative), lambda _, x, y: F.struct((F.coalesce(x, F.lit(0.0)) - F.coalesce(y, F.lit(0.0))).alias("v"), y.isNull().alias("alone")))
+    return F.transform_values(F.map_filter(both, lambda _, e: e["alone"] | (F.abs(e["v"]) >= N.ZERO)), lambda _, e: e["v"])
+
+
+def rebuilt(features: str | Column, *views: Column) -> Column:
+    """Features with all ``lex:`` and ``sem:`` entries replaced by those of the views, of which entries within ZERO of 0 go."""
+    rest = F.map_filter(T.col(features), lambda k, _: ~k.startswith("lex:") & ~k.startswith("sem:"))
+    return F.map_concat(rest, *[F.map_filter(v, lambda _, x: F.abs(x) >= N.ZERO) for v in views])
+
+
 def object_affinity(priors: DataFrame) -> DataFrame:
     """(object, place, score) from (object, place, n): counts divided by the object's largest."""
     return priors.select("object", "place", (F.col("n") / F.max("n").over(Window.partitionBy("object"))).alias("score"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FORBIDDEN = ("expert_action", "expert_rank")
@@ -79,3 +79,53 @@ def differing(computed: DataFrame, recorded: DataFrame, keys: list[str], value:
     c, r = computed.select(*keys, F.col(value).alias("computed")), recorded.select(*keys, F.col(value).alias("recorded"))
     far = F.col("computed").isNull() | F.col("recorded").isNull() | (F.abs(F.col("computed") - F.col("recorded")) > tolerance)
     return c.join(r, keys, "full_outer").filter(far)
+
+
+def unmatched(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, side): keys that only the first or only the second table has; none if the key sets are identical."""
+    x, y = a.select(*keys).distinct().withColumn("_a", F.lit(True)), b.select(*keys).distinct().withColumn("_b", F.lit(True))
+    side = F.when(F.col("_b").isNull(), "first").when(F.col("_a").isNull(), "second")
+    return x.join(y, keys, "full_outer").withColumn("side", side).filter(F.col("side").isNotNull()).select(*keys, "side")
+
+
+def lookup(rows: DataFrame, table: DataFrame, on: dict[str, str], rows_at_most: int = 100_000) -> DataFrame:
+    """rows with the columns of the table's row for their key (rows column to table column); rows without one keep nulls. A small table, by its count, is broadcast."""
+    small = F.broadcast(table) if table.count() <= rows_at_most else table
+    condition = [rows[a] == small[b] for a, b in on.items()]
+    return rows.join(small, condition, "left").drop(*[small[b] for a, b in on.items() if a == b])
+
+
+def having_key(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose key is in the set."""
+    return rows.join(keys.select(*on).distinct(), on, "left_semi")
+
+
+def list_differences(a: DataFrame, b: DataFrame, place: str, columns: list[str]) -> DataFrame:
+    """(place, problem): places of an ordered list that the other lacks, or where it has something else."""
+    x, y = a.select(place, F.struct(*columns).alias("_x")), b.select(place, F.struct(*columns).alias("_y"))
+    problem = F.when(F.col("_y").isNull(), "missing").when(F.col("_x").isNull(), "extra").when(F.col("_x") != F.col("_y"), "other")
+    return x.join(y, place, "full_outer").select(place, problem.alias("problem")).filter(F.col("problem").isNotNull())
+
+
+def prefix_gaps(done: DataFrame, tasks: DataFrame, group: str, place: str) -> DataFrame:
+    """(group, place): tasks before a group's last finished one that aren't finished; with none, and no prefix_errors, done is a prefix."""
+    last = done.groupBy(group).agg(F.max(place).alias("_last"))
+    return tasks.join(last, group).filter(F.col(place) < F.col("_last")).join(done, [group, place], "left_anti").select(group, place)
+
+
+def set_differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(first_only, second_only): how many different rows only one of two sets has."""
+    one = a.distinct().withColumn("_in", F.lit(1)).unionByName(b.distinct().withColumn("_in", F.lit(2)))
+    sides = one.groupBy(*a.columns).agg(F.sum("_in").alias("_in"))
+    return sides.agg(F.count_if(F.col("_in") == 1).alias("first_only"), F.count_if(F.col("_in") == 2).alias("second_only"))
+
+
+def changed_paths(before: str, after: str) -> Column:
+    """Sorted paths at which two flattened states (maps from path to text) differ."""
+    both = F.map_zip_with(F.col(before), F.col(after), lambda _, x, y: ~x.eqNullSafe(y))
+    return F.array_sort(F.map_keys(F.map_filter(both, lambda _, differs: differs)))
+
+
+def same_but(before: Column, after: Column, *fields: str) -> Column:
+    """Whether two structs agree, some fields aside."""
+    return before.dropFields(*fields).eqNullSafe(after.dropFields(*fields))

@@ -84,3 +84,11 @@ def by_phase(phase: Column, scores: dict[str, Column], weights: dict[str, dict[s
     for label, own in weights.items():
         out = F.when(phase == label, ensemble(scores, own)).otherwise(out)
     return out
+
+
+def retrieval_shortlist(rows: DataFrame, group: list[str], score: str, position: str, limit: int) -> DataFrame:
+    """Of groups with more than ``limit`` rows, the limit best by falling score, ties in input order; smaller groups stay whole, in input order. Adds place."""
+    n = F.count("*").over(Window.partitionBy(*group))
+    order = Window.partitionBy(*group).orderBy(F.when(F.col("_n") > limit, -F.col(score)).otherwise(0.0), position)
+    ranked = rows.withColumn("_n", n).withColumn("place", F.row_number().over(order).cast("long"))
+    return ranked.filter((F.col("_n") <= limit) | (F.col("place") <= limit)).drop("_n")

@@ -13,14 +13,19 @@ from ..functions import numeric as N
 BOOTSTRAP = 20_000
 
 
-def completion(runs: DataFrame) -> DataFrame:
-    """Counts and rates overall, by variant and by family, in one aggregation with grouping sets. level tells which."""
-    runs.createOrReplaceTempView("waymark_runs")
-    return runs.sparkSession.sql("""
-        SELECT CASE WHEN grouping(variant) = 0 THEN 'variant' WHEN grouping(task_family) = 0 THEN 'family' ELSE 'overall' END AS level,
-          variant, task_family, count(*) AS episodes, count_if(success) AS successes, avg(CAST(success AS DOUBLE)) AS success_rate,
-          sum(steps) AS step_count, avg(steps) AS average_steps, sum(invalid) AS invalid_actions, sum(invalid) / sum(steps) AS invalid_rate
-        FROM waymark_runs GROUP BY GROUPING SETS ((), (variant), (task_family))""")
+def completion(runs: DataFrame, by: tuple[str, str] = ("variant", "task_family"), names: tuple[str, str] = ("variant", "family"), timeouts: bool = False) -> DataFrame:
+    """Counts and rates overall and by each of two columns, in one aggregation with grouping sets; ``level`` tells which.
+
+    timeouts adds, from termination_reason, runs that reached the step limit, and those or that the environment ended without success: reports mean either by a timeout.
+    """
+    a, b = by
+    level = F.when(F.grouping(a) == 0, names[0]).when(F.grouping(b) == 0, names[1]).otherwise("overall")
+    reason = F.col("termination_reason") if timeouts else None
+    more = [F.count_if(reason == "max_steps").alias("timeouts"), F.count_if(reason.isin("max_steps", "env_done_without_success")).alias("timeouts_or_ended")] if timeouts else []
+    return runs.groupingSets([[], [F.col(a)], [F.col(b)]], F.col(a), F.col(b)).agg(
+        level.alias("level"), F.count("*").alias("episodes"), F.count_if("success").alias("successes"), F.avg(F.col("success").cast("double")).alias("success_rate"),
+        F.sum("steps").alias("step_count"), F.avg("steps").alias("average_steps"), F.sum("invalid").alias("invalid_actions"), (F.sum("invalid") / F.sum("steps")).alias("invalid_rate"), *more,
+    )
 
 
 def paired(runs: DataFrame) -> DataFrame:

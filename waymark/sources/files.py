@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import json
-import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SOURCE_STATES = "episode_id string, task_family string, instruction string, step_index bigint, previous_actions array<string>, observation string, admissible_actions array<string>"
@@ -32,9 +31,23 @@ def read_document(spark: SparkSession, path: str, schema: str | None = None) ->
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-def resolve(base: str, link: str) -> str:
-    """A link in a configuration file, relative to the file's folder."""
-    return link if os.path.isabs(link) or "://" in link else os.path.normpath(os.path.join(os.path.dirname(base), link))
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file written by the driver to any store that Spark reaches."""
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(name, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(name)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.option("wholetext", True).text(path).first()["value"]
 
 
 def write_csv(rows: DataFrame, path: str, mode: str = "overwrite") -> bool:
@@ -51,11 +64,12 @@ def scan_slice(rows: DataFrame, order: list[str], start: int = 0, limit: int | N
     return out if limit is None else out.limit(limit)
 
 
-def report(rows: DataFrame, path: str) -> None:
-    """A small report as indented JSON on the driver's file system."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump([r.asDict(recursive=True) for r in rows.collect()], f, indent=2, ensure_ascii=False, default=str)
-        f.write("\n")
+def report(rows: DataFrame, path: str, most: int = 10_000) -> None:
+    """A small report as indented JSON in one file; more than ``most`` rows are an error, not cut."""
+    found = rows.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"a report has {most} rows at most")
+    write_text(rows.sparkSession, path, json.dumps([r.asDict(recursive=True) for r in found], indent=2, ensure_ascii=False, default=str) + "\n")
 
 
 def save_ranker(spark: SparkSession, path: str, weights: dict[str, float], max_abs_score: float = 2.0) -> None:
@@ -82,18 +96,31 @@ def lint(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return texts.select(F.input_file_name().alias("path"), F.regexp_extract("value", f"({pattern})", 1).alias("found")).filter(F.col("found") != "")
 
 
+SCORES = "key string, score double"
+
+
 def missing_scores(keys: DataFrame, cache: DataFrame, content: str) -> DataFrame:
     """Rows whose content isn't in the cache (key: SHA-256 of the content): what a scorer still has to do. Adds key."""
     return keys.withColumn("key", F.sha2(F.col(content).cast("binary"), 256)).join(cache.select("key"), "key", "left_anti")
 
 
-def identity_guard(path: str, identity: dict) -> None:
+def cached_scores(rows: DataFrame, path: str, content: str, score: Column) -> DataFrame:
+    """(content, key, score) of the distinct contents; what the cache at ``path`` lacks is scored and appended to it.
+
+    Appends go through Spark's committer, so a lost task leaves no half of a file. Two runs at a time may both append a key: scores are a function of the content, any counts.
+    """
+    spark = rows.sparkSession
+    distinct = rows.select(content).distinct()
+    old = spark.read.schema(SCORES).json(path) if exists(spark, path) else spark.createDataFrame([], SCORES)
+    missing_scores(distinct, old, content).select("key", score.cast("double").alias("score")).write.mode("append").json(path)
+    known = spark.read.schema(SCORES).json(path).groupBy("key").agg(F.any_value("score").alias("score"))
+    return distinct.withColumn("key", F.sha2(F.col(content).cast("binary"), 256)).join(known, "key").select(content, "key", "score")
+
+
+def identity_guard(spark: SparkSession, path: str, identity: dict) -> None:
     """Resume only under identical inputs: writes the identity beside an output, or raises if another one lies there."""
     text = json.dumps(identity, sort_keys=True)
-    if os.path.exists(path):
-        with open(path, encoding="utf-8") as f:
-            if f.read().strip() != text:
-                raise ValueError("output belongs to other inputs")
-    else:
-        with open(path, "w", encoding="utf-8") as f:
-            f.write(text + "\n")
+    if not exists(spark, path):
+        write_text(spark, path, text + "\n")
+    elif read_text(spark, path).strip() != text:
+        raise ValueError("output belongs to other inputs")

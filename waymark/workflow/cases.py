@@ -235,11 +235,10 @@ def closed_loop(rows: DataFrame) -> DataFrame:
 
 def summarize(results: DataFrame) -> DataFrame:
     """Episodes, successes, mean steps and cost overall, by split and by scope."""
-    results.createOrReplaceTempView("waymark_workflow_results")
-    return results.sparkSession.sql("""
-        SELECT CASE WHEN grouping(split) = 0 THEN 'split' WHEN grouping(scope) = 0 THEN 'scope' ELSE 'overall' END AS level, split, scope,
-          count(*) AS episodes, count_if(success) AS successes, round(avg(steps), 6) AS mean_steps, round(avg(cost), 6) AS mean_cost
-        FROM waymark_workflow_results GROUP BY GROUPING SETS ((), (split), (scope))""")
+    level = F.when(F.grouping("split") == 0, "split").when(F.grouping("scope") == 0, "scope").otherwise("overall")
+    return results.groupingSets([[], [F.col("split")], [F.col("scope")]], F.col("split"), F.col("scope")).agg(
+        level.alias("level"), F.count("*").alias("episodes"), F.count_if("success").alias("successes"), F.round(F.avg("steps"), 6).alias("mean_steps"), F.round(F.avg("cost"), 6).alias("mean_cost")
+    )
 
 
 def audit(rows: DataFrame) -> DataFrame:
