@@ -640,16 +640,6 @@ def action_similarity(spark, sf_dir):
     return t.select("episode_id", "step", F.round(features.similarity()("was", "action"), 9).alias("similarity"))
 
 
-@query
-def observable_candidates(spark, sf_dir):
-    """The episode's action vocabulary at every step, without those that would go round in a cycle."""
-    w = Window.partitionBy("episode_id").orderBy("step")
-    t = views.trajectory(spark, sf_dir)
-    vocabulary = t.groupBy("episode_id").agg(F.array_sort(F.collect_set("action")).alias("c"))
-    recent = t.select("episode_id", "step", F.collect_list("action").over(w.rowsBetween(-24, -1)).alias("h"))
-    return recent.join(vocabulary, "episode_id").select("episode_id", "step", F.size("c").cast("long").alias("n"), F.size(features.observable_filter("c", "h")).cast("long").alias("kept"))
-
-
 # --- further reports -----------------------------------------------------------------------------------------------
 
 

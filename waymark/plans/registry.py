@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import feature_oracles, oracles, queries, source_queries
+from . import feature_oracles, oracles, queries, source_queries, state_queries
 
 FLAGSHIP = "pair_accuracy_by_group"
-QUERIES = queries.QUERIES | source_queries.query.queries
-ORACLE = oracles.ORACLE | feature_oracles.ORACLE | source_queries.query.oracle
+QUERIES = queries.QUERIES | source_queries.query.queries | state_queries.query.queries
+ORACLE = oracles.ORACLE | feature_oracles.ORACLE | source_queries.query.oracle | state_queries.query.oracle
 
 __all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
