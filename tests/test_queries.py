@@ -30,19 +30,19 @@ def plain(v):
     return v.replace(tzinfo=None).isoformat() if isinstance(v, datetime.datetime) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(registry.ORACLE))
+@pytest.mark.parametrize("name", sorted(registry.oracle()))
 def test_query_equals_sql(spark, duck, name):
     df = __spark_entry__.queries()[name](spark, DATA)
     columns = sorted(df.columns)
     got = Counter(tuple(map(plain, r)) for r in df.select(*[f"`{c}`" for c in columns]).collect())
-    found = duck.execute(registry.ORACLE[name])
+    found = duck.execute(registry.oracle()[name])
     names = [d[0] for d in found.description]
     assert sorted(names) == columns
     want = Counter(tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall())
     assert got == want
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE)))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.oracle())))
 def test_query_without_sql_runs(spark, name):
     assert not __spark_entry__.queries()[name](spark, DATA).isEmpty()
 

@@ -76,14 +76,15 @@ def vocabulary(pairs: DataFrame, prefix: str | None = None, exclude: tuple[str,
 def frozen_namespace(chosen: DataFrame, everything: DataFrame, key: str = "pair_id") -> DataFrame:
     """chosen, with its first row (by key) padded by zeros for every feature name of ``everything``.
 
-    Learning then sees the same names at every budget, and decays the padded ones. Only names are gathered, in the one row that needs them.
+    Learning then sees the same names at every budget, and decays the padded ones. Only the first row meets the names; the others pass by.
     """
-    names = everything.select(F.explode(F.map_keys("features")).alias("n")).distinct().agg(F.array_sort(F.collect_list("n")).alias("_names"))
-    first = chosen.agg(F.min(key).alias("_first"))
-    rows = chosen.crossJoin(F.broadcast(names.crossJoin(first)))  # one row
+    first = F.broadcast(chosen.agg(F.min(key).alias("_first")))  # one row
+    names = everything.select(F.explode(F.map_keys("features")).alias("n")).distinct().agg(F.array_sort(F.collect_list("n")).alias("_names"), F.lit(1).alias("_one"))
+    head = chosen.join(first, F.col(key) == F.col("_first")).withColumn("_one", F.lit(1)).join(names, "_one")
     missing = F.filter("_names", lambda n: ~F.map_contains_key("features", n))
     padded = F.map_concat("features", F.map_from_arrays(missing, F.transform(missing, lambda _: F.lit(0.0))))
-    return rows.withColumn("features", F.when(F.col(key) == F.col("_first"), padded).otherwise(F.col("features"))).drop("_names", "_first")
+    rest = chosen.join(first, F.col(key) == F.col("_first"), "left_anti")
+    return head.withColumn("features", padded).select(*chosen.columns).unionByName(rest)
 
 
 def best_checkpoint(rows: DataFrame) -> DataFrame:

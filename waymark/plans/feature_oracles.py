@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import difflib
 import hashlib
 
-from .oracles import GOALS_STRICT, base, ids, quoted, view
+from .oracles import GOALS_STRICT, ids, quoted, view
 from .views import SQL_TRAJECTORY
 
 ORACLE: dict[str, str] = {}
@@ -189,4 +190,16 @@ def vocabulary() -> list[str]:
 ORACLE["hashed_features"] = view(SQL_TRAJECTORY, "SELECT bucket, round(sum(value), 6) AS value FROM lo JOIN hs USING (feature) GROUP BY 1", *CHAIN, TOKENS, ALL,
     f"hs AS (SELECT feature, CAST(bucket AS BIGINT) AS bucket FROM (VALUES {hashed(vocabulary(), 1024)}) t(feature, bucket))")
 
-__all__ = ["ORACLE", "base"]
+
+def similarity() -> str:
+    """SQL of action_similarity. SQL has no matching-block ratio, so all pairs of the view's actions come with difflib's."""
+    actions = [f"go to shelf {i}" for i in range(7)] + [f"heat mug {i} with microwave 1" for i in range(9)] + [f"examine mug {i}" for i in range(9)] + [f"open drawer {i}" for i in range(5)]
+    actions += [f"take mug {i} from shelf {j}" for i in range(9) for j in range(7)] + [f"move mug {i} to desk {j}" for i in range(9) for j in range(3)] + ["use desklamp 1"]
+
+    def score(a: str, z: str) -> float:
+        x, y = set(a.split()), set(z.split())
+        return 1.0 if a == z else 0.65 * difflib.SequenceMatcher(None, a, z).ratio() + 0.35 * len(x & y) / len(x | y)
+
+    rows = ", ".join(f"('{a}', '{z}', {score(a, z)!r}::DOUBLE)" for a in actions for z in actions)
+    return view(SQL_TRAJECTORY, f"""SELECT episode_id, step, round(s, 9) AS similarity FROM (SELECT episode_id, step, action, lag(action) OVER (PARTITION BY episode_id ORDER BY step) AS was FROM tr)
+JOIN (VALUES {rows}) t(a, z, s) ON a = was AND z = action""")

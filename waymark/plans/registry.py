@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from . import feature_oracles, oracles, queries, source_queries, state_queries
+import functools
+
+from . import feature_oracles, oracles, queries, source_queries, state_queries, workflow_queries
 
 FLAGSHIP = "pair_accuracy_by_group"
-QUERIES = queries.QUERIES | source_queries.query.queries | state_queries.query.queries
-ORACLE = oracles.ORACLE | feature_oracles.ORACLE | source_queries.query.oracle | state_queries.query.oracle
+_REGISTERS = (source_queries.query, state_queries.query, workflow_queries.query)
+QUERIES = functools.reduce(dict.__or__, [queries.QUERIES, *(r.queries for r in _REGISTERS)])
+#: All SQL but that of action_similarity, which takes a second to make.
+ORACLE = functools.reduce(dict.__or__, [oracles.ORACLE, feature_oracles.ORACLE, *(r.oracle for r in _REGISTERS)])
+
+
+@functools.cache
+def oracle() -> dict[str, str]:
+    return ORACLE | {"action_similarity": feature_oracles.similarity()}
+
 
-__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES", "oracle"]

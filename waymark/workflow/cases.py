@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial, reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -188,13 +189,34 @@ def candidate_features(rows: DataFrame) -> DataFrame:
     return per_case(featured, FEATURES)(rows)
 
 
-def run_closed(row, budget: int = 50, stagnant: int = 6, actor: float = 1.0) -> Iterator[tuple]:
-    """Runs a case by fused scores: a stand-in actor that prefers the planner's action, plus the structural score scaled within the state.
+#: Weights of the scaled structural and the standardized residual score beside the actor's, by variant.
+VARIANTS = {"actor": (0.0, 0.0), "actor_structural": (R.STRUCTURAL_WEIGHT, 0.0), "actor_residual": (0.0, R.RESIDUAL_WEIGHT), "full": (R.STRUCTURAL_WEIGHT, R.RESIDUAL_WEIGHT)}
+#: A small ranker over candidate features, for runs without a trained one.
+RESIDUAL = {"productive_transition": 1.0, "role:lifecycle_progress": 0.5, "idempotent": -1.0}
+
+
+def scaled(values: list[float]) -> list[float]:
+    """By the largest absolute value; 0 where that is tiny."""
+    top = max(map(abs, values))
+    return [x / top if top >= 1e-8 else 0.0 for x in values]
+
+
+def standardized(values: list[float]) -> list[float]:
+    """Population z-scores; 0 where the spread is tiny."""
+    mean = sum(values) / len(values)
+    spread = (sum((x - mean) ** 2 for x in values) / len(values)) ** 0.5
+    return [(x - mean) / spread if spread >= 1e-8 else 0.0 for x in values]
+
+
+def run_closed(row, budget: int = 50, stagnant: int = 6, actor: float = 1.0, variant: str = "actor_structural", ranker: dict[str, float] | None = None) -> Iterator[tuple]:
+    """Runs a case by the scores that a variant fuses: a stand-in actor that prefers the planner's action, the structural score scaled within the state, and a
+    linear ranker's score of the candidates' features standardized within the state.
 
     Stops at the goal, the budget, without legal actions, after ``stagnant`` actions in a row that change nothing but the clock, or where the state
     (but for the clock) and the last eight actions were there before. Ties go to the largest action text.
     """
     state, goal = start(row)
+    by_structure, by_residual = VARIANTS[variant]
     history: list[lab.Action] = []
     seen: set[str] = set()
     idle, cost, reason = 0, 0.0, "budget"
@@ -214,9 +236,13 @@ def run_closed(row, budget: int = 50, stagnant: int = 6, actor: float = 1.0) ->
         if not options:
             reason = "stuck"
             break
-        wish, top = lab.next_action(state, goal), max(abs(x[3]) for x in options)
-        fused = lambda x: actor * (x[0] == wish) + (R.STRUCTURAL_WEIGHT * x[3] / top if top >= 1e-8 else 0.0)  # noqa: B023, E731
-        chosen, after, _, _ = max(options, key=lambda x: (fused(x), x[0]))
+        wish = lab.next_action(state, goal)
+        structure = scaled([x[3] for x in options])
+        weights = (ranker or RESIDUAL) if by_residual else {}
+        residual = standardized([sum(weights.get(k, 0.0) * v for k, v in R.features(state, goal, *x[:3]).items()) for x in options]) if weights else [0.0] * len(options)
+        fused = [actor * (x[0] == wish) + by_structure * s + by_residual * r for x, s, r in zip(options, structure, residual, strict=True)]
+        best = max(range(len(options)), key=lambda k: (fused[k], options[k][0]))  # noqa: B023
+        chosen, after, _, _ = options[best]
         idle = idle + 1 if lab.unchanged(state, after) else 0
         cost += lab.SKILLS[chosen[0]].cost
         history.append(chosen)
@@ -229,8 +255,56 @@ def run_closed(row, budget: int = 50, stagnant: int = 6, actor: float = 1.0) ->
 RESULT = "episode_id string, split string, scope string, success boolean, steps long, cost double, reason string"
 
 
-def closed_loop(rows: DataFrame) -> DataFrame:
-    return per_case(run_closed, RESULT)(rows)
+def closed_loop(rows: DataFrame, **settings) -> DataFrame:
+    """One row a case; settings are those of run_closed."""
+    return per_case(partial(run_closed, **settings), RESULT)(rows)
+
+
+def started(row) -> Iterator[tuple]:
+    """A case's initial state in columns."""
+    s, _ = start(row)
+    stages = ",".join(sorted(f"{x['stage']}@{x['place']}" for x in s["samples"].values()))
+    yield (
+        row.episode_id, row.split, row.scope, s["minute"], s["agv"]["place"], s["prep"]["status"], s["background"] is not None, s["instrument"]["protocol"] is not None,
+        stages, len(lab.actions(s)), len(lab.broken(s)),
+    )
+
+
+STARTED = "episode_id string, split string, scope string, minute long, agv string, prep string, background boolean, protocol boolean, samples string, candidates long, violations long"
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    return per_case(started, STARTED)(rows)
+
+
+def planned_effects(row) -> Iterator[tuple]:
+    """What a case's plan does, by kind of skill, and how many of its states break an invariant."""
+    state, goal = start(row)
+    ok, done, states = lab.plan(state, goal)
+    names = [a for a, _ in done]
+    count = lambda start: sum(n.startswith(start) for n in names)
+    kinds = ("measure_site", "poll_measurement", "switch_grip", "save_measurement", "verify_result", "unload_characterized", "run_preparation", "place_mold")
+    yield row.episode_id, ok, *map(count, kinds), sum(bool(lab.broken(s)) for s in states)
+
+
+EFFECTS = "episode_id string, completed boolean, measured long, polled long, flipped long, saved long, verified long, stored long, prepared long, placed long, violations long"
+
+
+def plan_effects(rows: DataFrame) -> DataFrame:
+    return per_case(planned_effects, EFFECTS)(rows)
+
+
+def release_report(rows: DataFrame) -> DataFrame:
+    """(section, name, value): counts of cases by split, scope, initial dock and sample stage, full cycles, and signatures that the unseen split shares with training."""
+    begun = starts(rows).select("episode_id", "agv", "samples")
+    joined = rows.join(begun, "episode_id")
+    stages = joined.select(F.explode(F.split("samples", ",")).alias("s")).select(F.substring_index("s", "@", 1).alias("name"))
+    tables = [(name, joined.select(F.col(c).alias("name"))) for name, c in (("split", "split"), ("scope", "scope"), ("initial_agv", "agv"))] + [("initial_stage", stages)]
+    tables.append(("lifecycle", joined.filter((F.col("scope") == "full_cycle") & F.col("store")).select(F.lit("full_cycle").alias("name"))))
+    parts = [t.groupBy("name").agg(F.count("*").alias("value")).select(F.lit(section).alias("section"), "name", "value") for section, t in tables]
+    sides = rows.filter(F.col("split").isin("train", "compositional_unseen")).groupBy("signature").agg(F.count_distinct("split").alias("n"))
+    parts.append(sides.agg(F.count_if(F.col("n") > 1).alias("value")).select(F.lit("leakage").alias("section"), F.lit("shared_signatures").alias("name"), "value"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def summarize(results: DataFrame) -> DataFrame:
