@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
@@ -52,24 +52,46 @@ def paired_summary(pairs: DataFrame, by_family: bool = False) -> DataFrame:
     return got.withColumn("mcnemar_p", N.mcnemar("recovered", "regressed"))
 
 
+#: Draws that one hash gives: eight hex digits each.
+DRAWS = 8
+
+
+def poisson_bounds(digits: int = 8) -> list[str]:
+    """Cumulative probabilities of a Poisson variable with mean 1, as hex digits, which sort as their numbers do; up to where these end."""
+    out, term, total, k = [], math.exp(-1), 0.0, 0
+    while True:
+        total += term
+        if (bound := math.ceil(total * 16**digits)) >= 16**digits:
+            return out
+        out.append(f"{bound:0{digits}x}")
+        k += 1
+        term /= k
+
+
 def bootstrap(pairs: DataFrame, samples: int = BOOTSTRAP) -> DataFrame:
     """Percentile intervals of the mean deltas by a hash bootstrap that any engine can repeat.
 
-    Resample s gives an episode the weight of a Poisson(1) draw, taken from the first eight hex digits of md5("s:episode"): a row-local
+    Resample s gives an episode the weight of a Poisson(1) draw, taken from digits of sha256("block:episode"), a block being DRAWS resamples: a row-local
     decision, so resampling needs no index join and the partial sums of all resamples combine before the shuffle.
     """
-    draw = F.md5(F.concat_ws(":", F.col("s").cast("string"), "episode_id").cast("binary"))
-    # Cumulative probabilities of a Poisson variable with mean 1, as hex digits, which sort as their numbers do.
-    weight = F.lit(6)
-    for k, p in reversed(list(enumerate((0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)))):
-        weight = F.when(draw < f"{math.ceil(p * 2**32):08x}", k).otherwise(weight)
+    digest = F.sha2(F.concat_ws(":", F.col("b").cast("string"), "episode_id").cast("binary"), 256)
+
+    def weight(i: int) -> Column:
+        draw, out = F.substring("h", 8 * i + 1, 8), F.lit(len(poisson_bounds()))
+        for k, bound in reversed(list(enumerate(poisson_bounds()))):
+            out = F.when(draw < bound, k).otherwise(out)
+        return out.cast("long")
+
     # Few bytes make much work, so they go to all cores.
     parts = pairs.sparkSession.sparkContext.defaultParallelism
     dealt = pairs.select("episode_id", "success_delta", "step_delta").repartition(parts, "episode_id")
-    drawn = dealt.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)))).withColumn("w", weight.cast("long"))
-    means = drawn.groupBy("s").agg(
-        (F.sum(F.col("w") * F.col("success_delta")) / F.sum("w")).alias("success"), (F.sum(F.col("w") * F.col("step_delta")) / F.sum("w")).alias("steps")
-    )
+    drawn = dealt.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(-(-samples // DRAWS) - 1)))).withColumn("h", digest).withColumns({f"w{i}": weight(i) for i in range(DRAWS)})
+    sums = [f(i).alias(f"{n}{i}") for i in range(DRAWS) for n, f in (
+        ("n", lambda i: F.sum(f"w{i}")), ("a", lambda i: F.sum(F.col(f"w{i}") * F.col("success_delta"))), ("t", lambda i: F.sum(F.col(f"w{i}") * F.col("step_delta"))),
+    )]
+    per = drawn.groupBy("b").agg(*sums)
+    each = F.array(*[F.struct((F.col("b") * DRAWS + i).alias("s"), (F.col(f"a{i}") / F.col(f"n{i}")).alias("success"), (F.col(f"t{i}") / F.col(f"n{i}")).alias("steps")) for i in range(DRAWS)])
+    means = per.select(F.inline(each)).filter(F.col("s") < samples)
     at = lambda c, p: F.percentile(c, F.lit(p))
     return means.agg(
         F.count("*").alias("samples"), at("success", 0.025).alias("success_low"), at("success", 0.975).alias("success_high"),

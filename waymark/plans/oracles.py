@@ -264,13 +264,14 @@ SUMMARY = """count(*) AS episodes, count(*) FILTER (bs) AS reference_success, co
   round(avg(sd), 6) AS success_rate_delta, round(avg(td), 6) AS mean_step_delta"""
 ORACLE["paired_delta"] = view(SQL_RUNS, f"SELECT *, round(CASE WHEN recovered + regressed = 0 THEN 1.0::DOUBLE ELSE {EXACT} END, 6) AS mcnemar_p FROM (SELECT task_family, {SUMMARY} FROM pd GROUP BY 1)", *PAIRED)
 ORACLE["mcnemar"] = view(SQL_RUNS, f"SELECT episodes, recovered, regressed, both_success, both_fail, round(CASE WHEN recovered + regressed = 0 THEN 1.0::DOUBLE ELSE {EXACT} END, 6) AS mcnemar_p FROM (SELECT {SUMMARY} FROM pd)", *PAIRED)
+#: Cumulative Poisson(1) probabilities times 2^32, rounded up, until they reach 2^32.
+POISSON = "5e2d58d9 bc5ab1b2 eb715e1e fb239798 ff1025f6 ffd90f3c fffa8b72 ffff540d ffffed20 fffffe22 ffffffd5 fffffffd".split()
+DRAW = "CASE " + " ".join(f"WHEN u < '{x}' THEN {k}" for k, x in enumerate(POISSON)) + f" ELSE {len(POISSON)} END"
 ORACLE["bootstrap_ci"] = view(SQL_RUNS, """SELECT count(*) AS samples, round(quantile_cont(a, 0.025), 6) AS success_low, round(quantile_cont(a, 0.975), 6) AS success_high,
   round(quantile_cont(b, 0.025), 6) AS steps_low, round(quantile_cont(b, 0.975), 6) AS steps_high
 FROM (SELECT s, CAST(sum(w * sd) AS DOUBLE) / CAST(sum(w) AS DOUBLE) AS a, CAST(sum(w * td) AS DOUBLE) / CAST(sum(w) AS DOUBLE) AS b FROM dr GROUP BY s)""",
-    *PAIRED, """dr AS (SELECT s, sd, td, CASE WHEN u < 0.36787944::DOUBLE THEN 0 WHEN u < 0.73575888::DOUBLE THEN 1 WHEN u < 0.91969860::DOUBLE THEN 2 WHEN u < 0.98101184::DOUBLE THEN 3
-  WHEN u < 0.99634015::DOUBLE THEN 4 WHEN u < 0.99940582::DOUBLE THEN 5 ELSE 6 END AS w
-  FROM (SELECT s, sd, td, CAST(CAST('0x' || substr(md5(s || ':' || episode_id), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0::DOUBLE AS u FROM pd, range(0, 200) t(s)))""")
-ORACLE["bootstrap_ci_full"] = ORACLE["bootstrap_ci"].replace("range(0, 200)", "range(0, 20000)")
+    *PAIRED, "ha AS (SELECT sd, td, blk, sha256(blk || ':' || episode_id) AS h FROM pd, range(0, 2500) t(blk))",
+    f"dr AS (SELECT blk * 8 + i AS s, sd, td, {DRAW} AS w FROM (SELECT blk, i, sd, td, substr(h, CAST(8 * i + 1 AS BIGINT), 8) AS u FROM ha, range(0, 8) t(i)))")
 ORACLE["margin_quintiles"] = view(SQL_VECTORS, """SELECT CAST(ceil(5.0::DOUBLE * r / n) AS BIGINT) AS bin, count(*) AS pairs, round(avg(m), 6) AS mean_value, round(min(m), 6) AS min_value,
   round(max(m), 6) AS max_value, round(100.0::DOUBLE * avg(CAST(ok AS DOUBLE)), 6) AS accuracy_pct
 FROM (SELECT *, row_number() OVER (ORDER BY m, vec_id) AS r, count(*) OVER () AS n FROM (SELECT vec_id, round(abs(margin), 9) AS m, round(margin, 9) > 0 AS ok FROM sv)) GROUP BY 1""", SCORED)

@@ -362,20 +362,11 @@ def mcnemar(spark, sf_dir):
     return s.select("episodes", "recovered", "regressed", "both_success", "both_fail", F.round("mcnemar_p", 6).alias("mcnemar_p"))
 
 
-def _intervals(spark, sf_dir, *samples):
-    b = reports.bootstrap(reports.paired(views.runs(spark, sf_dir)), *samples)
-    return b.select("samples", *[F.round(c, 6).alias(c) for c in b.columns[1:]])
-
-
 @query
 def bootstrap_ci(spark, sf_dir):
-    """A preview with the 200 resamples that its SQL fixes; bootstrap_ci_full draws all."""
-    return _intervals(spark, sf_dir, 200)
-
-
-@query
-def bootstrap_ci_full(spark, sf_dir):
-    return _intervals(spark, sf_dir)
+    """Intervals from 20,000 resamples."""
+    b = reports.bootstrap(reports.paired(views.runs(spark, sf_dir)))
+    return b.select("samples", *[F.round(c, 6).alias(c) for c in b.columns[1:]])
 
 
 @query
