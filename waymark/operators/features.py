@@ -35,7 +35,7 @@ def entity_state(steps: DataFrame) -> DataFrame:
     """Adds the parsed action ``p``, the goal ``goal`` (strict dialect) and the entity state around the action, all null-free.
 
     held, place: text before the action, empty if none; visits: how often the action's target was gone to; been, been_word: whether anything of its base name (by either rule) was; repeats: how
-    often the action was done; recent: the last four actions; seen: visible entities; after: a struct of the goal flags and of the numbers of different things
+    often the action was done; item_put: whether the thing that it takes was put down before; recent: the last four actions; seen: visible entities; after: a struct of the goal flags and of the numbers of different things
     visited, placed, treated, examined and opened, with the action's own effect.
 
     An action touches one thing (its ``item``). Things are counted at their first time, and a thing put down counts where it lies by the change against its last
@@ -76,11 +76,14 @@ def entity_state(steps: DataFrame) -> DataFrame:
     }
     known = [F.count(F.when(F.col("new") & F.col("item").startswith(f"{k}:"), 1)).over(upto).cast("int").alias(f"n_{k}") for k in things]
     went = F.col("g_to").isNotNull()
+    # Whether the thing that is taken was put down before: takes and moves of a thing in one window.
+    handled = Window.partitionBy("episode_id", F.coalesce("t_obj", "m_obj")).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    put_before = F.col("t_obj").isNotNull() & F.coalesce(F.bool_or(F.col("item").startswith("placed:")).over(handled), F.lit(False))
     times = lambda c: F.row_number().over(Window.partitionBy("episode_id", c).orderBy("step")) - 1
     return rows.withColumns({
         "after": F.struct(*[v.alias(k) for k, v in flags.items()], *known, F.col("h_after").alias("held")),
         "place": F.coalesce(F.last("g_to", ignorenulls=True).over(before), T.arrival_location("observation"), F.lit("")),
-        "visits": F.when(went, times("item")).otherwise(0), "been": went & (times("g_base") > 0), "been_word": went & (times("g_word") > 0), "repeats": times("norm"),
+        "visits": F.when(went, times("item")).otherwise(0), "been": went & (times("g_base") > 0), "been_word": went & (times("g_word") > 0), "item_put": put_before, "repeats": times("norm"),
         "recent": F.collect_list("norm").over(order.rowsBetween(-4, -1)), "n_before": F.row_number().over(order) - 1,
     }).drop("t_obj", "m_obj", "g_to", "g_base", "g_word", "seg", "picked", "h_after", "item", "at_goal", "new", "moved_there")
 
@@ -193,6 +196,60 @@ def rebuilt(features: str | Column, *views: Column) -> Column:
     return F.map_concat(rest, *[F.map_filter(v, lambda _, x: F.abs(x) >= N.ZERO) for v in views])
 
 
+def with_memory(state: DataFrame) -> DataFrame:
+    """Adds what the episode's observations so far (this step's included) say of the place that an action goes to, on rows of ``transition``.
+
+    known: whether the place was observed; shown, lamp: whether the goal object, or a lamp, was seen there. Arrivals and goings meet as events of a place in
+    one window by (episode, place), arrivals of a step before its going; so no set of places is gathered.
+    """
+    rows = state.withColumn("_here", F.nullif(F.trim(F.regexp_extract(T.normalize("observation"), r"\byou arrive at (.+?)\.", 1)), F.lit("")))
+    rows = rows.withColumn("_to", F.when(F.col("p.schema") == "go_to", F.nullif(F.col("p.target"), F.lit(""))))
+    seen_goal = (F.col("goal.object") != "") & F.exists("seen", lambda s: T.entity_base(s) == F.col("goal.object"))
+    seen_lamp = F.exists("seen", lambda s: T.entity_base(s).contains("lamp"))
+    event = lambda kind, place, a, b: F.struct(F.lit(kind).alias("kind"), place.alias("place"), a.alias("a"), b.alias("b"))
+    events = rows.select("episode_id", "step", F.explode(F.array(event(0, F.col("_here"), seen_goal, seen_lamp), event(1, F.col("_to"), F.lit(None).cast("boolean"), F.lit(None).cast("boolean")))).alias("e"))
+    upto = Window.partitionBy("episode_id", "e.place").orderBy("step", "e.kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ever = lambda c: F.coalesce(F.bool_or(c).over(upto), F.lit(False))
+    told = events.filter(F.col("e.place").isNotNull()).select("episode_id", "step", "e.kind", ever(F.col("e.kind") == 0).alias("known"), ever(F.col("e.a")).alias("shown"), ever(F.col("e.b")).alias("lamp"))
+    found = rows.drop("_here", "_to").join(told.filter(F.col("kind") == 1).drop("kind"), ["episode_id", "step"], "left")
+    return found.fillna(False, ["known", "shown", "lamp"])
+
+
+def memory_scores(remembered: DataFrame) -> DataFrame:
+    """(episode_id, step, search, role): the search-recovery score and the role calibration of every action, on rows of ``with_memory``. All released runtimes weigh both 0.
+
+    Both are sums of points over conditions on the action, the state before it and the memory.
+    """
+    p, goal, b, c = F.col("p"), F.col("goal"), F.col("before"), F.col
+    is_ = lambda *schemas: p["schema"].isin(*schemas)
+    obj, to = T.entity_base(p["object"]), T.entity_base(p["target"])
+    on, holding = obj == goal["object"], b["holding_target"]
+    at_goal = (goal["destination"] != "") & F.contains(to, goal["destination"])
+    several, treats = goal["count"] > 1, goal["treatment"] != ""
+    tool = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in T.TREATMENT_TOOLS.items() for x in kv]), goal["treatment"]), F.lit(""))
+    times = lambda most: F.least(F.greatest(c("visits"), F.lit(1)), F.lit(most)).cast("double")
+    points = lambda rows: sum((F.when(cond, value).otherwise(0.0) for cond, value in rows), F.lit(0.0))
+    barren = c("known") & ~c("shown")
+    put, search_go = is_("move_to"), is_("go_to") & ~holding
+    ending = put & F.when(treats, b["target_treated"]).otherwise(~goal["needs_light"] & holding)
+    search = points((
+        (search_go & ~c("known") & (c("visits") == 0), 0.35), (search_go & barren, F.lit(-0.55) * times(3)),
+        (is_("take_from") & (c("held") == ""), F.when(on, 0.75).otherwise(-2.5)),
+        (goal["needs_light"] & holding & is_("use") & obj.contains("lamp"), 2.0), (goal["needs_light"] & holding & is_("move_to", "take_from"), -2.0),
+        (treats & is_("treatment"), F.when(on & (p["verb"] == goal["treatment"]), 2.5).otherwise(-2.5)),
+        (treats & holding & ~b["target_treated"] & is_("go_to") & (to == tool), 2.0), (treats & holding & ~b["target_treated"] & put, -2.0),
+        (ending, F.when(on & at_goal, 2.5).otherwise(-1.0)), (several & is_("take_from") & on, F.when(c("item_put"), -2.0).otherwise(1.0)),
+        (several & ~b["target_placed"] & search_go & at_goal, -2.0),
+    ))
+    role = points((
+        (is_("treatment") & b["target_treated"] & on, -4.0), (several & is_("take_from") & c("item_put"), -4.0), (search_go & at_goal & barren, F.lit(-2.5) * times(2)),
+        (goal["needs_light"] & holding & is_("go_to") & c("known") & ~c("lamp"), F.lit(-3.0) * times(2)), (goal["needs_light"] & holding & is_("go_to") & ~c("known") & (c("visits") == 0), 0.25),
+    ))
+    return remembered.select(
+        "episode_id", "step", F.when(goal["object"] == "", 0.0).otherwise(search).alias("search"), F.when(c("norm").isin(*T.META_ACTIONS), -2.0).otherwise(role).alias("role")
+    )
+
+
 def object_affinity(priors: DataFrame) -> DataFrame:
     """(object, place, score) from (object, place, n): counts divided by the object's largest."""
     return priors.select("object", "place", (F.col("n") / F.max("n").over(Window.partitionBy("object"))).alias("score"))

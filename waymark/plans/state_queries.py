@@ -315,6 +315,38 @@ def phase_weighted_scores(spark, sf_dir):
     return c.select("event_id", F.round(weighted, 6).alias("score"), F.round(ranking.routed(models["a"], models["b"], F.col("k") % 2 == 0), 6).alias("routed"))
 
 
+def _sql_memory() -> str:
+    on, to = "o = g_obj", r"regexp_replace(tgt, '\s+\d+$', '')"
+    at_goal = f"(g_dest <> '' AND contains({to}, g_dest))"
+    visits = lambda most: f"least(greatest(visits, 1), {most})"
+    ending = "CASE WHEN g_treat <> '' THEN NOT (b_holding_target AND NOT b_target_treated) AND b_target_treated ELSE NOT g_light AND b_holding_target END"
+    search = (
+        f"CASE WHEN go AND NOT b_holding_target THEN CASE WHEN NOT known AND visits = 0 THEN 0.35::DOUBLE WHEN known AND NOT shown THEN -0.55::DOUBLE * {visits(3)} ELSE 0 END ELSE 0 END",
+        f"CASE WHEN schema = 'take_from' AND held = '' THEN CASE WHEN {on} THEN 0.75::DOUBLE ELSE -2.5::DOUBLE END ELSE 0 END",
+        "CASE WHEN g_light AND b_holding_target THEN CASE WHEN schema = 'use' AND contains(o, 'lamp') THEN 2 WHEN schema IN ('move_to', 'take_from') THEN -2 ELSE 0 END ELSE 0 END",
+        f"CASE WHEN g_treat <> '' AND schema = 'treatment' THEN CASE WHEN {on} AND verb = g_treat THEN 2.5::DOUBLE ELSE -2.5::DOUBLE END ELSE 0 END",
+        f"CASE WHEN g_treat <> '' AND b_holding_target AND NOT b_target_treated THEN CASE WHEN go AND {to} = CASE g_treat WHEN 'clean' THEN 'sinkbasin' WHEN 'cool' THEN 'fridge' ELSE 'microwave' END THEN 2 WHEN schema = 'move_to' THEN -2 ELSE 0 END ELSE 0 END",
+        f"CASE WHEN schema = 'move_to' AND {ending} THEN CASE WHEN {on} AND {at_goal} THEN 2.5::DOUBLE ELSE -1 END ELSE 0 END",
+        f"CASE WHEN g_count > 1 AND schema = 'take_from' AND {on} THEN CASE WHEN list_contains(coalesce(b_mvo, []), obj) THEN -2 ELSE 1 END ELSE 0 END",
+        f"CASE WHEN g_count > 1 AND NOT b_target_placed AND go AND NOT b_holding_target AND {at_goal} THEN -2 ELSE 0 END",
+    )
+    role = (
+        f"CASE WHEN schema = 'treatment' AND b_target_treated AND {on} THEN -4 ELSE 0 END", "CASE WHEN g_count > 1 AND schema = 'take_from' AND list_contains(coalesce(b_mvo, []), obj) THEN -4 ELSE 0 END",
+        f"CASE WHEN go AND NOT b_holding_target AND {at_goal} AND known AND NOT shown THEN -2.5::DOUBLE * {visits(2)} ELSE 0 END",
+        f"CASE WHEN go AND g_light AND b_holding_target THEN CASE WHEN known AND NOT lamp THEN -3.0::DOUBLE * {visits(2)} WHEN NOT known AND visits = 0 THEN 0.25::DOUBLE ELSE 0 END ELSE 0 END",
+    )
+    return view(SQL_TRAJECTORY, f"SELECT episode_id, step, round({' + '.join(search)}, 6) AS search, round({' + '.join(role)}, 6) AS role FROM mm", *CHAIN,
+        """mo AS (SELECT episode_id, step, list('shelf ' || (k % 7)) OVER (PARTITION BY episode_id ORDER BY step ROWS UNBOUNDED PRECEDING) AS been_at FROM tr)""",
+        "mm AS (SELECT tn.*, list_contains(been_at, tgt) AS known, false AS shown, false AS lamp FROM tn JOIN mo USING (episode_id, step))")
+
+
+@query(_sql_memory())
+def memory_scores(spark, sf_dir):
+    """Search recovery and role calibration from what observations showed at each place. The view's observations name no goal object and no lamp."""
+    t = features.with_memory(features.transition(features.entity_state(_trajectory(spark, sf_dir))))
+    return features.memory_scores(t).select(*STEP, F.round("search", 6).alias("search"), F.round("role", 6).alias("role"))
+
+
 # --- pair views ----------------------------------------------------------------------------------------------------------
 
 

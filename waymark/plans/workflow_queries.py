@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.progress import scales
 from ..workflow import cases, lab, roles
 from .oracles import CASES
 from .register import Register
@@ -86,6 +87,24 @@ def workflow_pair_check(spark, sf_dir):
     return state.agg(F.sum("bad").alias("not_worse"), F.sum("same").alias("same_action"), F.count_if(F.col("best") > 1).alias("several_best"), (F.count("*") > 0).alias("some"))
 
 
+@query("SELECT CAST(0 AS BIGINT) AS wrong_scores, CAST(0 AS BIGINT) AS wrong_interactions, CAST(0 AS BIGINT) AS wrong_gains, CAST(0 AS BIGINT) AS zeros, true AS some")
+def workflow_formula_check(spark, sf_dir):
+    """Candidate features: the structural score is the formula over the roles, interactions repeat the roles by domain, the gain is the sum of four roles, nothing is stored as 0."""
+    f = cases.candidate_features(cases.cases(spark))
+    scale = scales()
+    points = {f"role:{name}": sign * scale[s] for name, (sign, s) in roles.ROLES.items()}
+    gains = [f"role:{k}" for k in ("goal_completion", "lifecycle_progress", "readiness_progress", "entity_priority_binding")]
+    at = lambda name: F.coalesce(F.sum(F.when(F.col("feature") == name, F.col("value"))), F.lit(0.0))
+    role = F.regexp_extract("feature", r"^interaction:[a-z_]+:(.*)$", 1)
+    per = f.groupBy("episode_id", "step_index", "action").agg(
+        (at("structural") - sum((at(k) * F.lit(v) for k, v in points.items()), F.lit(0.0))).alias("score"), (at("semantic_progress_delta") - sum(map(at, gains), F.lit(0.0))).alias("gain"),
+        (F.sum(F.when(role != "", F.col("value") * (F.length(role) + 1)).otherwise(0.0)) - F.sum(F.when(F.col("feature").startswith("role:"), F.col("value") * (F.length("feature") - 4)).otherwise(0.0))).alias("inter"),
+        F.count_if((F.col("value") == 0) & (F.col("feature") != "structural")).alias("zeros"),
+    )
+    far = lambda c: F.count_if(F.abs(c) > 1e-9)
+    return per.agg(far("score").alias("wrong_scores"), far("inter").alias("wrong_interactions"), far("gain").alias("wrong_gains"), F.sum("zeros").alias("zeros"), (F.count("*") > 0).alias("some"))
+
+
 EVALUATED = ("compositional_unseen", "recovery_test")
 
 

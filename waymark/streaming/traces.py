@@ -43,24 +43,25 @@ def distinct_observations(stream: DataFrame, keys: list[str], horizon: str = "40
 
 
 def memory(stream: DataFrame) -> DataFrame:
-    """(user_id, seen, places): for each user and batch, how many events and how many different observations are known so far."""
+    """(user_id, seen, places): for each observation of a user and batch, how many events had it, and whether it was new (1 or 0).
+
+    State lies by (user, observation) and is one flag, so it neither grows nor is rewritten, however many observations a user has.
+    """
     out = "user_id long, seen long, places long"
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen, known = state.get if state.exists else (0, [])
-        known = set(known)
-        for pdf in batches:
-            seen += len(pdf)
-            known |= set(pdf["event_type"].astype(str) + "/" + pdf["props"].astype(str))
-        state.update((seen, sorted(known)))
-        yield pd.DataFrame({"user_id": [key[0]], "seen": [seen], "places": [len(known)]})
+        new = not state.exists
+        state.update((True,))
+        yield pd.DataFrame({"user_id": [key[0]], "seen": [sum(map(len, batches))], "places": [int(new)]})
 
-    return stream.groupBy("user_id").applyInPandasWithState(update, out, "seen long, known array<string>", "append", GroupStateTimeout.NoTimeout)
+    what = F.concat_ws("/", F.coalesce("event_type", F.lit("")), F.coalesce("props", F.lit("")))
+    keyed = stream.select("user_id", what.alias("observation"))
+    return keyed.groupBy("user_id", "observation").applyInPandasWithState(update, out, "known boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def final_memory(rows: DataFrame) -> DataFrame:
-    """The last state of every user from all batches' rows."""
-    return rows.groupBy("user_id").agg(F.max("seen").alias("seen"), F.max("places").alias("places"))
+    """Every user's events and different observations over all batches' rows."""
+    return rows.groupBy("user_id").agg(F.sum("seen").alias("seen"), F.sum("places").alias("places"))
 
 
 def episode_stops(stream: DataFrame, stagnant: int = STAGNANT, budget: int = BUDGET, goal: str | None = None, cycle: bool = True) -> DataFrame:
