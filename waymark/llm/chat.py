@@ -30,6 +30,8 @@ PROBE = "\ue000"
 #: Turns up to which prefixes are rendered whole for append-only templates too; for all other templates every prefix always is.
 WHOLE_PREFIXES = 64
 ROWS = 1024
+#: Turns that a task has, about, where the session's shuffle partitions are fewer than that takes.
+TASK_TURNS = 200_000
 
 
 def escape(text: str) -> str:
@@ -163,7 +165,7 @@ def format_chats(rows: DataFrame, template: Template = marked, window: int = 2)
 
     sorted_rows = (
         rows.select("conv_id", "turn", "role", "text")
-        .repartition(partitions(spark), "conv_id")
+        .repartition(partitions(spark, rows.count(), TASK_TURNS), "conv_id")
         .sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "text")
     )
     return materialise(sorted_rows.mapInArrow(run, FORMATTED.format(kind=kind)), "chats")

@@ -99,8 +99,15 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, TEXT_BATCH)
 
 
-def partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def partitions(spark: SparkSession, rows: int = 0, rows_each: int = 1) -> int:
+    """The session's number of shuffle partitions, or as many as hold rows_each rows, where that is more: an explicit number isn't adapted at run time."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-rows // rows_each), 100_000))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme, that of the default file system if it names none: what executors see may not be the driver's own disk."""
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(name).toString()
 
 
 def hash_sample(df: DataFrame, keys: list[str], rows: int) -> DataFrame:

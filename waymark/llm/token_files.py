@@ -23,7 +23,7 @@ import pyarrow.ipc as ipc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_path, small_batches
+from .common import partitions, qualified, shared_path, small_batches
 
 SEQUENCE = 1024
 BATCH_ROWS = 64
@@ -32,6 +32,8 @@ CACHE_ENTRIES = 1_000_000
 #: Characters of text that are encoded together.
 GROUP_CHARS = 1 << 20
 INDEX_ROWS = 65_536
+#: Documents that a file has, about, where the session's shuffle partitions are fewer than that takes.
+FILE_DOCS = 200_000
 
 _encoders: dict[tuple[str, int], PieceEncoder] = {}
 
@@ -114,7 +116,7 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     if uri.startswith("file:"):
         return pafs.LocalFileSystem(), uri.removeprefix("file://").removeprefix("file:")
     if "://" not in uri:
-        return pafs.LocalFileSystem(), uri
+        raise ValueError(f"a path without a scheme: {uri}")
     return pafs.FileSystem.from_uri(uri)
 
 
@@ -245,9 +247,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str |
     """
     spark = docs.sparkSession
     small_batches(spark)
-    folder = folder or shared_path(spark, "tokens")
+    folder = qualified(spark, folder or shared_path(spark, "tokens"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    ordered = rows.repartitionByRange(partitions(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    ordered = rows.repartitionByRange(partitions(spark, docs.count(), FILE_DOCS), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     ordered.mapInArrow(writing(f"{folder}/files", tokenizer, end_id), "first_id long, first_tie long, name string, docs long, tokens long").write.parquet(f"{folder}/manifest")
     found = spark.read.parquet(f"{folder}/manifest").orderBy(F.col("first_id").asc_nulls_first(), "first_tie").collect()
     base, out = 0, []
@@ -276,7 +278,7 @@ def reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_documents(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, computed from the files."""
-    spread = manifest.select("folder", "name", "base").repartition(partitions(manifest.sparkSession), "name")
+    spread = manifest.select("folder", "name", "base").repartition(partitions(manifest.sparkSession, manifest.count()), "name")
     return spread.mapInArrow(reading, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
