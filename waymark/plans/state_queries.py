@@ -455,7 +455,7 @@ def ranker_adagrad_steps(spark, sf_dir):
     return training.train(_nation_pairs(spark, sf_dir), epochs=2, rate=0.05, adagrad=True).withColumn("weight", F.round("weight", 9))
 
 
-@query("""SELECT n_nationkey AS pair_id, CAST(CASE WHEN n_nationkey = (SELECT min(n_nationkey) FROM nation WHERE n_nationkey % 2 = 1) THEN 7 ELSE 3 END AS BIGINT) AS features,
+@query("""SELECT CAST(n_nationkey AS BIGINT) AS pair_id, CAST(CASE WHEN n_nationkey = (SELECT min(n_nationkey) FROM nation WHERE n_nationkey % 2 = 1) THEN 7 ELSE 3 END AS BIGINT) AS features,
   CAST(CASE WHEN n_nationkey % 5 = 2 THEN 2 ELSE 3 END AS BIGINT) AS nonzero FROM nation WHERE n_nationkey % 2 = 1""")
 def frozen_namespace(spark, sf_dir):
     """Half of the pairs, with the first one's features padded to all names."""

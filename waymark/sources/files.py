@@ -47,7 +47,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_text(spark: SparkSession, path: str) -> str:
-    return spark.read.option("wholetext", True).text(path).first()["value"]
+    return spark.read.text(path, wholetext=True).first()["value"]
 
 
 def write_csv(rows: DataFrame, path: str, mode: str = "overwrite") -> bool:
@@ -92,7 +92,7 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
 
 def lint(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """(path, found): files whose text has the pattern, with its first match."""
-    texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    texts = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     return texts.select(F.input_file_name().alias("path"), F.regexp_extract("value", f"({pattern})", 1).alias("found")).filter(F.col("found") != "")
 
 
