@@ -76,16 +76,19 @@ def bootstrap(pairs: DataFrame, samples: int = BOOTSTRAP) -> DataFrame:
     """
     digest = F.sha2(F.concat_ws(":", F.col("b").cast("string"), "episode_id").cast("binary"), 256)
 
+    bounds = poisson_bounds()
+
     def weight(i: int) -> Column:
-        draw, out = F.substring("h", 8 * i + 1, 8), F.lit(len(poisson_bounds()))
-        for k, bound in reversed(list(enumerate(poisson_bounds()))):
-            out = F.when(draw < bound, k).otherwise(out)
+        out = F.lit(len(bounds))
+        for k, bound in reversed(list(enumerate(bounds))):
+            out = F.when(F.col(f"d{i}") < bound, k).otherwise(out)
         return out.cast("long")
 
     # Few bytes make much work, so they go to all cores.
     parts = pairs.sparkSession.sparkContext.defaultParallelism
     dealt = pairs.select("episode_id", "success_delta", "step_delta").repartition(parts, "episode_id")
-    drawn = dealt.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(-(-samples // DRAWS) - 1)))).withColumn("h", digest).withColumns({f"w{i}": weight(i) for i in range(DRAWS)})
+    drawn = dealt.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(-(-samples // DRAWS) - 1)))).withColumn("h", digest)
+    drawn = drawn.withColumns({f"d{i}": F.substring("h", 8 * i + 1, 8) for i in range(DRAWS)}).withColumns({f"w{i}": weight(i) for i in range(DRAWS)})
     sums = [f(i).alias(f"{n}{i}") for i in range(DRAWS) for n, f in (
         ("n", lambda i: F.sum(f"w{i}")), ("a", lambda i: F.sum(F.col(f"w{i}") * F.col("success_delta"))), ("t", lambda i: F.sum(F.col(f"w{i}") * F.col("step_delta"))),
     )]

@@ -43,20 +43,14 @@ def distinct_observations(stream: DataFrame, keys: list[str], horizon: str = "40
 
 
 def memory(stream: DataFrame) -> DataFrame:
-    """(user_id, seen, places): for each observation of a user and batch, how many events had it, and whether it was new (1 or 0).
+    """(user_id, seen, places): a row of (1, 0) for each event, and one of (0, 1) for each observation that a user hasn't had before.
 
-    State lies by (user, observation) and is one flag, so it neither grows nor is rewritten, however many observations a user has.
+    What is remembered is one key for each (user, observation) in the state store, so no state grows in a row or is rewritten, however many observations a user has.
     """
-    out = "user_id long, seen long, places long"
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        new = not state.exists
-        state.update((True,))
-        yield pd.DataFrame({"user_id": [key[0]], "seen": [sum(map(len, batches))], "places": [int(new)]})
-
     what = F.concat_ws("/", F.coalesce("event_type", F.lit("")), F.coalesce("props", F.lit("")))
     keyed = stream.select("user_id", what.alias("observation"))
-    return keyed.groupBy("user_id", "observation").applyInPandasWithState(update, out, "known boolean", "append", GroupStateTimeout.NoTimeout)
+    row = lambda df, seen, places: df.select("user_id", F.lit(seen).cast("long").alias("seen"), F.lit(places).cast("long").alias("places"))
+    return row(keyed, 1, 0).unionByName(row(keyed.dropDuplicates(["user_id", "observation"]), 0, 1))
 
 
 def final_memory(rows: DataFrame) -> DataFrame:
