@@ -13,9 +13,9 @@ ZERO = 1e-12
 
 
 def jaccard(a: str | Column, b: str | Column) -> Column:
-    """0 for two empty sets."""
-    union = F.size(F.array_union(col(a), col(b)))
-    return F.when(union > 0, F.size(F.array_intersect(col(a), col(b))) / union).otherwise(F.lit(0.0))
+    """Of two sets (arrays without repeats); 0 for two empty ones."""
+    common, total = F.size(F.array_intersect(col(a), col(b))), F.size(col(a)) + F.size(col(b))
+    return F.when(total > 0, common / (total - common)).otherwise(F.lit(0.0))
 
 
 def coverage(source: str | Column, target: str | Column) -> Column:

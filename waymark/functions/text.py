@@ -71,7 +71,7 @@ def word_tokens(text: str | Column) -> Column:
 def id_tokens(text: str | Column) -> Column:
     """Distinct identifier tokens of more than one character, digits blanked."""
     blanked = F.regexp_replace(F.lower(F.coalesce(col(text), F.lit(""))), r"\d+", " ")
-    return F.array_distinct(F.filter(F.regexp_extract_all(blanked, F.lit("[a-z][a-z0-9_-]*"), F.lit(0)), lambda w: ~w.isin(*TOKEN_STOPWORDS) & (F.length(w) > 1)))
+    return F.filter(F.array_distinct(F.regexp_extract_all(blanked, F.lit("[a-z][a-z0-9_-]*"), F.lit(0))), lambda w: ~w.isin(*TOKEN_STOPWORDS) & (F.length(w) > 1))
 
 
 def raw_tokens(text: str | Column, remove_periods: bool = False) -> Column:
