@@ -70,6 +70,12 @@ def test_rare_language_is_known_at_every_size(spark):
     assert len(got) == language.LEAST_ROWS and all(r["language"] == "eu" and r["kept"] for r in got)
 
 
+def test_copies_bound_the_sample(spark):
+    rows = [(1, "the same text", "en")] * 30_000 + [(i, f"le texte {i}", "fr") for i in range(100)] + [(i, "drei", "de") for i in range(language.LEAST_ROWS)]
+    sample = language.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "text", "lang", "doc_id")
+    assert sum(lang == "en" for lang, _ in sample) <= language.LEAST_ROWS and sum(lang == "fr" for lang, _ in sample) == 100 and sample.count(("de", "drei")) == language.LEAST_ROWS
+
+
 def test_rows_a_language():
     assert language.rows_a_language([5, 300, 1000]) == 1000  # fewer than TRAIN_ROWS: all of them
     assert language.rows_a_language([5, 5000, 5000]) == 997 and language.rows_a_language([9000] * 200) == language.LANGUAGE_ROWS

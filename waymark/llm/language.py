@@ -136,9 +136,10 @@ def training_rows(docs: DataFrame, text: str, declared: str, key: str) -> list[t
     most = rows_a_language([r["n"] for r in counted])
     ends = [(r["lang"], int(-(2**63) + most / r["n"] * 2**64) if r["n"] > most else 2**63 - 1) for r in counted]
     end = F.element_at(F.create_map(*[F.lit(x) for pair in ends for x in pair]), lang)
-    # The text is in the hash, so that rows without a key or with one key aren't all in or all out.
+    # The text is in the hash, so that rows without a key or with one key aren't all in or all out. Copies count as LEAST_ROWS at most, so the sample is bounded.
     known = labelled.filter(lang.isin(*[name for name, _ in ends])).filter(F.xxhash64(key, declared, text) <= end)
-    return [(r[0], r[1]) for r in known.select(declared, text).collect()]
+    different = known.groupBy(lang.alias("lang"), F.col(text).alias("text")).agg(F.least(F.count("*"), F.lit(LEAST_ROWS)).alias("n"))
+    return sorted((r["lang"], r["text"]) for r in different.collect() for _ in range(r["n"]))
 
 
 def likelihoods(model: TrigramModel):
@@ -186,15 +187,16 @@ def host_priors(scored: DataFrame, langs: tuple[str, ...]) -> DataFrame:
     counts = [F.count_if(F.col("says") == lang).cast("double").alias(f"n{i}") for i, lang in enumerate(known)]
     hosts = scored.groupBy("host").agg(*counts).withColumn("parent", parent)
     sums = [F.sum(f"n{i}").alias(f"n{i}") for i in range(len(known))]
-    top = hosts.agg(*[F.coalesce(x, F.lit(0.0)).alias(f"t{i}") for i, x in enumerate(F.sum(f"n{i}") for i in range(len(known)))])
+    top = hosts.agg(*[F.coalesce(F.sum(f"n{i}"), F.lit(0.0)) for i in range(len(known))]).first()
     above = hosts.groupBy("parent").agg(*sums).select(F.col("parent").alias("p_name"), *[F.col(f"n{i}").alias(f"p{i}") for i in range(len(known))])
-    joined = hosts.join(above, F.col("parent").eqNullSafe(F.col("p_name"))).crossJoin(F.broadcast(top))  # top is one row
+    joined = hosts.join(above, F.col("parent").eqNullSafe(F.col("p_name")))
 
-    def level(prefix: str, over: list[Column]) -> list[Column]:
-        total = sum((F.col(f"{prefix}{i}") for i in range(len(known))), F.lit(0.0))
-        return [(F.col(f"{prefix}{i}") + F.lit(KAPPA) * q) / (total + F.lit(KAPPA)) for i, q in enumerate(over)]
+    def level(counts: list[Column], over: list[Column]) -> list[Column]:
+        total = sum(counts, F.lit(0.0))
+        return [(n + F.lit(KAPPA) * q) / (total + F.lit(KAPPA)) for n, q in zip(counts, over, strict=True)]
 
-    shares = level("n", level("p", level("t", [F.lit(1.0 / len(known))] * len(known))))
+    columns = lambda prefix: [F.col(f"{prefix}{i}") for i in range(len(known))]
+    shares = level(columns("n"), level(columns("p"), level([F.lit(float(t)) for t in top], [F.lit(1.0 / len(known))] * len(known))))
     logs = [F.log(F.lit(1 - UNKNOWN_PRIOR) * q) for q in shares]
     return joined.select(F.col("host").alias("_prior_host"), F.array(*logs, F.lit(math.log(UNKNOWN_PRIOR))).alias("_priors"))
 
