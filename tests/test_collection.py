@@ -99,3 +99,16 @@ def test_variants_fuse_scaled_scores():
     assert cases.scaled([1.0, -4.0]) == [0.25, -1.0] and cases.scaled([0.0, 1e-9]) == [0.0, 0.0]
     assert cases.standardized([1.0, 3.0]) == [-1.0, 1.0] and cases.standardized([2.0, 2.0]) == [0.0, 0.0]
     assert set(cases.VARIANTS) == {"actor", "actor_structural", "actor_residual", "full"} and set(roles.PROFILES) >= {"alf_aligned", "workstation_full"}
+
+
+def test_reference_bootstrap_agrees_with_the_hash_bootstrap(spark):
+    from waymark.operators import reports
+
+    deltas = [((i * 7) % 3 - 1, (i * 5) % 11 - 5) for i in range(60)]
+    success, steps = (sorted(x) for x in training.bootstrap_exact(iter(deltas), samples=2_000))
+    pairs = spark.createDataFrame([(f"e{i}", a, b) for i, (a, b) in enumerate(deltas)], "episode_id string, success_delta long, step_delta long")
+    got = reports.bootstrap(pairs, 2_001).first()  # not a multiple of the draws a hash gives
+    assert got["samples"] == 2_001
+    for low, high, x in ((got["success_low"], got["success_high"], success), (got["steps_low"], got["steps_high"], steps)):
+        width = x[1950] - x[50]
+        assert abs(low - x[50]) < width / 8 and abs(high - x[1950]) < width / 8

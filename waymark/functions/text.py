@@ -52,6 +52,34 @@ TREATMENT_WORDS = {
     "lenient": (("clean", r"\b(clean|cleaned)\b"), ("cool", r"\b(cold|cool|cooled|chilled)\b"), ("heat", r"\b(hot|heat|heated)\b")),
 }
 
+#: Goals that offer a choice or an upper bound, and so ask for one thing.
+CHOICES = (
+    rf"\b(?:one|1)\s+of\s+(?:the\s+)?{COUNT_TOKEN}\b",
+    rf"\b(?:choose|select)\s+(?:one|1)\b.*\b(?:from|among|of)\s+(?:the\s+)?{COUNT_TOKEN}\b",
+    rf"\b(?:at most|no more than|up to)\s+{COUNT_TOKEN}\b",
+    r"\b(?:one|1)\s+or\s+(?:two|2)\b",
+)
+#: Task families by the words that name them, in order, for the budget sampler and for the evaluator; the last is for all others.
+FAMILIES = {
+    "budget": (
+        ("pick_two_obj_and_place", ("find two", "put two")), ("pick_clean_then_place_in_recep", ("clean",)), ("pick_heat_then_place_in_recep", ("heat",)),
+        ("pick_cool_then_place_in_recep", ("cool",)), ("look_at_obj_in_light", ("look at", "desklamp", "floorlamp")), ("pick_and_place_simple", ("",)),
+    ),
+    "prompt": (
+        ("look_at_obj_in_light", ("desklamp", "desk lamp")), ("pick_two_obj_and_place", ("two ",)), ("pick_clean_then_place_in_recep", ("clean", "wash")),
+        ("pick_cool_then_place_in_recep", ("cool", "chill")), ("pick_heat_then_place_in_recep", ("heat", "warm")), ("pick_and_place_simple", ("",)),
+    ),
+}
+#: Sections of a prompt: the text between a head and the next.
+SECTIONS = {
+    "instruction": r"(?s)Task instruction:\n(.*?)(?:\n\nPrevious actions:|$)",
+    "previous": r"(?s)Previous actions:\n(.*?)(?:\n\nCurrent observation:|$)",
+    "observation": r"(?s)Current observation:\n(.*?)(?:\n\nCandidate action:|\n\nReturn the next action only\.|$)",
+    "candidate": r"(?s)Candidate action:\n(.*?)(?:\n\nJudge whether|$)",
+}
+#: A contract violation record: blocked action, what it requires, version, required action.
+CONTRACT_RECORD = r"(?i)Contract violation record:\s*(.+?)\s+requires\s+(.+?)\s+under\s+([a-zA-Z0-9_]+)\.\s+Required action:\s+(.+?)\."
+
 
 def col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -134,17 +162,11 @@ def goal_text(instruction: str | Column) -> Column:
 def required_count(goal: str | Column) -> Column:
     """The first number word above 1, unless a choice or an upper bound is meant; else 1."""
     norm = normalize(goal)
-    optional = [
-        rf"\b(?:one|1)\s+of\s+(?:the\s+)?{COUNT_TOKEN}\b",
-        rf"\b(?:choose|select)\s+(?:one|1)\b.*\b(?:from|among|of)\s+(?:the\s+)?{COUNT_TOKEN}\b",
-        rf"\b(?:at most|no more than|up to)\s+{COUNT_TOKEN}\b",
-        r"\b(?:one|1)\s+or\s+(?:two|2)\b",
-    ]
     table = F.create_map(*[F.lit(x) for pair in COUNT_WORDS.items() for x in pair])
     found = F.transform(F.regexp_extract_all(norm, F.lit(rf"\b{COUNT_TOKEN}\b"), F.lit(0)), lambda t: F.coalesce(F.try_element_at(table, t), t.try_cast("int"), F.lit(1)))
     first = F.coalesce(F.try_element_at(F.filter(found, lambda n: n > 1), F.lit(1)), F.lit(1))
     chosen = F.lit(False)
-    for p in optional:
+    for p in CHOICES:
         chosen = chosen | norm.rlike(p)
     return F.when(chosen, 1).otherwise(first).cast("long")
 
@@ -164,30 +186,24 @@ def parse_goal(instruction: str | Column, dialect: str = "lenient") -> Column:
     return F.struct(obj.alias("object"), dest.alias("destination"), treatment.alias("treatment"), count.alias("count"), goal.contains("lamp").alias("needs_light"))
 
 
+def family(instruction: str | Column, dialect: str) -> Column:
+    """The first of the dialect's task families of which a word occurs."""
+    t = F.lower(F.coalesce(col(instruction), F.lit("")))
+    *named, (rest, _) = FAMILIES[dialect]
+    out = F.lit(rest)
+    for name, words in reversed(named):
+        out = F.when(t.rlike("|".join(words)), name).otherwise(out)
+    return out
+
+
 def family_budget(instruction: str | Column) -> Column:
     """Task family as the budget sampler names it: two objects first, lamps late."""
-    t = F.lower(F.coalesce(col(instruction), F.lit("")))
-    return (
-        F.when(t.contains("find two") | t.contains("put two"), "pick_two_obj_and_place")
-        .when(t.contains("clean"), "pick_clean_then_place_in_recep")
-        .when(t.contains("heat"), "pick_heat_then_place_in_recep")
-        .when(t.contains("cool"), "pick_cool_then_place_in_recep")
-        .when(t.contains("look at") | t.contains("desklamp") | t.contains("floorlamp"), "look_at_obj_in_light")
-        .otherwise("pick_and_place_simple")
-    )
+    return family(instruction, "budget")
 
 
 def family_prompt(instruction: str | Column) -> Column:
     """Task family as the evaluator names it: lamps first, any ``two``."""
-    t = F.lower(F.coalesce(col(instruction), F.lit("")))
-    return (
-        F.when(t.contains("desklamp") | t.contains("desk lamp"), "look_at_obj_in_light")
-        .when(t.contains("two "), "pick_two_obj_and_place")
-        .when(t.contains("clean") | t.contains("wash"), "pick_clean_then_place_in_recep")
-        .when(t.contains("cool") | t.contains("chill"), "pick_cool_then_place_in_recep")
-        .when(t.contains("heat") | t.contains("warm"), "pick_heat_then_place_in_recep")
-        .otherwise("pick_and_place_simple")
-    )
+    return family(instruction, "prompt")
 
 
 def visible_entities(observation: str | Column) -> Column:
@@ -202,19 +218,12 @@ def arrival_location(observation: str | Column) -> Column:
 
 def prompt_section(prompt: str | Column, section: str) -> Column:
     """instruction, previous, observation or candidate of a prompt, trimmed; empty if absent."""
-    pattern = {
-        "instruction": r"(?s)Task instruction:\n(.*?)(?:\n\nPrevious actions:|$)",
-        "previous": r"(?s)Previous actions:\n(.*?)(?:\n\nCurrent observation:|$)",
-        "observation": r"(?s)Current observation:\n(.*?)(?:\n\nCandidate action:|\n\nReturn the next action only\.|$)",
-        "candidate": r"(?s)Candidate action:\n(.*?)(?:\n\nJudge whether|$)",
-    }[section]
-    return F.trim(F.regexp_extract(F.coalesce(col(prompt), F.lit("")), pattern, 1))
+    return F.trim(F.regexp_extract(F.coalesce(col(prompt), F.lit("")), SECTIONS[section], 1))
 
 
 def contract_records(text: str | Column) -> Column:
     """Array of struct(blocked_action, required_action, version) of all contract violation records."""
-    pattern = r"(?i)Contract violation record:\s*(.+?)\s+requires\s+(.+?)\s+under\s+([a-zA-Z0-9_]+)\.\s+Required action:\s+(.+?)\."
-    group = lambda i: F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(pattern), F.lit(i))
+    group = lambda i: F.regexp_extract_all(F.coalesce(col(text), F.lit("")), F.lit(CONTRACT_RECORD), F.lit(i))
     zipped = F.arrays_zip(group(1).alias("blocked"), group(4).alias("required"), group(3).alias("version"))
     return F.transform(zipped, lambda r: F.struct(normalize(r["blocked"]).alias("blocked_action"), normalize(r["required"]).alias("required_action"), normalize(r["version"]).alias("version")))
 

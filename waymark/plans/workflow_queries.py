@@ -105,6 +105,19 @@ def workflow_formula_check(spark, sf_dir):
     return per.agg(far("score").alias("wrong_scores"), far("inter").alias("wrong_interactions"), far("gain").alias("wrong_gains"), F.sum("zeros").alias("zeros"), (F.count("*") > 0).alias("some"))
 
 
+@query(f"""WITH {CASES} SELECT episode_id, 'goal,legal_actions,recent_actions,state,task' AS keys, true AS canonical, true AS answer_is_legal, true AS history_bounded, signature AS task FROM cs""")
+def workflow_prompts(spark, sf_dir):
+    """Prompts of every plan's steps: their keys, in order and without blanks; the answer is one of the legal actions; eight actions of history at most."""
+    p = cases.prompts(cases.cases(spark))
+    user = F.from_json("user", "goal string, legal_actions array<string>, recent_actions array<string>, state string, task string")
+    keys = F.array_join(F.json_object_keys("user"), ",")
+    per = p.select("episode_id", keys.alias("k"), user.alias("u"), "answer", F.col("user").startswith('{"goal":{"').alias("tight"))
+    return per.groupBy("episode_id").agg(
+        F.max("k").alias("keys"), F.bool_and("tight").alias("canonical"), F.bool_and(F.array_contains("u.legal_actions", F.col("answer"))).alias("answer_is_legal"),
+        F.bool_and(F.size("u.recent_actions") <= 8).alias("history_bounded"), F.max("u.task").alias("task"),
+    )
+
+
 EVALUATED = ("compositional_unseen", "recovery_test")
 
 

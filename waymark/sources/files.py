@@ -50,12 +50,14 @@ def read_text(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()["value"]
 
 
-def write_csv(rows: DataFrame, path: str, mode: str = "overwrite") -> bool:
-    """A single file with a header, for small reports; nothing is written for no rows."""
-    if rows.isEmpty():
-        return False
-    rows.coalesce(1).write.mode(mode).option("header", True).csv(path)
-    return True
+def write_csv(rows: DataFrame, path: str, mode: str = "overwrite", most: int = 1_000_000) -> bool:
+    """A single file with a header, for small reports; nothing is written for no rows, and more than ``most`` are an error, as one task writes them."""
+    n = rows.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"a CSV report has {most} rows at most")
+    if n:
+        rows.coalesce(1).write.mode(mode).option("header", True).csv(path)
+    return n > 0
 
 
 def scan_slice(rows: DataFrame, order: list[str], start: int = 0, limit: int | None = None) -> DataFrame:

@@ -290,6 +290,43 @@ def planned_effects(row) -> Iterator[tuple]:
 EFFECTS = "episode_id string, completed boolean, measured long, polled long, flipped long, saved long, verified long, stored long, prepared long, placed long, violations long"
 
 
+# Fixed value: what the workflow's prompt says.
+SYSTEM = "You schedule deterministic skills in a materials laboratory. Select exactly one action from legal_actions. Return only its compact JSON object."
+
+
+def compact(value) -> str:
+    """Canonical JSON: sorted keys, no blanks."""
+    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+
+
+def action_object(action: lab.Action) -> dict:
+    skill, argument = action
+    return {"skill": skill, "args": {lab.SKILLS[skill].parameter: argument} if argument else {}}
+
+
+def messages(task: str, state: lab.State, goal: dict, history: list[lab.Action], legal: list[lab.Action], target: lab.Action | None = None) -> list[tuple[str, str]]:
+    """(role, content) of a prompt: goal, state, the last eight actions and the legal ones as canonical JSON; with a target, the answer too."""
+    payload = {"task": task, "goal": goal, "state": state, "recent_actions": [action_object(a) for a in history[-8:]], "legal_actions": [action_object(a) for a in legal]}
+    answer = [("assistant", compact(action_object(target)))] if target else []
+    return [("system", SYSTEM), ("user", compact(payload)), *answer]
+
+
+def prompted(row) -> Iterator[tuple]:
+    """The training prompts of a case: one for each step of its plan."""
+    state, goal = start(row)
+    _, done, states = lab.plan(state, goal)
+    for k, action in enumerate(done):
+        own = messages(row.signature, states[k], goal, done[:k], list(R.legal(states[k])), action)
+        yield row.episode_id, k, [role for role, _ in own], own[1][1], own[2][1]
+
+
+PROMPTS = "episode_id string, step_index long, roles array<string>, user string, answer string"
+
+
+def prompts(rows: DataFrame) -> DataFrame:
+    return per_case(prompted, PROMPTS)(rows)
+
+
 def plan_effects(rows: DataFrame) -> DataFrame:
     return per_case(planned_effects, EFFECTS)(rows)
 
