@@ -184,6 +184,59 @@ def featurise(steps: DataFrame) -> DataFrame:
     return t.select("episode_id", "step", F.map_concat(effect_features(t), search_features(), lexical_features(), semantic_features()).alias("features"))
 
 
+def counted(names: Column) -> Column:
+    """A map from each name to how often it occurs; null names don't."""
+    some = F.filter(names, lambda n: n.isNotNull())
+    return N.bind(some, lambda xs: F.map_from_entries(F.transform(F.array_distinct(xs), lambda n: F.struct(n, F.size(F.filter(xs, lambda x: x == n)).cast("double")))))
+
+
+def contract_names(recent: str) -> Column:
+    """Names that contract violation records in the observation give an action (the last four records count); recent: the last eight actions, normalised."""
+    norm, verb = T.normalize("action"), T.action_verb("action")
+
+    def of(r: Column) -> Column:
+        asked, own = r["required_action"], T.action_verb(r["required_action"])
+        exact, blocked = (asked != "") & (norm == asked), (r["blocked_action"] != "") & (norm == r["blocked_action"])
+        open_ = F.array(
+            F.when(asked != "", F.concat(F.lit("contract_required_verb="), own)), F.when(exact, "contract_required_action_exact"), F.when(exact, F.concat(F.lit("contract_required_action_exact|verb="), verb)),
+            F.when(exact & (own == "examine"), "contract_required_examine_target"), F.when(blocked, "contract_blocked_action_exact"), F.when(blocked, F.concat(F.lit("contract_blocked_action_exact|verb="), verb)),
+        )
+        name = "contract_required_action_satisfied"
+        return F.when((asked != "") & F.array_contains(recent, asked), F.array(F.lit(name), F.concat(F.lit(f"{name}|verb="), own))).otherwise(open_)
+
+    return N.bind(T.contract_records("observation"), lambda rs: F.concat(F.flatten(F.transform(N.tail(rs, 4), of)), F.when(F.size(rs) > 0, F.array(F.lit("has_contract_record"))).otherwise(F.array().cast("array<string>"))))
+
+
+def contract_features(recent: str = "recent") -> Column:
+    """The legacy schema contract_record_v1."""
+    return counted(F.concat(F.array(F.lit("bias")), contract_names(recent)))
+
+
+def bag_features(family: str | Column = "family", recent: str = "recent") -> Column:
+    """The legacy schema bag_v1: words of the action, alone and against goal and observation, by task family and verb, with contract names. recent: the last eight actions, normalised."""
+    fam, verb, norm = T.col(family), T.action_verb("action"), T.normalize("action")
+    goal, seen = F.array_distinct(T.word_tokens(T.task_goal("instruction"))), F.array_distinct(T.word_tokens("observation"))
+    tag = lambda head, x: F.concat(F.lit(head), x)
+
+    def named(words: Column) -> Column:
+        each = F.flatten(F.transform(words, lambda w: F.array(
+            tag("action_token=", w), F.when(F.array_contains(goal, w), tag("goal_action_token=", w)), F.when(F.array_contains(goal, w), F.concat(F.lit("family="), fam, F.lit("|goal_action_token="), w)),
+            F.when(F.array_contains(seen, w), tag("obs_action_token=", w)),
+        )))
+        again = F.array_contains(N.tail(recent, 4), norm)
+        last = F.try_element_at(T.col(recent), F.lit(-1))
+        schemas = (("take_from", "^take .+ from .+"), ("move_to", "^move .+ to .+"), ("go_to", "^go to .+"), ("treatment", "^(clean|cool|heat) .+ with .+"))
+        whole = F.array(
+            F.lit("bias"), tag("family=", fam), tag("verb=", verb), F.concat(F.lit("family="), fam, F.lit("|verb="), verb), tag("action=", norm), tag("action_len_bin=", F.least(F.size(words), F.lit(8)).cast("string")),
+            F.when(again, "repeat_recent_action"), F.when(again, tag("repeat_recent_action|verb=", verb)), F.when(last.isNotNull(), F.concat(F.lit("last_verb="), T.action_verb(last), F.lit("|current_verb="), verb)),
+            F.when(norm.contains("lamp"), "mentions_lamp"), *[F.when(norm.rlike(p), f"schema={s}") for s, p in schemas],
+        )
+        overlap = lambda other: N.capped_ratio(F.size(F.filter(words, lambda w: F.array_contains(other, w))), 6)
+        return F.map_concat(counted(F.concat(whole, each, contract_names(recent))), present([("goal_overlap_count", overlap(goal)), ("observation_overlap_count", overlap(seen))]))
+
+    return N.bind(T.word_tokens("action"), named)
+
+
 def pair_difference(positive: str | Column, negative: str | Column) -> Column:
     """Positive less negative by name. Differences within ZERO of 0 go where the negative side has the name; what only the positive side has stays."""
     both = F.map_zip_with(T.col(positive), T.col(negative), lambda _, x, y: F.struct((F.coalesce(x, F.lit(0.0)) - F.coalesce(y, F.lit(0.0))).alias("v"), y.isNull().alias("alone")))

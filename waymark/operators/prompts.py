@@ -12,7 +12,7 @@ from ..functions import text as T
 SYSTEM = "You are an embodied task planner. Select the next high-level action from the text observation and action history. Output exactly one action string."
 ASK = "Return the next action only."
 CHOOSE = "Use the examples and current state to choose exactly one legal next action."
-HEADS = {"task": "Task instruction:", "before": "Previous actions:", "seen": "Current observation:", "examples": "Source-aligned StateAct examples:", "goal": "Persistent goal:", "state": "Current observable state:"}
+HEADS = {"task": "Task instruction:", "before": "Previous actions:", "seen": "Current observation:", "goal": "Persistent goal:", "state": "Current observable state:"}
 #: How many of a kind the state memory names.
 PLACES, OTHERS = 12, 8
 
@@ -22,8 +22,8 @@ def message(role: str, content: Column) -> Column:
 
 
 def sections(*parts: tuple[str, Column] | Column) -> Column:
-    """Parts with a blank line between them; a pair has its head above."""
-    lines = [F.concat(F.lit(HEADS[p[0]] + "\n"), p[1]) if isinstance(p, tuple) else p for p in parts]
+    """Parts with a blank line between them; a pair has its head above, by name or as it is."""
+    lines = [F.concat(F.lit(HEADS.get(p[0], p[0]) + "\n"), p[1]) if isinstance(p, tuple) else p for p in parts]
     return F.concat_ws("\n\n", *lines)
 
 
@@ -35,12 +35,12 @@ def next_action(instruction: str | Column, previous: str | Column, observation:
     return F.array(message("system", F.lit(SYSTEM)), message("user", F.concat(shown, user)))
 
 
-def aligned(instruction: str | Column, previous: str | Column, observation: str | Column, examples: str | Column, window: int = 0) -> Column:
-    """The next action's messages, with examples before, and the goal and the state memory of the whole history behind; only the last ``window`` actions (0: all) are quoted."""
+def aligned(instruction: str | Column, previous: str | Column, observation: str | Column, examples: str | Column, window: int = 0, head: str = "Examples:") -> Column:
+    """The next action's messages, with examples under ``head`` before, and the goal and the state memory of the whole history behind; only the last ``window`` actions (0: all) are quoted."""
     quoted = N.tail(previous, window) if window > 0 else T.col(previous)
     own = next_action(instruction, quoted, observation)
     shown = F.lit(examples) if isinstance(examples, str) else examples
-    user = sections(("examples", shown), own[1]["content"], ("goal", T.col(instruction)), ("state", state_summary(previous)), F.lit(CHOOSE))
+    user = sections((head, shown), own[1]["content"], ("goal", T.col(instruction)), ("state", state_summary(previous)), F.lit(CHOOSE))
     return F.array(own[0], message("user", user))
 
 

@@ -347,6 +347,53 @@ def memory_scores(spark, sf_dir):
     return features.memory_scores(t).select(*STEP, F.round("search", 6).alias("search"), F.round("role", 6).alias("role"))
 
 
+RECORDED = """rc AS (SELECT *, CASE k % 3 WHEN 0 THEN observation || ' Contract violation record: ' || was || ' requires x under V1. Required action: ' || action || '. Contract violation record: ' || action || ' requires x under V1. Required action: ' || coalesce(was, 'look') || '.'
+  ELSE observation END AS said FROM (SELECT *, coalesce(lag(action) OVER (PARTITION BY episode_id ORDER BY step), 'look') AS was, coalesce(list(action) OVER (PARTITION BY episode_id ORDER BY step ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), []) AS h,
+    ['pick_and_place_simple', 'look_at_obj_in_light', 'pick_two_obj_and_place', 'pick_heat_then_place_in_recep', 'pick_clean_then_place_in_recep', 'pick_cool_then_place_in_recep'][CAST(episode_id % 6 + 1 AS BIGINT)] AS fam,
+    string_split(action, ' ')[1] AS verb FROM tr))"""
+# Two records: the first asks for this action and blocks the last one, the second asks for the last one, which was done unless there is none, and blocks this one.
+CONTRACT = """ct AS (SELECT episode_id, step, unnest(list_concat(['has_contract_record'],
+    CASE WHEN list_contains(h, action) THEN ['contract_required_action_satisfied', 'contract_required_action_satisfied|verb=' || verb]
+      ELSE ['contract_required_verb=' || verb, 'contract_required_action_exact', 'contract_required_action_exact|verb=' || verb, CASE WHEN verb = 'examine' THEN 'contract_required_examine_target' END,
+        CASE WHEN action = was THEN 'contract_blocked_action_exact' END, CASE WHEN action = was THEN 'contract_blocked_action_exact|verb=' || verb END] END,
+    CASE WHEN list_contains(h, was) THEN ['contract_required_action_satisfied', 'contract_required_action_satisfied|verb=' || string_split(was, ' ')[1]]
+      ELSE ['contract_required_verb=' || string_split(was, ' ')[1], 'contract_blocked_action_exact', 'contract_blocked_action_exact|verb=' || verb] END)) AS feature FROM rc WHERE k % 3 = 0)"""
+
+
+def _sql_bag() -> str:
+    from .oracles import words
+
+    return view(SQL_TRAJECTORY, """SELECT episode_id, step, feature, round(sum(v), 9) AS value FROM (SELECT episode_id, step, feature, 1.0::DOUBLE AS v FROM ct UNION ALL SELECT episode_id, step, unnest(f), 1.0::DOUBLE FROM bg
+    UNION ALL SELECT episode_id, step, 'goal_overlap_count', least(len(list_filter(aw, lambda t: list_contains(gw, t))), 6) / 6.0::DOUBLE FROM bw
+    UNION ALL SELECT episode_id, step, 'observation_overlap_count', least(len(list_filter(aw, lambda t: list_contains(ow, t))), 6) / 6.0::DOUBLE FROM bw) WHERE feature IS NOT NULL AND v <> 0 GROUP BY 1, 2, 3""",
+        RECORDED, CONTRACT, f"""bw AS (SELECT *, {words('action')} AS aw, {words("substr(instruction, 18)")} AS gw, {words('said')} AS ow FROM rc)""",
+        """bg AS (SELECT episode_id, step, list_concat(['bias', 'family=' || fam, 'verb=' || verb, 'family=' || fam || '|verb=' || verb, 'action=' || action, 'action_len_bin=' || least(len(aw), 8),
+      CASE WHEN list_contains(h[-4:], action) THEN 'repeat_recent_action' END, CASE WHEN list_contains(h[-4:], action) THEN 'repeat_recent_action|verb=' || verb END,
+      CASE WHEN len(h) > 0 THEN 'last_verb=' || string_split(was, ' ')[1] || '|current_verb=' || verb END, CASE WHEN contains(action, 'lamp') THEN 'mentions_lamp' END,
+      CASE verb WHEN 'take' THEN 'schema=take_from' WHEN 'move' THEN 'schema=move_to' WHEN 'go' THEN 'schema=go_to' WHEN 'heat' THEN 'schema=treatment' END],
+      list_transform(aw, lambda t: 'action_token=' || t), list_transform(aw, lambda t: CASE WHEN list_contains(gw, t) THEN 'goal_action_token=' || t END),
+      list_transform(aw, lambda t: CASE WHEN list_contains(gw, t) THEN 'family=' || fam || '|goal_action_token=' || t END), list_transform(aw, lambda t: CASE WHEN list_contains(ow, t) THEN 'obs_action_token=' || t END)) AS f FROM bw)""")
+
+
+def _recorded(spark, sf_dir):
+    w = Window.partitionBy("episode_id").orderBy("step")
+    t = _trajectory(spark, sf_dir).withColumns({"recent": before(8), "was": F.coalesce(F.lag("action").over(w), F.lit("look")), "family": T.family_budget("instruction")})
+    record = lambda blocked, asked: F.concat(F.lit(" Contract violation record: "), blocked, F.lit(" requires x under V1. Required action: "), asked, F.lit("."))
+    said = F.concat("observation", record(F.col("was"), F.col("action")), record(F.col("action"), F.col("was")))
+    return t.withColumn("observation", F.when(F.col("k") % 3 == 0, said).otherwise(F.col("observation")))
+
+
+@query(_sql_bag())
+def legacy_bag_features(spark, sf_dir):
+    f = _recorded(spark, sf_dir).select(*STEP, F.explode(features.bag_features()).alias("feature", "value"))
+    return f.withColumn("value", F.round("value", 9))
+
+
+@query(view(SQL_TRAJECTORY, "SELECT episode_id, step, feature, CAST(count(*) AS DOUBLE) AS value FROM (SELECT episode_id, step, feature FROM ct UNION ALL SELECT episode_id, step, 'bias' FROM rc) WHERE feature IS NOT NULL GROUP BY 1, 2, 3", RECORDED, CONTRACT))
+def legacy_contract_features(spark, sf_dir):
+    return _recorded(spark, sf_dir).select(*STEP, F.explode(features.contract_features()).alias("feature", "value"))
+
+
 # --- pair views ----------------------------------------------------------------------------------------------------------
 
 
