@@ -43,6 +43,10 @@ def test_mix_takes_the_targets(spark):
     for own in by.values():
         assert sum(r["taken"] for r in own) == int(own[0]["target"])
         assert all(0 <= r["position"] <= 1 for r in own if r["taken"])
+    narrow = mixing.mix(df, keep=["doc_id", "source"])
+    assert narrow.columns == ["doc_id", "source", *mixing.RESULT]
+    plain = lambda r: (str(r["doc_id"]), str(r["source"]), r["size"], r["taken"], r["position"] or -1)
+    assert sorted(map(plain, narrow.collect())) == sorted(map(plain, got))
     again = mixing.mix(df.repartition(3)).collect()
     key = lambda r: (str(r["doc_id"]), r["taken"], r["position"] or -1)
     assert sorted(map(key, got)) == sorted(map(key, again))

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import materialise, word_count
 
 #: Rows that a bucket may have on average, even if one source has all rows, and the least hex digits of the order key that make a bucket.
 BUCKET_ROWS, LEAST_DIGITS = 1 << 16, 3
@@ -61,14 +61,19 @@ def position_at(demand: Column, tilt: Column) -> Column:
 RESULT = ("size", "source_size", "target", "taken", "epochs", "position")
 
 
-def placed(docs: DataFrame, max_epochs: int) -> DataFrame:
-    """docs with its places in the streams, in columns that begin with ``_mix_`` (size, total, weight, target, start, taken, epochs)."""
+def placed(docs: DataFrame, max_epochs: int, keep: list[str] | None = None) -> DataFrame:
+    """docs with its places in the streams, in columns that begin with ``_mix_`` (size, total, weight, target, start, taken, epochs).
+
+    keep: columns that are wanted. Without the text among them, sizes and keys are written once to the shared folder, so that texts are read once.
+    """
     text = F.col("text") if "text" in docs.columns else None
     keyed = docs.withColumn("_mix_size", F.col("size").cast("long") if text is None else word_count(text))
     inner = F.md5(text.cast("binary")) if text is not None else F.lit(None).cast("string")
     own = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(inner, F.lit("")))
     digits = max(LEAST_DIGITS, math.ceil(math.log(max(1, docs.count() / BUCKET_ROWS), 16)))
     keyed = keyed.withColumn("_mix_key", F.md5(own.cast("binary"))).withColumn("_mix_bucket", F.substring("_mix_key", 1, digits))
+    if keep is not None and "text" not in keep:
+        keyed = materialise(keyed.select(*dict.fromkeys([*keep, "doc_id", "source"]), "_mix_size", "_mix_key", "_mix_bucket"), "sizes")
     # Sums of (source, bucket) first: a hot source costs a row a bucket, never a task of its own.
     buckets = keyed.groupBy("source", F.col("_mix_bucket").alias("bucket")).agg(F.sum("_mix_size").alias("bucket_size"))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")))
@@ -101,17 +106,17 @@ def position(epoch: Column | int, tilts: dict[int, float] | None = None) -> Colu
     return position_at(start.cast("double") / F.col("_mix_target"), tilt_of(F.col("_mix_weight"), tilts))
 
 
-def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, tilts: dict[int, float] | None = None) -> DataFrame:
-    """Adds size, source_size, target, taken, epochs and position (of the first copy) to every row of docs.
+def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, tilts: dict[int, float] | None = None, keep: list[str] | None = None) -> DataFrame:
+    """Adds size, source_size, target, taken, epochs and position (of the first copy) to the columns ``keep`` (all, by default) of every row of docs.
 
     Needs doc_id, source and text (or size, where there is no text). The run ends at the source's target: the document there is taken in part, those
     after it not at all (taken 0, position null). A text that is null or blank has size 0 and is never taken. Sources and ids
     may be null; repeated rows take adjacent places. Columns of the added names are replaced; all others stay. No rows give no rows.
     """
-    rows = placed(docs, max_epochs)
+    rows = placed(docs, max_epochs, keep)
     at = F.when(F.col("_mix_taken") > 0, position(0, tilts))
     made = [F.col(f"_mix_{x}").alias(name) for x, name in zip(("size", "total", "target", "taken", "epochs"), RESULT[:-1], strict=True)]
-    return rows.select(*[c for c in docs.columns if c not in RESULT], *made, at.alias("position"))
+    return rows.select(*[c for c in (docs.columns if keep is None else keep) if c not in RESULT], *made, at.alias("position"))
 
 
 def tilt_of(weight: Column, tilts: dict[int, float] | None = None) -> Column:
