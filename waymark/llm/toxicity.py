@@ -44,7 +44,7 @@ EVENT, IS_THREAT, NEGATED, REPORTED_SPEECH, TARGETED = 16, 8, 4, 2, 1
 TRAIN_ROWS = 24_000
 #: Prefix lengths that may be stems, besides whole words, and how many chance stems are tolerated.
 STEM_LENGTHS = (4, 5, 6, 7)
-CHANCE_STEMS = 0.5
+CHANCE_STEMS = 5.0
 #: Share of a stem's documents that are toxic, at least.
 LEAST_PURITY = 0.75
 THRESHOLD = 0.3
