@@ -38,7 +38,7 @@ def test_all_are_registered():
 @pytest.mark.parametrize("name", sorted(Q.ORACLE))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{DATA}/{table}.parquet')")
     df = run(spark, name)
     found = con.execute(Q.ORACLE[name])

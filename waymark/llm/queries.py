@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, jaccard, language, media, mixing, packing, token_files, toxicity, url_filter
+from . import ann, chat, jaccard, language, media, mixing, oracles, packing, token_files, toxicity, url_filter
 from .common import table
 
 CONTROL_CHAT = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
@@ -17,7 +17,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    mixed = mixing.mix(docs)
+    mixed = mixing.mix(docs, keep=["doc_id", "source"])
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", "epochs", "position").orderBy("position", "doc_id")
 
 
@@ -62,7 +62,7 @@ def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     described = media.describe(media.store_texts(table(spark, sf_dir, "documents")))
-    digest = F.xxhash64(F.to_json("keyframe_ranges")).alias("keyframes_hash")
+    digest = F.md5(F.to_json("keyframe_ranges").cast("binary")).alias("keyframes_md5")
     return described.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
         "codec", "duration_s", "keyframes", digest,
@@ -94,6 +94,9 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op4_jaccard_join": oracles.JACCARD,
+    "op7_media": oracles.MEDIA,
+    "op9_chat": oracles.CHAT,
     "op2_mixing": r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
