@@ -263,6 +263,16 @@ def test_stages_keep_columns_of_any_name(spark, sf_dir):
     assert corpus_pipeline.pack(spark, docs, sf_dir[0]).count() == docs.count()
 
 
+def test_pipeline_of_nothing_and_of_odd_rows(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir[0]}/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", None, 0), (1, "", "en", None, 0), (None, "x " * 50_000, "en", "s", 1)], docs.schema)
+    for name, rows in (("none", docs.limit(0)), ("odd", odd), ("some", docs.limit(60).unionByName(odd).unionByName(odd))):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.read.parquet(f"{sf_dir[0]}/labels.parquet").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert len(got) <= 3 * rows.count() and (name == "some") == bool(got)
+
+
 def test_run_is_the_stages_in_a_row(spark, sf_dir):
     first, again = (sorted(map(tuple, corpus_pipeline.run(spark, sf_dir[0]).collect())) for _ in range(2))
     assert first == again and first
