@@ -243,9 +243,8 @@ def scope_rollup(spark, sf_dir):
     return cases.summarize(r)
 
 
-@query(view(SQL_CANDIDATES, """SELECT episode_id, step_index, action, place FROM (SELECT *, count(*) OVER g AS n, row_number() OVER (PARTITION BY episode_id, step_index
-  ORDER BY CASE WHEN (SELECT 1) = 1 AND n0 > 3 THEN -trace_return ELSE 0 END, event_id) AS place FROM (SELECT *, count(*) OVER (PARTITION BY episode_id, step_index) AS n0 FROM ca) WINDOW g AS (PARTITION BY episode_id, step_index))
-  WHERE n <= 3 OR place <= 3"""))
+@query(view(SQL_CANDIDATES, """SELECT episode_id, step_index, action, row_number() OVER (PARTITION BY episode_id, step_index ORDER BY CASE WHEN n > 3 THEN -trace_return ELSE 0 END, event_id) AS place
+  FROM (SELECT *, count(*) OVER (PARTITION BY episode_id, step_index) AS n FROM ca) QUALIFY n <= 3 OR place <= 3"""))
 def retrieval_shortlist(spark, sf_dir):
     return ranking.retrieval_shortlist(views.candidates(spark, sf_dir), STATE, "trace_return", "event_id", 3).select(*STATE, "action", "place")
 

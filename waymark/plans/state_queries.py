@@ -37,9 +37,11 @@ def cycles(array: str, longest: int) -> str:
     return "(" + " OR ".join(f"(len({array}) >= {2 * n} AND {array}[-{n}:] = {array}[-{2 * n}:-{n + 1}])" for n in range(1, longest + 1)) + ")"
 
 
-CANDIDATES = f"""cd AS (SELECT *, list_sort(list_distinct(coalesce(list(action) OVER (ROWS_12), []))) AS c, coalesce(list(action) OVER (ROWS_24), []) AS h FROM tr)""".replace(
-    "ROWS_12", f"{ORDER} ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING"
-).replace("ROWS_24", f"{ORDER} ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING")
+def last(n: int) -> str:
+    return f"coalesce(list(action) OVER ({ORDER} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING), [])"
+
+
+CANDIDATES = f"cd AS (SELECT *, list_sort(list_distinct({last(12)})) AS c, {last(24)} AS h FROM tr)"
 SAID = "SELECT episode_id, step, CAST(len(c) AS BIGINT) AS n, array_to_string(kept, '|') AS kept FROM "
 
 

@@ -118,13 +118,13 @@ def workflow_prompts(spark, sf_dir):
     )
 
 
-EVALUATED = ("compositional_unseen", "recovery_test")
+EVALUATED = ("seen_test", "compositional_unseen", "recovery_test")
 
 
-@query(f"""WITH {CASES} SELECT variant, split, count(*) AS episodes, count(*) AS ended, CASE variant WHEN 'actor' THEN count(*) END AS actor_successes FROM cs c CROSS JOIN (VALUES ('actor'), ('actor_structural'), ('actor_residual'), ('full')) v(variant)
-  WHERE split IN ('compositional_unseen', 'recovery_test') GROUP BY 1, 2""".replace("SELECT variant, split", "SELECT v.variant, split").replace("CASE variant", "CASE v.variant"))
+@query(f"""WITH {CASES} SELECT v.variant, split, count(*) AS episodes, count(*) AS ended, CASE v.variant WHEN 'actor' THEN count(*) END AS actor_successes FROM cs
+  CROSS JOIN (VALUES ('actor'), ('actor_structural'), ('actor_residual'), ('full')) v(variant) WHERE split <> 'train' GROUP BY 1, 2""")
 def workflow_variants(spark, sf_dir):
-    """The four variants of the closed loop over the two hard splits: every run ends by a known reason, and the stand-in actor alone follows the planner to each goal."""
+    """The four variants of the closed loop over the three test splits: every run ends by a known reason, and the stand-in actor alone follows the planner to each goal."""
     own = cases.cases(spark).filter(F.col("split").isin(*EVALUATED))
     runs = [cases.closed_loop(own, variant=v).withColumn("variant", F.lit(v)) for v in cases.VARIANTS]
     known = F.col("reason").isin("goal", "budget", "stagnation", "cycle", "stuck")
