@@ -85,3 +85,47 @@ f AS (SELECT *, array_to_string(list_transform(places, lambda a: printf('%02x%02
 SELECT doc_id, n_bytes, n AS payload_bytes, sha256(unhex(x)) AS payload_sha256, CAST({crc("right(x, 128)")} AS BIGINT) AS tail_crc32, length(media) // 2 AS media_bytes, sha256(unhex(media)) AS media_sha256,
   'soun/raw/8000/' || n || '/' || units || '/' || c || '/' || printf('%08x', CAST({crc("le")} AS BIGINT)) AS feature, 'raw ' AS codec, CAST(n AS DOUBLE) / 8000 AS duration_s, c AS keyframes,
   md5('[' || array_to_string(list_transform(places, lambda a: '{{"offset":' || a || ',"length":64}}'), ',') || ']') AS keyframes_md5 FROM f"""
+
+
+LINES = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS pos FROM d),
+k AS (SELECT *, translate(regexp_extract(line, '(?s)^[\x20\x09-\x0D]*(.*?)[\x20\x09-\x0D]*$', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT r) >= 10),
+m AS (SELECT k.*, c.key IS NOT NULL AS gone FROM k LEFT JOIN c USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM m GROUP BY r, doc_id"""
+
+
+def means(k: int = 8, rounds: int = 10, dim: int = 64) -> str:
+    """SQL of the clusters: each round compares every vector with every centroid."""
+    near = "SELECT a.id, arg_min(c.c, ROW(CAST(list_sum(list_transform(range(1, {d} + 1), lambda i: (a.v[i] - c.v[i]) * (a.v[i] - c.v[i]))) AS HUGEINT), c.c)) AS c FROM x a, c{r} c GROUP BY a.id".replace("{d}", str(dim))
+    parts = [
+        f"""x AS (SELECT row_number() OVER (ORDER BY vec_id) AS id, vec_id, list_transform(embedding, lambda e: CAST(floor(1024.0::DOUBLE * CAST(e AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0)""",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS c, v FROM x ORDER BY sha256('3:' || vec_id) LIMIT {k})",
+    ]
+    for r in range(rounds):
+        parts.append(f"a{r} AS MATERIALIZED ({near.replace('{r}', str(r))})")
+        parts.append(
+            f"""s{r} AS (SELECT c, i, CAST(sum(e) AS BIGINT) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS e, unnest(range({dim})) AS i FROM x JOIN a{r} USING (id)) GROUP BY c, i),
+m{r} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM s{r} GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.c, coalesce(m{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN m{r} USING (c))"""
+        )
+    last = f"a{rounds} AS ({near.replace('{r}', str(rounds))})"
+    done = f"""o AS (SELECT x.vec_id, a.c, CAST(list_sum(list_transform(range(1, {dim + 1}), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i]))) AS BIGINT) AS distance, sha256(array_to_string(c.v, ',')) AS h
+  FROM x JOIN a{rounds} a USING (id) JOIN c{rounds} c ON c.c = a.c)"""
+    return (
+        "WITH " + ",\n".join([*parts, last, done]) + """
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, h AS centroid_sha256,
+  count(*) OVER (PARTITION BY c) AS size FROM o"""
+    )
+
+
+NEGATIVES = r"""
+WITH x AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, len(embedding) AS dim, list_transform(embedding, lambda e: floor(256.0::DOUBLE * CAST(e AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM x a JOIN x b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND a.dim = b.dim),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b) AS INTEGER) AS rank, n.b AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b) <= 10"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, jaccard, language, media, mixing, oracles, packing, token_files, toxicity, url_filter
+from . import ann, chat, clustering, hard_negatives, jaccard, language, line_dedup, media, mixing, oracles, packing, token_files, toxicity, url_filter
 from .common import table
 
 CONTROL_CHAT = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
@@ -79,6 +79,20 @@ def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = line_dedup.apply(docs, line_dedup.find(docs))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op12_sort_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(hard_negatives.relabelled(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_mixing": op2_mixing,
@@ -90,6 +104,9 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_chat": op9_chat,
     "op10_permutation_index": op10_permutation_index,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_sort_means": op12_sort_means,
+    "op13_hard_negatives": op13_hard_negatives,
     "language_of_pages": language_of_pages,
 }
 
@@ -97,6 +114,9 @@ ORACLE = {
     "op4_jaccard_join": oracles.JACCARD,
     "op7_media": oracles.MEDIA,
     "op9_chat": oracles.CHAT,
+    "op11_line_dedup": oracles.LINES,
+    "op12_sort_means": oracles.means(),
+    "op13_hard_negatives": oracles.NEGATIVES,
     "op2_mixing": r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
