@@ -4,7 +4,7 @@
 2. Hashes are dealt out by range of (hash, chunk of documents) and sorted by hash, document and position. A window streams over them: a line is a first occurrence where
    the document changes, and each (hash, chunk) gives one row: how many documents, and the first line. Chunks hold at most 2^CHUNK_BITS documents, so a line that every
    document has is the work of many tasks; their rows add up to the whole count.
-3. Hashes of enough documents meet the lines again. What leaves is not text but a keep bitmap for each document, compressed to the runs of lines that
+3. Hashes of enough documents meet the lines again, chunk by chunk. What leaves is not text but a keep bitmap for each document, compressed to the runs of lines that
    stay, as (start, length). ``apply`` cuts texts by it.
 """
 
@@ -53,15 +53,19 @@ def postings(rows: DataFrame) -> DataFrame:
     return rows.select("row", F.posexplode("keys").alias("pos", "key")).filter(F.col("key").isNotNull()).select("key.h", "key.g", "row", "pos")
 
 
+def chunk() -> Column:
+    return F.shiftright("row", CHUNK_BITS).alias("chunk")
+
+
 def streamed(posted: DataFrame) -> DataFrame:
-    """(h, g, docs, first): how many documents have a line, and its first (row, pos), in the order of rows. One exchange of postings, by range."""
-    chunk = F.shiftright("row", CHUNK_BITS)
+    """(h, g, chunk, docs, first): for each chunk of documents that has a line, how many documents have it in all, and its first (row, pos), in the order of rows. Postings are exchanged once, by range."""
     group = ["h", "g", "chunk"]
-    ranged = posted.withColumn("chunk", chunk).repartitionByRange(*group).sortWithinPartitions(*group, "row", "pos")
+    ranged = posted.select("*", chunk()).repartitionByRange(*group).sortWithinPartitions(*group, "row", "pos")
     before = F.lag("row").over(Window.partitionBy(*group).orderBy("row", "pos"))
     found = ranged.withColumn("opens", (before.isNull() | (before != F.col("row"))).cast("long"))
     each = found.groupBy(*group).agg(F.sum("opens").alias("docs"), F.min(F.struct("row", "pos")).alias("first"))
-    return each.groupBy("h", "g").agg(F.sum("docs").alias("docs"), F.min("first").alias("first"))
+    line = Window.partitionBy("h", "g")  # a row a chunk
+    return each.select(*group, F.sum("docs").over(line).alias("docs"), F.min("first").over(line).alias("first"))
 
 
 def find(docs: DataFrame, min_docs: int = MIN_DOCS, least_chars: int = LEAST_CHARS, keep_first: bool = False) -> DataFrame:
@@ -75,7 +79,7 @@ def find(docs: DataFrame, min_docs: int = MIN_DOCS, least_chars: int = LEAST_CHA
     rows = numbered(docs, least_chars)
     posted = postings(rows)
     common = streamed(posted).filter(F.col("docs") >= min_docs)
-    gone = posted.join(common, ["h", "g"])
+    gone = posted.select("*", chunk()).join(common, ["h", "g", "chunk"])
     if keep_first:
         gone = gone.filter(F.struct("row", "pos") != F.col("first"))
     dropped = gone.groupBy("row").agg(F.array_sort(F.collect_list("pos")).alias("dropped"))
