@@ -30,6 +30,37 @@ def test_attempts_time_out_and_go_on(spark):
     assert collection.attempts(spark.range(0), slow).collect() == []
 
 
+def test_a_hung_call_costs_its_own_row_only(spark):
+    def hangs(row, attempt):
+        if row["id"] in (1, 3):
+            time.sleep(600)
+        return row["id"] * 2
+
+    begun = time.time()
+    got = {r["id"]: r for r in collection.attempts(spark.range(6).coalesce(1), hangs, timeout=0.3).collect()}
+    assert time.time() - begun < 60
+    assert [got[i]["result"] for i in range(6)] == [0, None, 4, None, 8, 10]
+    assert got[3]["tries"] == 2 and all(e.startswith("TimeoutError") for e in got[3]["errors"]) and got[4]["errors"] == []
+
+
+def rollout(spark, actions):
+    """Outcome of a rollout whose observations never repeat."""
+    rows = [("r", i, i, a, f"o{i}", i) for i, a in enumerate([None, *actions])]
+    trace = spark.createDataFrame(rows, "rollout string, position long, step long, action string, observation string, p long")
+    return collection.rollouts(trace, ["rollout"], ["p"]).first()
+
+
+@pytest.mark.parametrize("steps", [10, 60, 64, 66, 100, 300])
+def test_late_cycles_are_found(spark, steps):
+    plain = [f"go to shelf {i}" for i in range(steps)]
+    for end in ([], ["open a", "close a"] * 2, ["a", "b", "c", "d", "e", "f"] * 2):
+        got = rollout(spark, plain[: steps - len(end)] + end if len(end) < steps else end)
+        assert got["cycle_detected"] is bool(end)
+    middle = plain[: steps // 2] + ["open a", "close a"] * 2 + plain[steps // 2 :]
+    assert rollout(spark, middle)["cycle_detected"] is True
+    assert rollout(spark, ["a", "b", "c", "d", "e", "f", "g"] * 2)["cycle_detected"] is False  # a run longer than any that counts
+
+
 @pytest.mark.parametrize("path, want", [("a/../b", "b"), ("/a/./b//c", "/a/b/c"), ("../x", "../x"), ("../../x/..", "../.."), ("a/b/../../c", "c"), ("", ""), ("/..", "/..")])
 def test_normal_path(spark, path, want):
     assert one(spark).select(T.normal_path(F.lit(path)).alias("p")).first()["p"] == want

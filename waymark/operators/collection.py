@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import queue
+import threading
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +23,9 @@ POINTS = {
     "multi_object_acquisition": 2.0, "recent_repeat": -2.5, "inverse_transition": -3.0,
 }
 
+#: Longest run of actions whose repetition makes a cycle.
+CYCLE = 6
+
 
 def prior(annotated: DataFrame) -> DataFrame:
     """(episode_id, step, prior): points of an action when candidates are collected; -1 for an action without words."""
@@ -33,15 +37,17 @@ def rollouts(trace: DataFrame, rollout: list[str], predicates: list[str], max_st
     """(rollout, steps, no_progress_fraction, cycle_detected, budget_pressure) from recorded traces.
 
     trace: rollout keys, position (0 is the state before the candidate), step (in the episode), action (that led here; any at 0), observation and predicates. A step makes no progress
-    if no predicate changes; a cycle is a state (observation and predicates) that was there before, or actions that end in a repeated run. Rollouts are short by their horizon.
+    if no predicate changes; a cycle is a state (observation and predicates) that was there before, or actions that end in a repeated run of at most CYCLE actions, at any step however
+    late. A step sees the last CYCLE x repeats actions only, which is all that such an end can hold.
     """
     order = Window.partitionBy(*rollout).orderBy("position")
     same = F.lit(True)
     for c in predicates:
         same = same & F.lag(c).over(order).eqNullSafe(F.col(c))
     again = F.row_number().over(Window.partitionBy(*rollout, "observation", *predicates).orderBy("position")) > 1
-    upto = F.transform(F.collect_list("action").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)), lambda a: T.normalize(a))
-    marked = trace.withColumns({"still": same & (F.col("position") > 0), "again": again, "run": N.has_cycle(F.slice(upto, 2, 64), 6, repeats)})
+    own = F.when(F.col("position") > 0, F.col("action"))
+    recent = F.transform(F.collect_list(own).over(order.rowsBetween(1 - CYCLE * repeats, Window.currentRow)), lambda a: T.normalize(a))
+    marked = trace.withColumns({"still": same & (F.col("position") > 0), "again": again, "run": N.has_cycle(recent, CYCLE, repeats)})
     n = F.max("position")
     return marked.groupBy(*rollout).agg(
         n.alias("steps"), (F.count_if("still") / F.greatest(n, F.lit(1))).alias("no_progress_fraction"), F.bool_or(F.col("again") | F.col("run")).alias("cycle_detected"),
@@ -49,25 +55,47 @@ def rollouts(trace: DataFrame, rollout: list[str], predicates: list[str], max_st
     )
 
 
+def called(work: Callable[[dict, int], float], row: dict, attempt: int, timeout: float) -> float:
+    """work(row, attempt) in a thread of its own, which is left behind if it doesn't answer in time: it holds up neither other calls nor the worker's end."""
+    answer: queue.SimpleQueue = queue.SimpleQueue()
+
+    def call() -> None:
+        try:
+            answer.put((float(work(row, attempt)), None))
+        except Exception as e:
+            answer.put((None, e))
+
+    threading.Thread(target=call, daemon=True).start()
+    try:
+        result, error = answer.get(timeout=timeout)
+    except queue.Empty:
+        raise TimeoutError(f"no answer within {timeout:g} s") from None
+    if error is not None:
+        raise error
+    return result
+
+
 def attempts(rows: DataFrame, work: Callable[[dict, int], float], timeout: float = 60.0, tries: int = 2) -> DataFrame:
-    """rows with result (double), tries (how many were made) and errors (texts): work(row, try) again after an error or a timeout. A row that fails at all tries has no result; the job goes on."""
+    """rows with result (double), tries (how many were made) and errors (texts): work(row, try) again after an error or a timeout. A row that fails at all tries has no result; the job goes on.
+
+    A call that hangs costs its own row ``timeout`` seconds for each try, and no other row anything.
+    """
     names = rows.columns
     schema = rows.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ") + ", result double, tries int, errors array<string>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with ThreadPoolExecutor(tries) as pool:  # a call that hangs keeps its thread, the next try has another
-            for pdf in batches:
-                out = []
-                for row in pdf.itertuples(index=False):
-                    result, errors = None, []
-                    for k in range(tries):
-                        try:
-                            result = float(pool.submit(work, dict(zip(names, row, strict=True)), k).result(timeout))
-                            break
-                        except Exception as e:  # whatever goes wrong is recorded, the stream continues
-                            errors.append(f"{type(e).__name__}: {e}")
-                    out.append((*row, result, len(errors) + (result is not None), errors))
-                yield pd.DataFrame(out, columns=[*names, "result", "tries", "errors"])
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                result, errors = None, []
+                for k in range(tries):
+                    try:
+                        result = called(work, dict(zip(names, row, strict=True)), k, timeout)
+                        break
+                    except Exception as e:  # whatever goes wrong is recorded, the stream continues
+                        errors.append(f"{type(e).__name__}: {e}")
+                out.append((*row, result, len(errors) + (result is not None), errors))
+            yield pd.DataFrame(out, columns=[*names, "result", "tries", "errors"])
 
     return rows.mapInPandas(run, schema)
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
+from .ordered import numbered
 
 #: Resamples of a bootstrap, as many as the reference draws.
 BOOTSTRAP = 20_000
@@ -102,19 +103,12 @@ def bootstrap(pairs: DataFrame, samples: int = BOOTSTRAP) -> DataFrame:
     )
 
 
-def equal_bins(rows: DataFrame, key: str, value: str, correct: str, bins: int = 5, buckets: int = 64) -> DataFrame:
+def equal_bins(rows: DataFrame, key: str, value: str, correct: str, bins: int = 5) -> DataFrame:
     """Bins of nearly equal counts over rows sorted by value (ties by key): bin i has ranks from i*n/bins on, larger bins last.
 
-    Ranks are summed over buckets between approximate quantiles, then counted within a bucket, so no task sees all rows.
+    Rows are numbered along (value, key) over a range partitioning, so neither all rows nor a value that many rows have lie in one task.
     """
-    n = rows.count()
-    cuts = rows.agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)]).alias("c")).first()["c"] or []
-    bounds = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    local = rows.withColumn("part", F.size(F.filter(bounds, lambda c: c < F.col(value))))
-    ranked = local.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy(value, key)))
-    sizes = local.groupBy("part").agg(F.count("*").alias("size"))  # at most `buckets` rows
-    before = sizes.withColumn("before", F.sum("size").over(Window.orderBy("part")) - F.col("size")).select("part", "before")
-    placed = ranked.join(F.broadcast(before), "part").withColumn("bin", F.ceil(F.lit(float(bins)) * (F.col("r") + F.col("before")) / F.lit(float(max(n, 1)))).cast("long"))
+    placed = numbered(rows.select(key, value, correct), [value, key], name="r").withColumn("bin", F.ceil(F.lit(float(bins)) * F.col("r") / F.lit(float(max(rows.count(), 1)))).cast("long"))
     return placed.groupBy("bin").agg(
         F.count("*").alias("pairs"), F.avg(value).alias("mean_value"), F.min(value).alias("min_value"), F.max(value).alias("max_value"),
         (F.lit(100.0) * F.avg(F.col(correct).cast("double"))).alias("accuracy_pct"),

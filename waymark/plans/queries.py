@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..functions import text as T
-from ..operators import features, history, integrity, pairs, progress, ranking, reports, sampling, training
+from ..operators import features, history, integrity, ordered, pairs, progress, ranking, reports, sampling, training
 from ..streaming import traces
 from ..workflow import cases
 from . import views
@@ -126,7 +126,7 @@ def observation_entities(spark, sf_dir):
 @query
 def lexical_overlap(spark, sf_dir):
     """Token overlap of every whole document with the benchmark item that its id falls on."""
-    items = views.table(spark, sf_dir, "benchmark").select(F.row_number().over(Window.orderBy("item_id")).alias("r"), T.id_tokens("text").alias("goal"))
+    items = ordered.numbered(views.table(spark, sf_dir, "benchmark").select("item_id", "text"), ["item_id"], name="r").select("r", T.id_tokens("text").alias("goal"))
     docs = views.table(spark, sf_dir, "documents").select("doc_id", T.id_tokens("text").alias("own"))
     # A fixed evaluation set; the documents carry the volume.
     n, chars = views.table(spark, sf_dir, "benchmark").agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -36,3 +36,10 @@ def shared_path(spark: SparkSession, label: str) -> str:
         root = "file://" + tempfile.mkdtemp(prefix="waymark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/waymark-{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Writes df once to the shared folder and reads it back: a cut in the lineage that outlives any executor."""
+    path = shared_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
