@@ -4,16 +4,18 @@ import hashlib
 import os
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 from brute import brute_features, brute_lexicon, brute_posteriors
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__
-from waymark.llm import language, toxicity
+from waymark.llm import language, packing, toxicity
 from waymark.llm import queries as Q
 
 DATA = "/root/testdata/sf0.001"
@@ -95,9 +97,61 @@ def test_op8(spark, rows):
     assert sum(r["kept"] for r in got.values()) >= 0.98 * len(got)
 
 
-def test_language_of_pages(spark):
-    pages = run(spark, "language_of_pages").collect()
-    assert sum(r["language"] == r["markup"] for r in pages) >= 0.95 * len(pages)
+def test_language_of_pages(spark, rows):
+    pages = []
+    for i, url, html, *_ in rows("pages"):
+        text = re.sub(r"(?is)<(script|style)\b[^>]*>.*?</\1>|<[^>]+>", " ", html)
+        markup = re.search(r"(?i)<html[^>]*\blang=[\"']?([a-z]{2})", html)
+        parts = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
+        path = re.match(r"^/([a-z]{2})/", parts[2]) if parts else None
+        pages.append((i, text, markup and markup[1].lower(), parts[1].lower() if parts else "", path and path[1]))
+    df = spark.createDataFrame([p[:3] for p in pages], "page_id long, text string, markup string")
+    model = language.TrigramModel.fit(language.training_rows(df, "text", "markup", "page_id"))
+    got = {r["page_id"]: r for r in run(spark, "language_of_pages").collect()}
+    assert len(got) == len(pages) and len(model.langs) > 2
+    for page, (best, posterior, kept) in zip(pages, brute_posteriors(model, pages), strict=True):
+        r = got[page[0]]
+        assert (r["language"], r["kept"], r["markup"], r["host"]) == (best, kept, page[2], page[3]) and r["posterior"] == pytest.approx(posterior)
+    assert sum(r["language"] == r["markup"] for r in got.values()) >= 0.95 * len(got)
+
+
+def best_fit(items, capacity, per_source):
+    """(bin, offset) of (size, source, cluster) items: each goes to the tightest bin that may take it, of equally tight ones to that which has been so for the longest."""
+    counts, bins, out, clock = Counter(c for _, _, c in items), [], [], 0
+    for size, source, cluster in items:
+        fit = [b for b in bins if b["free"] >= size and b["sources"][source] < per_source and not (counts[cluster] > 1 and cluster in b["clusters"])]
+        if not fit:
+            fit = [{"free": capacity, "since": 0, "sources": Counter(), "clusters": set(), "n": len(bins)}]
+            bins += fit
+        b, clock = min(fit, key=lambda b: (b["free"], b["since"])), clock + 1
+        out.append((b["n"], capacity - b["free"]))
+        b |= {"free": b["free"] - size, "since": clock}
+        b["sources"][source] += 1
+        b["clusters"].add(cluster)
+    return out, [b["free"] for b in bins]
+
+
+@pytest.mark.parametrize("folder", [DATA, "/root/testdata/sf0.1"])
+def test_op1(spark, folder):
+    """Sizes, shards and places of the whole query against a plain best fit of each shard."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    n, key = docs.count(), packing.fingerprint().alias("cluster")
+    shard = F.pmod(F.xxhash64("doc_id", key, F.lit(0).cast("long")), F.lit(-(-n // packing.SHARD_ROWS)))
+    want, shards = {}, {}
+    for r in docs.select("doc_id", "text", "source", key, F.xxhash64(F.coalesce("source", F.lit("\0"))).alias("s"), shard.alias("shard")).collect():
+        size = len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""))
+        full, tail = divmod(size, packing.CAPACITY)
+        want[r["doc_id"]] = [r["source"], size, full, tail, None, None, None]
+        if tail:
+            shards.setdefault(r["shard"], []).append((-tail, r["cluster"], r["doc_id"], r["s"]))
+    assert len(want) == n  # ids don't repeat in these tables
+    for number, own in shards.items():
+        own.sort()
+        places, free = best_fit([(-t, s, c) for t, c, _, s in own], packing.CAPACITY, packing.MAX_PER_SOURCE)
+        for (_, _, doc, _), (b, offset) in zip(own, places, strict=True):
+            want[doc][4:] = [(number << packing.BIN_BITS) + b, offset, free[b]]
+    got = __spark_entry__.queries()["op1_best_fit_packing"](spark, folder).collect()
+    assert {r["doc_id"]: list(r)[1:] for r in got} == want
 
 
 def test_op9(spark, rows):

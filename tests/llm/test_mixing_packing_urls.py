@@ -199,3 +199,18 @@ def test_judge(spark):
     got = sorted(url_filter.judge(df).collect(), key=lambda r: r["page_id"])
     assert [(r["host"], r["path"], r["rule"], r["verdict"]) for r in got] == list(urls.values())
     assert url_filter.judge(df.limit(0)).collect() == []
+
+
+def test_null_clusters_conflict_with_nothing(spark):
+    df = spark.createDataFrame([(i, "w " * 10, f"s{i}") for i in range(200)], "doc_id long, text string, source string")
+    bins = lambda cluster: {r["bin"] for r in packing.pack(df, capacity=2048, cluster=cluster).collect()}
+    assert len(bins(F.lit(None).cast("long"))) == 1 and len(bins(F.when(F.col("doc_id") >= 10, F.lit(7)))) == 190 and len(bins(F.lit(0))) == 200
+
+
+def test_copies_take_places_in_turn(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 4)
+    rows = [(i % 3, "w " * (i % 3 + 1), "a") for i in range(50)] + [(9, "x y z", s) for s in ("a", "b", None)] * 11 + [(None, None, "b")] * 6
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    plain = lambda frame: sorted(map(repr, (tuple(r) for r in frame.select("doc_id", "source", *mixing.RESULT).collect())))
+    assert plain(mixing.mix(df, keep=["doc_id", "source"])) == plain(mixing.mix(df))
+    assert mixing.mix(df, keep=["doc_id"]).columns == ["doc_id", *mixing.RESULT]

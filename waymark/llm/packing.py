@@ -86,17 +86,21 @@ class Bins:
         return self.capacity - r
 
 
-def bits(values: np.ndarray, least: int) -> list[int]:
-    """A bit for each value that occurs ``least`` times; 0 for the others."""
-    kinds, inverse, counts = np.unique(values, return_inverse=True, return_counts=True)
+def bits(values: np.ndarray, least: int, known: np.ndarray | None = None) -> list[int]:
+    """A bit for each value that occurs ``least`` times; 0 for the others, and for those that aren't known."""
+    known = np.ones(len(values), dtype=bool) if known is None else known
+    kinds, inverse = np.unique(values, return_inverse=True)
+    counts = np.bincount(inverse[known], minlength=len(kinds))
     number = np.cumsum(counts >= least) - 1
-    return [1 << int(number[k]) if counts[k] >= least else 0 for k in inverse]
+    return [1 << int(number[k]) if some and counts[k] >= least else 0 for k, some in zip(inverse, known, strict=True)]
 
 
-def pack_shard(sizes: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capacity: int, max_per_source: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bin, offset, residual of the bin in the end) of each item; sizes are 1..capacity, in the order of packing."""
+def pack_shard(
+    sizes: np.ndarray, sources: np.ndarray, clusters: np.ndarray, capacity: int, max_per_source: int, clustered: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bin, offset, residual of the bin in the end) of each item; sizes are 1..capacity, in the order of packing. clustered: whether an item has a cluster."""
     bins = Bins(capacity, max_per_source)
-    placed = [bins.place(int(s), a, c) for s, a, c in zip(sizes, bits(sources, 1), bits(clusters, 2), strict=True)]
+    placed = [bins.place(int(s), a, c) for s, a, c in zip(sizes, bits(sources, 1), bits(clusters, 2, clustered), strict=True)]
     where = np.array([b for b, _ in placed], dtype=np.int64)
     return where, np.array([o for _, o in placed], dtype=np.int64), np.array(bins.residual, dtype=np.int64)[where] if placed else where
 
@@ -108,7 +112,8 @@ def packing(capacity: int, max_per_source: int):
         t = pa.Table.from_batches(rows).combine_chunks()
         column = lambda name: t.column(name).to_numpy()
         n = int((column("tail") > 0).sum())  # those without a tail come last
-        where, offset, free = pack_shard(column("tail")[:n], column("source_key")[:n], column("cluster")[:n], capacity, max_per_source)
+        clusters, clustered = t.column("cluster").fill_null(0).to_numpy()[:n], t.column("cluster").is_valid().to_numpy()[:n]
+        where, offset, free = pack_shard(column("tail")[:n], column("source_key")[:n], clusters, capacity, max_per_source, clustered)
         shard, none = int(t.column("shard")[0].as_py()), pa.nulls(t.num_rows - n, pa.int64())
         out = t.drop_columns(["shard", "cluster", "source_key"])
         for name, values in (("bin", (shard << BIN_BITS) + where), ("bin_offset", offset), ("bin_free", free)):
@@ -145,14 +150,14 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, max_per_source: int = MAX_PE
 
     size counts words. A document fills full_bins = size div capacity bins alone; its tail of size mod capacity words lies in ``bin`` from bin_offset;
     bin_free is what the bin has left. A tail of 0 (null, empty and blank texts too) needs no bin (bin null). cluster: any long column of duplicate
-    clusters; by default equal texts. shard: any column of numbers from 0 that deals rows to shards of bounded size; by default a hash of the document and the
+    clusters, a null conflicting with nothing; by default equal texts. shard: any column of numbers from 0 that deals rows to shards of bounded size; by default a hash of the document and the
     number of its copy. Ids and sources may be null (a null source is a source of its own); ties go by cluster and id, repeated rows are copies in bins of their own. No rows
     give no rows. Only ids and sizes are shuffled.
     """
     spark = docs.sparkSession
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count("text").alias("size"),
-        F.coalesce(cluster if cluster is not None else fingerprint(), F.lit(0).cast("long")).alias("cluster"), *([] if shard is None else [shard.cast("long").alias("shard")]),
+        (fingerprint() if cluster is None else cluster.cast("long")).alias("cluster"), *([] if shard is None else [shard.cast("long").alias("shard")]),
     )
     shards = max(1, -(-docs.count() // shard_rows))
     if shard is None:
