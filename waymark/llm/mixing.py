@@ -7,7 +7,8 @@ words are demanded up to t; inverting it at a document's place in the stream giv
 document. Sorting by position by range gives the curriculum.
 
 The order is that of an MD5 of id and text, so neither a null nor a repeated id gathers rows. Places come from prefix sums on two levels: over the buckets
-of a source (beginnings of the MD5), then within a bucket. Only rows that repeat both id and text lie in one bucket; a window streams over them.
+of a source (beginnings of the MD5), then within a bucket. Rows that repeat both id and text have one MD5; where only ids and sources are wanted, they are counted first
+and take their places one after the other, so that a third of all rows may be copies of one. Where whole rows are wanted, a window streams over them.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from .common import materialise, word_count
 
 #: Rows that a bucket may have on average, even if one source has all rows, and the least hex digits of the order key that make a bucket.
 BUCKET_ROWS, LEAST_DIGITS = 1 << 16, 3
+#: Copies of a row that one task makes of their count.
+COPIES = 1 << 16
 WEIGHT_CYCLE = 3
 MAX_EPOCHS = 3
 #: Tilt of the schedule by weight: light sources fade out over training, heavy sources ramp up.
@@ -72,10 +75,15 @@ def placed(docs: DataFrame, max_epochs: int, keep: list[str] | None = None) -> D
     own = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(inner, F.lit("")))
     digits = max(LEAST_DIGITS, math.ceil(math.log(max(1, docs.count() / BUCKET_ROWS), 16)))
     keyed = keyed.withColumn("_mix_key", F.md5(own.cast("binary"))).withColumn("_mix_bucket", F.substring("_mix_key", 1, digits))
-    if keep is not None and "text" not in keep:
+    counted = keep is not None and set(keep) <= {"doc_id", "source"}
+    if counted:
+        alike = keyed.groupBy("doc_id", "source", "_mix_size", "_mix_key", "_mix_bucket").agg(F.count("*").alias("_mix_n"))
+        keyed = materialise(alike, "sizes").withColumn("_mix_all", F.col("_mix_size") * F.col("_mix_n"))
+    elif keep is not None and "text" not in keep:
         keyed = materialise(keyed.select(*dict.fromkeys([*keep, "doc_id", "source"]), "_mix_size", "_mix_key", "_mix_bucket"), "sizes")
+    every = F.col("_mix_all" if counted else "_mix_size")
     # Sums of (source, bucket) first: a hot source costs a row a bucket, never a task of its own.
-    buckets = keyed.groupBy("source", F.col("_mix_bucket").alias("bucket")).agg(F.sum("_mix_size").alias("bucket_size"))
+    buckets = keyed.groupBy("source", F.col("_mix_bucket").alias("bucket")).agg(F.sum(every).alias("bucket_size"))
     targets = source_targets(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size")))
     so_far = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = (
@@ -88,9 +96,11 @@ def placed(docs: DataFrame, max_epochs: int, keep: list[str] | None = None) -> D
         )
     )
     within = Window.partitionBy("source", "_mix_bucket").orderBy("_mix_key", "doc_id", "_mix_size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = keyed.withColumn("_mix_within", F.sum("_mix_size").over(within) - F.col("_mix_size")).join(
+    found = keyed.withColumn("_mix_within", F.sum(every).over(within) - every).join(
         offsets, F.col("source").eqNullSafe(F.col("_mix_source")) & (F.col("_mix_bucket") == F.col("_mix_of"))
     )
+    if counted:
+        found = dealt_copies(found).withColumn("_mix_within", F.col("_mix_within") + F.col("_mix_copy") * F.col("_mix_size")).drop("_mix_copy", "_mix_n", "_mix_all")
     start, whole, zero = F.col("_mix_before") + F.col("_mix_within"), F.floor("_mix_target").cast("long"), F.lit(0).cast("long")
     parts = [F.greatest(zero, F.least(F.col("_mix_size"), whole - F.col("_mix_start") - F.lit(e) * F.col("_mix_total"))) for e in range(max_epochs)]
     return (
@@ -100,6 +110,16 @@ def placed(docs: DataFrame, max_epochs: int, keep: list[str] | None = None) -> D
     )
 
 
+def dealt_copies(rows: DataFrame) -> DataFrame:
+    """A row for each of the _mix_n copies of a row, numbered from 0 as _mix_copy; made of their count in pieces, which are the work of many tasks."""
+    last = F.col("_mix_n") - 1
+    few = rows.filter(F.col("_mix_n") <= COPIES).withColumn("_mix_copy", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    pieces = rows.filter(F.col("_mix_n") > COPIES).withColumn("_mix_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(last / COPIES))))
+    first = F.col("_mix_piece") * COPIES
+    many = pieces.repartition("_mix_key", "_mix_piece").withColumn("_mix_copy", F.explode(F.sequence(first, F.least(first + COPIES - 1, last)))).drop("_mix_piece")
+    return few.unionByName(many)
+
+
 def position(epoch: Column | int, tilts: dict[int, float] | None = None) -> Column:
     """Training time of a copy of a placed row."""
     start = F.col("_mix_start") + F.lit(epoch) * F.col("_mix_total") if isinstance(epoch, int) else F.col("_mix_start") + epoch * F.col("_mix_total")
