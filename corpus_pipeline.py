@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import threading
+import warnings
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -42,15 +43,33 @@ def stage(f: Callable) -> Callable:
     return run
 
 
-def wrapped(docs: DataFrame, *columns: str) -> DataFrame:
+def wrapped(docs: DataFrame, *columns: str | Column) -> DataFrame:
     """The named columns, and all columns in one struct ``_row``, which no column that an operator adds can clash with."""
     return docs.select(F.struct(*docs.columns).alias("_row"), *columns)
 
 
+#: Names of rejected documents up to which they are broadcast (two numbers each); beyond, documents and names meet in a shuffle by name.
+BROADCAST_NAMES = 250_000
+
+
+def decided_by() -> list[Column]:
+    """What language ID decides by, as two hashes: documents equal in text, declared language and source share the decision."""
+    parts = [x for c in ("text", "lang", "source") for x in (F.col(c).isNull(), F.col(c))]
+    return [F.xxhash64(*parts).alias("_name_a"), F.xxhash64(F.lit(1), *parts).alias("_name_b")]
+
+
 @stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; those that language ID rejects (unknown, or no text) go."""
-    return language.identify(wrapped(docs, "doc_id", "text", "lang", "source"), keep=["_row"]).filter("kept").select("_row.*")
+    """Documents whose language is known; those that language ID rejects (unknown, or no text) go.
+
+    Texts are neither written nor shuffled: the operator gets names, and documents are held against the names of those that it rejects.
+    """
+    names = ["_name_a", "_name_b"]
+    judged = language.identify(docs.select("doc_id", "text", "lang", "source", *decided_by()), keep=names)
+    rejected = materialise(judged.filter(~F.col("kept")).select(*names).distinct(), "rejected")
+    few = rejected.count() <= BROADCAST_NAMES
+    own = wrapped(docs, *decided_by())
+    return own.join(F.broadcast(rejected) if few else rejected, names, "left_anti").select("_row.*")
 
 
 @stage
@@ -75,10 +94,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def reading_order(docs: DataFrame) -> Column | None:
-    """Shards of at most SHARD_ROWS rows that follow each other in docs' files, numbered along them; None if docs doesn't come straight from files."""
+    """Shards of at most SHARD_ROWS rows that follow each other in docs' files, numbered along them; None, with a warning, if docs doesn't come straight from files, as a stage's docs do."""
     try:
         docs.select("_metadata.file_name", "_metadata.row_index")
     except AnalysisException:
+        warnings.warn("documents that aren't read from files have no training order: bins are dealt by a hash", stacklevel=2)
         return None
     number = F.coalesce(F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("long"), F.lit(0).cast("long"))
     return number * (1 << 20) + F.floor(F.col("_metadata.row_index") / packing.SHARD_ROWS)

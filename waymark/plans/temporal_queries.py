@@ -92,20 +92,23 @@ def interval_overlaps_of_all(spark, sf_dir):
 
 
 RANKED = "rank() OVER w AS rank, dense_rank() OVER w AS dense_rank, round(percent_rank() OVER w, 12) AS percent_rank, round(cume_dist() OVER w, 12) AS cume_dist"
-RANKS = ("rank", "dense_rank", F.round("percent_rank", 12).alias("percent_rank"), F.round("cume_dist", 12).alias("cume_dist"))
+
+
+def _ranks():
+    return ("rank", "dense_rank", F.round("percent_rank", 12).alias("percent_rank"), F.round("cume_dist", 12).alias("cume_dist"))
 
 
 @query(f"SELECT l_orderkey, l_linenumber, {RANKED} FROM lineitem WINDOW w AS (ORDER BY l_quantity)")
 def distribution_ranks(spark, sf_dir):
     """Ranks of all lines by quantity: fifty values, each with very many ties."""
     lines = views.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    return ordered.ranks(lines, "l_quantity").select("l_orderkey", "l_linenumber", *RANKS)
+    return ordered.ranks(lines, "l_quantity").select("l_orderkey", "l_linenumber", *_ranks())
 
 
 @query(f"SELECT event_id, {RANKED} FROM events WINDOW w AS (PARTITION BY event_type ORDER BY value)")
 def distribution_ranks_by_type(spark, sf_dir):
     events = views.table(spark, sf_dir, "events").select("event_id", "event_type", "value")
-    return ordered.ranks(events, "value", ["event_type"]).select("event_id", *RANKS)
+    return ordered.ranks(events, "value", ["event_type"]).select("event_id", *_ranks())
 
 
 @query("""SELECT event_id, row_number() OVER w AS number, nth_value(event_id, 7) OVER w AS seventh, nth_value(event_id, 3) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS third_of_user
