@@ -4,11 +4,36 @@ import random
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from waymark.llm import components, jaccard
 
+def test_near_copies_meet_as_small_differences():
+    """Blocks hold what texts differ by, whatever the texts' length; whole texts lie in no pair of blocks."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(5000)}" for _ in range(3000)]
+    texts = []
+    for _ in range(40):
+        w = list(base)
+        for _ in range(3):
+            w[rng.randrange(len(w))] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    columns = {"key": [1] * 40, "lo": [0] * 20 + [1] * 20, "hi": [0] * 20 + [1] * 20, "share": [2.0] * 40, "node": list(range(40)), "text": texts}
+    kinds = {"key": pa.int64(), "lo": pa.int32(), "hi": pa.int32(), "share": pa.float64(), "node": pa.int64(), "text": pa.string()}
+    batch = pa.record_batch([pa.array(v, type=kinds[k]) for k, v in columns.items()], names=list(columns))
+    rows = [r for b in jaccard.differences(iter([batch.slice(0, 13), batch.slice(13)])) for r in b.to_pylist()]
+    heads = [r for r in rows if r["node"] == jaccard.HEAD]
+    assert [(r["own"], r["minus"]) for r in heads] == [(0, []), (1, [])] and all(len(r["plus"]) > 2900 for r in heads)
+    sets = jaccard.sets_of([t.encode() for t in texts])
+    for r in rows:
+        if r["node"] != jaccard.HEAD:
+            assert len(r["plus"]) + len(r["minus"]) <= 30
+            whole = set(heads[r["own"]]["plus"]) - set(r["minus"]) | set(r["plus"])
+            assert whole == set(sets[r["node"]].view(np.int64).tolist())
+
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 

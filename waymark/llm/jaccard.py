@@ -5,11 +5,11 @@
    same members count once. A pair at the threshold misses all bands with probability (1 - 0.8^4)^32 < 1e-7.
 3. Within buckets, pairs that met in no earlier band compare their MinHash values STEP at a time. With a uniform prior the similarity after m of n matches is Beta(m + 1, n - m + 1); a pair
    goes as soon as the posterior probability of reaching the threshold falls below TOLERANCE. What is left joins texts to candidate groups.
-4. Within candidate groups, all pairs are verified exactly on their shingle sets. The links are counted for each text and the linked texts'
-   components are the classes.
+4. Within candidate groups, all pairs are verified exactly on their shingle sets. A text is read and shipped once, to its block, where it becomes the difference of its set from the block's common shingles (those that
+   more than half of the block's texts have); blocks meet as differences. The links are counted for each text and the linked texts' components are the classes.
 
 Buckets and groups of any size are cut into blocks by a hash; a task holds two blocks. Pairs live inside a task only, what leaves it is a
-count and a star edge for each text. A group of n texts in blocks of b sends each text to n / b tasks.
+count and a star edge for each text. A group of n texts in blocks of b sends each signature, and each difference (a few hashes for a near copy), to n / b tasks.
 
 Words are runs of letters, digits and marks, lower case. Characters of scripts that put no blanks between words are words of their own.
 """
@@ -41,6 +41,9 @@ BROADCAST_TEXTS = 250_000
 PAIRS_AT_ONCE = 1 << 16
 BYTES_AT_ONCE = 1 << 18
 COLUMNS_AT_ONCE = 2048
+HASHES_AT_ONCE = 1 << 19
+#: Stands for a block itself among its texts, whose numbers are 0 and more.
+HEAD = -1
 SEED = 20_240_229
 
 _rng = np.random.default_rng(SEED)
@@ -212,14 +215,23 @@ def blocked_pairs(side: np.ndarray, within: bool) -> Iterator[tuple[np.ndarray,
             yield i.reshape(-1), j.reshape(-1)
 
 
-def dealt(rows: DataFrame, key: str, share: Column, columns: list[str]) -> DataFrame:
+def blocks_of(share: Column) -> Column:
+    return F.greatest(F.ceil(share), F.lit(1)).cast("int")
+
+
+def block_of(share: Column) -> Column:
+    """The block, of those that a row's group fills, that the row lies in."""
+    return F.pmod(F.xxhash64("node", F.lit(17)), blocks_of(share)).cast("int")
+
+
+def dealt(rows: DataFrame, key: str, share: Column, columns: list[str], own: Column | None = None) -> DataFrame:
     """Cuts groups into blocks and deals out pairs of blocks: (key, lo, hi, side, *columns), sorted by group within partitions.
 
-    share: how many blocks a row's group fills; they are rounded up, and each row goes once to every pair of blocks with its own.
+    share: how many blocks a row's group fills; they are rounded up, and each row goes once to every pair of blocks with its own, which is ``own`` or else a hash's.
     """
     spark = rows.sparkSession
-    blocks = F.greatest(F.ceil(share), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(17)), blocks).cast("int")
+    blocks = blocks_of(share)
+    own = block_of(share) if own is None else own
     return (
         rows.select(F.col(key).alias("key"), own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"), "node", *columns)
         .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", *columns)
@@ -312,23 +324,59 @@ def linked_pairs(sets: list[np.ndarray], threshold: Fraction) -> np.ndarray:
     return (common * threshold.denominator >= union * threshold.numerator) & (sizes[:, None] > 0) & (sizes[None, :] > 0)
 
 
-def verifying(threshold: Fraction):
-    """For mapInArrow over dealt rows with texts: (node, links, star) for every text with links in the group."""
+def sets_of(texts: list[bytes]) -> list[np.ndarray]:
+    hashes, counts = shingles(texts)
+    return [np.unique(part) for part in np.split(hashes, np.cumsum(counts)[:-1])]
+
+
+def common_shingles(sets: list[np.ndarray]) -> np.ndarray:
+    """Those that more than half of the sets have, sorted."""
+    kinds, counts = np.unique(np.concatenate(sets), return_counts=True)
+    return kinds[2 * counts > len(sets)]
+
 
-    def sets_of(texts: list[bytes]) -> list[np.ndarray]:
-        hashes, counts = shingles(texts)
-        return [np.unique(part) for part in np.split(hashes, np.cumsum(counts)[:-1])]
+def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over (key, lo, hi, share, node, text), sorted by the first three: a block's common shingles as plus of the node HEAD, then for each text what its set has more (plus) and less (minus)."""
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        return pa.record_batch([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["key", "own", "share", "node", "plus", "minus"])
+
+    out: list[tuple] = []
+    held = 0
+    for _, rows in grouped(batches):
+        key, own, share = (rows.column(c)[0].as_py() for c in ("key", "lo", "share"))
+        sets = in_blocks(rows.column("text").to_pylist(), sets_of)
+        base = common_shingles(sets)
+        out.append((key, own, share, HEAD, base.view(np.int64), []))
+        for node, own_set in zip(rows.column("node").to_pylist(), sets, strict=True):
+            more, less = (np.setdiff1d(x, y, assume_unique=True).view(np.int64) for x, y in ((own_set, base), (base, own_set)))
+            out.append((key, own, share, node, more, less))
+            held += len(more) + len(less)
+        held += len(base)
+        if held >= HASHES_AT_ONCE or len(out) >= 1 << 10:
+            yield batch(out)
+            out, held = [], 0
+    if out:
+        yield batch(out)
+
+
+def verifying(threshold: Fraction):
+    """For mapInArrow over dealt differences: (node, links, star) for every text with links in the group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         for within, rows in grouped(batches):
-            nodes = rows.column("node").to_numpy()
-            if len(nodes) < 2:
+            nodes, side = rows.column("node").to_numpy(), rows.column("side").to_numpy()
+            if (nodes != HEAD).sum() < 2:
                 continue
+            plus, minus = (rows.column(c) for c in ("plus", "minus"))
+            hashes = lambda column, k: column[int(k)].values.to_numpy().view(np.uint64)
+            base = {int(side[k]): hashes(plus, k) for k in np.flatnonzero(nodes == HEAD)}
             order = np.argsort(nodes, kind="stable")
-            nodes, side = nodes[order], rows.column("side").to_numpy()[order]
-            texts = rows.column("text").to_pylist()
-            sets = in_blocks([texts[k] for k in order], sets_of)
+            order = order[nodes[order] != HEAD]
+            nodes, side = nodes[order], side[order]
+            sets = [np.concatenate([np.setdiff1d(base[int(x)], hashes(minus, k), assume_unique=True), hashes(plus, k)]) for k, x in zip(order, side, strict=True)]
             linked = linked_pairs(sets, threshold) & (nodes[:, None] != nodes[None, :])
             if not within:
                 linked &= side[:, None] != side[None, :]
@@ -410,7 +458,12 @@ def join(docs: DataFrame, threshold: str = THRESHOLD, tolerance: float = TOLERAN
     whole = docs.select(name_of("doc_id", key).alias("name"), key.alias("key"), "text")
     few = wanted.count() <= BROADCAST_TEXTS
     held = whole.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), ["name", "key"]).dropDuplicates(["name", "key"])
-    verified = materialise(dealt(held, "component", F.col("share"), ["text"]).mapInArrow(verifying(exact), "node long, links long, star long"), "links")
+    own = block_of(F.col("share"))
+    placed = held.select(F.col("component").alias("key"), own.alias("lo"), own.alias("hi"), F.col("share").cast("double").alias("share"), "node", "text")
+    blocks = placed.repartition(partitions(docs.sparkSession), "key", "lo").sortWithinPartitions("key", "lo")
+    differing = blocks.mapInArrow(differences, "key long, own int, share double, node long, plus array<long>, minus array<long>")
+    pairs = dealt(differing, "key", F.col("share"), ["plus", "minus"], F.col("own"))
+    verified = materialise(pairs.mapInArrow(verifying(exact), "node long, links long, star long"), "links")
     groups = connected(verified.select(F.col("star").alias("a"), F.col("node").alias("b")), "classes")
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     joined = texts.select("node", "key", "name", "n_copies").join(groups, "node", "left").join(links, "node", "left").withColumn("component", F.coalesce("component", "node"))
