@@ -45,7 +45,8 @@ def distinct_observations(stream: DataFrame, keys: list[str], horizon: str = "40
 def memory(stream: DataFrame) -> DataFrame:
     """(user_id, seen, places): a row of (1, 0) for each event, and one of (0, 1) for each observation that a user hasn't had before.
 
-    What is remembered is one key for each (user, observation) in the state store, so no state grows in a row or is rewritten, however many observations a user has.
+    What is remembered is one key for each (user, observation) in the state store, so no state grows in a row or is rewritten, however many observations a user has. Nothing is forgotten, as an observation counts once for ever: the
+    state grows with the different (user, observation) pairs.
     """
     what = F.concat_ws("/", F.coalesce("event_type", F.lit("")), F.coalesce("props", F.lit("")))
     keyed = stream.select("user_id", what.alias("observation"))
@@ -58,17 +59,22 @@ def final_memory(rows: DataFrame) -> DataFrame:
     return rows.groupBy("user_id").agg(F.sum("seen").alias("seen"), F.sum("places").alias("places"))
 
 
-def episode_stops(stream: DataFrame, stagnant: int = STAGNANT, budget: int = BUDGET, goal: str | None = None, cycle: bool = True) -> DataFrame:
+def episode_stops(stream: DataFrame, stagnant: int = STAGNANT, budget: int = BUDGET, goal: str | None = None, cycle: bool = True, forget: str = "400 days") -> DataFrame:
     """(user_id, reason, steps) once an episode ends: at an event of type ``goal``, after the same event type ``stagnant`` times in a row, after
     ``budget`` events, or (unless ``cycle`` is off) by cycle: the state and the last eight actions were there before. Of several reasons the first of
     these counts.
 
     An event's type is the action and the state it leads to, so the last ``RECENT`` types are the decision key; the keys seen, fewer than ``budget``,
     are kept until the end. A user's events of a batch are taken in the order of time and id; after its end a user's events are ignored.
+
+    A user whose last event is older than the newest of all by ``forget`` is forgotten, ended or not, so state follows the users of that time; later events begin anew, and events older than that are ignored.
     """
     out = "user_id long, reason string, steps long"
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         steps, run, last, over, recent, seen = state.get if state.exists else (0, 0, "", False, [], [])
         recent, seen = list(recent), set(seen)
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
@@ -89,11 +95,13 @@ def episode_stops(stream: DataFrame, stagnant: int = STAGNANT, budget: int = BUD
                 break
             seen.add(decision)
         state.update((steps, run, last, over, recent, sorted(seen)))
+        state.setTimeoutTimestamp(max(int(rows["_ms"].max()), state.getCurrentWatermarkMs()) + 1)
         if reason:
             yield pd.DataFrame({"user_id": [key[0]], "reason": [reason], "steps": [steps]})
 
     kept = "steps long, run long, last string, over boolean, recent array<string>, seen array<string>"
-    return stream.groupBy("user_id").applyInPandasWithState(update, out, kept, "append", GroupStateTimeout.NoTimeout)
+    timed = stream.withWatermark("ts", forget).withColumn("_ms", F.unix_millis("ts"))
+    return timed.groupBy("user_id").applyInPandasWithState(update, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def windows(rows: DataFrame, width: str = "1 day") -> DataFrame:
