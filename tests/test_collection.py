@@ -3,6 +3,7 @@
 import json
 import time
 
+import exact
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,7 +137,7 @@ def test_reference_bootstrap_agrees_with_the_hash_bootstrap(spark):
     from waymark.operators import reports
 
     deltas = [((i * 7) % 3 - 1, (i * 5) % 11 - 5) for i in range(60)]
-    success, steps = (sorted(x) for x in training.bootstrap_exact(iter(deltas), samples=2_000))
+    success, steps = (sorted(x) for x in exact.bootstrap_exact(iter(deltas), samples=2_000))
     pairs = spark.createDataFrame([(f"e{i}", a, b) for i, (a, b) in enumerate(deltas)], "episode_id string, success_delta long, step_delta long")
     got = reports.bootstrap(pairs, 2_001).first()  # not a multiple of the draws a hash gives
     assert got["samples"] == 2_001

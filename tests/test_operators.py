@@ -1,6 +1,7 @@
 import datetime
 import random
 
+import exact
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,7 +229,7 @@ def test_closed_loop_stops_by_cycle():
 def test_bootstrap_draws_as_many_resamples_as_the_reference(spark):
     rows = [(f"e{i}", (i % 7 == 0) - (i % 11 == 0), i % 5 - 1) for i in range(60)]
     got = reports.bootstrap(spark.createDataFrame(rows, "episode_id string, success_delta long, step_delta long")).first()
-    success, steps = (sorted(x) for x in training.bootstrap_exact([r[1:] for r in rows]))
+    success, steps = (sorted(x) for x in exact.bootstrap_exact([r[1:] for r in rows]))
     assert got["samples"] == len(success) == 20_000
     for name, own in (("success", success), ("steps", steps)):
         assert got[f"{name}_low"] == pytest.approx(own[500], abs=0.03) and got[f"{name}_high"] == pytest.approx(own[-501], abs=0.03)

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from waymark.functions import tables
 from waymark.operators import ordered, reports, temporal
 
 
@@ -191,3 +192,22 @@ def test_a_tied_value_fills_many_bins_and_tasks(spark):
     df = spark.range(10_000).select("id", F.lit(1.5).alias("m"), (F.col("id") % 2 == 0).alias("ok"))
     got = sorted((r["bin"], r["pairs"]) for r in reports.equal_bins(df, "id", "m", "ok").collect())
     assert got == [(i, 2000) for i in range(1, 6)]
+
+
+def test_history_fold_takes_any_table(spark):
+    tables.register(spark)
+    rows = [(k, i, v, [i]) for k, values in {"a": "xyxxzx", "b": "yy", None: "x"}.items() for i, v in enumerate(values)] + [("a", 6, None, []), ("a", 7, None, None)]
+    df = spark.createDataFrame(rows, "k string, at long, v string, more array<long>").repartition(3)
+    got = spark.sql("SELECT * FROM history_fold(TABLE({df}), 'k', 'at', 'v')", df=df)
+    assert got.columns == ["k", "at", "v", "more", "visits", "run", "kinds", "back"]
+    want = []
+    for k, at, v, more in rows:
+        own = [r[2] for r in sorted((r for r in rows if r[0] == k), key=lambda r: r[1])][: at + 1]
+        run = next((i for i, x in enumerate(reversed(own)) if x != v), len(own))
+        want.append((k, at, v, more, own.count(v), run, len(set(own)), len(own) > 2 and own[-3] == v != own[-2]))
+    assert plain(got.collect()) == plain(want)
+    for bad in ("'k', 'at', 'w'", "'k', 'at, w', 'v'"):
+        with pytest.raises(Exception, match="no column w"):
+            spark.sql(f"SELECT * FROM history_fold(TABLE({{df}}), {bad})", df=df).collect()
+    with pytest.raises(Exception, match="already"):
+        spark.sql("SELECT * FROM history_fold(TABLE({df}), 'k', 'at', 'v')", df=df.withColumn("run", F.lit(1))).collect()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..operators import ordered, temporal
 from . import views
 from .oracles import view
@@ -136,3 +137,16 @@ def range_frame_sums_by_flag(spark, sf_dir):
     lines = views.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_shipdate", F.col("l_quantity").cast("long").alias("quantity"))
     found = ordered.range_sums(lines, "l_shipdate", F.expr("INTERVAL '30' DAY"), F.expr("INTERVAL '10' DAY"), ["quantity"], ["l_returnflag", "l_linestatus"])
     return found.select("l_orderkey", "l_linenumber", "frame_n", "frame_quantity")
+
+
+@query("""SELECT event_id, visits, run, kinds, back FROM (
+  SELECT *, count(*) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS visits, row_number() OVER (PARTITION BY user_id, event_type, stretch ORDER BY ts, event_id) AS run,
+    count(*) FILTER (first) OVER w AS kinds, coalesce(lag(event_type, 2) OVER w = event_type AND lag(event_type) OVER w <> event_type, false) AS back
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1 AS first,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS stretch FROM events)
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))""")
+def history_fold_in_sql(spark, sf_dir):
+    """A fold over each user's events, called from SQL as a table function."""
+    tables.register(spark)
+    events = views.table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    return spark.sql("SELECT event_id, visits, run, kinds, back FROM history_fold(TABLE({events}), 'user_id', 'ts, event_id', 'event_type')", events=events)

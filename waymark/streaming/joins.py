@@ -35,10 +35,11 @@ def split_late(stream: DataFrame, path: str, time: str, delay: str) -> None:
 
     def write(batch: DataFrame, number: int) -> None:
         held = batch.persist()
-        seen = spark.read.schema("number long, newest timestamp").parquet(f"{path}/newest") if exists(spark, f"{path}/newest") else None
-        newest = seen.filter(F.col("number") < number).agg(F.max("newest")).first()[0] if seen is not None else None
-        # Subtracted in the engine, so that the comparison has the precision of the column.
-        late = F.col(time).isNull() if newest is None else F.col(time).isNull() | (F.col(time) < F.lit(newest).cast(batch.schema[time].dataType) - F.expr(f"INTERVAL {delay}"))
+        newest = None
+        if exists(spark, f"{path}/newest"):
+            seen = spark.read.schema("number long, newest timestamp").option("recursiveFileLookup", "true").parquet(f"{path}/newest")
+            newest = seen.filter(F.col("number") < number).agg(F.max(F.unix_micros("newest"))).first()[0]
+        late = F.col(time).isNull() if newest is None else F.col(time).isNull() | (F.col(time) < F.timestamp_micros(F.lit(newest)) - F.expr(f"INTERVAL {delay}"))
         for side, condition in (("late", late), ("on_time", ~late)):
             held.filter(condition).write.mode("overwrite").parquet(f"{path}/{side}/batch-{number}")
         top = held.agg(F.max(F.col(time).cast("timestamp")).alias("newest")).select(F.lit(number).cast("long").alias("number"), "newest")
