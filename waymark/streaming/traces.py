@@ -100,7 +100,7 @@ def episode_stops(stream: DataFrame, stagnant: int = STAGNANT, budget: int = BUD
             yield pd.DataFrame({"user_id": [key[0]], "reason": [reason], "steps": [steps]})
 
     kept = "steps long, run long, last string, over boolean, recent array<string>, seen array<string>"
-    timed = stream.withWatermark("ts", forget).withColumn("_ms", F.unix_millis("ts"))
+    timed = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", forget).withColumn("_ms", F.unix_millis("ts"))
     return timed.groupBy("user_id").applyInPandasWithState(update, out, kept, "append", GroupStateTimeout.EventTimeTimeout)
 
 
