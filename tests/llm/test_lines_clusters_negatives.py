@@ -155,6 +155,24 @@ def test_negatives_equal_brute_force(spark, monkeypatch, block, columns):
     assert plain(tuple(r[n] for n in names) for r in got) == plain(brute_negatives(rows, 3, 4, 10))
 
 
+@pytest.mark.parametrize("columns", [4096, 5])
+def test_large_components_are_exact(spark, monkeypatch, columns):
+    monkeypatch.setattr(hard_negatives, "COLUMNS", columns)
+    rng = random.Random(4)
+    rows = [(i, [rng.choice([0.5, 3.25, 20_000.0, 4e6 - rng.randint(0, 9)]) * rng.choice([1, 1, -1]) for _ in range(4)], rng.randint(0, 2)) for i in range(150)]
+    rows += [(200 + i, [4e6, 4e6, 4e6, 4e6 - i % 3], i % 2) for i in range(20)] + [(400 + i, v, i % 2) for i, v in enumerate(vectors(40, 3, 6))] + [(300 + i, [2e6, 2e6, 2e6, 2e6 - i / 256], 2) for i in range(20)]
+    got = hard_negatives.mine(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3), positives=3, negatives=4, every=10).collect()
+    want = brute_negatives(rows, 3, 4, 10)
+    assert plain(map(tuple, got)) == plain(want) and any(abs(r[5]) > 1 << 57 for r in want) and any(abs(r[5]) < 1 << 30 for r in want)
+
+
+def test_shares_equal_whole_numbers():
+    p = np.array([0, 1, 99, 100, 101, -1, -99, -101, (1 << 62) - 1, 3 - (1 << 62), 12_345_678_901_234_567], dtype=np.int64)
+    for h in (30, 90):
+        up, down = hard_negatives.share(p, h)
+        assert up.tolist() == [-(-h * int(x) // 100) for x in p] and down.tolist() == [h * int(x) // 100 for x in p]
+
+
 def test_labels_move_on(spark):
     df = spark.createDataFrame([(7, 9), (14, None), (8, 3), (None, 4)], "vec_id long, label int")
     assert sorted(map(repr, map(tuple, hard_negatives.relabelled(df).collect()))) == sorted(map(repr, [(7, 0), (14, None), (8, 3), (None, 4)]))

@@ -1,13 +1,14 @@
 """Hard-negative mining by blocked dense products.
 
 Vectors become integers. A block of anchors, whose size is bounded by BLOCK_NUMBERS, is broadcast to all tasks; each task multiplies it with its candidates a few thousand at a time, in
-float64, where sums of products below 2^53 are exact. The first pass keeps for each anchor and task the nearest rows of its own label; these meet in one merge.
+float64, where sums of products below 2^53 are exact; products with vectors so large that sums could be more are made again in 64-bit integers. The first pass keeps for each anchor and task the nearest rows of its own label; these meet in one merge.
 The second pass keeps, for each anchor and positive, the best rows of other labels whose score lies in the positive's window; these meet in another. What a task keeps is bounded by the block,
 what it sends are a few rows for each anchor, however many rows a label or a repeated vector has. Blocks of anchors follow one another; each one's result is written.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,8 +25,8 @@ LOW, HIGH = 30, 90
 #: Numbers that a block of anchors has about at most (components, and what a task keeps for each anchor), and anchors and candidates of one product.
 BLOCK_NUMBERS, KEPT_NUMBERS = 1 << 21, 160
 ROWS, COLUMNS = 512, 4096
-#: Scores stay below this, so that a score and a place among COLUMNS fit one 64-bit number. Exactness in float64 would allow 2^53.
-LARGEST_SCORE = 1 << 50
+#: Scores stay below this, sums in float64 are exact below that, and scores below the last fit one 64-bit number with a place among COLUMNS.
+LARGEST_SCORE, EXACT, PACKED = 1 << 62, 1 << 53, 1 << 50
 #: Less than any score.
 NONE = -(1 << 62)
 KEPT = "anchor long, slot int, row long, vec_id long, score long"
@@ -62,16 +63,21 @@ class Best:
         some = np.flatnonzero((fits & (scores >= worst)).any(axis=1))
         if not len(some):
             return
-        width, least = scores.shape[1], np.iinfo(np.int64).min
-        # A score and the place from the right in one number: the larger one is the better, and no two are equal.
-        number = np.where(fits[some], scores[some] * width + np.arange(width - 1, -1, -1), least)
-        if width > self.k:
-            number = np.partition(number, width - self.k, axis=1)[:, width - self.k :]
-        found, place = number > least, width - 1 - number % width
+        width, least, own = scores.shape[1], np.iinfo(np.int64).min, np.where(fits[some], scores[some], NONE)
+        if np.abs(scores[some]).max() < PACKED:
+            # A score and the place from the right in one number: the larger one is the better, and no two are equal.
+            number = np.where(fits[some], scores[some] * width + np.arange(width - 1, -1, -1), least)
+            if width > self.k:
+                number = np.partition(number, width - self.k, axis=1)[:, width - self.k :]
+            found, place = number > least, width - 1 - number % width
+        else:
+            place = np.argsort(-own, axis=1, kind="stable")[:, : self.k]
+            found = np.take_along_axis(own, place, axis=1) > NONE
+        value = np.take_along_axis(own, place, axis=1)
         at = begin + some
         merged = [
             np.concatenate([old[at], np.where(found, new, none)], axis=1)
-            for old, new, none in ((self.scores, number // width, NONE), (self.ids, ids[place], np.iinfo(np.int64).max), (self.rows, rows[place], -1))
+            for old, new, none in ((self.scores, value, NONE), (self.ids, ids[place], np.iinfo(np.int64).max), (self.rows, rows[place], -1))
         ]
         first = np.lexsort((merged[2], merged[1], -merged[0]), axis=-1)[:, : self.k]
         self.scores[at], self.ids[at], self.rows[at] = (np.take_along_axis(x, first, axis=1) for x in merged)
@@ -82,6 +88,24 @@ class Best:
         return pa.record_batch([pa.array(c) for c in columns], names=["anchor", "slot", "row", "vec_id", "score"])
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact inner products of rows of a and b, whole numbers in float64 as ``whole`` admits them."""
+    scores = (a @ b.T).astype(np.int64)
+    most = math.sqrt(EXACT / max(1, a.shape[1]))
+    large_a, large_b = (np.flatnonzero((np.abs(x) >= most).any(axis=1)) for x in (a, b))
+    if len(large_a):
+        scores[large_a] = a[large_a].astype(np.int64) @ b.astype(np.int64).T
+    if len(large_b):
+        scores[:, large_b] = a.astype(np.int64) @ b[large_b].astype(np.int64).T
+    return scores
+
+
+def share(p: np.ndarray, hundredths: int) -> tuple[np.ndarray, np.ndarray]:
+    """The share of p, which may not fit 64 bits in hundredths, rounded up and rounded down."""
+    q, r = np.divmod(p, 100)
+    return hundredths * q - (-hundredths * r) // 100, hundredths * q + hundredths * r // 100
+
+
 @dataclass
 class Block:
     """Anchors of one length, and for the second pass the scores of their positives (NONE where there are fewer)."""
@@ -98,14 +122,14 @@ class Block:
     def multiply(self, best: list[Best], ids: np.ndarray, rows: np.ndarray, labels: np.ndarray, v: np.ndarray) -> None:
         for at in range(0, len(self.rows), ROWS):
             own = slice(at, at + ROWS)
-            scores = (self.v[own] @ v.T).astype(np.int64)
+            scores = products(self.v[own], v)
             same = self.labels[own, None] == labels[None, :]
             if self.positives is None:
                 best[0].add(at, scores, same & (self.rows[own, None] != rows[None, :]), ids, rows)
                 continue
             for slot, kept in enumerate(best):
                 p = self.positives[own, slot, None]
-                kept.add(at, scores, ~same & (p > NONE) & (100 * scores >= LOW * p) & (100 * scores <= HIGH * p), ids, rows)
+                kept.add(at, scores, ~same & (p > NONE) & (scores >= share(p, LOW)[0]) & (scores <= share(p, HIGH)[1]), ids, rows)
 
 
 def multiplying(blocks: dict[int, Block], positives: int, negatives: int):
@@ -152,7 +176,7 @@ def mine(
 
     Anchors are the rows whose id is divisible by ``every``; rows that repeat an id are anchors, and candidates, of their own. A row's score is its integer inner product with the anchor; higher scores come first,
     then smaller ids. An anchor's positives are the first other rows of its label, fewer if there are no more; a positive without a negative in its window gives no rows. Rows with a
-    null id, a null label, a null vector, or a null or non-finite component take no part; nor do those with a component so large that scores could reach LARGEST_SCORE (16,384 at 64 components). Vectors meet
+    null id, a null label, a null vector, or a null or non-finite component take no part; nor do those with a component so large that a score might not fit a long (LARGEST_SCORE; about a million at 64 components). Vectors meet
     those of their own length only. No anchors give no rows; other columns are not read.
     """
     spark = rows.sparkSession
