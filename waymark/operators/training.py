@@ -1,18 +1,23 @@
-"""Pairwise logistic rankers, trained in a single pass per model; models run in parallel, one group each."""
+"""Pairwise logistic rankers: by single pairs in order (a model's pairs in one task), or by rounds over all pairs of all models at once."""
 
 from __future__ import annotations
 
 import math
 import random
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
+from ..session import written
+from ..sources import layout
 
 SCHEMA = "model string, feature string, weight double"
+#: Names of all models up to which their weights are broadcast in a round; beyond, entries are shuffled to them.
+BROADCAST_WEIGHTS = 1_000_000
 
 
 def _rate(x: float) -> float:
@@ -55,6 +60,41 @@ def train(pairs: DataFrame, epochs: int = 50, rate: float = 0.08, l2: float = 1e
     return pairs.groupBy("model").applyInPandas(run, SCHEMA)
 
 
+def gradients(entries: DataFrame, state: DataFrame, broadcast: bool) -> DataFrame:
+    """state (model, feature, weight, seen, total) with slope: the sum of the loss's slopes by each weight over all entries (model, row, sample, feature, x)."""
+    known = entries.join(F.broadcast(state) if broadcast else state, ["model", "feature"])
+    margin = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.sum(F.col("weight") * F.col("x")).over(Window.partitionBy("row"))))
+    sloped = known.withColumn("slope", (F.lit(1.0) / (F.lit(1.0) + F.exp(-margin)) - F.lit(1.0)) * F.col("sample") * F.col("x"))
+    return sloped.groupBy("model", "feature").agg(*[F.any_value(c).alias(c) for c in ("weight", "seen", "total")], F.sum("slope").alias("slope"))
+
+
+def train_rounds(pairs: DataFrame, rounds: int = 50, rate: float = 0.08, l2: float = 1e-4, adagrad: bool = False) -> DataFrame:
+    """(model, feature, weight) from (model, features map, weight): each round moves all weights against the mean gradient of the pairwise logistic loss, decay included.
+
+    A model may hold any share of the pairs, and a feature be in all of them: entries lie in a table bucketed by pair, so a pair's margin needs no exchange, and what leaves a task is a sum for each name.
+    Weights start at zero and are written each round. adagrad: steps are scaled by the root of summed squared gradients. Pairs with a null model or weight take no part; one with null or no features
+    counts in its model's mean only; null values count as zero; repeated pairs count as often. A model whose weights sum to zero has no gradient but decay. No pairs give no rows; other columns are not read.
+    """
+    spark = pairs.sparkSession
+    kept = pairs.filter(F.col("model").isNotNull() & F.col("weight").isNotNull()).select("model", "features", F.col("weight").cast("double").alias("sample"))
+    rows = written(kept.withColumn("row", F.monotonically_increasing_id()), "pairs")
+    long = rows.select("model", "row", "sample", F.explode("features").alias("feature", "x")).withColumn("x", F.coalesce(F.col("x").cast("double"), F.lit(0.0)))
+    name = f"entries_{uuid.uuid4().hex}"
+    entries = layout.save_bucketed(long, name, ["row"], int(spark.conf.get("spark.sql.shuffle.partitions")))
+    totals = rows.groupBy("model").agg(F.sum("sample").alias("total"))
+    names = entries.select("model", "feature").distinct().join(totals, "model")
+    state = written(names.select("model", "feature", F.lit(0.0).alias("weight"), F.lit(1e-8).alias("seen"), "total"), "weights")
+    broadcast = state.count() <= BROADCAST_WEIGHTS
+    for _ in range(rounds):
+        found = gradients(entries, state, broadcast)
+        found = found.withColumn("slope", F.when(F.col("total") == 0, 0.0).otherwise(F.try_divide("slope", "total")) + F.lit(l2) * F.col("weight"))
+        found = found.withColumn("seen", F.col("seen") + F.col("slope") * F.col("slope"))
+        step = F.lit(rate) * F.col("slope") / (F.sqrt("seen") if adagrad else F.lit(1.0))
+        state = written(found.select("model", "feature", (F.col("weight") - step).alias("weight"), "seen", "total"), "weights")
+    spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+    return state.select("model", "feature", "weight")
+
+
 def vocabulary(pairs: DataFrame, prefix: str | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
     """(feature): the distinct names of all rows, sorted."""
     kept = N.keep_prefix("features", prefix, exclude)

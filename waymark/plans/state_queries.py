@@ -504,6 +504,38 @@ def ranker_adagrad_steps(spark, sf_dir):
     return training.train(_nation_pairs(spark, sf_dir), epochs=2, rate=0.05, adagrad=True).withColumn("weight", F.round("weight", 9))
 
 
+def rounds_sql(rate: float, adagrad: bool, rounds: int, l2: float = 1e-4) -> str:
+    """Rounds of mean gradients over all vectors, one pair of tables a round."""
+    move = f"{rate!r}::DOUBLE * g" + (" / sqrt(s + g * g)" if adagrad else "")
+    out = """WITH ro AS MATERIALIZED (SELECT row_number() OVER () AS r, 'label_' || CAST(label % 4 AS VARCHAR) AS model, embedding AS v, 1.0::DOUBLE + vec_id % 3 AS sw FROM embeddings WHERE label IS NOT NULL),
+en AS MATERIALIZED (SELECT r, model, sw, unnest(v)::DOUBLE AS x, unnest(range(len(v))) AS p FROM ro), tt AS (SELECT model, sum(sw) AS t FROM ro GROUP BY 1),
+w0 AS (SELECT model, p, 0.0::DOUBLE AS w, 1e-8::DOUBLE AS s FROM en GROUP BY 1, 2)"""
+    for i in range(rounds):
+        out += f""",
+m{i} AS MATERIALIZED (SELECT r, (1.0::DOUBLE / (1.0::DOUBLE + exp(-greatest(-30.0::DOUBLE, least(30.0::DOUBLE, sum(w * x))))) - 1.0::DOUBLE) * any_value(sw) AS d FROM en JOIN w{i} USING (model, p) GROUP BY 1),
+g{i} AS (SELECT model, p, w, s, h / t + {l2!r}::DOUBLE * w AS g FROM (SELECT model, p, sum(d * x) AS h FROM en JOIN m{i} USING (r) GROUP BY 1, 2) JOIN w{i} USING (model, p) JOIN tt USING (model)),
+w{i + 1} AS MATERIALIZED (SELECT model, p, w - {move} AS w, s + g * g AS s FROM g{i})"""
+    return out + f"\nSELECT model, printf('f%02d', p) AS feature, round(w, 9) AS weight FROM w{rounds}"
+
+
+def _vector_pairs(spark, sf_dir):
+    """A training pair for each vector with a label; models are labels by fours, one of which holds three tenths of all pairs, and every pair has every feature."""
+    e = views.table(spark, sf_dir, "embeddings").filter(F.col("label").isNotNull())
+    entries = F.transform("embedding", lambda x, i: F.struct(F.format_string("f%02d", i), x.cast("double")))
+    return e.select(F.concat(F.lit("label_"), (F.col("label") % 4).cast("string")).alias("model"), F.map_from_entries(entries).alias("features"), (F.lit(1.0) + F.col("vec_id") % 3).alias("weight"))
+
+
+@query(rounds_sql(0.8, False, 4))
+def train_ranker_rounds(spark, sf_dir):
+    """Rankers of four models by rounds over all their pairs."""
+    return training.train_rounds(_vector_pairs(spark, sf_dir), 4, 0.8).withColumn("weight", F.round("weight", 9))
+
+
+@query(rounds_sql(0.05, True, 3))
+def train_ranker_adagrad_rounds(spark, sf_dir):
+    return training.train_rounds(_vector_pairs(spark, sf_dir), 3, 0.05, adagrad=True).withColumn("weight", F.round("weight", 9))
+
+
 @query("""SELECT CAST(n_nationkey AS BIGINT) AS pair_id, CAST(CASE WHEN n_nationkey = (SELECT min(n_nationkey) FROM nation WHERE n_nationkey % 2 = 1) THEN 7 ELSE 3 END AS BIGINT) AS features,
   CAST(CASE WHEN n_nationkey % 5 = 2 THEN 2 ELSE 3 END AS BIGINT) AS nonzero FROM nation WHERE n_nationkey % 2 = 1""")
 def frozen_namespace(spark, sf_dir):
