@@ -211,3 +211,25 @@ def test_history_fold_takes_any_table(spark):
             spark.sql(f"SELECT * FROM history_fold(TABLE({{df}}), {bad})", df=df).collect()
     with pytest.raises(Exception, match="already"):
         spark.sql("SELECT * FROM history_fold(TABLE({df}), 'k', 'at', 'v')", df=df.withColumn("run", F.lit(1))).collect()
+
+
+@pytest.mark.parametrize("closed", [False, True])
+def test_overlap_totals_make_no_pairs(spark, closed):
+    rng = random.Random(5)
+    spans = lambda n, most: [(i, rng.choice("ab"), s := rng.randrange(60), s + rng.randrange(-2, most)) for i in range(n)]
+    left, right = spans(40, 9), [*spans(50, 30), (99, None, 1, 50), (98, "a", None, 5)]
+    a, b = spark.createDataFrame([*left, left[0]], "i long, k string, s long, e long"), spark.createDataFrame(right, "j long, k string, t long, f long")
+    valid = lambda s, e: s is not None and (s <= e if closed else s < e)
+    for by in ([], ["k"]):
+        want = {}
+        for i, k, s, e in [*left, left[0]]:
+            for _, m, t, f in right:
+                if valid(s, e) and valid(t, f) and (not by or k == m) and ((t <= e and s <= f) if closed else (t < e and s < f)):
+                    n, c = want.get(i, (0, 0))
+                    want[i] = n + 1, c + min(e, f) - max(s, t)
+        made = temporal.overlap_totals(a, b, ["i"], ("s", "e"), ("t", "f"), by, closed)
+        assert {r["i"]: (r["n"], r["common"]) for r in made.collect()} == want
+    # 9e8 pairs at one time: their number is told without making them.
+    many = spark.range(30_000)
+    hot = temporal.overlap_totals(many.selectExpr("1L AS i", "5L AS s", "9L AS e"), many.selectExpr("7L AS t", "20L AS f"), ["i"], ("s", "e"), ("t", "f"), closed=closed)
+    assert [tuple(r) for r in hot.collect()] == [(1, 900_000_000, 1_800_000_000)]

@@ -147,6 +147,42 @@ def overlap(
     return both.select("a.*", *[F.col(f"b.`{c}`").alias(c) for c in right.columns if c not in by])
 
 
+def overlap_totals(
+    left: DataFrame, right: DataFrame, ids: Sequence[str], left_span: tuple[str, str], right_span: tuple[str, str], by: Sequence[str] = (), closed: bool = False, names: tuple[str, str] = ("n", "common")
+) -> DataFrame:
+    """(ids, n, common): with how many right intervals (of equal keys) those of a left id overlap, and how long in sum; ids without any are absent. What counts as an interval and an overlap is as in ``overlap``.
+
+    No pair is made. Starts and ends of right intervals, added up by time, and both ends of left ones are events of one sequence. Those that overlap [s, e) are as many as start before e, less those that end
+    by s; the time that they cover up to x is the sum of x - start over those that started, less that of x - end over those that ended. So running totals say all, and work grows with rows, not with pairs.
+    """
+    keys = [f"_k{i}" for i in range(len(by))]
+
+    def spans(df: DataFrame, span: tuple[str, str], more: Sequence[str]) -> DataFrame:
+        s, e = F.col(span[0]).cast("long"), F.col(span[1]).cast("long")
+        rows = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], s.alias("_s"), e.alias("_e"), *[F.col(c).alias(f"_i{i}") for i, c in enumerate(more)])
+        known = (F.col("_s") <= F.col("_e")) if closed else (F.col("_s") < F.col("_e"))
+        for k in keys:
+            known = known & F.col(k).isNotNull()
+        return rows.filter(known)
+
+    zero = lambda c: F.lit(0).cast("long").alias(c)
+    point = lambda at, **v: F.struct(F.col(at).alias("_t"), *[v[c].cast("long").alias(c) if c in v else zero(c) for c in ("_ns", "_ss", "_ne", "_se")])
+    ends = F.array(point("_s", _ns=F.lit(1), _ss=F.col("_s")), point("_e", _ne=F.lit(1), _se=F.col("_e")))
+    told = spans(right, right_span, ()).select(*keys, F.inline(ends)).groupBy(*keys, "_t").agg(*[F.sum(c).alias(c) for c in ("_ns", "_ss", "_ne", "_se")])
+    told = told.withColumns({"_side": F.lit(1), "_spread": F.lit(0).cast("long"), "_asks": F.lit(False), "_sign": F.lit(0)})
+    # A closed interval meets those that end at its start or start at its end.
+    asked = spans(left, left_span, ids)
+    own = [c for c in asked.columns if c.startswith("_i")]
+    ask = lambda at, side, sign: F.struct(F.col(at).alias("_t"), F.lit(side).alias("_side"), F.lit(sign).alias("_sign"))
+    asked = asked.select(*keys, *own, F.xxhash64(*own).alias("_spread"), F.inline(F.array(ask("_s", 0 if closed else 2, -1), ask("_e", 2 if closed else 0, 1))))
+    events = asked.withColumn("_asks", F.lit(True)).unionByName(told, allowMissingColumns=True).fillna(0, ["_ns", "_ss", "_ne", "_se"])
+    run = ordered.scan(events, keys, ["_t", "_side", "_spread"], sums=["_ns", "_ss", "_ne", "_se"], keep="_asks")
+    c = lambda name: F.col(f"run_{name}")
+    covered = c("_ns") * F.col("_t") - c("_ss") - c("_ne") * F.col("_t") + c("_se")
+    totals = run.groupBy(*own).agg(F.sum(F.when(F.col("_sign") > 0, c("_ns")).otherwise(-c("_ne"))).alias("_n"), F.sum(covered * F.col("_sign")).alias("_common"))
+    return totals.filter(F.col("_n") > 0).select(*[F.col(o).alias(i) for o, i in zip(own, ids, strict=True)], F.col("_n").alias(names[0]), F.col("_common").alias(names[1]))
+
+
 def cut(left: DataFrame, right: DataFrame, on: list[str], hot_rows: int) -> DataFrame:
     """The equi-join of both sides. Where right has more than hot_rows rows of a key, they are dealt over parts by a hash, and the left rows of the key go to each part; likewise for left."""
 

@@ -87,9 +87,7 @@ def interval_overlaps_of_all(spark, sf_dir):
     """For each error the signups, of any user, whose closed intervals touch its ten minutes, and for how long."""
     a = _spans(spark, sf_dir, "error", "error").select("error_id", "error_s", (F.col("error_s") + 600).alias("error_e"))
     b = _spans(spark, sf_dir, "signup", "signup").select("signup_id", "signup_s", "signup_e")
-    both = temporal.overlap(a, b, ("error_s", "error_e"), ("signup_s", "signup_e"), closed=True)
-    common = F.least("error_e", "signup_e") - F.greatest("error_s", "signup_s")
-    return both.groupBy("error_id").agg(F.count("*").alias("signups"), F.sum(common).alias("seconds"))
+    return temporal.overlap_totals(a, b, ["error_id"], ("error_s", "error_e"), ("signup_s", "signup_e"), closed=True, names=("signups", "seconds"))
 
 
 RANKED = "rank() OVER w AS rank, dense_rank() OVER w AS dense_rank, round(percent_rank() OVER w, 12) AS percent_rank, round(cume_dist() OVER w, 12) AS cume_dist"
