@@ -5,6 +5,7 @@ import time
 
 import exact
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waymark.functions import text as T
@@ -144,3 +145,11 @@ def test_reference_bootstrap_agrees_with_the_hash_bootstrap(spark):
     for low, high, x in ((got["success_low"], got["success_high"], success), (got["steps_low"], got["steps_high"], steps)):
         width = x[1950] - x[50]
         assert abs(low - x[50]) < width / 8 and abs(high - x[1950]) < width / 8
+
+
+def test_remembered_is_the_state_summary_of_the_last_actions(spark):
+    acts = ["go to shelf 1", "take mug 1 from shelf 1", "heat mug 1 with microwave 1", "use desklamp 1", "move mug 1 to desk 2", "look", None, "go to shelf 2", "go to shelf 1", "Use  lamp 3"] * 3
+    steps = spark.createDataFrame([(e, i, a) for e in (1, 2) for i, a in enumerate(acts[e:])], "episode_id long, step long, action string")
+    w = Window.partitionBy("episode_id").orderBy("step").rowsBetween(-7, -1)
+    rows = prompts.remembered(steps, 7).withColumn("h", F.collect_list("action").over(w)).withColumn("want", prompts.state_summary("h")).collect()
+    assert len(rows) == 57 and all(r["memory"] == r["want"] for r in rows)

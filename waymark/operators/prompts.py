@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numeric as N
@@ -35,34 +35,54 @@ def next_action(instruction: str | Column, previous: str | Column, observation:
     return F.array(message("system", F.lit(SYSTEM)), message("user", F.concat(shown, user)))
 
 
-def aligned(instruction: str | Column, previous: str | Column, observation: str | Column, examples: str | Column, window: int = 0, head: str = "Examples:") -> Column:
-    """The next action's messages, with examples under ``head`` before, and the goal and the state memory of the whole history behind; only the last ``window`` actions (0: all) are quoted."""
+def aligned(instruction: str | Column, previous: str | Column, observation: str | Column, examples: str | Column, window: int = 0, head: str = "Examples:", state: Column | None = None) -> Column:
+    """The next action's messages, with examples under ``head`` before, and the goal and the state memory of the whole history behind; only the last ``window`` actions (0: all) are quoted.
+
+    state: the state memory's text, if it is known already (``remembered`` makes it of rows); previous then need not be longer than the window.
+    """
     quoted = N.tail(previous, window) if window > 0 else T.col(previous)
     own = next_action(instruction, quoted, observation)
     shown = F.lit(examples) if isinstance(examples, str) else examples
-    user = sections((head, shown), own[1]["content"], ("goal", T.col(instruction)), ("state", state_summary(previous)), F.lit(CHOOSE))
+    user = sections((head, shown), own[1]["content"], ("goal", T.col(instruction)), ("state", state_summary(previous) if state is None else state), F.lit(CHOOSE))
     return F.array(own[0], message("user", user))
 
 
 def state_summary(previous: str | Column) -> Column:
     """What a list of actions says of the state, as text: place, thing in hand, places seen first, and what was treated, put down and used last."""
-    part = lambda a, schema, group: T.matched(a, schema, group)
     own = F.transform(T.col(previous), lambda a: T.normalize(a))
 
     def lines(h: Column) -> Column:
-        some = lambda f: F.filter(F.transform(h, f), lambda x: x.isNotNull())
-        gone = some(lambda a: part(a, "go_to", "target"))
-        hand = some(lambda a: F.coalesce(part(a, "take_from", "object"), F.when(part(a, "move_to", "object").isNotNull(), "")))
-        put = some(lambda a: F.concat(part(a, "move_to", "object"), F.lit(" -> "), part(a, "move_to", "target")))
-        treated = some(lambda a: F.concat_ws(" ", part(a, "treatment", "verb"), part(a, "treatment", "object")))
-        treated = F.filter(treated, lambda x: x != "")
-        used = some(lambda a: F.nullif(F.regexp_extract(a, "^use (.+)$", 1), F.lit("")))
-        last = lambda xs, none: F.coalesce(F.nullif(F.try_element_at(xs, F.lit(-1)), F.lit("")), F.lit(none))
-        named = lambda xs, n: F.when(F.size(xs) > 0, F.array_join(N.tail(xs, n), ", ")).otherwise("none")
-        rows = {
-            "current location": last(gone, "unknown"), "held object": last(hand, "none"), "visited locations": named(F.array_distinct(gone), PLACES),
-            "completed treatments": named(treated, OTHERS), "completed placements": named(put, OTHERS), "used devices": named(used, OTHERS),
-        }
-        return F.concat_ws("\n", F.lit("Observable state memory:"), *[F.concat(F.lit(f"- {k}: "), v) for k, v in rows.items()])
+        some = lambda k: F.filter(F.transform(h, lambda a: told(a)[k]), lambda x: x.isNotNull())
+        return memory({k: some(k) for k in told(F.lit(""))})
 
     return N.bind(own, lines)
+
+
+def told(action: str | Column) -> dict[str, Column]:
+    """What one action tells the state memory, each null if it doesn't: where it goes, what is in hand then (empty: nothing), what it puts where, treats and uses."""
+    part = lambda schema, group: T.matched(action, schema, group)
+    return {
+        "gone": part("go_to", "target"), "hand": F.coalesce(part("take_from", "object"), F.when(part("move_to", "object").isNotNull(), "")),
+        "put": F.concat(part("move_to", "object"), F.lit(" -> "), part("move_to", "target")),
+        "treated": F.nullif(F.concat_ws(" ", part("treatment", "verb"), part("treatment", "object")), F.lit("")), "used": F.nullif(F.regexp_extract(T.normalize(action), "^use (.+)$", 1), F.lit("")),
+    }
+
+
+def memory(said: dict[str, Column]) -> Column:
+    """The state memory's text from arrays of what actions told, in their order."""
+    last = lambda xs, none: F.coalesce(F.nullif(F.try_element_at(xs, F.lit(-1)), F.lit("")), F.lit(none))
+    named = lambda xs, n: F.when(F.size(xs) > 0, F.array_join(N.tail(xs, n), ", ")).otherwise("none")
+    rows = {
+        "current location": last(said["gone"], "unknown"), "held object": last(said["hand"], "none"), "visited locations": named(F.array_distinct(said["gone"]), PLACES),
+        "completed treatments": named(said["treated"], OTHERS), "completed placements": named(said["put"], OTHERS), "used devices": named(said["used"], OTHERS),
+    }
+    return F.concat_ws("\n", F.lit("Observable state memory:"), *[F.concat(F.lit(f"- {k}: "), v) for k, v in rows.items()])
+
+
+def remembered(steps: DataFrame, n: int, name: str = "memory") -> DataFrame:
+    """steps (episode_id, step, action, ...) with the state memory's text of the n actions before each. An action is parsed once, not by each of the n steps that remember it."""
+    parts = told("action")
+    rows = steps.withColumns({f"_m_{k}": v for k, v in parts.items()})
+    w = Window.partitionBy("episode_id").orderBy("step").rowsBetween(-n, -1)
+    rows = rows.withColumns({f"_l_{k}": F.collect_list(f"_m_{k}").over(w) for k in parts})  # nulls aren't collected
+    return rows.withColumn(name, memory({k: F.col(f"_l_{k}") for k in parts})).drop(*[f"_{x}_{k}" for k in parts for x in "ml"])

@@ -137,8 +137,8 @@ def _sql_summary() -> str:
 @query(_sql_summary())
 def state_summary(spark, sf_dir):
     """The state memory's text from the last thirty actions."""
-    t = _trajectory(spark, sf_dir).select(*STEP, before(30).alias("h"))
-    return t.select(*STEP, F.md5(prompts.state_summary("h").cast("binary")).alias("memory_md5"))
+    t = prompts.remembered(_trajectory(spark, sf_dir).select(*STEP, "action"), 30)
+    return t.select(*STEP, F.md5(F.col("memory").cast("binary")).alias("memory_md5"))
 
 
 PROMPT = """'Task instruction:' || chr(10) || instruction || chr(10) || chr(10) || 'Previous actions:' || chr(10) || CASE WHEN len(h) > 0 THEN array_to_string(h, chr(10)) ELSE '(none)' END || chr(10) || chr(10)
@@ -166,8 +166,8 @@ def prompt_sections(spark, sf_dir):
   SELECT episode_id, step, instruction, list(action) OVER (PARTITION BY episode_id ORDER BY step ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS h FROM tr) WHERE len(h) > 0"""))
 def aligned_prompts(spark, sf_dir):
     """Prompts with examples, a history window of four and the state memory, read back by their sections."""
-    t = _trajectory(spark, sf_dir).withColumn("h", before(30)).filter(F.size("h") > 0)
-    p = t.select(*STEP, prompts.aligned("instruction", "h", "observation", "Training example 1\nGoal: x", 4)[1]["content"].alias("p"))
+    t = prompts.remembered(_trajectory(spark, sf_dir).withColumn("h", before(4)), 30).filter(F.size("h") > 0)
+    p = t.select(*STEP, prompts.aligned("instruction", "h", "observation", "Training example 1\nGoal: x", 4, state=F.col("memory"))[1]["content"].alias("p"))
     quoted = F.split(T.prompt_section("p", "previous"), "\n")
     goal = F.regexp_extract("p", r"(?s)Persistent goal:\n(.*?)\n\nCurrent observable state:", 1)
     return p.select(*STEP, quoted[0].alias("first_quoted"), F.size(quoted).cast("long").alias("quoted"), goal.alias("goal"), F.contains("p", F.lit("- held object: ")).alias("has_state"), F.endswith("p", F.lit(prompts.CHOOSE)).alias("ends_well"))
