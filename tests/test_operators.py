@@ -265,3 +265,17 @@ def test_stream_stops_at_goal_and_cycle(spark, tmp_path):
     assert stops(goal="g") == {1: ("cycle", 10), 2: ("goal", 4), 4: ("cycle", 11), 5: ("stagnation", 6), 6: ("goal", 7)}
     assert stops() == {1: ("cycle", 10), 2: ("stagnation", 10), 4: ("cycle", 11), 5: ("stagnation", 6)}
     assert stops(budget=10) == {1: ("budget", 10), 2: ("stagnation", 10), 3: ("budget", 10), 4: ("budget", 10), 5: ("stagnation", 6), 6: ("budget", 10)}
+
+
+def test_bootstrap_draws_are_summed_in_the_task(spark):
+    import hashlib
+
+    bounds = [int(x, 16) for x in reports.poisson_bounds()]
+    rows = [(f"e{i}", i % 3 - 1, i % 7 - 2) for i in range(50)]
+    frame = spark.createDataFrame(rows, "episode_id string, success_delta long, step_delta long").coalesce(1)
+    names = [f"{n}{i}" for i in range(reports.DRAWS) for n in "nat"]
+    for r in frame.mapInArrow(reports.drawing(3), "b long, " + ", ".join(f"{n} long" for n in names)).collect():
+        for i in range(reports.DRAWS):
+            draw = lambda e: int(hashlib.sha256(f"{r['b']}:{e}".encode()).hexdigest()[8 * i : 8 * i + 8], 16)  # noqa: E731, B023
+            w = [sum(draw(e) >= x for x in bounds) for e, _, _ in rows]
+            assert (r[f"n{i}"], r[f"a{i}"], r[f"t{i}"]) == (sum(w), sum(x * a for x, (_, a, _) in zip(w, rows)), sum(x * t for x, (_, _, t) in zip(w, rows)))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,31 +74,43 @@ def poisson_bounds(digits: int = 8) -> list[str]:
         term /= k
 
 
+def drawing(blocks: int):
+    """For mapInArrow over (episode_id, success_delta, step_delta): for each block a row of the sums of weights, and of weights times deltas, of all its resamples over a task's episodes."""
+    bounds = [int(x, 16) for x in poisson_bounds()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((blocks, DRAWS, 3), dtype=np.int64)
+        for batch in batches:
+            ids = [None if e is None else f":{e}".encode() for e in batch.column(0).to_pylist()]
+            # Products and sums of a batch are whole numbers far below 2^53.
+            deltas = np.stack([np.ones(len(ids)), *[pc.fill_null(batch.column(i), 0).to_numpy(zero_copy_only=False).astype(np.float64) for i in (1, 2)]], axis=1)
+            for b in range(blocks):
+                head = str(b).encode()
+                digests = b"".join([hashlib.sha256(head if e is None else head + e).digest() for e in ids])
+                draws = np.frombuffer(digests, dtype=">u4").astype(np.uint32).reshape(len(ids), DRAWS)
+                weights = np.zeros(draws.shape, dtype=np.uint8)
+                for bound in bounds:
+                    weights += draws >= bound
+                sums[b] += (weights.T.astype(np.float64) @ deltas).astype(np.int64)
+        columns = [pa.array(np.arange(blocks, dtype=np.int64)), *[pa.array(np.ascontiguousarray(sums[:, i, j])) for i in range(DRAWS) for j in range(3)]]
+        yield pa.record_batch(columns, names=["b", *[f"{n}{i}" for i in range(DRAWS) for n in "nat"]])
+
+    return run
+
+
 def bootstrap(pairs: DataFrame, samples: int = BOOTSTRAP) -> DataFrame:
     """Percentile intervals of the mean deltas by a hash bootstrap that any engine can repeat.
 
     Resample s gives an episode the weight of a Poisson(1) draw, taken from digits of sha256("block:episode"), a block being DRAWS resamples: a row-local
-    decision, so resampling needs no index join and the partial sums of all resamples combine before the shuffle.
+    decision, so resampling needs no index join; a task adds all resamples up in numpy and sends a row a block.
     """
-    digest = F.sha2(F.concat_ws(":", F.col("b").cast("string"), "episode_id").cast("binary"), 256)
-
-    bounds = poisson_bounds()
-
-    def weight(i: int) -> Column:
-        out = F.lit(len(bounds))
-        for k, bound in reversed(list(enumerate(bounds))):
-            out = F.when(F.col(f"d{i}") < bound, k).otherwise(out)
-        return out.cast("long")
-
+    blocks = -(-samples // DRAWS)
     # Few bytes make much work, so they go to all cores.
     parts = pairs.sparkSession.sparkContext.defaultParallelism
     dealt = pairs.select("episode_id", "success_delta", "step_delta").repartition(parts, "episode_id")
-    drawn = dealt.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(-(-samples // DRAWS) - 1)))).withColumn("h", digest)
-    drawn = drawn.withColumns({f"d{i}": F.substring("h", 8 * i + 1, 8) for i in range(DRAWS)}).withColumns({f"w{i}": weight(i) for i in range(DRAWS)})
-    sums = [f(i).alias(f"{n}{i}") for i in range(DRAWS) for n, f in (
-        ("n", lambda i: F.sum(f"w{i}")), ("a", lambda i: F.sum(F.col(f"w{i}") * F.col("success_delta"))), ("t", lambda i: F.sum(F.col(f"w{i}") * F.col("step_delta"))),
-    )]
-    per = drawn.groupBy("b").agg(*sums)
+    names = [f"{n}{i}" for i in range(DRAWS) for n in "nat"]
+    drawn = dealt.mapInArrow(drawing(blocks), "b long, " + ", ".join(f"{n} long" for n in names))
+    per = drawn.groupBy("b").agg(*[F.sum(n).alias(n) for n in names])
     each = F.array(*[F.struct((F.col("b") * DRAWS + i).alias("s"), (F.col(f"a{i}") / F.col(f"n{i}")).alias("success"), (F.col(f"t{i}") / F.col(f"n{i}")).alias("steps")) for i in range(DRAWS)])
     means = per.select(F.inline(each)).filter(F.col("s") < samples)
     at = lambda c, p: F.percentile(c, F.lit(p))
