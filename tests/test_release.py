@@ -67,3 +67,11 @@ def test_bucketed_tables_join_without_an_exchange(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         for name in ("release_one", "release_two", "release_again"):
             spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def test_nested_changes_exchange_nothing(spark):
+    df = spark.createDataFrame([(1, '{"a":{"b":[1,2.50]},"c":[]}', '{"a":{"b":[1,2.5]},"c":{}}')], "id long, a string, b string").select("id", F.parse_json("a").alias("a"), F.parse_json("b").alias("b"))
+    found = nested.changes(df, ["id"], "a", "b")
+    assert [tuple(r) for r in found.collect()] == [(1, ["c"], False)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import functools
+import json
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,15 +35,46 @@ def leaves(rows: DataFrame, ids: Sequence[str], state: str) -> DataFrame:
         level = inner.select(*names, F.concat("path", own).alias("path"), F.col("value").alias("_v"))
 
 
+def flat(text: str | None) -> dict[str, list[str]]:
+    """Leaves by path of a state that is written as JSON, as ``leaves`` has them; numbers stay as they are written."""
+    out: dict[str, list[str]] = {}
+    if text is None:
+        return out
+    number = lambda x: ("number", x)
+    todo = [("", json.loads(text, parse_int=number, parse_float=number, parse_constant=number))]
+    while todo:
+        path, v = todo.pop()
+        if isinstance(v, dict) and v:
+            todo += [(f"{path}.{k}" if path else k, x) for k, x in v.items()]
+        elif isinstance(v, list) and v:
+            todo += [(f"{path}[{i}]", x) for i, x in enumerate(v)]
+        else:
+            out.setdefault(path, []).append(v[1] if isinstance(v, tuple) else json.dumps(v))
+    return out
+
+
+def differing():
+    """A UDF of two states as JSON: the sorted paths that only one has or whose values differ. Equal texts aren't read."""
+
+    @F.arrow_udf("array<string>")
+    def of(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for one, other in batches:
+            out = []
+            for a, b in zip(one.to_pylist(), other.to_pylist(), strict=True):
+                x, y = (flat(a), flat(b)) if a != b else ({}, {})
+                out.append(sorted(p for p in x.keys() | y.keys() if sorted(x.get(p, ())) != sorted(y.get(p, ()))))
+            yield pa.array(out, type=pa.list_(pa.string()))
+
+    return of
+
+
 def changes(rows: DataFrame, ids: Sequence[str], before: str, after: str, clock: Sequence[str] = ()) -> DataFrame:
     """(ids, paths, idle), a row for each row of rows: the sorted paths that only one of two states has, or whose values differ, and whether none but those of ``clock`` (or below them) do.
 
-    ids tell rows apart and aren't null. States are variants of any shape; null is a state without leaves.
+    Both states are in one row, so a row is compared where it lies: nothing is exchanged or joined, and no level is read again. ids tell rows apart. States are variants of any shape; null is a state without leaves.
     """
-    sides = [leaves(rows, ids, c).select(*ids, "path", F.col("value").alias(f"_{i}")) for i, c in enumerate((before, after))]
-    differ = sides[0].join(sides[1], [*ids, "path"], "full_outer").filter(~F.col("_0").eqNullSafe(F.col("_1")))
-    timed = F.lit(False)
-    for c in clock:
-        timed = timed | (F.col("path") == c) | F.startswith("path", F.lit(f"{c}.")) | F.startswith("path", F.lit(f"{c}["))
-    found = differ.groupBy(*ids).agg(F.array_sort(F.collect_list("path")).alias("paths"), F.bool_and(timed).alias("idle"))
-    return rows.select(*ids).join(found, list(ids), "left").select(*ids, F.coalesce("paths", F.array().cast("array<string>")).alias("paths"), F.coalesce("idle", F.lit(True)).alias("idle"))
+    found = rows.select(*ids, differing()(F.to_json(before), F.to_json(after)).alias("paths"))
+    timed = lambda p: F.lit(False) if not clock else functools.reduce(
+        lambda x, y: x | y, [(p == c) | F.startswith(p, F.lit(f"{c}.")) | F.startswith(p, F.lit(f"{c}[")) for c in clock]
+    )
+    return found.select(*ids, "paths", F.forall("paths", timed).alias("idle"))
