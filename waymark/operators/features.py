@@ -253,19 +253,19 @@ def with_memory(state: DataFrame) -> DataFrame:
     """Adds what the episode's observations so far (this step's included) say of the place that an action goes to, on rows of ``transition``.
 
     known: whether the place was observed; shown, lamp: whether the goal object, or a lamp, was seen there. Arrivals and goings meet as events of a place in
-    one window by (episode, place), arrivals of a step before its going; so no set of places is gathered.
+    one window by (episode, place), arrivals of a step before its going; so no set of places is gathered. A step's row is the event of its going: nothing is joined, and rows stay where their episode is.
     """
     rows = state.withColumn("_here", F.nullif(F.trim(F.regexp_extract(T.normalize("observation"), r"\byou arrive at (.+?)\.", 1)), F.lit("")))
     rows = rows.withColumn("_to", F.when(F.col("p.schema") == "go_to", F.nullif(F.col("p.target"), F.lit(""))))
     seen_goal = (F.col("goal.object") != "") & F.exists("seen", lambda s: T.entity_base(s) == F.col("goal.object"))
     seen_lamp = F.exists("seen", lambda s: T.entity_base(s).contains("lamp"))
     event = lambda kind, place, a, b: F.struct(F.lit(kind).alias("kind"), place.alias("place"), a.alias("a"), b.alias("b"))
-    events = rows.select("episode_id", "step", F.explode(F.array(event(0, F.col("_here"), seen_goal, seen_lamp), event(1, F.col("_to"), F.lit(None).cast("boolean"), F.lit(None).cast("boolean")))).alias("e"))
-    upto = Window.partitionBy("episode_id", "e.place").orderBy("step", "e.kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ever = lambda c: F.coalesce(F.bool_or(c).over(upto), F.lit(False))
-    told = events.filter(F.col("e.place").isNotNull()).select("episode_id", "step", "e.kind", ever(F.col("e.kind") == 0).alias("known"), ever(F.col("e.a")).alias("shown"), ever(F.col("e.b")).alias("lamp"))
-    found = rows.drop("_here", "_to").join(told.filter(F.col("kind") == 1).drop("kind"), ["episode_id", "step"], "left")
-    return found.fillna(False, ["known", "shown", "lamp"])
+    events = rows.withColumn("_e", F.explode(F.array(event(0, F.col("_here"), seen_goal, seen_lamp), event(1, F.col("_to"), F.lit(None).cast("boolean"), F.lit(None).cast("boolean")))))
+    events = events.filter((F.col("_e.kind") == 1) | F.col("_e.place").isNotNull()).withColumns({"_place": F.col("_e.place"), "_kind": F.col("_e.kind")})
+    upto = Window.partitionBy("episode_id", "_place").orderBy("step", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ever = lambda c: F.col("_place").isNotNull() & F.coalesce(F.bool_or(c).over(upto), F.lit(False))
+    told = events.withColumns({"known": ever(F.col("_kind") == 0), "shown": ever(F.col("_e.a")), "lamp": ever(F.col("_e.b"))})
+    return told.filter(F.col("_kind") == 1).drop("_here", "_to", "_e", "_place", "_kind")
 
 
 def memory_scores(remembered: DataFrame) -> DataFrame:
