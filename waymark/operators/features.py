@@ -390,12 +390,27 @@ def goal_filter(candidates: str | Column, goal: Column, placed_ids: Column) -> C
 
 
 def cycle_filter(candidates: str | Column, history: str | Column, max_len: int = 6, repeats: int = 2) -> Column:
-    """Without actions that would end the history in a repeated run."""
+    """Without actions that would end the history in a repeated run.
+
+    An action ends it in copies of a run of n if it is what came n actions before and the history's end repeats itself with period n. The latter doesn't depend on
+    the action, so a history tells at once which actions close a run.
+    """
+    if repeats < 2:
+        raise ValueError("repeats must be at least 2")
     c = T.col(candidates)
 
     def kept(h: Column) -> Column:
-        ok = F.filter(c, lambda a: ~N.has_cycle(F.concat(h, F.array(T.normalize(a))), max_len, repeats))
-        return F.when(F.size(h) == 0, c).otherwise(N.bind(ok, lambda x: or_all(x, c)))
+        size = F.size(h)
+
+        def closing(n: int) -> Column:
+            most, rest = n * repeats - 1, n * (repeats - 1) - 1
+            first = F.greatest(size - most + 1, F.lit(1))
+            periodic = (size >= most) & (F.slice(h, first, F.lit(rest)) == F.slice(h, first + n, F.lit(rest))) if rest else size >= most
+            return F.when(periodic, F.try_element_at(h, F.lit(-n)))
+
+        closed = F.array(*[closing(n) for n in range(1, max_len + 1)])
+        ok = N.bind(closed, lambda xs: F.filter(c, lambda a: ~F.exists(xs, lambda x: x.eqNullSafe(T.normalize(a)))))
+        return F.when(size == 0, c).otherwise(N.bind(ok, lambda x: or_all(x, c)))
 
     return N.bind(F.transform(T.col(history), lambda a: T.normalize(a)), kept)
 
