@@ -479,6 +479,9 @@ def bucket(dimension: int) -> Column:
 
 
 def hashed(rows: DataFrame, keys: list[str], dimension: int = 4096) -> DataFrame:
-    """(keys, bucket, value): features summed by bucket."""
-    long = rows.select(*keys, F.explode("features").alias("feature", "value")).withColumn("bucket", bucket(dimension)("feature"))
+    """(keys, bucket, value): features summed by bucket. Without keys each name is added up over all rows first, and hashed once."""
+    long = rows.select(*keys, F.explode("features").alias("feature", "value"))
+    if not keys:
+        long = long.groupBy("feature").agg(F.sum("value").alias("value"))
+    long = long.withColumn("bucket", bucket(dimension)("feature"))
     return long.groupBy(*keys, "bucket").agg(F.sum("value").alias("value"))

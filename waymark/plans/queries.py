@@ -611,7 +611,7 @@ def feature_vocabulary(spark, sf_dir):
 
 @query
 def hashed_features(spark, sf_dir):
-    return features.hashed(features.featurise(views.trajectory(spark, sf_dir)), ["episode_id", "step"], 1024).groupBy("bucket").agg(F.round(F.sum("value"), 6).alias("value"))
+    return features.hashed(features.featurise(views.trajectory(spark, sf_dir)), [], 1024).withColumn("value", F.round("value", 6))
 
 
 @query
