@@ -606,7 +606,8 @@ def feature_display(spark, sf_dir):
 @query
 def feature_vocabulary(spark, sf_dir):
     long = features.featurise(views.trajectory(spark, sf_dir)).select(F.explode("features").alias("feature", "value"))
-    return long.groupBy("feature", T.feature_group("feature").alias("feature_group")).agg(F.count("*").alias("n"))
+    counts = long.groupBy("feature").agg(F.count("*").alias("n"))
+    return counts.select("feature", T.feature_group("feature").alias("feature_group"), "n")
 
 
 @query
