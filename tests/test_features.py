@@ -8,6 +8,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from waymark.functions import numeric as N
+from waymark.functions import text as T
 from waymark.operators import features, history
 
 CHOICES = (
@@ -162,3 +164,35 @@ def test_similarity_and_buckets(spark):
 def test_branches(spark):
     df = spark.createDataFrame([("a", ["a", "b"]), ("a", ["b"]), ("a", []), ("a", ["a"] * 9)], "action string, rollout_actions array<string>")
     assert features.branch_errors(df).count() == 3
+
+
+def test_a_history_tells_which_actions_close_a_run(spark):
+    rng = random.Random(9)
+    rows = [([rng.choice(["a", "B  c", "d"]) for _ in range(rng.randrange(25))],) for _ in range(200)]
+    df = spark.createDataFrame(rows, "h array<string>").withColumn("c", F.array(F.lit("A"), F.lit("b c"), F.lit("d"), F.lit("e")))
+    for most, repeats in ((6, 2), (12, 2), (3, 3)):
+        norm = F.transform("h", lambda a: T.normalize(a))
+        slow = F.filter("c", lambda a: ~N.has_cycle(F.concat(norm, F.array(T.normalize(a))), most, repeats))
+        want = F.when(F.size("h") == 0, F.col("c")).otherwise(features.or_all(slow, F.col("c")))
+        got = df.select(features.cycle_filter("c", "h", most, repeats).alias("got"), want.alias("want"))
+        assert got.count() == 200 and got.filter("got <> want").isEmpty()
+    plan = df.select(features.cycle_filter("c", "h", 12).alias("f"))._jdf.queryExecution().analyzed().toString()
+    assert "sequence" not in plan  # no run is looked for anew for each candidate
+
+
+def test_memory_needs_no_join(spark):
+    acts = ["go to shelf 1", "take mug 1 from shelf 1", "go to shelf 2", "look", "go to shelf 1"]
+    steps = spark.createDataFrame([(1, i, a, "put a mug in desk.", f"You arrive at shelf {i % 2 + 1}. Here: mug {i}.") for i, a in enumerate(acts)], "episode_id long, step long, action string, instruction string, observation string")
+    found = features.with_memory(features.transition(features.entity_state(steps)))
+    assert [(r["step"], r["known"], r["shown"], r["lamp"]) for r in found.sort("step").collect()] == [(0, True, True, False), (1, False, False, False), (2, True, True, False), (3, False, False, False), (4, True, True, False)]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hashed_without_keys_adds_names_up_first(spark):
+    rows = spark.createDataFrame([({"a": 1.0, "b": 2.0},), ({"a": 0.5},)], "features map<string,double>")
+    want = {}
+    for k, v in (("a", 1.5), ("b", 2.0)):
+        want[features.bucket_of(k, 8)] = want.get(features.bucket_of(k, 8), 0) + v
+    found = features.hashed(rows, [], 8)
+    assert {r["bucket"]: r["value"] for r in found.collect()} == want
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2

@@ -136,20 +136,28 @@ def search_features(affinity: Column | None = None) -> Column:
 
 def lexical_features() -> Column:
     """Overlaps of the action's words with instruction, goal, observation and the last four actions, and entity matches."""
-    p, goal = F.col("p"), F.col("goal")
-    act, raw_act = T.id_tokens("action"), T.raw_tokens("action")
     goal_part = F.when(F.instr("instruction", "task is to:") > 0, F.substring_index("instruction", "task is to:", -1)).otherwise(F.col("instruction"))
     joined = F.array_join("recent", " ")
-    common = lambda a, b: F.size(F.array_intersect(a, b))
-    obj, target = T.drop_last_word(p["object"]), T.drop_last_word(F.when(p["target"] != "", p["target"]).otherwise(p["source"]))
-    shown = F.transform("seen", lambda s: T.drop_last_word(s))
+    p = F.col("p")
+    # Tokens are made once; each serves several features.
+    tokens = {
+        "act": T.id_tokens("action"), "raw_act": T.raw_tokens("action"), "asked": T.id_tokens("instruction"), "raw_asked": T.raw_tokens("instruction", True), "sought": T.id_tokens(goal_part),
+        "raw_sought": T.raw_tokens(goal_part, True), "said": T.id_tokens("observation"), "raw_said": T.raw_tokens("observation", True), "last": T.id_tokens(joined), "raw_last": T.raw_tokens(joined),
+        "obj": T.drop_last_word(p["object"]), "target": T.drop_last_word(F.when(p["target"] != "", p["target"]).otherwise(p["source"])), "shown": F.transform("seen", lambda s: T.drop_last_word(s)),
+    }
+    return N.bind(F.struct(*[v.alias(k) for k, v in tokens.items()]), _lexical)
+
+
+def _lexical(t: Column) -> Column:
+    p, goal, obj, target, shown = F.col("p"), F.col("goal"), t["obj"], t["target"], t["shown"]
+    common = lambda a, b: F.size(F.array_intersect(t[a], t[b]))
     go, been = p["schema"] == "go_to", F.col("visits") > 0
     return present([
-        ("lex:raw_instruction_overlap", common(raw_act, T.raw_tokens("instruction", True))), ("lex:raw_goal_overlap", common(raw_act, T.raw_tokens(goal_part, True))),
-        ("lex:raw_observation_overlap", common(raw_act, T.raw_tokens("observation", True))), ("lex:raw_recent_overlap", common(raw_act, T.raw_tokens(joined))),
-        ("lex:instruction_jaccard", N.jaccard(act, T.id_tokens("instruction"))), ("lex:instruction_coverage", N.coverage(act, T.id_tokens("instruction"))),
-        ("lex:goal_jaccard", N.jaccard(act, T.id_tokens(goal_part))), ("lex:goal_coverage", N.coverage(act, T.id_tokens(goal_part))),
-        ("lex:observation_jaccard", N.jaccard(act, T.id_tokens("observation"))), ("lex:recent_overlap", N.coverage(act, T.id_tokens(joined))),
+        ("lex:raw_instruction_overlap", common("raw_act", "raw_asked")), ("lex:raw_goal_overlap", common("raw_act", "raw_sought")),
+        ("lex:raw_observation_overlap", common("raw_act", "raw_said")), ("lex:raw_recent_overlap", common("raw_act", "raw_last")),
+        ("lex:instruction_jaccard", N.jaccard(t["act"], t["asked"])), ("lex:instruction_coverage", N.coverage(t["act"], t["asked"])),
+        ("lex:goal_jaccard", N.jaccard(t["act"], t["sought"])), ("lex:goal_coverage", N.coverage(t["act"], t["sought"])),
+        ("lex:observation_jaccard", N.jaccard(t["act"], t["said"])), ("lex:recent_overlap", N.coverage(t["act"], t["last"])),
         ("lex:goal_object_action", number((goal["object"] != "") & (obj == goal["object"]))), ("lex:goal_destination_action", number((goal["destination"] != "") & target.contains(goal["destination"]))),
         ("lex:goal_treatment_action", number((goal["treatment"] != "") & (p["verb"] == goal["treatment"]))), ("lex:target_visible", number((goal["object"] != "") & F.array_contains(shown, goal["object"]))),
         ("lex:action_object_visible", number((obj != "") & F.array_contains(shown, obj))), ("lex:history_action_repeat_count", F.col("repeats")),
