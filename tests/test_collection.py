@@ -1,6 +1,7 @@
 """Operators of collection, runtimes, paths and checks on odd input."""
 
 import json
+import math
 import time
 
 import exact
@@ -9,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waymark.functions import text as T
-from waymark.operators import collection, features, integrity, prompts, ranking, runtime, training
+from waymark.operators import collection, features, history, integrity, progress, prompts, ranking, runtime, training
 from waymark.sources import files
 from waymark.workflow import cases, roles
 
@@ -99,6 +100,33 @@ def test_runtime_documents(spark):
     assert callable(runtime.load(json.dumps({"schema_version": "structured-progress-potential-runtime-v1"})))
 
 
+def test_runtimes_score_a_step_in_one_pass(spark):
+    actions = ["go to shelf 1", "take mug 2 from shelf 1", "open drawer 3", "go to desk 1", "move mug 2 to desk 1", "move mug 2 to desk 1", "look", ""]
+    steps = [(e, i, a, "Your task is to: put a mug in desk.", "You see mug 2.") for e in (1, 2, None) for i, a in enumerate(actions)]
+    df = spark.createDataFrame(steps, "episode_id long, step long, action string, instruction string, observation string").repartition(3, "episode_id")
+    rankers = [{"delta:placed": 1.5, "bias": 0.1}, {"lex:goal_coverage": 2.0, "search:novel": -1.0}, {"sem:verb:take": 1.0, "verb:open": 0.5}, {"none": 1.0}, {}]
+    made = [{"schema_version": "structured-progress-potential-runtime-v1", "structured_weight": w, "base_cost": c} for w, c in ((0.5, 1.0), (2.0, 3.0), (0.0, 1.0))]
+    made += [{"schema_version": "unified-progress-value-runtime-v1", "structured_weight": w, "semantic_weight": 0.5, "ranker": r} for r in rankers for w in (0.25, 0.0)]
+    made += [{"schema_version": "unified-progress-value-runtime-v1"}]
+    annotated = history.annotate(df)
+    formula = {c: {(r["episode_id"], r["step"]): r["score"] for r in progress.score(annotated, c).collect()} for c in (1.0, 3.0)}
+    features_of = {(r["episode_id"], r["step"]): r["features"] for r in features.featurise(df).collect()}
+    got = runtime.scores(annotated, {f"d{i}": json.dumps(d) for i, d in enumerate(made)})
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1  # the one that the steps came with
+    rows = got.collect()
+    assert len(rows) == len(steps)  # those without an episode too
+    for r in rows:
+        key = r["episode_id"], r["step"]
+        for i, d in enumerate(made):
+            want = formula[d.get("base_cost", 1.0)][key] * d.get("structured_weight", 0.0)
+            if "ranker" in d:
+                want += 0.5 * 2 * math.tanh(sum(d["ranker"].get(k, 0.0) * v for k, v in features_of[key].items()) / 2)
+            assert r[f"d{i}"] == pytest.approx(want)
+    alone = runtime.load(json.dumps(made[3]))(annotated)
+    assert sorted(r["score"] for r in alone.collect()) == sorted(r["d3"] for r in rows)
+
+
 def test_state_summary_of_nothing(spark):
     empty = spark.createDataFrame([([],)], "h array<string>")
     text = empty.select(prompts.state_summary("h").alias("t"), prompts.next_action(F.lit("x"), "h", F.lit("y"))[1]["content"].alias("m")).first()

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import difflib
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -186,10 +186,14 @@ def semantic_features() -> Column:
     ])
 
 
-def featurise(steps: DataFrame) -> DataFrame:
-    """(episode_id, step, features): effects, search, lexical and semantic features of every step in one map."""
+def featurise(steps: DataFrame, weighed: Collection[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """(episode_id, step, keep..., features): effects, search, lexical and semantic features of every step in one map. Given the names that are ``weighed``, families without any of them aren't made."""
     t = transition(entity_state(steps))
-    return t.select("episode_id", "step", F.map_concat(effect_features(t), search_features(), lexical_features(), semantic_features()).alias("features"))
+    families = {"search:": search_features, "lex:": lexical_features, "sem:": semantic_features}
+    maps = [make() for prefix, make in families.items() if weighed is None or any(k.startswith(prefix) for k in weighed)]
+    if weighed is None or not maps or any(not k.startswith(tuple(families)) for k in weighed):
+        maps = [effect_features(t), *maps]
+    return t.select("episode_id", "step", *keep, (F.map_concat(*maps) if len(maps) > 1 else maps[0]).alias("features"))
 
 
 def counted(names: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Callable, Iterator
 
@@ -15,43 +16,63 @@ from . import features, progress
 Scorer = Callable[[str, list[str], str, str], float]
 
 
-def structured(annotated: DataFrame, document: dict) -> DataFrame:
-    """(episode_id, step, score): the factor formula alone, times its weight."""
-    return annotated_score(annotated, document.get("base_cost", 1.0)).withColumn("score", F.col("score") * F.lit(float(document.get("structured_weight", 1.0))))
+#: What a document asks for: the factor formula's base cost and weight, and the weights of a linear ranker's features with the weight of its bounded score. A part without a weight isn't planned.
+Parts = tuple[float, float | None, dict[str, float], float | None]
 
 
-def unified(annotated: DataFrame, document: dict) -> DataFrame:
-    """(episode_id, step, score): the factor formula and a linear ranker's bounded score, weighted. A part of weight 0 isn't planned."""
-    parts = []
-    if weight := float(document.get("structured_weight", 0.0)):
-        parts.append(annotated_score(annotated, document.get("base_cost", 1.0)).select("episode_id", "step", (F.col("score") * F.lit(weight)).alias("score")))
-    if weight := float(document.get("semantic_weight", 0.0)):
-        t = features.featurise(annotated.select("episode_id", "step", "action", "instruction", "observation"))
-        model = F.map_from_entries(F.array(*[F.struct(F.lit(k), F.lit(float(v))) for k, v in document["ranker"].items()]))
-        parts.append(t.select("episode_id", "step", (F.lit(weight) * N.bounded_score(N.sparse_dot("features", model))).alias("score")))
-    if not parts:
-        return annotated.select("episode_id", "step", F.lit(0.0).alias("score"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p.withColumnRenamed("score", "more"), ["episode_id", "step"]).select("episode_id", "step", (F.col("score") + F.col("more")).alias("score"))
-    return out
+def structured(document: dict) -> Parts:
+    """The factor formula alone, times its weight."""
+    return float(document.get("base_cost", 1.0)), float(document.get("structured_weight", 1.0)), {}, None
 
 
-def annotated_score(annotated: DataFrame, base_cost: float) -> DataFrame:
-    return progress.score(annotated, float(base_cost))
+def unified(document: dict) -> Parts:
+    """The factor formula and a linear ranker's bounded score, weighted. A part of weight 0 isn't planned."""
+    ranked = float(document.get("semantic_weight", 0.0)) or None
+    ranker = {k: float(v) for k, v in document["ranker"].items()} if ranked else {}
+    return float(document.get("base_cost", 1.0)), float(document.get("structured_weight", 0.0)) or None, ranker, ranked
 
 
 # Names of the two document schemas.
 RUNTIMES = {"structured-progress-potential-runtime-v1": structured, "unified-progress-value-runtime-v1": unified}
 
 
-def load(document: str) -> Callable[[DataFrame], DataFrame]:
-    """The scorer that a runtime document (JSON text) asks for: a function of annotated rows."""
+def parts_of(document: str) -> Parts:
     payload = json.loads(document)
     runtime = RUNTIMES.get(payload.get("schema_version"))
     if runtime is None:
         raise ValueError(f"unsupported runtime: {payload.get('schema_version')!r}")
-    return lambda annotated: runtime(annotated, payload)
+    return runtime(payload)
+
+
+def load(document: str) -> Callable[[DataFrame], DataFrame]:
+    """The scorer that a runtime document (JSON text) asks for: a function of annotated rows that returns (episode_id, step, score)."""
+    parts_of(document)  # an unknown one fails here
+    return lambda annotated: scores(annotated, {"score": document})
+
+
+def scores(annotated: DataFrame, documents: dict[str, str]) -> DataFrame:
+    """(episode_id, step, name...): the scores of several runtime documents (JSON texts) by name.
+
+    All of them read one row of the step: formulas are expressions on the annotated row, rankers share one map of the features that any of them weighs. So a step's state is made once, whatever the
+    number of documents, nothing is joined, and the windows of both states find the exchange by episode that the rows came with.
+    """
+    parts = {name: parts_of(d) for name, d in documents.items()}
+    costs = sorted({cost for cost, weight, _, _ in parts.values() if weight is not None})
+    formulas = {cost: f"_formula{i}" for i, cost in enumerate(costs)}
+    weighed = {k for _, _, ranker, ranked in parts.values() if ranked is not None for k in ranker}
+    rows = progress.prepared(annotated) if costs else annotated
+    rows = rows.select("episode_id", "step", "action", "instruction", "observation", *[progress.score_of(cost).alias(c) for cost, c in formulas.items()])
+    if any(ranked is not None for *_, ranked in parts.values()):
+        rows = features.featurise(rows, weighed, tuple(formulas.values()))
+
+    def total(cost: float, weight: float | None, ranker: dict[str, float], ranked: float | None) -> Column:
+        own = [F.col(formulas[cost]) * F.lit(weight)] if weight is not None else []
+        if ranked is not None:
+            model = F.map_from_entries(F.array(*[F.struct(F.lit(k), F.lit(v)) for k, v in ranker.items()])) if ranker else F.create_map().cast("map<string,double>")
+            own.append(F.lit(ranked) * N.bounded_score(N.sparse_dot("features", model)))
+        return functools.reduce(Column.__add__, own) if own else F.lit(0.0)
+
+    return rows.select("episode_id", "step", *[total(*p).alias(name) for name, p in parts.items()])
 
 
 def scorer(f: Scorer):

@@ -303,13 +303,13 @@ def _runtime_sql() -> str:
 
 @query(_runtime_sql())
 def runtime_dispatch(spark, sf_dir):
-    """Three runtime documents, written and read, each dispatched by its schema version."""
+    """Three runtime documents, written and read, each dispatched by its schema version; all of them score a step in one pass. Steps without an episode score 0."""
     from ..operators import history, runtime
 
-    annotated, out = history.annotate(views.trajectory(spark, sf_dir)), None
+    texts = {}
     for name, document in DOCUMENTS.items():
         path = shared_path(spark, "runtime") + "/runtime.json"
         files.write_text(spark, path, json.dumps(document))
-        scored = runtime.load(files.read_text(spark, path))(annotated).withColumn("score", F.round("score", 6)).withColumnRenamed("score", name)
-        out = scored if out is None else out.join(scored, ["episode_id", "step"])
-    return out
+        texts[name] = files.read_text(spark, path)
+    scored = runtime.scores(history.annotate(views.trajectory(spark, sf_dir)), texts)
+    return scored.select("episode_id", "step", *[F.when(F.col("episode_id").isNull(), 0.0).otherwise(F.round(name, 6)).alias(name) for name in texts])
