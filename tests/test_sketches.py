@@ -76,6 +76,20 @@ def test_count_min_never_counts_too_little(spark, rows):
     assert len(got) == 301 and all(exact.get(i, 0) <= n <= exact.get(i, 0) + 6 * 60_000 / 256 for i, n in got.items())
 
 
+def test_count_min_deals_rows_out_by_their_number(spark, rows):
+    hot = F.when(F.col("x") < 700, F.lit(5)).otherwise(F.col("item"))  # one item has two thirds of all rows
+    df = rows.withColumns({"item": F.when(F.col("x") < 990, hot), "id": F.monotonically_increasing_id()}).withColumn("day", F.when(F.col("day") != 6, F.col("day"))).cache()
+    lines = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("line")
+    every = df.filter("item IS NOT NULL").select("day", "item", lines).withColumn("cell", sketches.cell("item", F.col("line"), 64))
+    got = sketches.count_min(df, ["day"], "item", 3, 64, ["id"], 5_000)
+    assert got.columns == ["day", "line", "cell", "n"]
+    assert plain(got.collect()) == plain(every.groupBy("day", "line", "cell").count().collect())
+    assert plain(sketches.count_min(df, ["day"], "item", 3, 64).collect()) == plain(got.collect())
+    sizes = lambda d: [r["count"] for r in d.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes(sketches.dealt(df, ["day"], "item", ["id"], 5_000))) < 10_000
+    assert len(sizes(sketches.dealt(df.unionByName(df), ["day"], "item", ["id"], 5_000))) > 20  # twice the rows, twice the tasks
+
+
 def test_cube_equals_sets_and_rows_are_exchanged_once(spark):
     rng = random.Random(1)
     rows = [(rng.choice(["x"] * 5 + ["y", None]), rng.choice([1, 2, None]), rng.choice(["p", "q"]), rng.choice([None, 0, -1, -40_000, 32_768, 32_769, *range(50), 10**12])) for _ in range(800)]
