@@ -2,7 +2,10 @@
 
 import json
 import math
+import os
+import re
 import time
+from collections import defaultdict
 
 import exact
 import pytest
@@ -11,6 +14,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import text as T
 from waymark.operators import collection, features, history, integrity, progress, prompts, ranking, runtime, training
+from waymark.plans import state_queries, views
 from waymark.sources import files
 from waymark.workflow import cases, roles
 
@@ -181,3 +185,53 @@ def test_remembered_is_the_state_summary_of_the_last_actions(spark):
     w = Window.partitionBy("episode_id").orderBy("step").rowsBetween(-7, -1)
     rows = prompts.remembered(steps, 7).withColumn("h", F.collect_list("action").over(w)).withColumn("want", prompts.state_summary("h")).collect()
     assert len(rows) == 57 and all(r["memory"] == r["want"] for r in rows)
+
+
+def summary_by_hand(actions):
+    """The state memory of a whole history, one action after another."""
+    place, held, places, treated, put, used = "unknown", "none", [], [], [], []
+    for action in actions:
+        a = " ".join((action or "").lower().split())
+        if m := re.match(r"go to (.+)$", a):
+            place = m[1]
+            places += [place] if place not in places else []
+        elif m := re.match(r"take (.+?) from .+$", a):
+            held = m[1]
+        elif m := re.match(r"move (.+?) to (.+)$", a):
+            held, put = "none", [*put, f"{m[1]} -> {m[2]}"]
+        elif m := re.match(r"(clean|cool|heat) (.+?) with .+$", a):
+            treated.append(f"{m[1]} {m[2]}")
+        elif m := re.match(r"use (.+)$", a):
+            used.append(m[1])
+    named = lambda xs, n: ", ".join(xs[-n:]) or "none"
+    return "\n".join([
+        "Observable state memory:", f"- current location: {place}", f"- held object: {held}", f"- visited locations: {named(places, 12)}",
+        f"- completed treatments: {named(treated, 8)}", f"- completed placements: {named(put, 8)}", f"- used devices: {named(used, 8)}",
+    ])
+
+
+def test_remembered_tells_of_the_whole_history(spark):
+    early = ["take mug 7 from shelf 1", "Go to  shelf 1", "use desklamp 1", "cool egg 1 with fridge 1", "move cup 1 to desk 1", "take mug 9 from shelf 2"]
+    many = [a for i in range(15) for a in (f"go to shelf {i}", None, f"heat mug {i} with microwave 1", f"go to shelf {i // 2}", f"move mug {i} to desk 1", f"use lamp {i}", f"use lamp {i}", "")]
+    acts = {1: early + ["look"] * 40, 2: many, 3: ["look", None], 4: early + many + ["open drawer 1"] * 35 + early[::-1]}
+    steps = spark.createDataFrame([(e, i, a, i) for e, xs in acts.items() for i, a in enumerate(xs)], "episode_id long, step long, action string, `a.b` long")
+    rows = prompts.remembered(steps, name="text")
+    assert rows.columns == [*steps.columns, "text"]
+    got = {(r["episode_id"], r["step"]): r["text"] for r in rows.collect()}
+    assert got == {(e, i): summary_by_hand(xs[:i]) for e, xs in acts.items() for i in range(len(xs))}
+    w = Window.partitionBy("episode_id").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("h", F.collect_list("action").over(w)).withColumn("want", prompts.state_summary("h"))
+    assert rows.filter("text <> want").isEmpty()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="driver tables absent")
+def test_aligned_prompts_remember_more_than_thirty_actions(spark, monkeypatch):
+    # The whole text comes out as the first line quoted.
+    monkeypatch.setattr(T, "prompt_section", lambda p, section: F.translate(F.col(p), "\n", "\t"))
+    got = {(r["episode_id"], r["step"]): r["first_quoted"] for r in state_queries.aligned_prompts(spark, "/root/testdata/sf0.001").collect()}
+    told = defaultdict(list)
+    for r in views.trajectory(spark, "/root/testdata/sf0.001").orderBy("episode_id", "step").collect():
+        told[r["episode_id"]].append(r["action"])
+    assert max(map(len, told.values())) > 60 and len(got) == sum(len(xs) - 1 for xs in told.values())
+    for (episode, step), text in got.items():
+        assert f"Current observable state:\n{summary_by_hand(told[episode][:step])}\n\n" in text.replace("\t", "\n")

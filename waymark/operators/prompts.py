@@ -69,20 +69,38 @@ def told(action: str | Column) -> dict[str, Column]:
 
 
 def memory(said: dict[str, Column]) -> Column:
-    """The state memory's text from arrays of what actions told, in their order."""
+    """The state memory's text from arrays of what actions told, in their order. ``places``: those gone to by first visit, if they are known already; then arrays need hold no more than the text names."""
     last = lambda xs, none: F.coalesce(F.nullif(F.try_element_at(xs, F.lit(-1)), F.lit("")), F.lit(none))
     named = lambda xs, n: F.when(F.size(xs) > 0, F.array_join(N.tail(xs, n), ", ")).otherwise("none")
+    places = said["places"] if "places" in said else F.array_distinct(said["gone"])
     rows = {
-        "current location": last(said["gone"], "unknown"), "held object": last(said["hand"], "none"), "visited locations": named(F.array_distinct(said["gone"]), PLACES),
+        "current location": last(said["gone"], "unknown"), "held object": last(said["hand"], "none"), "visited locations": named(places, PLACES),
         "completed treatments": named(said["treated"], OTHERS), "completed placements": named(said["put"], OTHERS), "used devices": named(said["used"], OTHERS),
     }
     return F.concat_ws("\n", F.lit("Observable state memory:"), *[F.concat(F.lit(f"- {k}: "), v) for k, v in rows.items()])
 
 
-def remembered(steps: DataFrame, n: int, name: str = "memory") -> DataFrame:
-    """steps (episode_id, step, action, ...) with the state memory's text of the n actions before each. An action is parsed once, not by each of the n steps that remember it."""
+def remembered(steps: DataFrame, n: int | None = None, name: str = "memory") -> DataFrame:
+    """steps (episode_id, step, action, ...) with the state memory's text of all actions before each, or of the last n. An action is parsed once, not by each of the steps that remember it."""
     parts = told("action")
     rows = steps.withColumns({f"_m_{k}": v for k, v in parts.items()})
-    w = Window.partitionBy("episode_id").orderBy("step").rowsBetween(-n, -1)
-    rows = rows.withColumns({f"_l_{k}": F.collect_list(f"_m_{k}").over(w) for k in parts})  # nulls aren't collected
-    return rows.withColumn(name, memory({k: F.col(f"_l_{k}") for k in parts})).drop(*[f"_{x}_{k}" for k in parts for x in "ml"])
+    if n is None:
+        rows, said = _carried(rows)
+    else:
+        w = Window.partitionBy("episode_id").orderBy("step").rowsBetween(-n, -1)
+        said = {k: F.collect_list(f"_m_{k}").over(w) for k in parts}  # nulls aren't collected
+    rows = rows.withColumns({f"_l_{k}": v for k, v in said.items()})
+    return rows.withColumn(name, memory({k: F.col(f"_l_{k}") for k in said})).drop(*[c for c in rows.columns if c not in steps.columns])
+
+
+def _carried(rows: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """What all actions before a step told, as far as the text names it. An action that tells something new holds the last few of its kind, and a step has those of the last such action: a history of any length costs its length."""
+    before = Window.partitionBy("episode_id").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.row_number().over(Window.partitionBy("episode_id", "_m_gone").orderBy("step")) == 1
+    # Beside what is in hand, an action tells one thing at most.
+    kinds = {"places": F.when(first, F.col("_m_gone")), **{k: F.col(f"_m_{k}") for k in ("put", "treated", "used")}}
+    rows = rows.withColumns({"_m_kind": F.coalesce(*[F.when(v.isNotNull(), k) for k, v in kinds.items()]), "_m_own": F.coalesce(*kinds.values())})
+    lately = Window.partitionBy("episode_id", "_m_kind").orderBy("step").rowsBetween(1 - max(PLACES, OTHERS), Window.currentRow)
+    rows = rows.withColumn("_m_few", F.collect_list("_m_own").over(lately))
+    last = lambda x: F.last(x, ignorenulls=True).over(before)
+    return rows, {k: F.array(last(F.col(f"_m_{k}"))) for k in ("gone", "hand")} | {k: last(F.when(F.col("_m_kind") == k, F.col("_m_few"))) for k in kinds}

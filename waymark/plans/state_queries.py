@@ -165,8 +165,8 @@ def prompt_sections(spark, sf_dir):
 @query(view(SQL_TRAJECTORY, """SELECT episode_id, step, list_extract(h, 1) AS first_quoted, CAST(len(h) AS BIGINT) AS quoted, instruction AS goal, true AS has_state, true AS ends_well FROM (
   SELECT episode_id, step, instruction, list(action) OVER (PARTITION BY episode_id ORDER BY step ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS h FROM tr) WHERE len(h) > 0"""))
 def aligned_prompts(spark, sf_dir):
-    """Prompts with examples, a history window of four and the state memory, read back by their sections."""
-    t = prompts.remembered(_trajectory(spark, sf_dir).withColumn("h", before(4)), 30).filter(F.size("h") > 0)
+    """Prompts with examples, the last four actions quoted and the state memory of all actions before, read back by their sections."""
+    t = prompts.remembered(_trajectory(spark, sf_dir)).withColumn("h", before(4)).filter(F.size("h") > 0)
     p = t.select(*STEP, prompts.aligned("instruction", "h", "observation", "Training example 1\nGoal: x", 4, state=F.col("memory"))[1]["content"].alias("p"))
     quoted = F.split(T.prompt_section("p", "previous"), "\n")
     goal = F.regexp_extract("p", r"(?s)Persistent goal:\n(.*?)\n\nCurrent observable state:", 1)
